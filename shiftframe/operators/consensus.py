@@ -33,18 +33,22 @@ def weight_overlay(
     )
 
 
-def weights_used(headers: DataFrame, *, mol: str = "mol_id", engine: str = "engine") -> DataFrame:
-    """One map per molecule: weights of the ok engines above 0, scaled to sum 1.
+def weights_used(
+    headers: DataFrame, *, mol: str = "mol_id", engine: str = "engine", engine_pos: str = "engine_pos"
+) -> DataFrame:
+    """One map per molecule, in request order: weights of the ok engines above 0, scaled to sum 1.
 
-    ``headers`` has one row (mol, engine, status, weight) per engine that was run, so the list per molecule is
-    bounded by the number of engines, and an ok engine without any shift still counts.
+    ``headers`` has one row (mol, engine, engine_pos, status, weight) per engine that was run, so the list per
+    molecule is bounded by the number of engines, and an ok engine without any shift still counts.
     """
     usable = (F.col("status") == "ok") & (F.col("weight") > 0)
-    entry = F.when(usable, F.struct(F.col(engine).alias("engine"), F.col("weight").alias("weight")))
+    entry = F.when(
+        usable, F.struct(F.col(engine_pos).alias("pos"), F.col(engine).alias("engine"), F.col("weight").alias("w"))
+    )
     grouped = headers.groupBy(mol).agg(
-        F.collect_list(entry).alias("_entries"), F.sum(F.when(usable, F.col("weight"))).alias("_total")
+        F.array_sort(F.collect_list(entry)).alias("_entries"), F.sum(F.when(usable, F.col("weight"))).alias("_total")
     )
-    scaled = F.transform("_entries", lambda e: F.struct(e["engine"], (e["weight"] / F.col("_total")).alias("weight")))
+    scaled = F.transform("_entries", lambda e: F.struct(e["engine"], (e["w"] / F.col("_total")).alias("weight")))
     return grouped.select(mol, F.map_from_entries(scaled).alias("weights_used"))
 
 

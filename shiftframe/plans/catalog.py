@@ -2,5 +2,6 @@
 
 from shiftframe.plans import (  # noqa: F401
     queries_consensus,
+    queries_records,
 )
 from shiftframe.plans.registry import ORACLE, QUERIES  # noqa: F401
