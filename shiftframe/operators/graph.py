@@ -1,12 +1,262 @@
 """Molecule graphs as atom and bond tables."""
-from pyspark.sql import Column, DataFrame
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+
 from shiftframe import constants as C
 
 
+
 def target_atoms(atoms: DataFrame, *, nucleus: str = "nucleus", atomic_num: str = "atomic_num") -> DataFrame:
     """Atoms observed by the nucleus of their row; a molecule without any gives no rows."""
     observed = F.lit(None).cast("int")
     for name, number in C.NUCLEUS_ATOMIC_NUMBER.items():
         observed = F.when(F.col(nucleus) == name, number).otherwise(observed)
     return atoms.where(F.col(atomic_num) == observed)
+
+
+def atom_map_reconcile(
+    left: DataFrame, right: DataFrame, *, mol: str = "mol_id", atom: str = "atom_index", symbol: str = "symbol"
+) -> DataFrame:
+    """Per molecule: whether both tools list the same symbols at the same positions."""
+    ours = left.select(mol, atom, F.col(symbol).alias("_a"), F.lit(True).alias("_in_a"))
+    theirs = right.select(mol, atom, F.col(symbol).alias("_b"), F.lit(True).alias("_in_b"))
+    both = ours.join(theirs, [mol, atom], "full_outer")
+    same = F.col("_in_a").isNotNull() & F.col("_in_b").isNotNull() & F.col("_a").eqNullSafe(F.col("_b"))
+    return both.groupBy(mol).agg(
+        F.bool_and(same).alias("accepted"), F.min(F.when(~same, F.col(atom))).alias("first_difference")
+    )
+
+
+def neighbors(bonds: DataFrame) -> DataFrame:
+    """Both directions of every bond: (mol_id, atom_index, nbr, bond_idx)."""
+    ends = F.array(F.struct(F.col("a").alias("atom_index"), F.col("b").alias("nbr")), F.struct(F.col("b").alias("atom_index"), F.col("a").alias("nbr")))
+    return bonds.select("mol_id", "bond_idx", F.inline(ends))
+
+
+def anchor_join(atoms: DataFrame, bonds: DataFrame) -> DataFrame:
+    """Add ``anchor``: for a proton its first heavy neighbour in bond order, null for the rest."""
+    heavy = atoms.where("atomic_num > 1").select("mol_id", F.col("atom_index").alias("nbr"))
+    hydrogens = atoms.where("atomic_num = 1").select("mol_id", "atom_index")
+    edges = neighbors(bonds).join(heavy, ["mol_id", "nbr"]).join(hydrogens, ["mol_id", "atom_index"], "left_semi")
+    first = edges.groupBy("mol_id", "atom_index").agg(F.min_by("nbr", "bond_idx").alias("anchor"))
+    return atoms.join(first, ["mol_id", "atom_index"], "left")
+
+
+def carbon_neighbor_protons(atoms: DataFrame, bonds: DataFrame) -> DataFrame:
+    """For every carbon with carbon neighbours: protons on those neighbours (mol_id, anchor, neighbor_count).
+
+    Two hops, but hydrogens are counted per atom first, so the second join moves one row per bond.
+    """
+    kinds = atoms.select("mol_id", F.col("atom_index").alias("nbr"), F.col("atomic_num").alias("nbr_z"))
+    edges = neighbors(bonds).join(kinds, ["mol_id", "nbr"])
+    hydrogens = edges.groupBy("mol_id", "atom_index").agg(F.count_if(F.col("nbr_z") == 1).alias("n_h"))
+    carbons = atoms.where("atomic_num = 6").select("mol_id", "atom_index")
+    carbon_edges = edges.where("nbr_z = 6").join(carbons, ["mol_id", "atom_index"], "left_semi")
+    return (
+        carbon_edges.select("mol_id", F.col("atom_index").alias("anchor"), F.col("nbr").alias("atom_index"))
+        .join(hydrogens, ["mol_id", "atom_index"])
+        .groupBy("mol_id", "anchor")
+        .agg(F.sum("n_h").alias("neighbor_count"))
+    )
+
+
+def neighbor_protons(atoms: DataFrame, bonds: DataFrame) -> DataFrame:
+    """Anchored protons with the number of protons on the carbon neighbours of a carbon anchor, else 0."""
+    anchored = anchor_join(atoms, bonds).where(F.col("anchor").isNotNull())
+    return anchored.join(carbon_neighbor_protons(atoms, bonds), ["mol_id", "anchor"], "left").withColumn(
+        "neighbor_count", F.coalesce("neighbor_count", F.lit(0).cast("long"))
+    )
+
+
+def multiplicity_label(n: Column, is_aromatic: Column, is_sp3: Column) -> Column:
+    first_order = F.lit("m")
+    for count, label in C.MULTIPLICITY_BY_NEIGHBORS.items():
+        first_order = F.when(n == count, label).otherwise(first_order)
+    return F.when(n <= 0, "s").when(is_aromatic | ~is_sp3, "m").otherwise(first_order)
+
+
+def estimated_coupling(n: Column, is_aromatic: Column, is_sp3: Column) -> Column:
+    return F.when((n > 0) & is_sp3 & ~is_aromatic, F.lit(C.SP3_COUPLING_HZ))
+
+
+def multiplicity_rule(atoms: DataFrame, bonds: DataFrame) -> DataFrame:
+    """Anchored protons with group, multiplicity, coupling and neighbour count."""
+    anchors = atoms.select(
+        "mol_id",
+        F.col("atom_index").alias("anchor"),
+        F.col("is_aromatic").alias("_aromatic"),
+        F.col("is_sp3").alias("_sp3"),
+    )
+    counted = neighbor_protons(atoms, bonds).join(anchors, ["mol_id", "anchor"])
+    n, aromatic, sp3 = F.col("neighbor_count"), F.col("_aromatic"), F.col("_sp3")
+    return counted.select(
+        "mol_id",
+        "atom_index",
+        F.col("anchor").alias("attached_atom_index"),
+        F.concat(F.lit("h@"), F.col("anchor").cast("string")).alias("assignment_group"),
+        multiplicity_label(n, aromatic, sp3).alias("multiplicity"),
+        estimated_coupling(n, aromatic, sp3).alias("coupling_hz"),
+        "neighbor_count",
+    )
+
+
+def charge_spin(atoms: DataFrame, *, mol: str = "mol_id") -> DataFrame:
+    """Total formal charge and spin multiplicity per molecule."""
+    return atoms.groupBy(mol).agg(
+        F.sum("formal_charge").alias("charge"), (F.sum("radicals") + 1).alias("spin_multiplicity")
+    )
+
+
+def pair_distance(a: Sequence[Column], b: Sequence[Column]) -> Column:
+    total = F.lit(0.0)
+    for left, right in zip(a, b):
+        total = total + (left - right) * (left - right)
+    return F.sqrt(total)
+
+
+def bond_distances(atoms: DataFrame, bonds: DataFrame) -> DataFrame:
+    """Length of every bond."""
+    ends = [
+        atoms.select("mol_id", F.col("atom_index").alias(end), *[F.col(c).alias(f"_{c}{end}") for c in "xyz"])
+        for end in ("a", "b")
+    ]
+    length = pair_distance([F.col(f"_{c}a") for c in "xyz"], [F.col(f"_{c}b") for c in "xyz"])
+    joined = bonds.join(ends[0], ["mol_id", "a"]).join(ends[1], ["mol_id", "b"])
+    return joined.select(*bonds.columns, length.alias("distance"))
+
+
+def radius_neighbors(
+    coords: DataFrame,
+    *,
+    cutoff: float,
+    k: int,
+    keys: Sequence[str] = ("mol_id",),
+    atom: str = "atom_index",
+) -> DataFrame:
+    """Ordered pairs (atom, nbr, distance, rank): the nearest ``k`` atoms closer than ``cutoff``, ties by index.
+
+    Space is cut into cells of the cutoff's size. An atom meets only the atoms of its own and the 26 adjoining cells,
+    so a large structure is spread over its cells and far pairs are never formed. An atom without any neighbour gets
+    a pair with itself at distance 0 and rank 0.
+    """
+    cells = [F.floor(F.col(c) / cutoff).cast("long") for c in "xyz"]
+    placed = coords.select(*keys, atom, "x", "y", "z")
+    shifts = F.array(*[F.lit(d) for d in (-1, 0, 1)])
+    centers = placed.select(
+        *keys, F.col(atom).alias("_atom"), *[F.col(c).alias(f"_{c}") for c in "xyz"],
+        *[cell.alias(f"_c{c}") for c, cell in zip("xyz", cells)],
+    )
+    for c in "xyz":
+        rest = [name for name in centers.columns if name != f"_c{c}"]
+        centers = centers.select(*rest, F.explode(F.transform(shifts, lambda d: F.col(f"_c{c}") + d)).alias(f"_c{c}"))
+    others = placed.select(
+        *keys, F.col(atom).alias("nbr"), "x", "y", "z", *[cell.alias(f"_c{c}") for c, cell in zip("xyz", cells)]
+    )
+    distance = pair_distance([F.col(f"_{c}") for c in "xyz"], [F.col(c) for c in "xyz"])
+    close = (
+        centers.join(others, [*keys, "_cx", "_cy", "_cz"])
+        .where(F.col("_atom") != F.col("nbr"))
+        .select(*keys, F.col("_atom").alias(atom), "nbr", distance.alias("distance"))
+        .where(F.col("distance") < cutoff)
+    )
+    nearest = Window.partitionBy(*keys, atom).orderBy("distance", "nbr")
+    kept = close.withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= k)
+    lonely = placed.select(*keys, atom).join(kept.select(*keys, atom), [*keys, atom], "left_anti")
+    loops = lonely.select(
+        *keys, atom, F.col(atom).alias("nbr"), F.lit(0.0).alias("distance"), F.lit(0).alias("rank")
+    )
+    return kept.unionByName(loops)
+
+
+def bond_key(bond_type: Column, conjugated: Column, in_ring: Column, symbol_a: Column, symbol_b: Column) -> Column:
+    """Text key of a bond; the end symbols come sorted, so direction does not matter."""
+    ends = F.array_join(F.array_sort(F.array(symbol_a, symbol_b)), "-")
+    return F.concat_ws("|", bond_type, conjugated.cast("string"), in_ring.cast("string"), ends)
+
+
+def keyed_bonds(atoms: DataFrame, bonds: DataFrame) -> DataFrame:
+    """Bonds with their text key."""
+    ends = [atoms.select("mol_id", F.col("atom_index").alias(e), F.col("symbol").alias(f"_{e}")) for e in ("a", "b")]
+    key = bond_key(F.col("bond_type"), F.col("is_conjugated"), F.col("in_ring"), F.col("_a"), F.col("_b"))
+    return bonds.join(ends[0], ["mol_id", "a"]).join(ends[1], ["mol_id", "b"]).select(
+        *bonds.columns, key.alias("bond_key")
+    )
+
+
+def vocab_encode(rows: DataFrame, vocabulary: DataFrame, key: str, *, name: str = "token", unknown: str = "unk") -> DataFrame:
+    """Add the class id of ``key``; keys outside the vocabulary get the id of ``unk``.
+
+    ``vocabulary`` has (key, class_id). The id of ``unk`` is a single row, joined on a constant.
+    """
+    ids = vocabulary.select(F.col("key").alias(key), F.col("class_id").alias("_id"))
+    fallback = vocabulary.where(F.col("key") == unknown).agg(F.min("class_id").alias("_unk"))
+    return (
+        rows.join(ids, key, "left")
+        .crossJoin(F.broadcast(fallback))
+        .select(*rows.columns, F.coalesce("_id", "_unk").alias(name))
+    )
+
+
+def bond_feature_join(pairs: DataFrame, tokens: DataFrame, *, atom: str = "atom_index", nbr: str = "nbr") -> DataFrame:
+    """Add the bond token of each ordered pair, 0 when the two atoms are not bonded."""
+    low, high = F.least("a", "b"), F.greatest("a", "b")
+    known = tokens.select("mol_id", low.alias("_low"), high.alias("_high"), F.col("token").alias("_token"))
+    return (
+        pairs.withColumn("_low", F.least(atom, nbr))
+        .withColumn("_high", F.greatest(atom, nbr))
+        .join(known, ["mol_id", "_low", "_high"], "left")
+        .select(*pairs.columns, F.coalesce("_token", F.lit(0)).alias("bond_token"))
+    )
+
+
+def edge_gather(edges: DataFrame, nodes: DataFrame, value: str, *, end: str, name: str, node: str = "atom_index") -> DataFrame:
+    """Copy a node value onto each edge from the node at its ``end`` column."""
+    picked = nodes.select("mol_id", F.col(node).alias(end), F.col(value).alias(name))
+    return edges.join(picked, ["mol_id", end])
+
+
+def segment_reduce(
+    rows: DataFrame, slots: DataFrame, value: str, *, keys: Sequence[str], how: str
+) -> DataFrame:
+    """Reduce rows into the segments of ``slots`` by sum, mean, max or min; index -1 does not count.
+
+    Empty segments are 0 for sum and mean and null for max and min.
+    """
+    segment = keys[-1]
+    reducer = {"sum": F.sum, "mean": F.avg, "max": F.max, "min": F.min}[how]
+    reduced = rows.where(F.col(segment) != -1).groupBy(*keys).agg(reducer(value).alias("_reduced"))
+    filled = F.coalesce("_reduced", F.lit(0.0)) if how in ("sum", "mean") else F.col("_reduced")
+    return slots.select(*keys).join(reduced, list(keys), "left").select(*keys, filled.alias(value))
+
+
+def prefix_offsets(
+    graphs: DataFrame,
+    *,
+    graph: str = "mol_id",
+    sizes: Sequence[str] = ("n_atoms",),
+    bucket_size: int = 65536,
+) -> DataFrame:
+    """Add ``offset_<size>``: the total size of all graphs before this one in id order.
+
+    Ids are cut into ranges; the ranges are summed first and only their totals, one row per ``bucket_size`` ids, pass
+    through an unpartitioned running sum. The rows themselves are summed range by range.
+    """
+    cut = graphs.withColumn("_range", F.floor(F.col(graph) / bucket_size))
+    totals = cut.groupBy("_range").agg(*[F.sum(s).alias(f"_t_{s}") for s in sizes])
+    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    carried = totals.select("_range", *[F.coalesce(F.sum(f"_t_{s}").over(earlier), F.lit(0)).alias(f"_b_{s}") for s in sizes])
+    inside = Window.partitionBy("_range").orderBy(graph).rowsBetween(Window.unboundedPreceding, -1)
+    return cut.join(carried, "_range").select(
+        *graphs.columns,
+        *[(F.coalesce(F.sum(s).over(inside), F.lit(0)) + F.col(f"_b_{s}")).alias(f"offset_{s}") for s in sizes],
+    )
+
+
+def shifted_index(index: Column, offset: Column) -> Column:
+    """Index in the joined graph; -1 marks no index and stays."""
+    return F.when(index == -1, index).otherwise(index + offset)

@@ -3,5 +3,6 @@
 from shiftframe.plans import (  # noqa: F401
     queries_consensus,
     queries_records,
+    queries_structure,
 )
 from shiftframe.plans.registry import ORACLE, QUERIES  # noqa: F401

@@ -465,7 +465,7 @@ def mix_warnings(v: Views) -> DataFrame:
     """,
 )
 def roster_join(v: Views) -> DataFrame:
-    roster = v.spark.createDataFrame([("cdk", True), ("cascade", False)], "engine string, implemented boolean")
+    roster = v.spark.sql("SELECT * FROM VALUES ('cdk', true), ('cascade', false) AS r(engine, implemented)")
     return summary.roster_join(v.engine_results().select("mol_id", "engine"), roster)
 
 

@@ -158,9 +158,10 @@ class Views:
         )
 
     def reference_sigma(self) -> DataFrame:
-        return self.spark.createDataFrame(
-            [("pbe", "def2-svp", "1H", 31.8), ("pbe", "def2-svp", "13C", 188.1), ("b3lyp", "def2-tzvp", "1H", 31.6)],
-            "functional string, basis string, nucleus string, sigma double",
+        return self.spark.sql(
+            "SELECT functional, basis, nucleus, CAST(sigma AS double) AS sigma FROM VALUES "
+            "('pbe', 'def2-svp', '1H', 31.8), ('pbe', 'def2-svp', '13C', 188.1), ('b3lyp', 'def2-tzvp', '1H', 31.6) "
+            "AS r(functional, basis, nucleus, sigma)"
         )
 
     def shieldings(self) -> DataFrame:
