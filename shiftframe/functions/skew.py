@@ -12,6 +12,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from shiftframe.functions.workspace import materialize
+
 HOT_ROWS = 1_000_000
 
 
@@ -26,6 +28,22 @@ def split_hot(df: DataFrame, keys: Sequence[str], hot_rows: int) -> tuple[DataFr
     return df.join(hot, list(keys), "left_anti"), df.join(hot, list(keys), "left_semi")
 
 
+def split_counted(
+    df: DataFrame, keys: Sequence[str], hot_rows: int, *, broadcast_keys: int = 1_000_000
+) -> tuple[DataFrame, DataFrame | None]:
+    """Like ``split_hot``, but looks first: without hot groups the rows come back as they are, with None.
+
+    The hot keys are written down and counted; they are broadcast only up to ``broadcast_keys`` of them.
+    """
+    hot = materialize(hot_keys(df, keys, hot_rows), "hot-keys")
+    found = hot.count()
+    if not found:
+        return df, None
+    if found <= broadcast_keys:
+        hot = F.broadcast(hot)
+    return df.join(hot, list(keys), "left_anti"), df.join(hot, list(keys), "left_semi")
+
+
 def _running_by_bucket(
     hot: DataFrame, keys: Sequence[str], order: Sequence[Column], sums: Mapping[str, Column], bucket: Column
 ) -> DataFrame:

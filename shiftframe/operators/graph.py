@@ -130,6 +130,45 @@ def bond_distances(atoms: DataFrame, bonds: DataFrame) -> DataFrame:
     return joined.select(*bonds.columns, length.alias("distance"))
 
 
+_ENDS = ["x", "y", "z", "_x", "_y", "_z"]
+
+
+def _pairs_of_small(placed: DataFrame, keys: Sequence[str], atom: str) -> DataFrame:
+    """All ordered pairs, an atom with itself included, of groups whose size is bounded."""
+    others = placed.select(*keys, F.col(atom).alias("nbr"), *[F.col(c).alias(f"_{c}") for c in "xyz"])
+    return placed.join(others, list(keys))
+
+
+def _pairs_by_cell(placed: DataFrame, keys: Sequence[str], atom: str, cutoff: float) -> DataFrame:
+    """Ordered pairs of atoms in the same or in adjoining cells of the cutoff's size, an atom with itself included.
+
+    Every atom is sent to its own cell and to the 13 adjoining cells ahead of it; the pairs are mirrored afterwards.
+    """
+    cell = [F.floor(F.col(c) / cutoff).cast("long") for c in "xyz"]
+    ahead = [
+        (dx, dy, dz) for dx in (-1, 0, 1) for dy in (-1, 0, 1) for dz in (-1, 0, 1) if (dx, dy, dz) >= (0, 0, 0)
+    ]
+    targets = F.array(
+        *[F.struct(*[(c + d).alias(f"_c{n}") for c, d, n in zip(cell, step, "xyz")], F.lit(step == (0, 0, 0)).alias("_own")) for step in ahead]
+    )
+    senders = placed.select(*keys, atom, "x", "y", "z", F.inline(targets))
+    receivers = placed.select(
+        *keys,
+        F.col(atom).alias("nbr"),
+        *[F.col(c).alias(f"_{c}") for c in "xyz"],
+        *[c.alias(f"_c{n}") for c, n in zip(cell, "xyz")],
+    )
+    once = senders.join(receivers, [*keys, "_cx", "_cy", "_cz"]).where(~F.col("_own") | (F.col(atom) < F.col("nbr")))
+    near = once.where(pair_distance([F.col(c) for c in "xyz"], [F.col(f"_{c}") for c in "xyz"]) < cutoff)
+    ends = F.array(
+        F.struct(F.col(atom).alias("_p"), F.col("nbr").alias("_q"), *[F.col(c).alias(c) for c in _ENDS]),
+        F.struct(F.col("nbr").alias("_p"), F.col(atom).alias("_q"), *[F.col(c).alias(o) for c, o in zip(_ENDS[3:] + _ENDS[:3], _ENDS)]),
+    )
+    mirrored = near.select(*keys, F.inline(ends)).withColumnsRenamed({"_p": atom, "_q": "nbr"})
+    own = placed.select(*keys, atom, F.col(atom).alias("nbr"), "x", "y", "z", *[F.col(c).alias(f"_{c}") for c in "xyz"])
+    return mirrored.select(*own.columns).unionByName(own)
+
+
 def radius_neighbors(
     coords: DataFrame,
     *,
@@ -137,40 +176,29 @@ def radius_neighbors(
     k: int,
     keys: Sequence[str] = ("mol_id",),
     atom: str = "atom_index",
+    small_group: int = 64,
 ) -> DataFrame:
     """Ordered pairs (atom, nbr, distance, rank): the nearest ``k`` atoms closer than ``cutoff``, ties by index.
 
-    Space is cut into cells of the cutoff's size. An atom meets only the atoms of its own and the 26 adjoining cells,
-    so a large structure is spread over its cells and far pairs are never formed. An atom without any neighbour gets
-    a pair with itself at distance 0 and rank 0.
+    Groups of up to ``small_group`` atoms are paired directly. Larger ones are cut into cells of the cutoff's size,
+    which spreads them over tasks and never forms far pairs. Every atom is also paired with itself, ranked after its
+    neighbours; that pair stays, at distance 0 and rank 0, only where it comes first.
     """
-    cells = [F.floor(F.col(c) / cutoff).cast("long") for c in "xyz"]
     placed = coords.select(*keys, atom, "x", "y", "z")
-    shifts = F.array(*[F.lit(d) for d in (-1, 0, 1)])
-    centers = placed.select(
-        *keys, F.col(atom).alias("_atom"), *[F.col(c).alias(f"_{c}") for c in "xyz"],
-        *[cell.alias(f"_c{c}") for c, cell in zip("xyz", cells)],
-    )
-    for c in "xyz":
-        rest = [name for name in centers.columns if name != f"_c{c}"]
-        centers = centers.select(*rest, F.explode(F.transform(shifts, lambda d: F.col(f"_c{c}") + d)).alias(f"_c{c}"))
-    others = placed.select(
-        *keys, F.col(atom).alias("nbr"), "x", "y", "z", *[cell.alias(f"_c{c}") for c, cell in zip("xyz", cells)]
-    )
-    distance = pair_distance([F.col(f"_{c}") for c in "xyz"], [F.col(c) for c in "xyz"])
-    close = (
-        centers.join(others, [*keys, "_cx", "_cy", "_cz"])
-        .where(F.col("_atom") != F.col("nbr"))
-        .select(*keys, F.col("_atom").alias(atom), "nbr", distance.alias("distance"))
-        .where(F.col("distance") < cutoff)
-    )
-    nearest = Window.partitionBy(*keys, atom).orderBy("distance", "nbr")
-    kept = close.withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= k)
-    lonely = placed.select(*keys, atom).join(kept.select(*keys, atom), [*keys, atom], "left_anti")
-    loops = lonely.select(
-        *keys, atom, F.col(atom).alias("nbr"), F.lit(0.0).alias("distance"), F.lit(0).alias("rank")
+    sizes = coords.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size"))
+    sized = placed.join(sizes, list(keys))
+    small = sized.where(F.col("_size") <= small_group).drop("_size")
+    large = sized.where(F.col("_size") > small_group).drop("_size")
+    columns = [*keys, atom, "nbr", *_ENDS]
+    pairs = _pairs_of_small(small, keys, atom).select(*columns).unionByName(
+        _pairs_by_cell(large, keys, atom, cutoff).select(*columns)
     )
-    return kept.unionByName(loops)
+    distance = pair_distance([F.col(c) for c in "xyz"], [F.col(f"_{c}") for c in "xyz"])
+    close = pairs.select(*keys, atom, "nbr", distance.alias("distance")).where(F.col("distance") < cutoff)
+    itself = F.col(atom) == F.col("nbr")
+    nearest = Window.partitionBy(*keys, atom).orderBy(itself, "distance", "nbr")
+    ranked = close.withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= max(k, 1))
+    return ranked.where(~itself | (F.col("rank") == 1)).withColumn("rank", F.when(itself, 0).otherwise(F.col("rank")))
 
 
 def bond_key(bond_type: Column, conjugated: Column, in_ring: Column, symbol_a: Column, symbol_b: Column) -> Column:

@@ -4,5 +4,6 @@ from shiftframe.plans import (  # noqa: F401
     queries_consensus,
     queries_records,
     queries_structure,
+    queries_signals,
 )
 from shiftframe.plans.registry import ORACLE, QUERIES  # noqa: F401
