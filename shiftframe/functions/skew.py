@@ -107,3 +107,30 @@ def numbered(
     cold, hot = split_hot(df, keys, hot_rows)
     counted = _running_by_bucket(hot, keys, order, {name: F.lit(1).cast("long")}, bucket)
     return by_window(cold).unionByName(counted.withColumn(name, F.col(name) + (start - 1)))
+
+
+def previous(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    value: str,
+    name: str,
+    *,
+    bucket: Column | None = None,
+    hot_rows: int | None = HOT_ROWS,
+) -> DataFrame:
+    """Add the value of the row before, within the group and in ``order``; null for the first row."""
+
+    def by_window(part: DataFrame) -> DataFrame:
+        return part.withColumn(name, F.lag(value).over(Window.partitionBy(*keys).orderBy(*order)))
+
+    if hot_rows is None or bucket is None:
+        return by_window(df)
+    cold, hot = split_hot(df, keys, hot_rows)
+    cut = hot.withColumn("_bucket", bucket)
+    last = cut.groupBy(*keys, "_bucket").agg(F.max_by(F.struct(value), F.struct(*order)).alias("_last"))
+    carried = last.select(*keys, "_bucket", F.lag("_last").over(Window.partitionBy(*keys).orderBy("_bucket")).alias("_carried"))
+    inside = Window.partitionBy(*keys, "_bucket").orderBy(*order)
+    linked = cut.join(carried, [*keys, "_bucket"]).withColumn("_first", F.row_number().over(inside) == 1)
+    found = F.when(F.col("_first"), F.col(f"_carried.{value}")).otherwise(F.lag(value).over(inside))
+    return by_window(cold).unionByName(linked.select(*df.columns, found.alias(name)))

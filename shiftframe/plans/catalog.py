@@ -5,5 +5,6 @@ from shiftframe.plans import (  # noqa: F401
     queries_records,
     queries_structure,
     queries_signals,
+    queries_files,
 )
 from shiftframe.plans.registry import ORACLE, QUERIES  # noqa: F401
