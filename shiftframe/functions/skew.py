@@ -1,8 +1,8 @@
 """Ordered work inside a group, without giving one task a group of unbounded size.
 
 A group of up to ``hot_rows`` rows is handled by an ordinary window. Larger groups are cut into buckets of their
-order column; every bucket is handled on its own and a small table of bucket totals carries the state over. The
-hot branch is empty for ordinary data, and adaptive execution then removes it at run time.
+order column; every bucket is handled on its own and a small table of bucket totals carries the state over. Whether
+there are such groups is looked up first with one aggregation over the keys, so ordinary data keeps the simple plan.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from shiftframe.functions.workspace import materialize
 
 HOT_ROWS = 1_000_000
+BROADCAST_KEYS = 1_000_000
 
 
 def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int) -> DataFrame:
@@ -22,24 +23,17 @@ def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > hot_rows).select(*keys)
 
 
-def split_hot(df: DataFrame, keys: Sequence[str], hot_rows: int) -> tuple[DataFrame, DataFrame]:
-    """(rows of ordinary groups, rows of hot groups). The broadcast side is bounded by ``hot_keys``."""
-    hot = F.broadcast(hot_keys(df, keys, hot_rows))
-    return df.join(hot, list(keys), "left_anti"), df.join(hot, list(keys), "left_semi")
-
-
-def split_counted(
-    df: DataFrame, keys: Sequence[str], hot_rows: int, *, broadcast_keys: int = 1_000_000
-) -> tuple[DataFrame, DataFrame | None]:
-    """Like ``split_hot``, but looks first: without hot groups the rows come back as they are, with None.
+def split_hot(df: DataFrame, keys: Sequence[str], hot_rows: int) -> tuple[DataFrame, DataFrame | None]:
+    """(rows of ordinary groups, rows of hot groups or None when there are none).
 
-    The hot keys are written down and counted; they are broadcast only up to ``broadcast_keys`` of them.
+    The hot keys are written down and counted; they are broadcast only up to ``BROADCAST_KEYS`` of them. Rows with a
+    null key stay with the ordinary ones.
     """
-    hot = materialize(hot_keys(df, keys, hot_rows), "hot-keys")
-    found = hot.count()
-    if not found:
+    hot = hot_keys(df, keys, hot_rows)
+    if hot.isEmpty():
         return df, None
-    if found <= broadcast_keys:
+    hot = materialize(hot, "hot-keys")
+    if hot.count() <= BROADCAST_KEYS:
         hot = F.broadcast(hot)
     return df.join(hot, list(keys), "left_anti"), df.join(hot, list(keys), "left_semi")
 
@@ -68,22 +62,17 @@ def running(
     order: Sequence[Column],
     sums: Mapping[str, Column],
     *,
-    bucket: Column | None = None,
+    bucket: Column,
     hot_rows: int | None = HOT_ROWS,
 ) -> DataFrame:
     """Add inclusive running sums over each group in ``order``.
 
     ``bucket`` must rise with ``order``. ``hot_rows=None`` states that groups are small by contract.
     """
+    cold, hot = (df, None) if hot_rows is None else split_hot(df, keys, hot_rows)
     window = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-
-    def by_window(part: DataFrame) -> DataFrame:
-        return part.select("*", *[F.sum(value).over(window).alias(name) for name, value in sums.items()])
-
-    if hot_rows is None or bucket is None:
-        return by_window(df)
-    cold, hot = split_hot(df, keys, hot_rows)
-    return by_window(cold).unionByName(_running_by_bucket(hot, keys, order, sums, bucket))
+    summed = cold.select("*", *[F.sum(value).over(window).alias(name) for name, value in sums.items()])
+    return summed if hot is None else summed.unionByName(_running_by_bucket(hot, keys, order, sums, bucket))
 
 
 def numbered(
@@ -93,20 +82,17 @@ def numbered(
     name: str,
     *,
     start: int = 1,
-    bucket: Column | None = None,
+    bucket: Column,
     hot_rows: int | None = HOT_ROWS,
 ) -> DataFrame:
-    """Consecutive numbers from ``start`` within each group, in ``order``."""
+    """Consecutive numbers from ``start`` within each group, in ``order``; ``bucket`` must rise with it."""
+    cold, hot = (df, None) if hot_rows is None else split_hot(df, keys, hot_rows)
     window = Window.partitionBy(*keys).orderBy(*order)
-
-    def by_window(part: DataFrame) -> DataFrame:
-        return part.withColumn(name, (F.row_number().over(window) + (start - 1)).cast("long"))
-
-    if hot_rows is None or bucket is None:
-        return by_window(df)
-    cold, hot = split_hot(df, keys, hot_rows)
-    counted = _running_by_bucket(hot, keys, order, {name: F.lit(1).cast("long")}, bucket)
-    return by_window(cold).unionByName(counted.withColumn(name, F.col(name) + (start - 1)))
+    counted = cold.withColumn(name, (F.row_number().over(window) + (start - 1)).cast("long"))
+    if hot is None:
+        return counted
+    cut = _running_by_bucket(hot, keys, order, {name: F.lit(1).cast("long")}, bucket)
+    return counted.unionByName(cut.withColumn(name, F.col(name) + (start - 1)))
 
 
 def previous(
@@ -116,21 +102,19 @@ def previous(
     value: str,
     name: str,
     *,
-    bucket: Column | None = None,
+    bucket: Column,
     hot_rows: int | None = HOT_ROWS,
 ) -> DataFrame:
     """Add the value of the row before, within the group and in ``order``; null for the first row."""
-
-    def by_window(part: DataFrame) -> DataFrame:
-        return part.withColumn(name, F.lag(value).over(Window.partitionBy(*keys).orderBy(*order)))
-
-    if hot_rows is None or bucket is None:
-        return by_window(df)
-    cold, hot = split_hot(df, keys, hot_rows)
+    cold, hot = (df, None) if hot_rows is None else split_hot(df, keys, hot_rows)
+    linked = cold.withColumn(name, F.lag(value).over(Window.partitionBy(*keys).orderBy(*order)))
+    if hot is None:
+        return linked
     cut = hot.withColumn("_bucket", bucket)
     last = cut.groupBy(*keys, "_bucket").agg(F.max_by(F.struct(value), F.struct(*order)).alias("_last"))
-    carried = last.select(*keys, "_bucket", F.lag("_last").over(Window.partitionBy(*keys).orderBy("_bucket")).alias("_carried"))
+    by_bucket = Window.partitionBy(*keys).orderBy("_bucket")
+    carried = last.select(*keys, "_bucket", F.lag("_last").over(by_bucket).alias("_carried"))
     inside = Window.partitionBy(*keys, "_bucket").orderBy(*order)
-    linked = cut.join(carried, [*keys, "_bucket"]).withColumn("_first", F.row_number().over(inside) == 1)
+    joined = cut.join(carried, [*keys, "_bucket"]).withColumn("_first", F.row_number().over(inside) == 1)
     found = F.when(F.col("_first"), F.col(f"_carried.{value}")).otherwise(F.lag(value).over(inside))
-    return by_window(cold).unionByName(linked.select(*df.columns, found.alias(name)))
+    return linked.unionByName(joined.select(*df.columns, found.alias(name)))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shiftframe import constants as C
-from shiftframe.functions.skew import HOT_ROWS, running, split_counted
+from shiftframe.functions.skew import HOT_ROWS, running, split_hot
 from shiftframe.operators.signal_walk import walk_large
 
 # Optional columns of a shift row and their types.
@@ -109,7 +109,7 @@ def signal_group(
     tolerance = C.GROUP_TOLERANCE_1H_PPM if nucleus == "1H" else float("inf")
     keys = [*scope, "base_key"]
     rows = _complete(shifts, value, scope, mode)
-    small, large = split_counted(rows, keys, fold_rows)
+    small, large = split_hot(rows, keys, fold_rows)
     members = _walk_small(small, keys, tolerance)
     if large is not None:
         members = members.unionByName(walk_large(large, keys, tolerance).select(*members.columns))

@@ -139,12 +139,12 @@ def log_scan(v: Views) -> DataFrame:
 
 @query(
     "log_sections",
-    """
-    SELECT file_id, CAST(regexp_extract(line, 'Nucleus\\s+(\\d+)', 1) AS INTEGER) AS atom_index,
-           CAST(regexp_extract(nxt, '(-?\\d+\\.\\d+)', 1) AS DOUBLE) AS sigma
+    r"""
+    SELECT file_id, CAST(regexp_extract(line, 'Nucleus\s+(\d+)', 1) AS INTEGER) AS atom_index,
+           CAST(regexp_extract(nxt, '(-?\d+\.\d+)', 1) AS DOUBLE) AS sigma
     FROM (SELECT *, lead(line) OVER (PARTITION BY file_id ORDER BY line_no) AS nxt FROM log_lines) l
     WHERE line LIKE ' Nucleus%' AND nxt LIKE '%Isotropic%'
-    """.replace("\\\\", "\\"),
+    """,
 )
 def log_sections(v: Views) -> DataFrame:
     return logs.log_sections(v.log_lines())
@@ -277,7 +277,7 @@ def apply_engine(v: Views) -> DataFrame:
 )
 def debounce_stream(v: Views) -> DataFrame:
     """Sessions still open under the watermark at the end of the stream are not emitted."""
-    path = f"{v.folder}/events.parquet"
-    stream = v.spark.readStream.schema(v.table("events").schema).parquet(path).drop("props")
+    source = v.spark.readStream.schema(v.table("events").schema).option("pathGlobFilter", "events.parquet")
+    stream = source.parquet(v.folder).drop("props")
     kept = run_to_table(debounced(stream, delay_ms=3_600_000, watermark="2 hours"), "debounced")
     return kept.select("event_id", "user_id", "event_type", F.round("value", 6).alias("value"))

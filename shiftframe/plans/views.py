@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -74,6 +76,7 @@ class Views:
             (F.col("base") + offset).alias("shift_ppm"),
         )
 
+    @functools.cache  # noqa: B019
     def atoms(self) -> DataFrame:
         li = self.table("lineitem").select(
             F.col("l_orderkey").alias("mol_id"),
@@ -121,6 +124,7 @@ class Views:
             F.col("is_aromatic").alias("in_ring"),
         )
 
+    @functools.cache  # noqa: B019
     def protons(self) -> DataFrame:
         li = self.table("lineitem").select(
             F.col("l_orderkey").alias("mol_id"),
@@ -210,6 +214,7 @@ class Views:
             (F.col("value") % F.lit(9.0)).alias("ppm"),
         )
 
+    @functools.cache  # noqa: B019
     def signals_1h(self) -> DataFrame:
         li = self.table("lineitem").select(
             F.col("l_orderkey").alias("mol_id"),
