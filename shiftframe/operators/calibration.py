@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from shiftframe import constants as C
 from shiftframe.functions.text import stripped
+from shiftframe.functions.workspace import materialize
 
 
 def method_key(name: Column) -> Column:
@@ -45,11 +46,13 @@ def calibrate_complete(
 ) -> tuple[DataFrame, DataFrame]:
     """(rows of complete molecules with their shielding, per molecule: status and message).
 
-    One target atom without a shielding makes its molecule an error that names the lowest such atom.
+    One target atom without a shielding makes its molecule an error that names the lowest such atom. The joined rows
+    serve both results and are written down once.
     """
-    rows = targets.join(
+    joined = targets.join(
         shieldings.where(F.col(sigma).isNotNull()).select(mol, atom, F.col(sigma).alias("_sigma")), [mol, atom], "left"
     ).withColumnRenamed("_sigma", sigma)
+    rows = materialize(joined, "targets")
     judged = rows.groupBy(mol).agg(F.min(F.when(F.col(sigma).isNull(), F.col(atom))).alias("first_missing"))
     status = judged.select(
         mol,

@@ -249,17 +249,16 @@ def edge_gather(edges: DataFrame, nodes: DataFrame, value: str, *, end: str, nam
 
 
 def segment_reduce(
-    rows: DataFrame, slots: DataFrame, value: str, *, keys: Sequence[str], how: str
+    rows: DataFrame, slots: DataFrame, value: str, *, keys: Sequence[str], how: Sequence[str] = ("sum",)
 ) -> DataFrame:
-    """Reduce rows into the segments of ``slots`` by sum, mean, max or min; index -1 does not count.
+    """Reduce rows into the segments of ``slots``, one column per reducer (sum, mean, max, min); index -1 does not count.
 
     Empty segments are 0 for sum and mean and null for max and min.
     """
-    segment = keys[-1]
-    reducer = {"sum": F.sum, "mean": F.avg, "max": F.max, "min": F.min}[how]
-    reduced = rows.where(F.col(segment) != -1).groupBy(*keys).agg(reducer(value).alias("_reduced"))
-    filled = F.coalesce("_reduced", F.lit(0.0)) if how in ("sum", "mean") else F.col("_reduced")
-    return slots.select(*keys).join(reduced, list(keys), "left").select(*keys, filled.alias(value))
+    reducers = {"sum": F.sum, "mean": F.avg, "max": F.max, "min": F.min}
+    reduced = rows.where(F.col(keys[-1]) != -1).groupBy(*keys).agg(*[reducers[h](value).alias(h) for h in how])
+    filled = [F.coalesce(h, F.lit(0.0)).alias(h) if h in ("sum", "mean") else F.col(h) for h in how]
+    return slots.select(*keys).join(reduced, list(keys), "left").select(*keys, *filled)
 
 
 def prefix_offsets(

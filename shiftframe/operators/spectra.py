@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shiftframe import constants as C
+from shiftframe.functions.skew import split_hot
 
 CHUNK_LINES = 2048
 
@@ -90,42 +91,46 @@ def spectrum_synthesis(
 ) -> DataFrame:
     """Points (keys, i, x, y): the sum of Lorentzian lines (shift, intensity, width), highest point scaled to 1.
 
-    Equal lines are added up first. The lines of a spectrum travel as arrays of about ``chunk_lines``; the grid is made
-    where they land and is never joined with the lines. A spectrum of one chunk is finished there, without another
-    shuffle. Only spectra with more lines add up their chunks point by point.
+    The lines of a spectrum travel as arrays of at most about ``chunk_lines``; the grid is made where they land and is
+    never joined with the lines. A spectrum of one chunk is finished there, with no further shuffle. Only spectra with
+    more lines are cut: equal lines are added up, the rest is spread over chunks, and the chunks add up point by point.
     """
     n = points or C.SPECTRUM_POINTS.get(nucleus, C.OTHER_SPECTRUM_POINTS)
     keys = list(keys)
-    merged = lines.groupBy(*keys, "shift", "width").agg(F.sum("intensity").alias("intensity"))
-    sizes = merged.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / chunk_lines).alias("_chunks"))
-    placed = domains.select(*keys, "low", "high").join(sizes, keys, "left")
-    chunked = merged.join(sizes, keys).withColumn("_chunk", F.pmod(F.xxhash64("shift", "width"), F.col("_chunks")))
-    packed = chunked.groupBy(*keys, "_chunk").agg(
-        F.collect_list(F.struct("shift", "intensity", "width")).alias("_lines")
-    )
-    rows = placed.join(packed, keys, "left").select(
-        *keys,
-        "low",
-        "high",
-        F.coalesce("_chunks", F.lit(1)).alias("_chunks"),
-        *[
-            F.coalesce(F.col(f"_lines.{field}"), F.array().cast("array<double>")).alias(name)
-            for field, name in (("shift", "centers"), ("intensity", "heights"), ("width", "widths"))
-        ],
-    )
     kinds = {f.name: f.dataType for f in domains.schema.fields}
     out = T.StructType(
         [T.StructField(k, kinds[k]) for k in keys]
         + [T.StructField("i", T.IntegerType()), T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())]
     )
-    single = rows.where("_chunks = 1").drop("_chunks").mapInPandas(_sampler(keys, n, True), out)
-    parts = rows.where("_chunks > 1").drop("_chunks").mapInPandas(_sampler(keys, n, False), out)
+    spans = domains.select(*keys, "low", "high")
+    line = F.collect_list(F.struct("shift", "intensity", "width")).alias("_lines")
+
+    def arrays(rows: DataFrame) -> DataFrame:
+        named = (("shift", "centers"), ("intensity", "heights"), ("width", "widths"))
+        empty = F.array().cast("array<double>")
+        return rows.select(
+            *keys, "low", "high", *[F.coalesce(F.col(f"_lines.{field}"), empty).alias(name) for field, name in named]
+        )
+
+    few, many = split_hot(lines.select(*keys, "shift", "intensity", "width"), keys, chunk_lines)
+    # The number of partitions is fixed: the rows are small, but each stands for many points to compute.
+    partitions = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    packed = few.repartition(partitions, *keys).groupBy(*keys).agg(line)
+    if many is None:
+        return arrays(spans.join(packed, keys, "left")).mapInPandas(_sampler(keys, n, True), out)
+
+    crowded = many.select(*keys).distinct()
+    single = spans.join(crowded, keys, "left_anti").join(packed, keys, "left")
+    merged = many.groupBy(*keys, "shift", "width").agg(F.sum("intensity").alias("intensity"))
+    sizes = merged.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / chunk_lines).alias("_chunks"))
+    chunked = merged.join(sizes, keys).withColumn("_chunk", F.pmod(F.xxhash64("shift", "width"), F.col("_chunks")))
+    parts = arrays(spans.join(chunked.groupBy(*keys, "_chunk").agg(line), keys)).mapInPandas(_sampler(keys, n, False), out)
     summed = parts.groupBy(*keys, "i").agg(F.first("x").alias("x"), F.sum("y").alias("y"))
     tops = summed.groupBy(*keys).agg(F.max("y").alias("_top"))
     scaled = summed.join(tops, keys).select(
         *keys, "i", "x", F.when(F.col("_top") > 0, F.col("y") / F.col("_top")).otherwise(F.col("y")).alias("y")
     )
-    return single.unionByName(scaled)
+    return arrays(single).mapInPandas(_sampler(keys, n, True), out).unionByName(scaled)
 
 
 def spectrum_meta(domains: DataFrame, *, nucleus: str, keys: Sequence[str] = ("spec_id",), title: Column | None = None) -> DataFrame:
@@ -144,10 +149,10 @@ def spectrum_meta(domains: DataFrame, *, nucleus: str, keys: Sequence[str] = ("s
 
 
 def rbf_expand(distance: Column, *, size: int = C.RBF_SIZE) -> Column:
-    """Radial basis values of a distance, as an array."""
-    return F.transform(
-        F.sequence(F.lit(0), F.lit(size - 1)),
-        lambda k: F.exp(
-            -((distance - (k * C.RBF_DELTA - C.RBF_MU)) * (distance - (k * C.RBF_DELTA - C.RBF_MU))) / C.RBF_DELTA
-        ),
-    )
+    """Radial basis values of a distance, as an array. Written out per value, which stays inside generated code."""
+
+    def value(k: int) -> Column:
+        away = distance - F.lit(k * C.RBF_DELTA - C.RBF_MU)
+        return F.exp(-(away * away) / C.RBF_DELTA)
+
+    return F.array(*[value(k) for k in range(size)])

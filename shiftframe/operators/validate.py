@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shiftframe import constants as C
+from shiftframe.functions.once import once
 from shiftframe.functions.text import reference_id, string_gate, stripped
 from shiftframe.schemas import REQUEST
 
@@ -104,7 +105,7 @@ def request_gate(requests: DataFrame, *, payload: str = "payload") -> tuple[Data
     """(accepted requests with parsed fields and defaults, quarantined requests with their reasons)."""
     text = F.col(payload)
     sent = F.json_object_keys(text)
-    parsed = requests.withColumn("_r", F.from_json(text, REQUEST)).withColumn("_sent", sent)
+    parsed = once(requests, _r=F.from_json(text, REQUEST), _sent=sent)
 
     def given(key: str) -> Column:
         return F.array_contains("_sent", key)
@@ -120,13 +121,15 @@ def request_gate(requests: DataFrame, *, payload: str = "payload") -> tuple[Data
     nucleus = filled("nucleus", F.lit("1H"))
     strategy = filled("conformer_strategy", F.lit("fast"))
     weights = field("weights")
-    names = list(C.DEFAULT_WEIGHTS)
+    known = F.array(*[F.lit(name) for name in C.DEFAULT_WEIGHTS])
     unknown = F.array_except("_sent", F.array(*[F.lit(k) for k in C.REQUEST_KEYS]))
     weights_bad = (given("weights") & weights.isNull() & F.get_json_object(text, "$.weights").isNotNull()) | ~F.coalesce(
-        F.forall(F.map_keys(weights), lambda k: k.isin(*names))
-        & F.forall(F.map_values(weights), lambda w: F.coalesce(w >= 0, F.lit(False))),
+        (F.size(F.array_except(F.map_keys(weights), known)) == 0)
+        & (F.size(F.array_compact(F.map_values(weights))) == F.size(weights))
+        & F.coalesce(F.array_min(F.map_values(weights)) >= 0, F.lit(True)),
         F.lit(True),
     )
+
     def fails(rule: Column, reason: Column | str) -> Column:
         return F.when(F.coalesce(rule, F.lit(True)), reason)
 
@@ -134,15 +137,15 @@ def request_gate(requests: DataFrame, *, payload: str = "payload") -> tuple[Data
         F.array(
             F.when(F.size(unknown) > 0, F.concat(F.lit("unknown: "), F.array_join(F.array_sort(unknown), ","))),
             fails(~F.coalesce(F.length(field("smiles")), F.lit(0)).between(1, C.MAX_STRING_LENGTH), "smiles"),
-            fails(~F.size(engines).between(1, 3) | ~F.forall(engines, lambda e: e.isin(*names)), "engines"),
+            fails(~F.size(engines).between(1, 3) | (F.size(F.array_except(engines, known)) > 0), "engines"),
             fails(~mode.isin(*C.MODES), "mode"),
             fails(~nucleus.isin(*C.NUCLEI), "nucleus"),
             fails(~strategy.isin(*C.CONFORMER_STRATEGIES), "conformer_strategy"),
             F.when(weights_bad, "weights"),
         )
     )
-    judged = parsed.withColumn(
-        "_reasons", F.when(F.col("_sent").isNull(), F.array(F.lit("malformed"))).otherwise(reasons)
+    judged = once(
+        parsed, _reasons=F.when(F.col("_sent").isNull(), F.array(F.lit("malformed"))).otherwise(reasons)
     )
     own = requests.columns
     accepted = judged.where(F.size("_reasons") == 0).select(

@@ -51,7 +51,7 @@ def read_results(v: Views) -> DataFrame:
         )
 
     engines = F.create_map(*[part for e in ("cdk", "cascade", "orca") for part in (F.lit(e), result(e))])
-    documents = v.table("lineitem").select(
+    documents = v.spread("lineitem").select(
         mol.alias("mol_id"), F.col("l_partkey").cast("string").alias("canonical_smiles"), engines.alias("engines")
     )
     path = new_path(v.spark, "responses")
@@ -174,7 +174,7 @@ def xyz_scan(v: Views) -> DataFrame:
     good = F.array_join(rows, "\n")
     body = F.when(kind == 1, "C 1.0 2.0\nH").when(kind == 2, F.concat_ws("\n", good, line("H", 0, F.lit("1.0.0")))).otherwise(good)
     text = F.when(kind == 0, "\n 2\n energy \n").otherwise(F.concat_ws("\n", F.lit("\n 2"), F.lit("energy"), body, F.lit("\n")))
-    files = v.table("lineitem").select(F.col("l_orderkey").alias("file_id"), F.col("l_partkey").alias("part"), text.alias("content"))
+    files = v.spread("lineitem").select(F.col("l_orderkey").alias("file_id"), F.col("l_partkey").alias("part"), text.alias("content"))
     atoms = coordinates.parse_coordinates(files)
     return atoms.withColumn("x", F.round("x", 6))
 

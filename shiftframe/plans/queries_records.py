@@ -210,7 +210,7 @@ def _requests(v: Views) -> DataFrame:
     for i, (case, _) in enumerate(_REQUEST_CASES):
         payload = F.when(which == i, case).otherwise(payload)
     label = F.concat(F.lit('"smiles": "'), F.repeat(F.lit("C"), (F.col("o_custkey") % 3).cast("int")))
-    return v.table("orders").select(
+    return v.spread("orders").select(
         F.col("o_orderkey").alias("request_id"), F.replace(payload, F.lit('"smiles": "'), label).alias("payload")
     )
 

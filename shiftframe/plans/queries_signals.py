@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shiftframe.functions import text
+from shiftframe.functions.workspace import materialize
 from shiftframe.operators import graph, match, signals, spectra
 from shiftframe.plans.registry import query
 from shiftframe.plans.views import Views
@@ -140,7 +141,7 @@ def splitting_text(v: Views) -> DataFrame:
     """,
 )
 def assignment_text(v: Views) -> DataFrame:
-    members = _members(v)
+    members = materialize(_members(v), "members")
     stats = signals.signal_stats(members, nucleus="1H", with_atoms=False)
     return signals.assignment_text(stats, members, nucleus="1H").select("mol_id", "signal_id", "assignment_text")
 
@@ -281,7 +282,7 @@ def spectrum_meta(v: Views) -> DataFrame:
     """,
 )
 def rbf_expand(v: Views) -> DataFrame:
-    atoms = v.atoms()
+    atoms = v.stored_atoms()
     expanded = graph.bond_distances(atoms, v.bonds(atoms)).select(
         "mol_id", "bond_idx", spectra.rbf_expand(F.col("distance")).alias("rbf")
     )

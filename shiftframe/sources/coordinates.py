@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shiftframe import constants as C
+from shiftframe.functions.once import once
 from shiftframe.functions.text import stripped
 from shiftframe.operators.validate import size_gate
 
@@ -25,25 +26,32 @@ def parse_coordinates(files: DataFrame, *, content: str = "content") -> DataFram
     """
     keep = [c for c in files.columns if c != content]
     lines = F.split(stripped(F.col(content)), r"\r\n|\r|\n")
-    body = F.slice(lines, 3, F.greatest(F.size(lines) - 2, F.lit(0)))
-    tokens = F.filter(F.transform(body, lambda line: F.split(stripped(line), r"\s+")), lambda t: F.size(t) >= 4)
+    cut = once(files.select(*keep, lines.alias("_lines")), _n_lines=F.size("_lines"))
+    rows = F.filter(
+        F.transform(
+            F.slice("_lines", 3, F.greatest(F.col("_n_lines") - 2, F.lit(0))),
+            lambda line: F.split(stripped(line), r"\s+"),
+        ),
+        lambda t: F.size(t) >= 4,
+    )
     atoms = F.transform(
-        tokens,
+        rows,
         lambda t: F.struct(
             F.get(t, F.lit(0)).alias("symbol"),
             *[F.get(t, F.lit(i)).try_cast("double").alias(name) for i, name in ((1, "x"), (2, "y"), (3, "z"))],
         ),
     )
-    broken = F.exists("_atoms", lambda a: a["x"].isNull() | a["y"].isNull() | a["z"].isNull())
+    parsed = once(cut.select(*keep, "_n_lines", F.when(F.col("_n_lines") >= 3, atoms).alias("_found")), _atoms=F.col("_found"))
+    numbers = F.flatten(F.array(F.col("_atoms.x"), F.col("_atoms.y"), F.col("_atoms.z")))
     status = (
-        F.when(F.col("_n_lines") < 3, "malformed")
+        F.when(F.col("_atoms").isNull(), "malformed")
         .when(F.size("_atoms") == 0, "no coordinates")
-        .when(broken, "bad number")
+        .when(F.size(F.array_compact(numbers)) < F.size("_atoms") * 3, "bad number")
         .otherwise("ok")
     )
-    parsed = files.select(*keep, F.size(lines).alias("_n_lines"), atoms.alias("_atoms")).withColumn("status", status)
+    judged = once(parsed, status=status)
     shown = F.when(F.col("status") == "ok", F.col("_atoms"))
-    opened = parsed.select(*keep, "status", F.posexplode_outer(shown).alias("atom_index", "_atom"))
+    opened = judged.select(*keep, "status", F.posexplode_outer(shown).alias("atom_index", "_atom"))
     return opened.select(*keep, "status", "atom_index", "_atom.symbol", "_atom.x", "_atom.y", "_atom.z")
 
 

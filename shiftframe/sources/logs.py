@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shiftframe import constants as C
+from shiftframe.functions.once import once
 from shiftframe.functions.skew import HOT_ROWS, previous
 
 FILE_ORDER = ("block_start", "row_id")
@@ -64,35 +65,43 @@ def log_sections(
     """
     bucket = F.floor(F.col(order[0]) / 65536) if bucket is None else bucket
     line = F.col("line")
-    place = F.struct(*order)
-    header = F.regexp_extract(line, C.LOG_HEADER_PATTERN, 1)
-    value = F.regexp_extract(line, C.LOG_VALUE_PATTERN, 1)
-    parsed = lines.select(
-        file,
-        *order,
-        F.when(header != "", header).cast("int").alias("_atom"),
-        F.when(value != "", value).cast("double").alias("_value"),
-    ).where(F.col("_atom").isNotNull() | F.col("_value").isNotNull())
-    linked = previous(parsed, [file], order, "_atom", "_header", bucket=bucket, hot_rows=hot_rows)
-    taken = linked.where(F.col("_value").isNotNull() & F.col("_header").isNotNull())
-    sections = taken.groupBy(file, F.col("_header").alias("atom_index")).agg(F.max_by("_value", place).alias("sigma"))
-
     upper = F.upper(line)
     title = F.contains(upper, F.lit(C.LOG_TABLE_TITLES[0])) | F.contains(upper, F.lit(C.LOG_TABLE_TITLES[1]))
-    row = F.regexp_extract(line, C.LOG_TABLE_ROW_PATTERN, 1)
-    titles = lines.where(title).groupBy(file).agg(F.min(place).alias("_title"))
-    rows = lines.where(line.rlike(C.LOG_TABLE_ROW_PATTERN)).select(
-        file,
-        place.alias("_place"),
-        row.cast("int").alias("atom_index"),
-        F.regexp_extract(line, C.LOG_TABLE_ROW_PATTERN, 3).cast("double").alias("sigma"),
+    # Each line is one of: header (atom), value (number), title, table row (atom and number).
+    kind = (
+        F.when(line.rlike(C.LOG_HEADER_PATTERN), "header")
+        .when(line.rlike(C.LOG_VALUE_PATTERN), "value")
+        .when(title, "title")
+        .when(line.rlike(C.LOG_TABLE_ROW_PATTERN), "row")
+    )
+    known = once(lines.select(file, *order, "line"), kind=kind).where(F.col("kind").isNotNull())
+    atom = F.when(F.col("kind") == "header", F.regexp_extract(line, C.LOG_HEADER_PATTERN, 1)).when(
+        F.col("kind") == "row", F.regexp_extract(line, C.LOG_TABLE_ROW_PATTERN, 1)
+    )
+    number = F.when(F.col("kind") == "value", F.regexp_extract(line, C.LOG_VALUE_PATTERN, 1)).when(
+        F.col("kind") == "row", F.regexp_extract(line, C.LOG_TABLE_ROW_PATTERN, 3)
     )
+    parsed = known.select(
+        file, *order, "kind", atom.cast("int").alias("_atom"), number.cast("double").alias("_value")
+    )
+    # A header hands its atom to the next header or value line; titles and table rows do not come in between.
+    walked = parsed.where(F.col("kind").isin("header", "value")).withColumn(
+        "_opens", F.when(F.col("kind") == "header", F.col("_atom"))
+    )
+    linked = previous(walked, [file], order, "_opens", "_header", bucket=bucket, hot_rows=hot_rows)
+    taken = linked.where((F.col("kind") == "value") & F.col("_header").isNotNull())
+    place = F.struct(*order)
+    sections = taken.groupBy(file, F.col("_header").alias("atom_index")).agg(F.max_by("_value", place).alias("sigma"))
+
+    titles = parsed.where("kind = 'title'").groupBy(file).agg(F.min(place).alias("_title"))
+    rows = parsed.where("kind = 'row'").select(file, place.alias("_place"), F.col("_atom").alias("atom_index"), "_value")
+    after = rows.join(titles, file).where(F.col("_place") > F.col("_title"))
+    if after.isEmpty():
+        return sections
     table = (
-        rows.join(titles, file)
-        .where(F.col("_place") > F.col("_title"))
-        .join(taken.select(file).distinct(), file, "left_anti")
+        after.join(taken.select(file).distinct(), file, "left_anti")
         .groupBy(file, "atom_index")
-        .agg(F.max_by("sigma", "_place").alias("sigma"))
+        .agg(F.max_by("_value", "_place").alias("sigma"))
     )
     return sections.unionByName(table)
 
