@@ -68,6 +68,7 @@ def walk_large(rows: DataFrame, keys: Sequence[str], tolerance: float, *, block_
     keys = list(keys)
     columns = [c for c in rows.columns if c not in keys]
     walk = _placed(rows, keys, block_rows)
+    names = walk.columns
     kinds = {f.name: f.dataType for f in walk.schema.fields}
     key_fields = [T.StructField(k, kinds[k]) for k in keys]
     affine_type = T.StructType([*key_fields, T.StructField("_block", T.LongType()), T.StructField("_a", T.DoubleType()), T.StructField("_b", T.DoubleType())])
@@ -109,7 +110,7 @@ def walk_large(rows: DataFrame, keys: Sequence[str], tolerance: float, *, block_
     def members_of(block):
         start = int(block["_start"].iloc[0])
         rest, n, _, centers = scan(block, start, int(block["_n_in"].iloc[0]), float(block["_center_in"].iloc[0]))
-        return rest[[f.name for f in walk.schema.fields]].assign(
+        return rest[names].assign(
             signal_no=rest["_no"].astype("int32"), n_after=n, center_after=centers
         )
 

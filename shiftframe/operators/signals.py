@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from shiftframe import constants as C
 from shiftframe.functions.skew import HOT_ROWS, running, split_hot
-from shiftframe.operators.signal_walk import walk_large
+from shiftframe.operators.signal_walk import BLOCK_ROWS, walk_large
 
 # Optional columns of a shift row and their types.
 OPTIONAL = {
@@ -99,6 +99,7 @@ def signal_group(
     scope: Sequence[str] = ("mol_id",),
     value: str = "shift",
     fold_rows: int = FOLD_ROWS,
+    block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Member rows of every signal: key, number, id, place in the walk and running centre.
 
@@ -112,7 +113,7 @@ def signal_group(
     small, large = split_hot(rows, keys, fold_rows)
     members = _walk_small(small, keys, tolerance)
     if large is not None:
-        members = members.unionByName(walk_large(large, keys, tolerance).select(*members.columns))
+        members = members.unionByName(walk_large(large, keys, tolerance, block_rows=block_rows).select(*members.columns))
     return members.withColumn("signal_id", F.concat_ws(":", "base_key", F.col("signal_no").cast("string")))
 
 

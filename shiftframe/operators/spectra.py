@@ -149,10 +149,10 @@ def spectrum_meta(domains: DataFrame, *, nucleus: str, keys: Sequence[str] = ("s
 
 
 def rbf_expand(distance: Column, *, size: int = C.RBF_SIZE) -> Column:
-    """Radial basis values of a distance, as an array. Written out per value, which stays inside generated code."""
+    """Radial basis values of a distance, as an array."""
 
-    def value(k: int) -> Column:
-        away = distance - F.lit(k * C.RBF_DELTA - C.RBF_MU)
+    def value(k: Column) -> Column:
+        away = distance - (k * C.RBF_DELTA - C.RBF_MU)
         return F.exp(-(away * away) / C.RBF_DELTA)
 
-    return F.array(*[value(k) for k in range(size)])
+    return F.transform(F.sequence(F.lit(0), F.lit(size - 1)), value)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shiftframe.functions import text
+from shiftframe.functions.once import once
 from shiftframe.functions.workspace import materialize
 from shiftframe.operators import graph, match, signals, spectra
 from shiftframe.plans.registry import query
@@ -283,9 +284,7 @@ def spectrum_meta(v: Views) -> DataFrame:
 )
 def rbf_expand(v: Views) -> DataFrame:
     atoms = v.stored_atoms()
-    expanded = graph.bond_distances(atoms, v.bonds(atoms)).select(
-        "mol_id", "bond_idx", spectra.rbf_expand(F.col("distance")).alias("rbf")
-    )
+    expanded = once(graph.bond_distances(atoms, v.bonds(atoms)), rbf=spectra.rbf_expand(F.col("distance")))
     total = F.aggregate("rbf", F.lit(0.0), lambda a, b: a + b)
     return expanded.select(
         "mol_id",

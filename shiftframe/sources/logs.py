@@ -28,11 +28,6 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def list_files(spark: SparkSession, path: str) -> DataFrame:
-    """Paths only; the content column is pruned from the scan."""
-    return spark.read.format("binaryFile").load(path).select(F.col("_metadata.file_path").alias("file_id"))
-
-
 def log_status(lines: DataFrame, *, keys: Sequence[str] = ("file_id",), marker: str = C.LOG_FINISHED_MARKER) -> DataFrame:
     """Per log: number of lines and whether the exit marker occurs. Reduced on the map side."""
     return lines.groupBy(*keys).agg(
@@ -42,12 +37,8 @@ def log_status(lines: DataFrame, *, keys: Sequence[str] = ("file_id",), marker:
 
 
 def scan_logs(spark: SparkSession, path: str) -> DataFrame:
-    """Status of every file under ``path``, empty files included."""
-    return list_files(spark, path).join(log_status(read_lines(spark, path)), "file_id", "left").select(
-        "file_id",
-        F.coalesce("n_lines", F.lit(0).cast("long")).alias("n_lines"),
-        F.coalesce("finished", F.lit(False)).alias("finished"),
-    )
+    """Status of every log under ``path``. Spark's file sources pass over files of zero bytes, so those have no row."""
+    return log_status(read_lines(spark, path))
 
 
 def log_sections(
