@@ -219,15 +219,11 @@ def keyed_bonds(atoms: DataFrame, bonds: DataFrame) -> DataFrame:
 def vocab_encode(rows: DataFrame, vocabulary: DataFrame, key: str, *, name: str = "token", unknown: str = "unk") -> DataFrame:
     """Add the class id of ``key``; keys outside the vocabulary get the id of ``unk``.
 
-    ``vocabulary`` has (key, class_id). The id of ``unk`` is a single row, joined on a constant.
+    ``vocabulary`` has (key, class_id). The id of ``unk`` is a scalar subquery.
     """
     ids = vocabulary.select(F.col("key").alias(key), F.col("class_id").alias("_id"))
-    fallback = vocabulary.where(F.col("key") == unknown).agg(F.min("class_id").alias("_unk"))
-    return (
-        rows.join(ids, key, "left")
-        .crossJoin(F.broadcast(fallback))
-        .select(*rows.columns, F.coalesce("_id", "_unk").alias(name))
-    )
+    fallback = vocabulary.where(F.col("key") == unknown).agg(F.min("class_id")).scalar()
+    return rows.join(ids, key, "left").select(*rows.columns, F.coalesce(F.col("_id"), fallback).alias(name))
 
 
 def bond_feature_join(pairs: DataFrame, tokens: DataFrame, *, atom: str = "atom_index", nbr: str = "nbr") -> DataFrame:

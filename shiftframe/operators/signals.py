@@ -179,7 +179,7 @@ def sort_signals(signals: DataFrame, *, center: str = "center", ties: Sequence[s
 # --- texts and lines --------------------------------------------------------------------------------------------
 
 
-def islands(rows: DataFrame, *, keys: Sequence[str], value: str, width: int = 4096) -> DataFrame:
+def islands(rows: DataFrame, *, keys: Sequence[str], value: str, width: int = 65536) -> DataFrame:
     """Runs of consecutive integers per key: (keys, first, last).
 
     Runs are found inside ranges of ``width`` integers, which bounds every window because the values are distinct.
