@@ -130,6 +130,7 @@ def bond_distances(atoms: DataFrame, bonds: DataFrame) -> DataFrame:
     return joined.select(*bonds.columns, length.alias("distance"))
 
 
+CELL_LEVELS = 8
 _ENDS = ["x", "y", "z", "_x", "_y", "_z"]
 
 
@@ -139,34 +140,51 @@ def _pairs_of_small(placed: DataFrame, keys: Sequence[str], atom: str) -> DataFr
     return placed.join(others, list(keys))
 
 
-def _pairs_by_cell(placed: DataFrame, keys: Sequence[str], atom: str, cutoff: float) -> DataFrame:
-    """Ordered pairs of atoms in the same or in adjoining cells of the cutoff's size, an atom with itself included.
+def _pairs_by_cell(placed: DataFrame, keys: Sequence[str], atom: str, cutoff: float, k: int) -> DataFrame:
+    """Ordered pairs that can be among the ``k`` nearest, an atom with itself included, by cells of fitting size.
 
-    Every atom is sent to its own cell and to the 13 adjoining cells ahead of it; the pairs are mirrored afterwards.
+    Of atoms at one place only the first ``k + 1`` can be a neighbour of anything, because ties go by index. Space is
+    cut into cells of the cutoff's size and of successive halves. An atom uses the finest cell around it that holds
+    ``k`` others: those lie within the cell's diagonal, so farther ones need not be looked at, and two cells in every
+    direction reach that far. Where no cell is full it looks in the adjoining cells of the cutoff's size.
     """
-    cell = [F.floor(F.col(c) / cutoff).cast("long") for c in "xyz"]
-    ahead = [
-        (dx, dy, dz) for dx in (-1, 0, 1) for dy in (-1, 0, 1) for dz in (-1, 0, 1) if (dx, dy, dz) >= (0, 0, 0)
-    ]
-    targets = F.array(
-        *[F.struct(*[(c + d).alias(f"_c{n}") for c, d, n in zip(cell, step, "xyz")], F.lit(step == (0, 0, 0)).alias("_own")) for step in ahead]
-    )
-    senders = placed.select(*keys, atom, "x", "y", "z", F.inline(targets))
-    receivers = placed.select(
-        *keys,
-        F.col(atom).alias("nbr"),
-        *[F.col(c).alias(f"_{c}") for c in "xyz"],
-        *[c.alias(f"_c{n}") for c, n in zip(cell, "xyz")],
+    spot = Window.partitionBy(*keys, "x", "y", "z").orderBy(atom)
+    receivers = placed.withColumn("_n", F.row_number().over(spot)).where(F.col("_n") <= k + 1).drop("_n")
+    axes = ["_cx", "_cy", "_cz"]
+
+    def at_levels(rows: DataFrame, *columns) -> DataFrame:
+        cells = [
+            F.struct(
+                F.lit(level).alias("_level"),
+                *[F.floor(F.col(c) / (cutoff / 2**level)).cast("long").alias(axis) for c, axis in zip("xyz", axes)],
+            )
+            for level in range(CELL_LEVELS)
+        ]
+        return rows.select(*keys, *columns, F.inline(F.array(*cells)))
+
+    full = at_levels(receivers).groupBy(*keys, "_level", *axes).count().where(F.col("count") > k)
+    sized = (
+        at_levels(placed, atom, "x", "y", "z")
+        .join(full, [*keys, "_level", *axes], "left")
+        .groupBy(*keys, atom, "x", "y", "z")
+        .agg(F.coalesce(F.max(F.when(F.col("count").isNotNull(), F.col("_level"))), F.lit(0)).alias("_level"))
     )
-    once = senders.join(receivers, [*keys, "_cx", "_cy", "_cz"]).where(~F.col("_own") | (F.col(atom) < F.col("nbr")))
-    near = once.where(pair_distance([F.col(c) for c in "xyz"], [F.col(f"_{c}") for c in "xyz"]) < cutoff)
-    ends = F.array(
-        F.struct(F.col(atom).alias("_p"), F.col("nbr").alias("_q"), *[F.col(c).alias(c) for c in _ENDS]),
-        F.struct(F.col("nbr").alias("_p"), F.col(atom).alias("_q"), *[F.col(c).alias(o) for c, o in zip(_ENDS[3:] + _ENDS[:3], _ENDS)]),
+    size = F.lit(cutoff) / F.pow(F.lit(2.0), F.col("_level"))
+    diagonal = size * (3**0.5 * (1 + 1e-9))
+    senders = sized.withColumn("_bound", F.when(F.col("_level") == 0, F.lit(cutoff)).otherwise(diagonal))
+    reach = F.when(F.col("_level") == 0, 1).otherwise(2)
+    steps = F.sequence(-reach, reach)
+    for c, axis in zip("xyz", axes):
+        senders = senders.withColumn(axis, F.explode(F.transform(steps, lambda d: F.floor(F.col(c) / size).cast("long") + d)))
+    others = at_levels(receivers.withColumnsRenamed({"x": "_x", "y": "_y", "z": "_z", atom: "nbr"}).withColumns(
+        {c: F.col(f"_{c}") for c in "xyz"}
+    ), "nbr", "_x", "_y", "_z")
+    distance = pair_distance([F.col(c) for c in "xyz"], [F.col(f"_{c}") for c in "xyz"])
+    near = senders.join(others, [*keys, "_level", *axes]).where(
+        (F.col(atom) != F.col("nbr")) & (distance <= F.col("_bound"))
     )
-    mirrored = near.select(*keys, F.inline(ends)).withColumnsRenamed({"_p": atom, "_q": "nbr"})
     own = placed.select(*keys, atom, F.col(atom).alias("nbr"), "x", "y", "z", *[F.col(c).alias(f"_{c}") for c in "xyz"])
-    return mirrored.select(*own.columns).unionByName(own)
+    return near.select(*own.columns).unionByName(own)
 
 
 def radius_neighbors(
@@ -180,8 +198,8 @@ def radius_neighbors(
 ) -> DataFrame:
     """Ordered pairs (atom, nbr, distance, rank): the nearest ``k`` atoms closer than ``cutoff``, ties by index.
 
-    Groups of up to ``small_group`` atoms are paired directly. Larger ones are cut into cells of the cutoff's size,
-    which spreads them over tasks and never forms far pairs. Every atom is also paired with itself, ranked after its
+    Groups of up to ``small_group`` atoms are paired directly. Larger ones are cut into cells that fit how crowded they
+    are, which spreads them over tasks and keeps the pairs per atom bounded. Every atom is also paired with itself, ranked after its
     neighbours; that pair stays, at distance 0 and rank 0, only where it comes first.
     """
     placed = coords.select(*keys, atom, "x", "y", "z")
@@ -191,7 +209,7 @@ def radius_neighbors(
     large = sized.where(F.col("_size") > small_group).drop("_size")
     columns = [*keys, atom, "nbr", *_ENDS]
     pairs = _pairs_of_small(small, keys, atom).select(*columns).unionByName(
-        _pairs_by_cell(large, keys, atom, cutoff).select(*columns)
+        _pairs_by_cell(large, keys, atom, cutoff, k).select(*columns)
     )
     distance = pair_distance([F.col(c) for c in "xyz"], [F.col(f"_{c}") for c in "xyz"])
     close = pairs.select(*keys, atom, "nbr", distance.alias("distance")).where(F.col("distance") < cutoff)

@@ -87,9 +87,14 @@ def test_signal_walk(spark, repeats):
 
 
 def test_radius_neighbors(spark):
-    table = Views(spark, FOLDER).atoms()
+    random.seed(5)
+    data = [(1, i, *[round(random.random() * 4, 1) for _ in "xyz"]) for i in range(150)]
+    data += [(1, 150 + i, 1.5, 1.5, 1.5) for i in range(60)]
+    data += [(1, 210 + i, *[round(random.random() * 0.2, 3) for _ in "xyz"]) for i in range(60)]
+    data += [(1, 400, 90.0, 0.0, 0.0), (2, 0, 0.0, 0.0, 0.0), (2, 1, 0.0, 0.0, -1.0)]
+    table = spark.createDataFrame(data, "mol_id long, atom_index int, x double, y double, z double")
     for cutoff, k in ((1.5, 3), (4.0, 10)):
-        direct = graph.radius_neighbors(table, cutoff=cutoff, k=k)
+        direct = graph.radius_neighbors(table, cutoff=cutoff, k=k, small_group=1000)
         cells = graph.radius_neighbors(table, cutoff=cutoff, k=k, small_group=0)
         assert rows(direct) == rows(cells)
 
