@@ -26,14 +26,15 @@ def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int) -> DataFrame:
 def split_hot(df: DataFrame, keys: Sequence[str], hot_rows: int) -> tuple[DataFrame, DataFrame | None]:
     """(rows of ordinary groups, rows of hot groups or None when there are none).
 
-    The hot keys are written down and counted; they are broadcast only up to ``BROADCAST_KEYS`` of them. Rows with a
+    The hot keys are counted and written down; they are broadcast only up to ``BROADCAST_KEYS`` of them. Rows with a
     null key stay with the ordinary ones.
     """
     hot = hot_keys(df, keys, hot_rows)
-    if hot.isEmpty():
+    found = hot.count()
+    if not found:
         return df, None
     hot = materialize(hot, "hot-keys")
-    if hot.count() <= BROADCAST_KEYS:
+    if found <= BROADCAST_KEYS:
         hot = F.broadcast(hot)
     return df.join(hot, list(keys), "left_anti"), df.join(hot, list(keys), "left_semi")
 

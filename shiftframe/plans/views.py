@@ -13,6 +13,19 @@ from shiftframe.functions.workspace import materialize
 ENGINE_ORDER = (("cdk", 1), ("cascade", 2), ("orca", 3))
 
 
+def made_once(method):
+    """Keep the DataFrame a view method returns on its instance."""
+
+    @functools.wraps(method)
+    def get(self):
+        made = self.__dict__.setdefault("_made", {})
+        if method.__name__ not in made:
+            made[method.__name__] = method(self)
+        return made[method.__name__]
+
+    return get
+
+
 class Views:
     """Lazily built views over one folder of driver tables."""
 
@@ -29,7 +42,7 @@ class Views:
         cores = self.spark.sparkContext.defaultParallelism
         return df if len(df.inputFiles()) >= cores else df.repartition(cores)
 
-    @functools.cache  # noqa: B019
+    @made_once
     def stored_atoms(self) -> DataFrame:
         """The atoms as a table, for queries that read them several times."""
         return materialize(self.atoms(), "atoms")
@@ -88,7 +101,7 @@ class Views:
             (F.col("base") + offset).alias("shift_ppm"),
         )
 
-    @functools.cache  # noqa: B019
+    @made_once
     def atoms(self) -> DataFrame:
         li = self.table("lineitem").select(
             F.col("l_orderkey").alias("mol_id"),
@@ -136,7 +149,7 @@ class Views:
             F.col("is_aromatic").alias("in_ring"),
         )
 
-    @functools.cache  # noqa: B019
+    @made_once
     def protons(self) -> DataFrame:
         li = self.table("lineitem").select(
             F.col("l_orderkey").alias("mol_id"),
@@ -226,7 +239,7 @@ class Views:
             (F.col("value") % F.lit(9.0)).alias("ppm"),
         )
 
-    @functools.cache  # noqa: B019
+    @made_once
     def signals_1h(self) -> DataFrame:
         li = self.table("lineitem").select(
             F.col("l_orderkey").alias("mol_id"),

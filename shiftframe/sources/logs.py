@@ -87,7 +87,7 @@ def log_sections(
     titles = parsed.where("kind = 'title'").groupBy(file).agg(F.min(place).alias("_title"))
     rows = parsed.where("kind = 'row'").select(file, place.alias("_place"), F.col("_atom").alias("atom_index"), "_value")
     after = rows.join(titles, file).where(F.col("_place") > F.col("_title"))
-    if after.isEmpty():
+    if not after.limit(1).count():
         return sections
     table = (
         after.join(taken.select(file).distinct(), file, "left_anti")

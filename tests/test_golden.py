@@ -495,3 +495,19 @@ def test_failing_predictor_becomes_a_row(spark):
     assert rows[3].atom_index is None and (rows[4].atom_index, rows[4].neighbor_count) == (0, 2)
     again = {r.mol_id: r.message for r in apply_engine(molecules, predictor, engine="mine").collect()}
     assert again[1] == rows[1].message
+
+
+def test_rows_to_draw(spark):
+    from shiftframe.plans.pipelines import flat_rows
+
+    kinds = "mol_id long, atom_index int, attached_atom_index int, n_atoms int, symbol string, shift_ppm double, confidence double"
+    individual = spark.createDataFrame(
+        [(1, 0, None, 3, "C", 10.0, 0.5, "cdk"), (1, 7, None, 3, "C", 11.0, None, "orca"), (2, 0, None, 3, "C", 12.0, None, "cdk")],
+        kinds + ", engine string",
+    )
+    merged = spark.createDataFrame([(2, 1, 0, 3, "C", 20.0, None, 0.4), (1, 1, 0, 3, "C", 21.0, None, 0.4)], kinds + ", std_ppm double")
+    requests = spark.createDataFrame([(1, "individual"), (2, "consensus")], "mol_id long, mode string")
+    drawn = flat_rows(individual, merged, requests).collect()
+    assert sorted((r.mol_id, r.atom_index, r.engine, r.element, r["shift"], r.intensity, r.std_ppm) for r in drawn) == [
+        (1, 0, "cdk", "C", 10.0, 0.5, None), (2, 1, None, "C", 20.0, 1.0, 0.4),
+    ]
