@@ -1,6 +1,6 @@
 """All registered queries of this subpackage."""
 
-from shiftframe.llm import queries_native
+from shiftframe.llm import queries_models, queries_native
 
-QUERIES = dict(queries_native.QUERIES)
+QUERIES = queries_native.QUERIES | queries_models.QUERIES
 ORACLE = dict(queries_native.ORACLE)
