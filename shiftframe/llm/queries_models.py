@@ -4,10 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shiftframe.llm import ngram, simhash, toxicity
+from shiftframe.llm import ngram, pii, simhash, toxicity, vectors
 from shiftframe.llm.text import table
 
 
+def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.link_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_pii(table(spark, sf_dir, "documents"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -21,4 +29,4 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram.score_texts(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op7_simhash, op9_toxicity, op10_lm_scoring)}
+QUERIES = {f.__name__: f for f in (op4_embedding_dedup, op5_pii, op7_simhash, op9_toxicity, op10_lm_scoring)}
