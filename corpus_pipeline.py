@@ -1,7 +1,70 @@
-"""Corpus pipeline, filled in once its stages exist."""
+"""A training corpus from raw documents: five stages, each written as Parquet and read again by the next.
 
-ORACLE_SQL = None
+Every stage takes ``(spark, docs, sf_dir)``. Document ids are taken to be unique, as in ``documents``; a document
+without id is kept by the stages that look documents up by id.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from shiftframe.functions.workspace import materialize
+from shiftframe.llm import decontaminate, mixing, sharding, simhash, toxicity
+from shiftframe.llm.text import small_or_shuffled, table
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity model, trained on the labelled ones among them, does not reject."""
+    return toxicity.keep_clean(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: the one with the smallest id; of repeated rows one stays."""
+    found = simhash.near_duplicates(docs)
+    gone = found.where("component_id != doc_id").select("doc_id").distinct()
+    kept = docs.join(small_or_shuffled(gone, "near-copies"), "doc_id", "left_anti").select(docs.columns)
+    repeated = docs.groupBy("doc_id").count().where("doc_id is not null and count > 1")
+    return kept if repeated.isEmpty() else kept.dropDuplicates(["doc_id", "text"])
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no more of the benchmark than the rule allows."""
+    judged = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+    gone = judged.where("contaminated").select("doc_id").distinct()
+    return docs.join(small_or_shuffled(gone, "contaminated"), "doc_id", "left_anti").select(docs.columns)
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them; the one that a budget cuts is taken whole."""
+    taken = mixing.mix_sources(docs).where("taken > 0")
+    times = taken.groupBy("doc_id").agg(F.max(F.ceil(F.col("taken") / F.col("size"))).cast("int").alias("_times"))
+    chosen = docs.join(times, docs["doc_id"].eqNullSafe(times["doc_id"])).select(
+        *[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), "_times")).alias("_pass")
+    )
+    return chosen.select(docs.columns)
+
+
+def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Shard and position of every row of the mix."""
+    return sharding.shard_documents(docs)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("simhash_near_dedup", drop_near_copies),
+    ("benchmark_decontamination", drop_contaminated),
+    ("mixing", mix),
+    ("sharding", shard),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
+
+
+#: The first stage applies a trained model, which SQL cannot express; the stages are tested against brute force.
+ORACLE_SQL = None

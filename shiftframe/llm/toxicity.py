@@ -263,3 +263,14 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, folds: int = 5, key: s
 
     kind = narrow.schema["doc_id"].dataType.simpleString()
     return narrow.mapInArrow(batches, f"doc_id {kind}, held_out boolean, score double, predicted int")
+
+
+def keep_clean(docs: DataFrame, model: ToxicityModel, text: str = "text", least: float = 0.5) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, whose score is below ``least``; one pass, no shuffle."""
+    place = docs.columns.index(text)
+
+    def batches(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in found:
+            yield batch.filter(pa.array([model.score(t.as_py()) < least for t in batch.column(place)], pa.bool_()))
+
+    return docs.mapInArrow(batches, docs.schema)
