@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from shiftframe.functions.workspace import materialize
 from shiftframe.llm.text import small_or_shuffled
 
-MOST_SHARE = 0.2
+MOST_SHARE = 0.1
 LEAST_PAGES = 3  # a line is repeated only from this many pages of the host on
 
 # fixed values: markup that is not text, and tags that end a line

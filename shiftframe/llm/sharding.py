@@ -54,11 +54,12 @@ def first_map(loads: Iterable[Row], n_shards: int, n_slots: int = N_SLOTS) -> li
 
 
 def rebalanced_map(
-    owners: Iterable[tuple[int, int, int]], loads: Iterable[Row], n_shards: int, tolerance: float = 0.02
+    owners: Iterable[tuple[int, int, int]], loads: Iterable[Row], n_shards: int
 ) -> list[tuple[int, int, int]]:
     """The next version for ``n_shards``: slots move only out of shards that hold more than their share.
 
-    A shard that no longer exists gives up all its slots. Slots that stay keep their shard.
+    A shard gives up slots, the largest first, as long as it keeps its share, and all of them if it no longer exists.
+    Freed slots go to the shard with the fewest bytes. All other slots stay where they are.
     """
     owners = list(owners)
     version = max((v for v, _, _ in owners), default=0) + 1
@@ -71,7 +72,7 @@ def rebalanced_map(
     filled = {shard: sum(size.get(s, 0) for s in slots) for shard, slots in held.items()}
     for shard, slots in held.items():
         for slot in sorted(slots, key=lambda s: (-size.get(s, 0), s)):
-            if filled[shard] - size.get(slot, 0) >= share * (1 - tolerance) and size.get(slot, 0):
+            if size.get(slot, 0) and filled[shard] - size[slot] >= share:
                 filled[shard] -= size[slot]
                 slots.remove(slot)
                 loose.append(slot)
