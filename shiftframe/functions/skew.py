@@ -1,48 +1,58 @@
 """Ordered work inside a group, without giving one task a group of unbounded size.
 
-A group of up to ``hot_rows`` rows is handled by an ordinary window. Larger groups are cut into buckets of their
-order column; every bucket is handled on its own and a small table of bucket totals carries the state over. Whether
-there are such groups is looked up first with one aggregation over the keys, so ordinary data keeps the simple plan.
+The order column of every group is cut into buckets. Each bucket is handled on its own, and a table of bucket totals,
+one row per bucket, carries the state from bucket to bucket. There is one path for groups of every size, and nothing
+runs while the plan is built.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shiftframe.functions.workspace import materialize
 
-HOT_ROWS = 1_000_000
-BROADCAST_KEYS = 1_000_000
 
+def bucket_of(value: Column, width: float, *, descending: bool = False) -> Column:
+    """Bucket of an order value, rising with ``value`` (or falling, for an order by ``value.desc()``).
 
-def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int) -> DataFrame:
-    """Keys with more than ``hot_rows`` rows: at most rows / hot_rows of them."""
-    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > hot_rows).select(*keys)
+    Nulls and NaN have buckets of their own, where Spark's ascending (nulls first, NaN last) or descending order
+    (NaN first, nulls last) puts them. A bucket is never null, so it can be joined.
+    """
+    number = value.cast("double")
+    null, nan = (2, 0) if descending else (0, 2)
+    kind = F.when(value.isNull(), null).when(F.isnan(number), nan).otherwise(1)
+    at = F.when(kind == 1, F.floor((-number if descending else number) / width)).otherwise(0)
+    return F.struct(kind.alias("kind"), at.cast("long").alias("at"))
+
+
+def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi-join that takes nulls in the keys as equal; the keys come from ``left``."""
+    named = right.select(*[F.col(k).alias(f"_right_{i}") for i, k in enumerate(keys)], *[c for c in right.columns if c not in keys])
+    same = reduce(lambda a, b: a & b, [left[k].eqNullSafe(named[f"_right_{i}"]) for i, k in enumerate(keys)])
+    return left.join(named, same, how).drop(*[f"_right_{i}" for i in range(len(keys))])
 
 
 def split_hot(df: DataFrame, keys: Sequence[str], hot_rows: int) -> tuple[DataFrame, DataFrame | None]:
-    """(rows of ordinary groups, rows of hot groups or None when there are none).
+    """(rows of groups up to ``hot_rows``, rows of larger groups or None), for work that needs another method then.
 
-    The hot keys are counted and written down; they are broadcast only up to ``BROADCAST_KEYS`` of them. Rows with a
-    null key stay with the ordinary ones.
+    The keys are counted and written down, at most rows / hot_rows of them. A null is a key like any other.
     """
-    hot = hot_keys(df, keys, hot_rows)
-    found = hot.count()
-    if not found:
-        return df, None
+    hot = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > hot_rows).select(*keys)
     hot = materialize(hot, "hot-keys")
-    if found <= BROADCAST_KEYS:
-        hot = F.broadcast(hot)
-    return df.join(hot, list(keys), "left_anti"), df.join(hot, list(keys), "left_semi")
+    if hot.isEmpty():
+        return df, None
+    return join_on(df, hot, keys, "left_anti"), join_on(df, hot, keys, "left_semi")
 
 
-def _running_by_bucket(
-    hot: DataFrame, keys: Sequence[str], order: Sequence[Column], sums: Mapping[str, Column], bucket: Column
+def running(
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column], sums: Mapping[str, Column], *, bucket: Column
 ) -> DataFrame:
-    cut = hot.withColumn("_bucket", bucket)
+    """Add inclusive running sums over each group in ``order``; ``bucket`` must rise with it (see ``bucket_of``)."""
+    cut = df.withColumn("_bucket", bucket)
     totals = cut.groupBy(*keys, "_bucket").agg(*[F.sum(value).alias(f"_in_{name}") for name, value in sums.items()])
     earlier = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     carried = totals.select(
@@ -51,71 +61,29 @@ def _running_by_bucket(
         *[F.coalesce(F.sum(f"_in_{name}").over(earlier), F.lit(0)).alias(f"_before_{name}") for name in sums],
     )
     inside = Window.partitionBy(*keys, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return cut.join(carried, [*keys, "_bucket"]).select(
-        *hot.columns,
+    return join_on(cut, carried, [*keys, "_bucket"]).select(
+        *df.columns,
         *[(F.sum(value).over(inside) + F.col(f"_before_{name}")).alias(name) for name, value in sums.items()],
     )
 
 
-def running(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[Column],
-    sums: Mapping[str, Column],
-    *,
-    bucket: Column,
-    hot_rows: int | None = HOT_ROWS,
-) -> DataFrame:
-    """Add inclusive running sums over each group in ``order``.
-
-    ``bucket`` must rise with ``order``. ``hot_rows=None`` states that groups are small by contract.
-    """
-    cold, hot = (df, None) if hot_rows is None else split_hot(df, keys, hot_rows)
-    window = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    summed = cold.select("*", *[F.sum(value).over(window).alias(name) for name, value in sums.items()])
-    return summed if hot is None else summed.unionByName(_running_by_bucket(hot, keys, order, sums, bucket))
-
-
 def numbered(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[Column],
-    name: str,
-    *,
-    start: int = 1,
-    bucket: Column,
-    hot_rows: int | None = HOT_ROWS,
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str, *, start: int = 1, bucket: Column
 ) -> DataFrame:
     """Consecutive numbers from ``start`` within each group, in ``order``; ``bucket`` must rise with it."""
-    cold, hot = (df, None) if hot_rows is None else split_hot(df, keys, hot_rows)
-    window = Window.partitionBy(*keys).orderBy(*order)
-    counted = cold.withColumn(name, (F.row_number().over(window) + (start - 1)).cast("long"))
-    if hot is None:
-        return counted
-    cut = _running_by_bucket(hot, keys, order, {name: F.lit(1).cast("long")}, bucket)
-    return counted.unionByName(cut.withColumn(name, F.col(name) + (start - 1)))
+    counted = running(df, keys, order, {name: F.lit(1).cast("long")}, bucket=bucket)
+    return counted.withColumn(name, F.col(name) + (start - 1))
 
 
 def previous(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[str],
-    value: str,
-    name: str,
-    *,
-    bucket: Column,
-    hot_rows: int | None = HOT_ROWS,
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, name: str, *, bucket: Column
 ) -> DataFrame:
     """Add the value of the row before, within the group and in ``order``; null for the first row."""
-    cold, hot = (df, None) if hot_rows is None else split_hot(df, keys, hot_rows)
-    linked = cold.withColumn(name, F.lag(value).over(Window.partitionBy(*keys).orderBy(*order)))
-    if hot is None:
-        return linked
-    cut = hot.withColumn("_bucket", bucket)
+    cut = df.withColumn("_bucket", bucket)
     last = cut.groupBy(*keys, "_bucket").agg(F.max_by(F.struct(value), F.struct(*order)).alias("_last"))
     by_bucket = Window.partitionBy(*keys).orderBy("_bucket")
     carried = last.select(*keys, "_bucket", F.lag("_last").over(by_bucket).alias("_carried"))
     inside = Window.partitionBy(*keys, "_bucket").orderBy(*order)
-    joined = cut.join(carried, [*keys, "_bucket"]).withColumn("_first", F.row_number().over(inside) == 1)
+    joined = join_on(cut, carried, [*keys, "_bucket"]).withColumn("_first", F.row_number().over(inside) == 1)
     found = F.when(F.col("_first"), F.col(f"_carried.{value}")).otherwise(F.lag(value).over(inside))
-    return linked.unionByName(joined.select(*df.columns, found.alias(name)))
+    return joined.select(*df.columns, found.alias(name))

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shiftframe.functions.skew import numbered
+from shiftframe.functions.skew import bucket_of, numbered
 from shiftframe.functions.workspace import materialize
 
 BLOCK_ROWS = 65536
@@ -30,7 +30,7 @@ def _placed(rows: DataFrame, keys: Sequence[str], block_rows: int) -> DataFrame:
     payload = [c for c in rows.columns if c not in (*keys, "shift", "atom_index")]
     order = [F.col("shift").desc(), F.col("atom_index"), *[F.col(c) for c in payload]]
     placed = numbered(
-        rows, keys, order, "walk_pos", start=0, bucket=F.floor(-F.col("shift") / BUCKET_PPM), hot_rows=0
+        rows, keys, order, "walk_pos", start=0, bucket=bucket_of(F.col("shift"), BUCKET_PPM, descending=True)
     ).withColumn("_block", F.floor(F.col("walk_pos") / block_rows))
     placed = materialize(placed, "walk")
     atom = [*keys, "atom_index"]
@@ -120,7 +120,7 @@ def walk_large(rows: DataFrame, keys: Sequence[str], tolerance: float, *, block_
     by_block = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     slim = walk.select(*keys, "_block", "walk_pos", "shift", "_before")
     while not front.isEmpty():
-        ahead = slim.join(F.broadcast(front), keys).where(F.col("walk_pos") >= F.col("_start"))
+        ahead = slim.join(front, keys).where(F.col("walk_pos") >= F.col("_start"))
         fresh = ahead.groupBy(*keys, "_block").agg(F.count_if(F.col("_before") < F.col("_start")).alias("_fresh"))
         counts = fresh.select(*keys, "_block", F.coalesce(F.sum("_fresh").over(by_block), F.lit(0)).alias("_n_in"))
         counted = ahead.join(counts, [*keys, "_block"])

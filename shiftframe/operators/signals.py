@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shiftframe import constants as C
-from shiftframe.functions.skew import HOT_ROWS, running, split_hot
+from shiftframe.functions.skew import bucket_of, running, split_hot
 from shiftframe.operators.signal_walk import BLOCK_ROWS, walk_large
 
 # Optional columns of a shift row and their types.
@@ -104,12 +104,13 @@ def signal_group(
     """Member rows of every signal: key, number, id, place in the walk and running centre.
 
     The key is source, engine and group. Proton shifts join the newest cluster when they are within the tolerance of
-    its running mean; other nuclei form one cluster per key. Groups of up to ``fold_rows`` rows are folded in place;
+    its running mean; other nuclei form one cluster per key. Rows without a number as shift belong to no signal and are
+    left out, whatever the size of their group. Groups of up to ``fold_rows`` rows are folded in place;
     larger groups are walked block by block, one round per cluster.
     """
     tolerance = C.GROUP_TOLERANCE_1H_PPM if nucleus == "1H" else float("inf")
     keys = [*scope, "base_key"]
-    rows = _complete(shifts, value, scope, mode)
+    rows = _complete(shifts, value, scope, mode).where(F.col("shift").isNotNull() & ~F.isnan("shift"))
     small, large = split_hot(rows, keys, fold_rows)
     members = _walk_small(small, keys, tolerance)
     if large is not None:
@@ -302,8 +303,7 @@ def integral_curve(
     high: float,
     keys: Sequence[str] = ("mol_id",),
     tie: str = "pos",
-    bucket_ppm: float = 0.001,
-    hot_rows: int | None = HOT_ROWS,
+    bucket_ppm: float = 0.1,
 ) -> DataFrame:
     """Points (seq, x, y) of the rising integral of each key, from the high to the low end of the range.
 
@@ -318,8 +318,7 @@ def integral_curve(
         keys,
         [F.col("center").desc(), F.col(tie)],
         {"_sum": F.col("integration"), "_rank": F.lit(1)},
-        bucket=F.floor(-F.col("center") / bucket_ppm),
-        hot_rows=hot_rows,
+        bucket=bucket_of(F.col("center"), bucket_ppm, descending=True),
     ).join(totals, list(keys))
 
     def height(reached: Column) -> Column:

@@ -7,7 +7,7 @@ import functools
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shiftframe.functions.skew import numbered
+from shiftframe.functions.skew import bucket_of, numbered
 from shiftframe.functions.workspace import materialize
 
 ENGINE_ORDER = (("cdk", 1), ("cascade", 2), ("orca", 3))
@@ -116,7 +116,7 @@ class Views:
         )
         order = [F.col(c) for c in ("l_extendedprice", "l_partkey", "l_suppkey", "l_quantity", "l_linenumber")]
         dense = numbered(
-            li, ["mol_id"], order, "atom_index", start=0, bucket=F.floor(F.col("l_extendedprice") / 16)
+            li, ["mol_id"], order, "atom_index", start=0, bucket=bucket_of(F.col("l_extendedprice"), 1024)
         )
         k = F.col("l_partkey") % 5
         sk = F.col("l_suppkey")
@@ -160,7 +160,7 @@ class Views:
             F.col("l_linenumber").alias("ln"),
         )
         order = [F.col(c) for c in ("ep", "lk", "sk", "q", "ln")]
-        dense = numbered(li, ["mol_id"], order, "atom_index", start=0, bucket=F.floor(F.col("ep") / 16))
+        dense = numbered(li, ["mol_id"], order, "atom_index", start=0, bucket=bucket_of(F.col("ep"), 1024))
         kind = (F.col("lk") + F.col("sk")) % 4
         return dense.select(
             "mol_id",
@@ -250,7 +250,7 @@ class Views:
             "l_linenumber",
         )
         order = [-F.col("center")] + [F.col(c) for c in ("l_partkey", "l_suppkey", "l_quantity", "l_linenumber")]
-        dense = numbered(li, ["mol_id"], order, "pos", bucket=F.floor(-F.col("center") * 1000))
+        dense = numbered(li, ["mol_id"], order, "pos", bucket=bucket_of(F.col("center"), 0.1, descending=True))
         return dense.select(
             "mol_id",
             F.col("pos").cast("int").alias("pos"),

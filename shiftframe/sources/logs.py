@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from shiftframe import constants as C
 from shiftframe.functions.once import once
-from shiftframe.functions.skew import HOT_ROWS, previous
+from shiftframe.functions.skew import bucket_of, previous
 
 FILE_ORDER = ("block_start", "row_id")
 
@@ -47,14 +47,13 @@ def log_sections(
     file: str = "file_id",
     order: Sequence[str] = ("line_no",),
     bucket: Column | None = None,
-    hot_rows: int | None = HOT_ROWS,
 ) -> DataFrame:
     """(file, atom_index, sigma) from headers and the first isotropic value after each.
 
-    Only header and value lines matter: a value counts exactly when the line before it, among these, is a header. Of a
+    A number too large for its type makes its line no header and no row. Only header and value lines matter: a value counts exactly when the line before it, among these, is a header. Of a
     repeated atom the last value wins. A file without any value falls back to the rows of its summary table.
     """
-    bucket = F.floor(F.col(order[0]) / 65536) if bucket is None else bucket
+    bucket = bucket_of(F.col(order[0]), 65536) if bucket is None else bucket
     line = F.col("line")
     upper = F.upper(line)
     title = F.contains(upper, F.lit(C.LOG_TABLE_TITLES[0])) | F.contains(upper, F.lit(C.LOG_TABLE_TITLES[1]))
@@ -72,14 +71,15 @@ def log_sections(
     number = F.when(F.col("kind") == "value", F.regexp_extract(line, C.LOG_VALUE_PATTERN, 1)).when(
         F.col("kind") == "row", F.regexp_extract(line, C.LOG_TABLE_ROW_PATTERN, 3)
     )
-    parsed = known.select(
-        file, *order, "kind", atom.cast("int").alias("_atom"), number.cast("double").alias("_value")
+    read = known.select(
+        file, *order, "kind", atom.try_cast("int").alias("_atom"), number.try_cast("double").alias("_value")
     )
+    parsed = read.where(F.col("kind").isin("value", "title") | F.col("_atom").isNotNull())
     # A header hands its atom to the next header or value line; titles and table rows do not come in between.
     walked = parsed.where(F.col("kind").isin("header", "value")).withColumn(
         "_opens", F.when(F.col("kind") == "header", F.col("_atom"))
     )
-    linked = previous(walked, [file], order, "_opens", "_header", bucket=bucket, hot_rows=hot_rows)
+    linked = previous(walked, [file], order, "_opens", "_header", bucket=bucket)
     taken = linked.where((F.col("kind") == "value") & F.col("_header").isNotNull())
     place = F.struct(*order)
     sections = taken.groupBy(file, F.col("_header").alias("atom_index")).agg(F.max_by("_value", place).alias("sigma"))
@@ -87,8 +87,6 @@ def log_sections(
     titles = parsed.where("kind = 'title'").groupBy(file).agg(F.min(place).alias("_title"))
     rows = parsed.where("kind = 'row'").select(file, place.alias("_place"), F.col("_atom").alias("atom_index"), "_value")
     after = rows.join(titles, file).where(F.col("_place") > F.col("_title"))
-    if not after.limit(1).count():
-        return sections
     table = (
         after.join(taken.select(file).distinct(), file, "left_anti")
         .groupBy(file, "atom_index")
@@ -99,4 +97,4 @@ def log_sections(
 
 def read_log_sections(spark: SparkSession, path: str) -> DataFrame:
     """Shieldings of all log files under ``path``."""
-    return log_sections(read_lines(spark, path), order=FILE_ORDER, bucket=F.col("block_start"))
+    return log_sections(read_lines(spark, path), order=FILE_ORDER, bucket=bucket_of(F.col("block_start"), 1))

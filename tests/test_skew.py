@@ -1,5 +1,6 @@
 """The paths for very large groups give what the ordinary paths give."""
 
+import math
 import random
 
 import pytest
@@ -15,7 +16,9 @@ FOLDER = "/root/testdata/sf0.001"
 
 def rows(df, digits=9):
     def cell(v):
-        return round(v + 1e-11, digits) if isinstance(v, float) else v
+        if isinstance(v, float):
+            return "nan" if math.isnan(v) else round(v + 1e-11, digits)
+        return v
 
     return sorted((tuple(cell(c) for c in r) for r in df.select(*sorted(df.columns)).collect()), key=str)
 
@@ -28,40 +31,72 @@ def one_hot(spark):
     return spark.createDataFrame(data, "mol_id long, v double, id long, w long").cache()
 
 
-def test_numbered_and_running(one_hot):
-    order, bucket = [F.col("v"), F.col("id")], F.floor(F.col("v") * 10)
-    plain = skew.numbered(one_hot, ["mol_id"], order, "n", bucket=bucket, hot_rows=None)
-    cut = skew.numbered(one_hot, ["mol_id"], order, "n", bucket=bucket, hot_rows=100)
-    assert rows(plain) == rows(cut)
-    sums = {"s": F.col("w"), "c": F.lit(1)}
-    plain = skew.running(one_hot, ["mol_id"], order, sums, bucket=bucket, hot_rows=None)
-    assert rows(plain) == rows(skew.running(one_hot, ["mol_id"], order, sums, bucket=bucket, hot_rows=100))
-    assert rows(plain) == rows(skew.running(one_hot, ["mol_id"], order, sums, bucket=bucket, hot_rows=0))
+WIDTHS = (0.01, 0.5, 1e9)  # from nearly every row alone to every group in one bucket
 
 
-def test_previous(one_hot):
-    thin = one_hot.withColumn("w", F.when(F.col("w") > 2, F.col("w")))
-    plain = skew.previous(thin, ["mol_id"], ["id"], "w", "p", bucket=F.floor(F.col("id") / 16), hot_rows=None)
-    cut = skew.previous(thin, ["mol_id"], ["id"], "w", "p", bucket=F.floor(F.col("id") / 16), hot_rows=100)
-    assert rows(plain) == rows(cut)
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Nulls, NaN, both zeros and ties in the order column, and a null key."""
+    values = [None, float("nan"), 0.0, -0.0, 1.5, 1.5, -2.0, None, float("nan"), 7.25]
+    data = [(k, v, i, i % 3) for k in (1, 2, None) for i, v in enumerate(values * (3 if k == 1 else 1))]
+    return spark.createDataFrame(data, "mol_id long, v double, id long, w long").cache()
+
+
+@pytest.mark.parametrize("width", WIDTHS)
+@pytest.mark.parametrize("descending", [False, True])
+def test_numbered_and_running(one_hot, odd, width, descending):
+    from pyspark.sql import Window
+
+    order = [F.col("v").desc() if descending else F.col("v"), F.col("id")]
+    bucket = skew.bucket_of(F.col("v"), width, descending=descending)
+    window = Window.partitionBy("mol_id").orderBy(*order)
+    for table in (one_hot, odd):
+        plain = table.withColumn("n", F.row_number().over(window).cast("long"))
+        assert rows(plain) == rows(skew.numbered(table, ["mol_id"], order, "n", bucket=bucket))
+        upto = window.rowsBetween(Window.unboundedPreceding, 0)
+        plain = table.select("*", F.sum("w").over(upto).alias("s"), F.count(F.lit(1)).over(upto).alias("c"))
+        assert rows(plain) == rows(skew.running(table, ["mol_id"], order, {"s": F.col("w"), "c": F.lit(1)}, bucket=bucket))
+
 
+@pytest.mark.parametrize("width", (1, 16, 1e9))
+def test_previous(one_hot, odd, width):
+    from pyspark.sql import Window
 
-def test_rank_conformers(spark):
-    table = Views(spark, FOLDER).conformers()
-    assert rows(ensemble.rank_conformers(table, hot_rows=None)) == rows(ensemble.rank_conformers(table, hot_rows=20, bucket_kcal=0.5))
+    for table in (one_hot.where("id % 5 <> 0"), odd):
+        plain = table.withColumn("p", F.lag("w").over(Window.partitionBy("mol_id").orderBy("id")))
+        assert rows(plain) == rows(skew.previous(table, ["mol_id"], ["id"], "w", "p", bucket=skew.bucket_of(F.col("id"), width)))
 
 
-def test_integral_curve(spark):
-    table = Views(spark, FOLDER).signals_1h()
-    plain = signals.integral_curve(table, low=0.5, high=8.0, hot_rows=None)
-    assert rows(plain) == rows(signals.integral_curve(table, low=0.5, high=8.0, hot_rows=3, bucket_ppm=0.5))
+def test_rank_conformers(odd):
+    table = odd.select("mol_id", F.col("id").alias("conf_id"), F.col("v").alias("energy_kcal"))
+    wide, narrow = (rows(ensemble.rank_conformers(table, bucket_kcal=w)) for w in (1e9, 0.1))
+    assert wide == narrow and len(wide) == table.count()
+
+
+def test_integral_curve(one_hot):
+    table = one_hot.select("mol_id", F.col("v").alias("center"), F.col("id").alias("pos"), F.col("w").alias("integration"))
+    wide, narrow = (rows(signals.integral_curve(table, low=0.5, high=8.0, bucket_ppm=w)) for w in (1e9, 0.01))
+    assert wide == narrow
 
 
 def test_log_sections(spark):
     lines = Views(spark, FOLDER).log_lines()
-    bucket = F.floor(F.col("line_no") / 4)
-    plain = logs.log_sections(lines, hot_rows=None)
-    assert rows(plain) == rows(logs.log_sections(lines, bucket=bucket, hot_rows=5))
+    plain = logs.log_sections(lines)
+    assert rows(plain) == rows(logs.log_sections(lines, bucket=skew.bucket_of(F.col("line_no"), 4)))
+
+
+def test_broken_log_line(spark):
+    text = [" Nucleus  99999999999 H :", "   Isotropic:  1.5", " Nucleus  3 H :", "   Isotropic shielding:   2.5 ppm"]
+    lines = spark.createDataFrame([(1, i, t) for i, t in enumerate(text)], "file_id long, line_no long, line string")
+    assert [(r.atom_index, r.sigma) for r in logs.log_sections(lines).collect()] == [(3, 2.5)]
+
+
+def test_rows_without_a_number_have_no_signal(spark):
+    data = [(1, i, v, "g") for i, v in enumerate([1.0, None, float("nan"), 1.05, 3.0, 1.1, 0.2])]
+    table = spark.createDataFrame(data, "mol_id long, atom_index int, shift double, assignment_group string")
+    keep = ["walk_pos", "atom_index", "signal_no", "center_after"]
+    folded, walked = (rows(signals.signal_group(table, nucleus="1H", fold_rows=n, block_rows=2).select(*keep)) for n in (100, 2))
+    assert folded == walked and len(folded) == 5
 
 
 @pytest.mark.parametrize("repeats", [False, True])
