@@ -127,5 +127,10 @@ MESSAGE_STRING_PARENTHESES = "Unbalanced parentheses"
 MESSAGE_TOO_MANY_HEAVY = "Molecule is too large (%d heavy atoms; max %d)"
 MESSAGE_TOO_MANY_ATOMS = "Molecule is too large after adding hydrogens (%d atoms; max %d)"
 
+# Fixed value: message for a target atom without a shielding (engine, atom, element).
+MESSAGE_SHIELDING_MISSING = "%s did not emit an isotropic shielding for atom %d (%s)"
+# Own text: no reference for a method.
+MESSAGE_REFERENCE_MISSING = "No complete reference shieldings for %s / %s"
+
 # Fixed value: delay of the debounce in milliseconds.
 DEBOUNCE_MILLISECONDS = 300

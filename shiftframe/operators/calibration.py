@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from shiftframe import constants as C
 from shiftframe.functions.text import stripped
-from shiftframe.functions.workspace import materialize
 
 
 def method_key(name: Column) -> Column:
@@ -25,16 +24,18 @@ def reference_keyed(reference: DataFrame) -> DataFrame:
 
 
 def calibrate(shieldings: DataFrame, reference: DataFrame, *, sigma: str = "sigma") -> DataFrame:
-    """Add ``shift_ppm`` = reference minus shielding for rows (functional, basis, nucleus, sigma) with a reference.
+    """Add ``sigma_ref`` and ``shift_ppm`` = reference minus shielding to rows (functional, basis, nucleus, sigma).
 
-    The reference is a small dimension; its size decides the join at run time.
+    Rows whose method has no reference stay, with nulls. The reference is a small dimension; its size decides the join
+    at run time.
     """
     keyed = shieldings.withColumn("_functional", method_key(F.col("functional"))).withColumn(
         "_basis", method_key(F.col("basis"))
     )
     return (
         keyed.join(
-            reference_keyed(reference).withColumnRenamed("_nucleus", "nucleus"), ["_functional", "_basis", "nucleus"]
+            reference_keyed(reference).withColumnRenamed("_nucleus", "nucleus"), ["_functional", "_basis", "nucleus"],
+            "left",
         )
         .withColumn("shift_ppm", F.col("sigma_ref") - F.col(sigma))
         .drop("_functional", "_basis")
@@ -42,22 +43,33 @@ def calibrate(shieldings: DataFrame, reference: DataFrame, *, sigma: str = "sigm
 
 
 def calibrate_complete(
-    targets: DataFrame, shieldings: DataFrame, *, mol: str = "mol_id", atom: str = "atom_index", sigma: str = "sigma"
+    targets: DataFrame,
+    shieldings: DataFrame,
+    *,
+    mol: str = "mol_id",
+    atom: str = "atom_index",
+    nucleus: str = "nucleus",
+    sigma: str = "sigma",
+    engine: str = "ORCA",
 ) -> tuple[DataFrame, DataFrame]:
-    """(rows of complete molecules with their shielding, per molecule: status and message).
+    """(rows of complete molecules with their shielding, per molecule: first_missing, status and message).
 
-    One target atom without a shielding makes its molecule an error that names the lowest such atom. The joined rows
-    serve both results and are written down once.
+    One target atom without a shielding makes its molecule an error whose message names the lowest such atom.
     """
-    joined = targets.join(
+    rows = targets.join(
         shieldings.where(F.col(sigma).isNotNull()).select(mol, atom, F.col(sigma).alias("_sigma")), [mol, atom], "left"
     ).withColumnRenamed("_sigma", sigma)
-    rows = materialize(joined, "targets")
-    judged = rows.groupBy(mol).agg(F.min(F.when(F.col(sigma).isNull(), F.col(atom))).alias("first_missing"))
+    lacking = F.col(sigma).isNull()
+    judged = rows.groupBy(mol).agg(F.min(F.when(lacking, F.struct(F.col(atom).alias("atom"), F.col(nucleus).alias("of")))).alias("_first"))
+    element = F.regexp_replace("_first.of", "[0-9]", "")
     status = judged.select(
         mol,
-        "first_missing",
-        F.when(F.col("first_missing").isNull(), "ok").otherwise("error").alias("status"),
+        F.col("_first.atom").alias("first_missing"),
+        F.when(F.col("_first").isNull(), "ok").otherwise("error").alias("status"),
+        F.when(
+            F.col("_first").isNotNull(),
+            F.format_string(C.MESSAGE_SHIELDING_MISSING, F.lit(engine), F.col("_first.atom"), element),
+        ).alias("message"),
     )
     incomplete = rows.where(F.col(sigma).isNull()).select(mol).distinct()
     return rows.join(incomplete, mol, "left_anti"), status

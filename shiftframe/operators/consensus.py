@@ -61,31 +61,26 @@ def consensus(
     engine_pos: str = "engine_pos",
     status: str = "status",
     weight: Column | None = None,
-    engine_order: Sequence[str] | None = None,
 ) -> DataFrame:
     """Weighted mean, spread and contributing engines per atom.
 
-    One aggregation with numeric buffers only: scaling the weights to sum 1 cancels out in the mean, so the weights
-    of the other atoms are not needed. Spread is the unweighted population deviation, null for a single entry.
-    ``engine_order`` lists the names behind the positions 1..n of ``engine_pos``.
+    One aggregation: scaling the weights to sum 1 cancels out in the mean, so the weights of the other atoms are not
+    needed. Spread is the unweighted population deviation, null for a single entry. Engines are named in request
+    order, ``engine_pos``; their set is as large as the number of different engines of a request.
     """
     weight = weight_of(F.col(engine), DEFAULT_WEIGHTS) if weight is None else weight
-    order = list(engine_order or DEFAULT_WEIGHTS)
+    named = F.struct(F.col(engine_pos).alias("pos"), F.col(engine).alias("engine"))
     used = shifts.select(
-        *keys, F.col(value).alias("_v"), F.col(engine_pos).alias("_p"), weight.alias("_w"), F.col(status).alias("_s")
+        *keys, F.col(value).alias("_v"), named.alias("_engine"), weight.alias("_w"), F.col(status).alias("_s")
     ).where((F.col("_s") == "ok") & (F.col("_w") > 0))
     merged = used.groupBy(*keys).agg(
         (F.sum(F.col("_w") * F.col("_v")) / F.sum("_w")).alias("shift_ppm"),
         F.when(F.count(F.lit(1)) > 1, F.stddev_pop("_v")).alias("std_ppm"),
         F.count(F.lit(1)).alias("n_entries"),
-        F.bit_or(F.call_function("shiftleft", F.lit(1), (F.col("_p") - 1).cast("int"))).alias("_mask"),
-    )
-    names = F.array(
-        *[F.when(F.col("_mask").bitwiseAND(1 << i) != 0, F.lit(name)) for i, name in enumerate(order)]
-    )
-    return merged.select(
-        *keys, "shift_ppm", "std_ppm", "n_entries", F.array_compact(names).alias("contributing_engines")
+        F.array_sort(F.collect_set("_engine")).alias("_engines"),
     )
+    names = F.array_distinct(F.transform("_engines", lambda e: e["engine"]))
+    return merged.select(*keys, "shift_ppm", "std_ppm", "n_entries", names.alias("contributing_engines"))
 
 
 def contributors(

@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shiftframe import constants as C
-from shiftframe.functions.skew import split_hot
+from shiftframe.functions.skew import join_on
 
-CHUNK_LINES = 2048
+CHUNK_LINES = 512
 
 
 def shared_domain(
@@ -20,7 +20,7 @@ def shared_domain(
     """(keys, low, high): the range of the lines with a margin, inside the default domain; the default without lines."""
     default_low, default_high = C.DOMAIN_PPM.get(nucleus, C.OTHER_DOMAIN_PPM)
     margin = C.DOMAIN_MARGIN_1H_PPM if nucleus == "1H" else C.DOMAIN_MARGIN_OTHER_PPM
-    extent = lines.groupBy(*keys).agg(F.min(position).alias("_min"), F.max(position).alias("_max"))
+    extent = lines.where(~F.isnan(position)).groupBy(*keys).agg(F.min(position).alias("_min"), F.max(position).alias("_max"))
 
     def inside(value: Column) -> Column:
         return F.least(F.lit(default_high), F.greatest(F.lit(default_low), value))
@@ -91,9 +91,9 @@ def spectrum_synthesis(
 ) -> DataFrame:
     """Points (keys, i, x, y): the sum of Lorentzian lines (shift, intensity, width), highest point scaled to 1.
 
-    The lines of a spectrum travel as arrays of at most about ``chunk_lines``; the grid is made where they land and is
-    never joined with the lines. A spectrum of one chunk is finished there, with no further shuffle. Only spectra with
-    more lines are cut: equal lines are added up, the rest is spread over chunks, and the chunks add up point by point.
+    The lines of a spectrum travel as arrays of about ``chunk_lines`` at most; the grid is made where they land and is
+    never joined with the lines. A spectrum of one chunk is finished there, with no further shuffle; the chunks of a
+    larger one add up point by point. Lines with a null or NaN in place, height or width are left out.
     """
     n = points or C.SPECTRUM_POINTS.get(nucleus, C.OTHER_SPECTRUM_POINTS)
     keys = list(keys)
@@ -102,35 +102,30 @@ def spectrum_synthesis(
         [T.StructField(k, kinds[k]) for k in keys]
         + [T.StructField("i", T.IntegerType()), T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())]
     )
-    spans = domains.select(*keys, "low", "high")
-    line = F.collect_list(F.struct("shift", "intensity", "width")).alias("_lines")
-
-    def arrays(rows: DataFrame) -> DataFrame:
-        named = (("shift", "centers"), ("intensity", "heights"), ("width", "widths"))
-        empty = F.array().cast("array<double>")
-        return rows.select(
-            *keys, "low", "high", *[F.coalesce(F.col(f"_lines.{field}"), empty).alias(name) for field, name in named]
-        )
-
-    few, many = split_hot(lines.select(*keys, "shift", "intensity", "width"), keys, chunk_lines)
+    fields = (("shift", "centers"), ("intensity", "heights"), ("width", "widths"))
+    sound = lines.select(*keys, *[F.col(name).cast("double").alias(name) for name, _ in fields])
+    for name, _ in fields:
+        sound = sound.where(F.col(name).isNotNull() & ~F.isnan(name))
+    sizes = sound.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / chunk_lines).alias("_chunks"))
+    spans = join_on(domains.select(*keys, "low", "high"), sizes, keys, "left")
+    spans = spans.withColumn("_chunks", F.coalesce("_chunks", F.lit(1).cast("long")))
+    chunk = F.pmod(F.xxhash64("shift", "width", "intensity"), F.col("_chunks"))
+    dealt = join_on(sound, sizes, keys).withColumn("_chunk", chunk)
+    packed = dealt.groupBy(*keys, "_chunk").agg(F.collect_list(F.struct(*[name for name, _ in fields])).alias("_lines"))
+    held = join_on(spans, packed, keys, "left").select(
+        *keys, "low", "high", "_chunks",
+        *[F.coalesce(F.col(f"_lines.{name}"), F.array().cast("array<double>")).alias(label) for name, label in fields],
+    )
+    few, many = held.where("_chunks = 1").drop("_chunks"), held.where("_chunks > 1").drop("_chunks")
     # The number of partitions is fixed: the rows are small, but each stands for many points to compute.
     partitions = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    packed = few.repartition(partitions, *keys).groupBy(*keys).agg(line)
-    if many is None:
-        return arrays(spans.join(packed, keys, "left")).mapInPandas(_sampler(keys, n, True), out)
-
-    crowded = many.select(*keys).distinct()
-    single = spans.join(crowded, keys, "left_anti").join(packed, keys, "left")
-    merged = many.groupBy(*keys, "shift", "width").agg(F.sum("intensity").alias("intensity"))
-    sizes = merged.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / chunk_lines).alias("_chunks"))
-    chunked = merged.join(sizes, keys).withColumn("_chunk", F.pmod(F.xxhash64("shift", "width"), F.col("_chunks")))
-    parts = arrays(spans.join(chunked.groupBy(*keys, "_chunk").agg(line), keys)).mapInPandas(_sampler(keys, n, False), out)
+    finished = few.repartition(partitions, *keys).mapInPandas(_sampler(keys, n, True), out)
+    parts = many.repartition(partitions, *keys, "centers").mapInPandas(_sampler(keys, n, False), out)
     summed = parts.groupBy(*keys, "i").agg(F.first("x").alias("x"), F.sum("y").alias("y"))
-    tops = summed.groupBy(*keys).agg(F.max("y").alias("_top"))
-    scaled = summed.join(tops, keys).select(
+    scaled = join_on(summed, summed.groupBy(*keys).agg(F.max("y").alias("_top")), keys).select(
         *keys, "i", "x", F.when(F.col("_top") > 0, F.col("y") / F.col("_top")).otherwise(F.col("y")).alias("y")
     )
-    return arrays(single).mapInPandas(_sampler(keys, n, True), out).unionByName(scaled)
+    return finished.unionByName(scaled)
 
 
 def spectrum_meta(domains: DataFrame, *, nucleus: str, keys: Sequence[str] = ("spec_id",), title: Column | None = None) -> DataFrame:
@@ -151,8 +146,8 @@ def spectrum_meta(domains: DataFrame, *, nucleus: str, keys: Sequence[str] = ("s
 def rbf_expand(distance: Column, *, size: int = C.RBF_SIZE) -> Column:
     """Radial basis values of a distance, as an array."""
 
-    def value(k: Column) -> Column:
+    def value(k: int) -> Column:
         away = distance - (k * C.RBF_DELTA - C.RBF_MU)
         return F.exp(-(away * away) / C.RBF_DELTA)
 
-    return F.transform(F.sequence(F.lit(0), F.lit(size - 1)), value)
+    return F.array(*[value(k) for k in range(size)])

@@ -7,13 +7,20 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shiftframe import constants as C
 from shiftframe.constants import DEFAULT_WEIGHTS
 from shiftframe.functions.workspace import materialize
 from shiftframe.operators import calibration, graph, normalize, signals, spectra, validate
 from shiftframe.operators.consensus import consensus, consensus_template, weight_overlay, weights_used
 from shiftframe.sources.reference import read_reference_table, upsert_reference
 
-ANNOTATIONS = ("attached_atom_index", "assignment_group", "multiplicity", "coupling_hz", "neighbor_count")
+ANNOTATIONS = {
+    "attached_atom_index": "int",
+    "assignment_group": "string",
+    "multiplicity": "string",
+    "coupling_hz": "double",
+    "neighbor_count": "int",
+}
 
 
 def merge_engines(
@@ -28,16 +35,25 @@ def merge_engines(
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Check, annotate and merge predictions: (headers, merged shifts, weights per molecule).
 
-    ``headers`` has (mol_id, engine, engine_pos, status), ``shifts`` (mol_id, engine, atom_index, symbol, shift_ppm).
+    ``headers`` has (mol_id, engine, engine_pos, status), ``shifts`` (mol_id, engine, atom_index, symbol, shift_ppm) and
+    the engine's own annotations where it has any. A molecule without atoms makes all its engines errors. Proton
+    annotations come from the graph and replace the engine's own where a proton has an anchor; attached indices are
+    checked before and after that.
     """
     sizes = atoms.groupBy("mol_id").agg(F.count(F.lit(1)).alias("n_atoms"))
-    counted = shifts.join(sizes, "mol_id").withColumn("attached_atom_index", F.lit(None).cast("int"))
-    checked, kept = validate.index_check_strict(headers, counted)
-    rows = kept.drop("attached_atom_index", "n_atoms")
+    counted = shifts.join(sizes, "mol_id", "left").withColumn("n_atoms", F.coalesce("n_atoms", F.lit(0)))
+    absent = {name: F.lit(None).cast(kind) for name, kind in ANNOTATIONS.items() if name not in shifts.columns}
+    counted = counted.withColumns(absent) if absent else counted
+    checked, rows = validate.index_check_strict(headers, counted)
     if nucleus == "1H":
-        rows = rows.join(graph.multiplicity_rule(atoms, bonds), ["mol_id", "atom_index"], "left")
-    else:
-        rows = rows.select("*", *[F.lit(None).alias(name) for name in ANNOTATIONS])
+        found = graph.multiplicity_rule(atoms, bonds)
+        found = found.select("mol_id", "atom_index", F.struct(*[c for c in ANNOTATIONS if c in found.columns]).alias("_found"))
+        have = [f.name for f in found.schema["_found"].dataType.fields]
+        annotated = rows.join(found, ["mol_id", "atom_index"], "left")
+        anchored = F.col("_found.attached_atom_index").isNotNull()
+        rows = annotated.withColumns({c: F.when(anchored, F.col(f"_found.{c}")).otherwise(F.col(c)) for c in have}).drop("_found")
+        checked, rows = validate.index_check_strict(checked, rows)
+    rows = rows.drop("n_atoms")
     if overrides is None:
         overrides = headers.select("mol_id", "engine", F.lit(None).cast("double").alias("weight")).where(F.lit(False))
     weighted = weight_overlay(checked, overrides, defaults=defaults)
@@ -47,7 +63,7 @@ def merge_engines(
         ),
         ["mol_id", "engine"],
     )
-    merged = consensus(usable, weight=F.col("weight"), engine_order=list(defaults))
+    merged = consensus(usable, weight=F.col("weight"))
     fields = consensus_template(usable, ["symbol", *ANNOTATIONS])
     return checked, merged.join(fields, ["mol_id", "atom_index"]), weights_used(weighted)
 
@@ -61,18 +77,25 @@ def draw_spectra(
     scope: Sequence[str] = ("mol_id",),
     points: int | None = None,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """From flat shifts to spectra: (signals, points, metadata). ``spectra_of`` maps the scope to a spec_id."""
+    """From flat shifts to spectra: (signals, points, metadata). ``spectra_of`` maps the scope to a spec_id.
+
+    In individual mode every engine has a spectrum of its own, in consensus mode there is one; all spectra of a
+    spec_id share one domain.
+    """
     members = signals.signal_group(shifts, nucleus=nucleus, mode=mode, scope=scope)
     stats = signals.signal_stats(members, nucleus=nucleus, scope=scope, with_atoms=False)
     shown = signals.add_lines(stats, nucleus=nucleus).join(spectra_of, list(scope))
-    lines = signals.line_rows(shown, keep=["spec_id", "std"]).select(
-        "spec_id", "shift", "intensity", spectra.line_width(nucleus, F.col("std")).alias("width")
+    engine = F.coalesce("engine", F.lit("engine" if mode == "individual" else "consensus")).alias("engine")
+    lines = signals.line_rows(shown, keep=["spec_id", "engine", "std"]).select(
+        "spec_id", engine, "shift", "intensity", spectra.line_width(nucleus, F.col("std")).alias("width")
     )
     # Domain and drawing both read the lines, which are the end of a long plan.
     lines = materialize(lines, "lines")
-    domains = spectra.shared_domain(lines, spectra_of, nucleus=nucleus)
-    drawn = spectra.spectrum_synthesis(lines, domains, nucleus=nucleus, points=points)
-    return shown, drawn, spectra.spectrum_meta(domains, nucleus=nucleus)
+    shared = spectra.shared_domain(lines, spectra_of, nucleus=nucleus)
+    domains = shared.join(lines.select("spec_id", "engine").distinct(), "spec_id")
+    keys = ("spec_id", "engine")
+    drawn = spectra.spectrum_synthesis(lines, domains, nucleus=nucleus, points=points, keys=keys)
+    return shown, drawn, spectra.spectrum_meta(domains, nucleus=nucleus, keys=keys)
 
 
 def calibrate_logs(
@@ -82,10 +105,12 @@ def calibrate_logs(
     compounds: DataFrame,
     table: str,
 ) -> tuple[DataFrame, DataFrame]:
-    """From parsed logs to calibrated shifts: (shifts, status per molecule).
+    """From parsed logs to calibrated shifts: (shifts, per molecule: status and message).
 
     ``sections`` has (mol_id, atom_index, sigma), ``targets`` (mol_id, atom_index, nucleus, functional, basis) and
     ``compounds`` the shieldings of reference compounds. Methods the reference ``table`` lacks are computed and added.
+    A molecule with an atom that has no shielding, or whose method has no reference for one of its atoms, is an error
+    that says so, and has no shifts.
     """
     missing = calibration.missing_keys(targets, read_reference_table(spark, table))
     keyed = compounds.withColumn("functional", calibration.method_key(F.col("functional"))).withColumn(
@@ -93,8 +118,18 @@ def calibrate_logs(
     )
     computed = calibration.reference_mean(keyed.join(missing, ["functional", "basis"], "left_semi"))
     known = upsert_reference(spark, table, computed)
-    complete, status = calibration.calibrate_complete(targets, sections)
-    return calibration.calibrate(complete, known), status
+    complete, judged = calibration.calibrate_complete(targets, sections)
+    calibrated = materialize(calibration.calibrate(complete, known), "calibrated")
+    unknown = calibrated.where("sigma_ref is null").groupBy("mol_id").agg(
+        F.min(F.struct(calibration.method_key(F.col("functional")).alias("f"), calibration.method_key(F.col("basis")).alias("b"))).alias("_method")
+    )
+    lacking = F.col("_method").isNotNull()
+    status = judged.join(unknown, "mol_id", "left").select(
+        "mol_id",
+        F.when(lacking, "error").otherwise(F.col("status")).alias("status"),
+        F.when(lacking, F.format_string(C.MESSAGE_REFERENCE_MISSING, "_method.f", "_method.b")).otherwise(F.col("message")).alias("message"),
+    )
+    return calibrated.join(unknown.select("mol_id"), "mol_id", "left_anti"), status
 
 
 def flat_rows(individual: DataFrame, merged: DataFrame, requests: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from shiftframe.functions.workspace import new_path
 from shiftframe.operators.engine_apply import apply_engine as apply_predictor
 from shiftframe.operators.spectra import spectrum_meta
-from shiftframe.plans.queries_signals import _SPECTRUM_SQL, spectrum_domains, synthesized
+from shiftframe.plans.queries_signals import _SPECTRUM_SQL, SPEC_NUCLEUS, spectrum_domains, synthesized
 from shiftframe.plans.registry import query
 from shiftframe.plans.views import Views
 from shiftframe.sources import coordinates, logs, manifest, reference, results, spectra
@@ -185,18 +185,13 @@ _DECK_HEAD = "'! PBE def2-SVP NMR TightSCF', '', '%maxcore 2000', '%pal', '  npr
 @query(
     "render_decks",
     f"""
-    WITH g AS (SELECT mol_id, count(*) FILTER (atomic_num > 1) AS h, count(*) AS n, sum(formal_charge) AS c, sum(radicals) + 1 AS s,
+    WITH g AS (SELECT mol_id, sum(formal_charge) AS c, sum(radicals) + 1 AS s,
                       string_agg(printf('  %-2s  %14.8f  %14.8f  %14.8f', symbol, x, y, z), chr(10) ORDER BY atom_index) AS block FROM atoms GROUP BY mol_id)
-    SELECT mol_id, CASE WHEN h <= 8 AND n <= 10 THEN array_to_string([{_DECK_HEAD}, '* xyz ' || c || ' ' || s, block, '*', ''], chr(10)) END AS deck,
-           CASE WHEN h > 8 THEN 'Molecule is too large (' || h || ' heavy atoms; max 8)'
-                WHEN n > 10 THEN 'Molecule is too large after adding hydrogens (' || n || ' atoms; max 10)' END AS reason FROM g
+    SELECT mol_id, array_to_string([{_DECK_HEAD}, '* xyz ' || c || ' ' || s, block, '*', ''], chr(10)) AS deck FROM g
     """,
 )
 def render_decks(v: Views) -> DataFrame:
-    """Limits lowered to 8 and 10 so that some molecules are refused."""
-    return coordinates.render_decks(
-        v.atoms(), functional="PBE", basis="def2-SVP", cpus=4, ram_mb=2000, max_heavy=8, max_atoms=10
-    )
+    return coordinates.render_decks(v.atoms(), functional="PBE", basis="def2-SVP", cpus=4, ram_mb=2000)
 
 
 @query(
@@ -219,14 +214,14 @@ def manifest_check(v: Views) -> DataFrame:
 @query(
     "write_spectra",
     f"""
-    SELECT s.spec_id, s.i, round(s.x, 6) AS x, round(s.y, 6) AS y, '1H' AS nucleus FROM ({_SPECTRUM_SQL}) s
+    SELECT s.spec_id, s.i, round(s.x, 6) AS x, round(s.y, 6) AS y, '{SPEC_NUCLEUS}' AS nucleus FROM ({_SPECTRUM_SQL}) s
     """,
 )
 def write_spectra(v: Views) -> DataFrame:
     """Points written by nucleus and read back."""
     path = new_path(v.spark, "spectra")
-    points = synthesized(v).withColumn("nucleus", F.lit("1H"))
-    spectra.write_spectra(points, spectrum_meta(spectrum_domains(v), nucleus="1H"), path)
+    points = synthesized(v).withColumn("nucleus", F.lit(SPEC_NUCLEUS))
+    spectra.write_spectra(points, spectrum_meta(spectrum_domains(v), nucleus=SPEC_NUCLEUS), path)
     read, _ = spectra.read_spectra(v.spark, path)
     return read.withColumn("x", F.round("x", 6)).withColumn("y", F.round("y", 6))
 

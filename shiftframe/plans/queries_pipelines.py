@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from shiftframe.functions.workspace import new_path
 from shiftframe.plans import pipelines
-from shiftframe.plans.queries_signals import _LINES_SQL, _STATS_SQL, _WALK_SQL
+from shiftframe.plans.queries_signals import SPEC_NUCLEUS
 from shiftframe.plans.queries_structure import _NEIGHBOR_SQL
 from shiftframe.plans.registry import query
 from shiftframe.plans.views import Views
@@ -49,31 +49,37 @@ def merge_engines(v: Views) -> DataFrame:
 
 @query(
     "draw_spectra",
-    f"""
-    WITH RECURSIVE {_WALK_SQL}, {_STATS_SQL}, {_LINES_SQL},
-    dom AS (SELECT mol_id % 32 AS spec_id, least(12::DOUBLE, greatest(0::DOUBLE, min(shift) - 0.9)) AS low, least(12::DOUBLE, greatest(0::DOUBLE, max(shift) + 0.9)) AS high
-            FROM lines GROUP BY mol_id % 32),
-    ax AS (SELECT spec_id, CAST(i AS INTEGER) AS i, low + i * ((high - low) / 127) AS x FROM dom CROSS JOIN range(128) AS r(i)),
-    raw AS (SELECT ax.spec_id, ax.i, any_value(ax.x) AS x, sum(l.intensity * 0.000004::DOUBLE / ((ax.x - l.shift) * (ax.x - l.shift) + 0.000004::DOUBLE)) AS y
-            FROM ax JOIN lines l ON l.mol_id % 32 = ax.spec_id GROUP BY ax.spec_id, ax.i)
-    SELECT spec_id, i, round(x, 6) AS x, round(y / max(y) OVER (PARTITION BY spec_id), 6) AS y FROM raw
+    """
+    WITH two AS (SELECT *, 'own' AS engine FROM protons UNION ALL SELECT mol_id, atom_index, assignment_group, shift_ppm + 0.05, multiplicity, coupling_hz, 'other' FROM protons),
+    sig AS (SELECT mol_id % 32 AS spec_id, engine, avg(shift_ppm) AS shift FROM two GROUP BY mol_id, engine, assignment_group),
+    dom AS (SELECT spec_id, least(200::DOUBLE, greatest(0::DOUBLE, min(shift) - 8)) AS low, least(200::DOUBLE, greatest(0::DOUBLE, max(shift) + 8)) AS high FROM sig GROUP BY spec_id),
+    ax AS (SELECT spec_id, engine, CAST(i AS INTEGER) AS i, low + i * ((high - low) / 4095) AS x
+           FROM (SELECT DISTINCT spec_id, engine FROM sig) JOIN dom USING (spec_id) CROSS JOIN range(4096) AS r(i)),
+    raw AS (SELECT ax.spec_id, ax.engine, ax.i, any_value(ax.x) AS x, sum(0.0036::DOUBLE / ((ax.x - l.shift) * (ax.x - l.shift) + 0.0036::DOUBLE)) AS y
+            FROM ax JOIN sig l ON l.spec_id = ax.spec_id AND l.engine = ax.engine GROUP BY ax.spec_id, ax.engine, ax.i)
+    SELECT spec_id, engine, i, round(x, 6) AS x, round(y / max(y) OVER (PARTITION BY spec_id, engine), 6) AS y FROM raw
     """,
 )
 def draw_spectra(v: Views) -> DataFrame:
-    """Molecules are mixed into 32 spectra."""
+    """Molecules are mixed into 32 samples, each drawn for two engines on one domain."""
     protons = v.protons().withColumnRenamed("shift_ppm", "shift")
+    both = F.array(
+        F.struct(F.lit("own").alias("engine"), F.col("shift")),
+        F.struct(F.lit("other").alias("engine"), (F.col("shift") + 0.05).alias("shift")),
+    )
+    two = protons.select(*[c for c in protons.columns if c != "shift"], F.inline(both))
     spectra_of = protons.select("mol_id").distinct().withColumn("spec_id", F.col("mol_id") % 32)
-    _, points, _ = pipelines.draw_spectra(protons, spectra_of, points=128)
-    return points.select("spec_id", "i", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
+    _, points, _ = pipelines.draw_spectra(two, spectra_of, nucleus=SPEC_NUCLEUS)
+    return points.select("spec_id", "engine", "i", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
 
 
 _TARGETS_SQL = r"""
-    targets AS (SELECT mol_id, atom_index, CASE atomic_num WHEN 1 THEN '1H' ELSE '13C' END AS nucleus, mol_id % 3 AS method FROM atoms WHERE atomic_num IN (1, 6)),
+    targets AS (SELECT mol_id, atom_index, CASE atomic_num WHEN 1 THEN '1H' ELSE '13C' END AS nucleus, CASE WHEN mol_id % 10 = 9 THEN 3 ELSE mol_id % 3 END AS method FROM atoms WHERE atomic_num IN (1, 6)),
     sec AS (SELECT file_id AS mol_id, CAST(regexp_extract(line, 'Nucleus\s+(\d+)', 1) AS INTEGER) AS atom_index, CAST(regexp_extract(nxt, '(-?\d+\.\d+)', 1) AS DOUBLE) AS sigma
             FROM (SELECT *, lead(line) OVER (PARTITION BY file_id ORDER BY line_no) AS nxt FROM log_lines) l WHERE line LIKE ' Nucleus%' AND nxt LIKE '%Isotropic%'),
     ref AS (SELECT lower(trim(functional)) AS f, lower(trim(basis)) AS b, avg(sigma) FILTER (atomic_num = 1) AS h, avg(sigma) FILTER (atomic_num = 6) AS c
-            FROM shieldings WHERE mol_id % 100 < 3 GROUP BY 1, 2),
-    m AS (SELECT 0 AS method, 'pbe' AS f, 'def2-svp' AS b UNION ALL SELECT 1, 'pbe', 'def2-svp' UNION ALL SELECT 2, 'b3lyp', 'def2-tzvp')
+            FROM shieldings GROUP BY 1, 2),
+    m AS (SELECT 0 AS method, 'pbe' AS f, 'def2-svp' AS b UNION ALL SELECT 1, 'pbe', 'def2-svp' UNION ALL SELECT 2, 'b3lyp', 'def2-tzvp' UNION ALL SELECT 3, 'new', 'def2-svp')
 """
 
 
@@ -81,22 +87,34 @@ _TARGETS_SQL = r"""
     "calibrate_logs",
     f"""
     WITH {_TARGETS_SQL},
-    j AS (SELECT t.*, s.sigma, bool_or(s.sigma IS NULL) OVER (PARTITION BY t.mol_id) AS broken FROM targets t LEFT JOIN sec s ON s.mol_id = t.mol_id AND s.atom_index = t.atom_index)
-    SELECT j.mol_id, j.atom_index, j.nucleus, round(CASE j.nucleus WHEN '1H' THEN ref.h ELSE ref.c END - j.sigma, 6) AS shift_ppm
-    FROM j JOIN m ON m.method = j.method JOIN ref ON ref.f = m.f AND ref.b = m.b WHERE NOT broken AND ref.h IS NOT NULL AND ref.c IS NOT NULL
+    j AS (SELECT t.*, s.sigma, m.f, m.b, CASE t.nucleus WHEN '1H' THEN ref.h ELSE ref.c END AS sigma_ref
+          FROM targets t LEFT JOIN sec s ON s.mol_id = t.mol_id AND s.atom_index = t.atom_index JOIN m ON m.method = t.method
+          LEFT JOIN ref ON ref.f = m.f AND ref.b = m.b AND ref.h IS NOT NULL AND ref.c IS NOT NULL),
+    judged AS (SELECT mol_id, CASE
+          WHEN bool_or(sigma IS NULL) THEN 'ORCA did not emit an isotropic shielding for atom ' || min(atom_index) FILTER (sigma IS NULL)
+            || ' (' || min_by(ltrim(nucleus, '0123456789'), atom_index) FILTER (sigma IS NULL) || ')'
+          WHEN bool_or(sigma_ref IS NULL) THEN 'No complete reference shieldings for ' || min(f) || ' / ' || min(b) END AS message FROM j GROUP BY mol_id)
+    SELECT j.mol_id, j.atom_index, j.nucleus, round(sigma_ref - sigma, 6) AS shift_ppm, NULL::VARCHAR AS message
+    FROM j JOIN judged USING (mol_id) WHERE message IS NULL
+    UNION ALL SELECT mol_id, NULL, NULL, NULL, message FROM judged WHERE message IS NOT NULL
     """,
 )
 def calibrate_logs(v: Views) -> DataFrame:
-    """Reference compounds are the molecules whose number ends in 00 to 02."""
-    number, kind = F.col("atomic_num"), F.col("mol_id") % 3
+    """Shifts of the molecules that can be calibrated, and one row with the reason for each of the others.
+
+    All molecules serve as reference compounds; the method of every tenth molecule is one that they do not have.
+    """
+    number, kind = F.col("atomic_num"), F.when(F.col("mol_id") % 10 == 9, 3).otherwise(F.col("mol_id") % 3)
     targets = v.atoms().where(number.isin(1, 6)).select(
         "mol_id",
         "atom_index",
         F.when(number == 1, "1H").otherwise("13C").alias("nucleus"),
-        F.when(kind == 0, " PBE ").when(kind == 1, "pbe").otherwise("B3LYP").alias("functional"),
+        F.when(kind == 0, " PBE ").when(kind == 1, "pbe").when(kind == 2, "B3LYP").otherwise("New").alias("functional"),
         F.when(kind == 2, "def2-TZVP").otherwise("def2-SVP").alias("basis"),
     )
     sections = log_sections(v.log_lines()).withColumnRenamed("file_id", "mol_id")
-    compounds = v.shieldings().where("mol_id % 100 < 3")
-    shifts, _ = pipelines.calibrate_logs(v.spark, sections, targets, compounds, new_path(v.spark, "reference"))
-    return shifts.select("mol_id", "atom_index", "nucleus", F.round("shift_ppm", 6).alias("shift_ppm"))
+    table = new_path(v.spark, "reference")
+    shifts, status = pipelines.calibrate_logs(v.spark, sections, targets, v.shieldings(), table)
+    failed = status.where("status = 'error'").select("mol_id", "message")
+    done = shifts.select("mol_id", "atom_index", "nucleus", F.round("shift_ppm", 6).alias("shift_ppm"))
+    return done.unionByName(failed, allowMissingColumns=True)

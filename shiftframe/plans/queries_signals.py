@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shiftframe import constants as C
 from shiftframe.functions import text
 from shiftframe.functions.once import once
 from shiftframe.functions.workspace import materialize
@@ -203,43 +204,49 @@ def integral_curve(v: Views) -> DataFrame:
 
 # --- spectra: one spectrum per supplier, one line per row --------------------------------------------------------
 
-_POINTS = 512
+SPEC_NUCLEUS = "11B"  # has the defaults of an unlisted nucleus, whose grid a second engine can also draw
+_POINTS = C.OTHER_SPECTRUM_POINTS
 _SPEC_LINES_SQL = """
     SELECT l_suppkey AS spec_id, l_extendedprice % CAST(9 AS DOUBLE) AS shift, CAST(1 + l_linenumber % 3 AS DOUBLE) AS intensity,
-           CAST(0.004 AS DOUBLE) + greatest(CAST(0 AS DOUBLE), l_discount * CAST(0.35 AS DOUBLE)) AS width FROM lineitem WHERE l_suppkey % 10 <> 7
+           CAST(0.12 AS DOUBLE) + greatest(CAST(0 AS DOUBLE), l_discount * CAST(0.35 AS DOUBLE)) AS width FROM lineitem
 """
+_SPECS_SQL = "SELECT s_suppkey AS spec_id FROM supplier UNION ALL SELECT -s_suppkey FROM supplier WHERE s_suppkey % 10 = 7"
 _DOMAIN_SQL = f"""
-    SELECT s.s_suppkey AS spec_id, CASE WHEN d.lo IS NULL THEN 0 ELSE least(CAST(12 AS DOUBLE), greatest(CAST(0 AS DOUBLE), d.lo - 0.9)) END AS low,
-           CASE WHEN d.hi IS NULL THEN 12 ELSE least(CAST(12 AS DOUBLE), greatest(CAST(0 AS DOUBLE), d.hi + 0.9)) END AS high
-    FROM supplier s LEFT JOIN (SELECT spec_id, min(shift) AS lo, max(shift) AS hi FROM ({_SPEC_LINES_SQL}) x GROUP BY spec_id) d ON d.spec_id = s.s_suppkey
+    SELECT s.spec_id, CASE WHEN d.lo IS NULL THEN 0 ELSE least(CAST(200 AS DOUBLE), greatest(CAST(0 AS DOUBLE), d.lo - 8)) END AS low,
+           CASE WHEN d.hi IS NULL THEN 200 ELSE least(CAST(200 AS DOUBLE), greatest(CAST(0 AS DOUBLE), d.hi + 8)) END AS high
+    FROM ({_SPECS_SQL}) s LEFT JOIN (SELECT spec_id, min(shift) AS lo, max(shift) AS hi FROM ({_SPEC_LINES_SQL}) x GROUP BY spec_id) d ON d.spec_id = s.spec_id
 """
 _AXIS_SQL = f"SELECT spec_id, CAST(i AS INTEGER) AS i, low + i * ((high - low) / {_POINTS - 1}) AS x FROM ({_DOMAIN_SQL}) dom CROSS JOIN range({_POINTS}) AS r(i)"
 
 
 def spectrum_lines(v: Views) -> DataFrame:
-    return v.table("lineitem").where("l_suppkey % 10 <> 7").select(
+    """Every line of lineitem, and for every tenth order one without a place, which counts for nothing."""
+    order = F.col("l_orderkey")
+    places = F.array((F.col("l_extendedprice") % F.lit(9.0)), F.when(order % 20 == 0, F.lit(None)).otherwise(F.lit(float("nan"))))
+    return v.table("lineitem").select(
         F.col("l_suppkey").alias("spec_id"),
-        (F.col("l_extendedprice") % F.lit(9.0)).alias("shift"),
+        F.explode(F.slice(places, 1, F.when(order % 10 == 0, 2).otherwise(1))).alias("shift"),
         (1 + F.col("l_linenumber") % 3).cast("double").alias("intensity"),
-        spectra.line_width("1H", F.col("l_discount")).alias("width"),
+        spectra.line_width(SPEC_NUCLEUS, F.col("l_discount")).alias("width"),
     )
 
 
 def spectrum_domains(v: Views) -> DataFrame:
-    return spectra.shared_domain(
-        spectrum_lines(v), v.table("supplier").select(F.col("s_suppkey").alias("spec_id")), nucleus="1H"
-    )
+    """One spectrum per supplier, and for every tenth another one without lines."""
+    key = F.col("s_suppkey")
+    specs = v.table("supplier").select(F.explode(F.when(key % 10 == 7, F.array(key, -key)).otherwise(F.array(key))).alias("spec_id"))
+    return spectra.shared_domain(spectrum_lines(v), specs, nucleus=SPEC_NUCLEUS)
 
 
 @query("shared_domain", f"SELECT spec_id, round(low, 6) AS low, round(high, 6) AS high FROM ({_DOMAIN_SQL}) d")
 def shared_domain(v: Views) -> DataFrame:
-    """Every tenth spectrum has no lines and keeps the default."""
+    """Spectra without lines keep the default."""
     return spectrum_domains(v).select("spec_id", F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
 
 
 @query("spectrum_axis", f"SELECT spec_id, i, round(x, 6) AS x FROM ({_AXIS_SQL}) a")
 def spectrum_axis(v: Views) -> DataFrame:
-    return spectra.spectrum_axis(spectrum_domains(v), nucleus="1H", points=_POINTS).withColumn("x", F.round("x", 6))
+    return spectra.spectrum_axis(spectrum_domains(v), nucleus=SPEC_NUCLEUS).withColumn("x", F.round("x", 6))
 
 
 _SPECTRUM_SQL = f"""
@@ -251,7 +258,7 @@ _SPECTRUM_SQL = f"""
 
 
 def synthesized(v: Views) -> DataFrame:
-    return spectra.spectrum_synthesis(spectrum_lines(v), spectrum_domains(v), nucleus="1H", points=_POINTS)
+    return spectra.spectrum_synthesis(spectrum_lines(v), spectrum_domains(v), nucleus=SPEC_NUCLEUS)
 
 
 @query("spectrum_synthesis", f"SELECT spec_id, i, round(x, 6) AS x, round(y, 6) AS y FROM ({_SPECTRUM_SQL}) s")
@@ -262,12 +269,12 @@ def spectrum_synthesis(v: Views) -> DataFrame:
 @query(
     "spectrum_meta",
     f"""
-    SELECT spec_id, '1H' AS nucleus, 'proton' AS experiment, CAST(400.13 AS DOUBLE) AS base_frequency,
-           round((low + high) * CAST(400.13 AS DOUBLE) / 2, 6) AS frequency_offset, round(high - low, 6) AS spectral_width FROM ({_DOMAIN_SQL}) d
+    SELECT spec_id, '{SPEC_NUCLEUS}' AS nucleus, 'carbon' AS experiment, CAST(100 AS DOUBLE) AS base_frequency,
+           round((low + high) * CAST(100 AS DOUBLE) / 2, 6) AS frequency_offset, round(high - low, 6) AS spectral_width FROM ({_DOMAIN_SQL}) d
     """,
 )
 def spectrum_meta(v: Views) -> DataFrame:
-    meta = spectra.spectrum_meta(spectrum_domains(v), nucleus="1H")
+    meta = spectra.spectrum_meta(spectrum_domains(v), nucleus=SPEC_NUCLEUS)
     return meta.withColumn("frequency_offset", F.round("frequency_offset", 6)).withColumn(
         "spectral_width", F.round("spectral_width", 6)
     )

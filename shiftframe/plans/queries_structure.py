@@ -60,7 +60,7 @@ def _target_sigma(v: Views) -> DataFrame:
     "calibrate",
     f"""
     SELECT s.mol_id, s.atom_index, s.nucleus, round(r.sigma - s.sigma, 6) AS shift_ppm
-    FROM ({_TARGET_SIGMA_SQL}) s JOIN reference_sigma r
+    FROM ({_TARGET_SIGMA_SQL}) s LEFT JOIN reference_sigma r
       ON r.functional = lower(trim(s.functional)) AND r.basis = lower(trim(s.basis)) AND r.nucleus = s.nucleus
     """,
 )
@@ -75,6 +75,8 @@ def calibrate(v: Views) -> DataFrame:
     f"""
     SELECT mol_id, min(atom_index) FILTER (sigma IS NULL) AS first_missing,
            CASE WHEN count(*) FILTER (sigma IS NULL) > 0 THEN 'error' ELSE 'ok' END AS status,
+           'ORCA did not emit an isotropic shielding for atom ' || min(atom_index) FILTER (sigma IS NULL) || ' ('
+             || min_by(ltrim(nucleus, '0123456789'), atom_index) FILTER (sigma IS NULL) || ')' AS message,
            CASE WHEN count(*) FILTER (sigma IS NULL) > 0 THEN 0 ELSE count(*) END AS n_rows
     FROM ({_TARGET_SIGMA_SQL}) s GROUP BY mol_id
     """,
@@ -84,7 +86,7 @@ def calibrate_complete(v: Views) -> DataFrame:
     rows, status = calibration.calibrate_complete(targets.drop("sigma"), targets)
     counts = rows.groupBy("mol_id").agg(F.count(F.lit(1)).alias("n"))
     return status.join(counts, "mol_id", "left").select(
-        "mol_id", "first_missing", "status", F.coalesce("n", F.lit(0).cast("long")).alias("n_rows")
+        "mol_id", "first_missing", "status", "message", F.coalesce("n", F.lit(0).cast("long")).alias("n_rows")
     )
 
 

@@ -2,7 +2,7 @@
 
 VIEWS = {
     "engine_results": """
-        SELECT m.mol_id, e.engine, e.engine_pos,
+        SELECT m.mol_id, e.engine, CAST(CASE WHEN m.mol_id % 4 = 1 THEN 4 - e.engine_pos ELSE e.engine_pos END AS INTEGER) AS engine_pos,
                CASE WHEN e.engine='cdk' AND m.mol_id % 13 = 0 THEN 'error'
                     WHEN e.engine='cascade' AND m.mol_id % 11 = 0 THEN 'error'
                     WHEN e.engine='orca' AND m.mol_id % 7 = 0 THEN 'pending' ELSE 'ok' END AS status

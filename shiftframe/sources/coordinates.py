@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from shiftframe import constants as C
 from shiftframe.functions.once import once
 from shiftframe.functions.text import stripped
-from shiftframe.operators.validate import size_gate
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
@@ -76,21 +75,17 @@ def render_decks(
     cpus: int = 1,
     ram_mb: int = 1000,
     mol: str = "mol_id",
-    max_heavy: int = C.MAX_HEAVY_ATOMS,
-    max_atoms: int = C.MAX_TOTAL_ATOMS,
 ) -> DataFrame:
-    """One input text per molecule (mol, deck, reason), coordinates in atom order.
+    """One input text per molecule (mol, deck), coordinates in atom order.
 
-    A molecule over the size limits is not calculated: it gets no deck but the reason. That rule also bounds what is
-    gathered per molecule.
+    Every molecule is rendered; a deck is as long as its molecule, and ``size_gate`` is there for callers with limits.
     """
-    gate = size_gate(atoms, mol=mol, max_heavy=max_heavy, max_atoms=max_atoms)
-    totals = atoms.groupBy(mol).agg(F.sum("formal_charge").alias("_charge"), (F.sum("radicals") + 1).alias("_spin"))
-    refused = gate.where(F.col("reason").isNotNull()).select(mol, "reason")
-    fitting = atoms.join(refused, mol, "left_anti")
     line = coordinate_line(F.col("symbol"), F.col("x"), F.col("y"), F.col("z"))
     ordered = F.array_sort(F.collect_list(F.struct("atom_index", line.alias("line"))))
-    blocks = fitting.groupBy(mol).agg(F.array_join(F.transform(ordered, lambda e: e["line"]), "\n").alias("_block"))
+    gathered = atoms.groupBy(mol).agg(
+        F.array_join(F.transform(ordered, lambda e: e["line"]), "\n").alias("_block"),
+        F.sum("formal_charge").alias("_charge"),
+        (F.sum("radicals") + 1).alias("_spin"),
+    )
     deck = _deck(kind, F.col("_block"), F.col("_charge"), F.col("_spin"), functional, basis, cpus, ram_mb)
-    decks = blocks.join(totals, mol).select(mol, deck.alias("deck"), F.lit(None).cast("string").alias("reason"))
-    return decks.unionByName(refused.select(mol, F.lit(None).cast("string").alias("deck"), "reason"))
+    return gathered.select(mol, deck.alias("deck"))

@@ -29,40 +29,75 @@ def merged(spark, rows, overrides=()):
     return {r.atom_index: (r.shift_ppm, r.std_ppm, r.contributing_engines) for r in out}, used
 
 
-def test_consensus_single_engine(spark):
-    atoms, used = merged(spark, [("cdk", "ok", [(0, 12.5)])])
-    assert atoms == {0: (12.5, None, ["cdk"])} and used == {"cdk": 1.0}
+def mean(pairs):
+    return sum(w * x for w, x in pairs) / sum(w for w, _ in pairs)
 
 
-def test_consensus_default_weights(spark):
-    atoms, _ = merged(spark, [("cdk", "ok", [(0, 10)]), ("cascade", "ok", [(0, 20)]), ("orca", "ok", [(0, 30)])])
-    value, std, engines = atoms[0]
-    assert value == pytest.approx(17.0) and std == pytest.approx(math.sqrt(200 / 3)) and engines == ["cdk", "cascade", "orca"]
+def test_one_engine_is_taken_as_it_is(spark):
+    atoms, used = merged(spark, [("cascade", "ok", [(7, 3.75)])])
+    assert atoms == {7: (3.75, None, ["cascade"])} and used == {"cascade": 1.0}
 
 
-def test_consensus_drops_failed_engine(spark):
-    atoms, used = merged(spark, [("cdk", "ok", [(0, 100)]), ("cascade", "ok", [(0, 200)]), ("orca", "error", [(0, 1)])])
-    assert atoms[0][0] == pytest.approx(137.5)
-    assert used == pytest.approx({"cdk": 0.625, "cascade": 0.375})
+def test_mean_and_spread_of_three(spark):
+    values = {"cdk": 1.2, "cascade": 1.5, "orca": 0.9}
+    atoms, _ = merged(spark, [(e, "ok", [(2, x)]) for e, x in values.items()])
+    value, std, engines = atoms[2]
+    assert value == pytest.approx(mean([(0.5, 1.2), (0.3, 1.5), (0.2, 0.9)]))
+    assert std == pytest.approx(math.sqrt(0.06)) and engines == list(values)
+
+
+def test_engines_that_failed_have_no_say(spark):
+    atoms, used = merged(spark, [("cdk", "pending", [(1, 7.0)]), ("cascade", "ok", [(1, 4.0)]), ("orca", "ok", [(1, 6.0)])])
+    assert atoms[1][0] == pytest.approx(4.8) and used == pytest.approx({"cascade": 0.6, "orca": 0.4})
+    assert merged(spark, [("cascade", "error", [(1, 2.0)]), ("cdk", "pending", [])]) == ({}, {})
+
+
+def test_overrides_go_before_defaults(spark):
+    rows = [("cascade", "ok", [(3, 2.0)]), ("orca", "ok", [(3, 8.0)])]
+    assert merged(spark, rows, [("cascade", 0.25), ("orca", 0.75)])[0][3][0] == pytest.approx(6.5)
+    atoms, used = merged(spark, rows, [("orca", 0.0)])
+    assert atoms[3] == (2.0, None, ["cascade"]) and used == {"cascade": 1.0}
+
 
+def test_each_atom_uses_the_engines_that_have_it(spark):
+    atoms, _ = merged(spark, [("cdk", "ok", [(0, 1.0), (4, 2.0)]), ("cascade", "ok", [(4, 6.0)]), ("orca", "ok", [(0, 8.0)])])
+    assert atoms[0][0] == pytest.approx(3.0) and atoms[0][2] == ["cdk", "orca"]
+    assert atoms[4][0] == pytest.approx(3.5) and atoms[4][2] == ["cdk", "cascade"]
 
-def test_consensus_all_failed(spark):
-    atoms, used = merged(spark, [("cdk", "error", [(0, 1)]), ("orca", "pending", [])])
-    assert atoms == {} and used == {}
 
+def test_engines_are_named_in_request_order(spark):
+    rows = [(1, 0, "orca", 1, "ok", 2.0, 0.2), (1, 0, "cdk", 2, "ok", 1.0, 0.5), (1, 0, "mine", 40, "ok", 3.0, 0.1)]
+    shifts = spark.createDataFrame(rows, "mol_id long, atom_index int, engine string, engine_pos int, status string, shift_ppm double, weight double")
+    assert consensus.consensus(shifts, weight=F.col("weight")).first().contributing_engines == ["orca", "cdk", "mine"]
+
+
+def test_merge_keeps_faults_in_sight(spark):
+    from shiftframe.plans.pipelines import merge_engines
+
+    atoms, bonds = ethanol(spark)
+    headers = spark.createDataFrame([(m, "cdk", 1, "ok") for m in (1, 2, 3)], "mol_id long, engine string, engine_pos int, status string")
+    shifts = spark.createDataFrame(
+        [(1, "cdk", 3, "H", 1.25, 0), (2, "cdk", 0, "H", 1.0, None)], "mol_id long, engine string, atom_index int, symbol string, shift_ppm double, attached_atom_index int"
+    )
+    checked, merged_rows, _ = merge_engines(headers, shifts, atoms, bonds)
+    assert {r.mol_id: r.status for r in checked.collect()} == {1: "ok", 2: "error", 3: "ok"}  # 2 has no atoms
+    assert [(r.mol_id, r.attached_atom_index) for r in merged_rows.collect()] == [(1, 0)]
+    far = shifts.where("mol_id = 1").withColumn("attached_atom_index", F.lit(99))
+    assert {r.status for r in merge_engines(headers.where("mol_id = 1"), far, atoms, bonds)[0].collect()} == {"error"}
 
-def test_consensus_overrides(spark):
-    rows = [("cdk", "ok", [(0, 10)]), ("cascade", "ok", [(0, 50)])]
-    assert merged(spark, rows, [("cdk", 0.9), ("cascade", 0.1)])[0][0][0] == pytest.approx(14.0)
-    atoms, used = merged(spark, rows, [("cdk", 0.0)])
-    assert atoms[0] == (50.0, None, ["cascade"]) and used == {"cascade": 1.0}
 
+def test_nothing_runs_while_a_plan_is_built(spark):
+    import __spark_entry__ as entry
 
-def test_consensus_partial_coverage(spark):
-    rows = [("cdk", "ok", [(0, 10), (1, 100)]), ("cascade", "ok", [(0, 20), (1, 200)]), ("orca", "ok", [(0, 30)])]
-    atoms, _ = merged(spark, rows)
-    assert atoms[0][0] == pytest.approx(17.0) and atoms[1][0] == pytest.approx(137.5)
-    assert atoms[1][2] == ["cdk", "cascade"]
+    tracker = spark.sparkContext.statusTracker()
+    for key in ("rank_conformers", "integral_curve", "spectrum_synthesis", "log_sections", "calibrate_complete", "consensus", "islands", "shared_domain"):
+        spark.sparkContext.setJobGroup(f"build-{key}", key)
+        try:
+            entry.queries()[key](spark, "/root/testdata/sf0.001")
+            # reading a schema is a job of Spark's own, one per table at most
+            assert len(tracker.getJobIdsForGroup(f"build-{key}")) <= 3, key
+        finally:
+            spark.sparkContext._jsc.clearJobGroup()
 
 
 def test_ok_engine_without_shifts_keeps_its_weight(spark):
@@ -128,17 +163,17 @@ def proton_rows(spark, rows):
 
 
 def test_grouping(spark):
-    rows = [(1, 4 + i, s, "H", "cdk", "h@0", 0, "t", 7.0, 2.0, None) for i, s in enumerate([1.25, 1.27, 1.26])]
+    rows = [(1, 8 + i, s, "H", "cdk", "h@2", 2, "t", 6.5, 2.0, None) for i, s in enumerate([3.5, 3.56, 3.53])]
     members = signals.signal_group(proton_rows(spark, rows), nucleus="1H")
     stats = signals.add_lines(
         signals.assignment_text(signals.signal_stats(members, nucleus="1H"), members, nucleus="1H"), nucleus="1H"
     ).collect()
     assert len(stats) == 1
     signal = stats[0]
-    assert signal.center == pytest.approx(1.26) and signal.integration == 3
-    assert signal.assignment_text == "H4-H6 on atom #0"
-    assert signal.atom_indices == [4, 5, 6] and len(signal.lines) == 3
-    assert signal.signal_id == "default:cdk:h@0:0"
+    assert signal.center == pytest.approx(3.53) and signal.integration == 3
+    assert signal.assignment_text == "H8-H10 on atom #2"
+    assert signal.atom_indices == [8, 9, 10] and len(signal.lines) == 3
+    assert signal.signal_id == "default:cdk:h@2:0"
 
 
 def test_sources_stay_apart(spark):
@@ -357,35 +392,36 @@ def test_best_conformer(spark):
 def test_calibration(spark):
     reference_rows = spark.createDataFrame([("pbe", "def2-svp", "1H", 31.8)], "functional string, basis string, nucleus string, sigma double")
     rows = spark.createDataFrame([(1, " PBE", "Def2-SVP ", "1H", 30.0), (2, "other", "x", "1H", 1.0)], "mol_id long, functional string, basis string, nucleus string, sigma double")
-    assert [(r.mol_id, r.shift_ppm) for r in calibration.calibrate(rows, reference_rows).collect()] == [(1, pytest.approx(1.8))]
-    targets = spark.createDataFrame([(1, 0), (1, 1), (1, 2), (2, 0)], "mol_id long, atom_index int")
+    assert [(r.mol_id, r.shift_ppm) for r in calibration.calibrate(rows, reference_rows).orderBy("mol_id").collect()] == [(1, pytest.approx(1.8)), (2, None)]
+    targets = spark.createDataFrame([(1, 0, "1H"), (1, 1, "13C"), (1, 2, "1H"), (2, 0, "1H")], "mol_id long, atom_index int, nucleus string")
     sigmas = spark.createDataFrame([(1, 0, 3.0), (1, 1, None), (2, 0, 4.0)], "mol_id long, atom_index int, sigma double")
     complete, status = calibration.calibrate_complete(targets, sigmas)
     assert {r.mol_id: (r.status, r.first_missing) for r in status.collect()} == {1: ("error", 1), 2: ("ok", None)}
+    assert [r.message for r in status.where("mol_id = 1").collect()] == ["ORCA did not emit an isotropic shielding for atom 1 (C)"]
     assert [r.mol_id for r in complete.collect()] == [2]
 
 
 # --- files ------------------------------------------------------------------------------------------------------
 
 BLOCKS = """
- Nucleus   0C :
-   Total isotropic shielding:   184.3456 ppm
-   Isotropic shielding:   1.0000 ppm
- Nucleus   1H :
-   Isotropic shielding:    31.8234
+ Nucleus   5N :
+   Total isotropic shielding:   -42.5000 ppm
+   Isotropic shielding:   7.0000 ppm
+ Nucleus  11F :
+   Isotropic shielding:    402.1250
  ****ORCA TERMINATED NORMALLY****
 """
 TABLE = """
-CHEMICAL SHIELDING SUMMARY (ppm)
+CHEMICAL SHIFT LIST (ppm)
   Nucleus  Element    Isotropic     Anisotropy
-      0       C          184.3456        12.0000
-      1       H           31.8234         7.0000
-      2       H           31.7901         7.0000
+      2       P          311.2500         1.0000
+      3       F          402.1250         2.0000
+      9       N          -42.5000         3.0000
 """
 
 
 def test_logs(spark, tmp_path):
-    for name, content in (("blocks", BLOCKS), ("table", TABLE), ("none", "no shielding data here\n")):
+    for name, content in (("blocks", BLOCKS), ("table", TABLE), ("none", "nothing to see\n")):
         (tmp_path / f"{name}.out").write_text(content)
     name = F.regexp_extract("file_id", r"(\w+)\.out$", 1).alias("name")
     status = {r.name: (r.n_lines, r.finished) for r in logs.scan_logs(spark, str(tmp_path)).select(name, "n_lines", "finished").collect()}
@@ -393,7 +429,7 @@ def test_logs(spark, tmp_path):
     found = {}
     for r in logs.read_log_sections(spark, str(tmp_path)).select(name, "atom_index", "sigma").collect():
         found.setdefault(r.name, {})[r.atom_index] = r.sigma
-    assert found == {"blocks": {0: 184.3456, 1: 31.8234}, "table": {0: 184.3456, 1: 31.8234, 2: 31.7901}}
+    assert found == {"blocks": {5: -42.5, 11: 402.125}, "table": {2: 311.25, 3: 402.125, 9: -42.5}}
 
 
 def test_lines_of_a_split_file_stay_in_order(spark, tmp_path):
