@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
+from dataclasses import dataclass, field
 from typing import Any
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shiftframe.constants import MESSAGE_ENGINE_FAILED
+from shiftframe.constants import MESSAGE_ENGINE_FAILED, MESSAGE_ENGINE_PENDING
+from shiftframe.functions.text import reference_id
 from shiftframe.schemas import SHIFT
 
 Predict = Callable[..., Iterable[Mapping[str, Any]]]
@@ -77,3 +80,38 @@ def apply_engine(
     names = [f.name for f in SHIFT.fields]
     run = _runner(predict, engine, mol, nucleus, n_atoms, dict(options or {}), names, MESSAGE_ENGINE_FAILED)
     return molecules.mapInPandas(run, schema)
+
+
+@dataclass(frozen=True)
+class Engine:
+    """A predictor under a name. One that is not ready answers every request with status ``pending``."""
+
+    predict: Predict | None
+    ready: bool = True
+    options: Mapping[str, Any] = field(default_factory=dict)
+
+
+def apply_engines(molecules: DataFrame, engines: Mapping[str, Engine], *, wanted: str = "engines", mol: str = "mol_id", **names: str) -> DataFrame:
+    """Run on every molecule the engines that its ``wanted`` array names: rows of ``apply_engine`` with ``engine_pos``.
+
+    ``engine_pos`` is the place in the request, from 1. An engine that is registered but not ready, or has no function,
+    gives one pending row; a name that is not registered gives one error row.
+    """
+    asked = molecules.select("*", F.posexplode(F.array_distinct(wanted)).alias("_at", "_engine")).withColumn("engine_pos", F.col("_at") + 1)
+    places = asked.select(mol, F.col("_engine").alias("engine"), "engine_pos")
+    ready = {name: e for name, e in engines.items() if e.ready and e.predict}
+    result = None
+    for name, engine in ready.items():
+        own = asked.where(F.col("_engine") == name).select(molecules.columns)
+        rows = apply_engine(own, engine.predict, engine=name, options=engine.options, mol=mol, **names)
+        result = rows if result is None else result.unionByName(rows)
+    others = places.where(~F.col("engine").isin(list(ready))) if ready else places
+    pending = F.col("engine").isin(list(engines)) if engines else F.lit(False)
+    waiting = others.select(
+        mol, "engine",
+        F.when(pending, "pending").otherwise("error").alias("status"),
+        F.when(pending, F.format_string(MESSAGE_ENGINE_PENDING, "engine"))
+        .otherwise(F.format_string(MESSAGE_ENGINE_FAILED, "engine", reference_id(F.col(mol).cast("string"), F.col("engine")))).alias("message"),
+    )
+    result = waiting if result is None else result.unionByName(waiting, allowMissingColumns=True)
+    return result.join(places, [mol, "engine"])

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shiftframe import constants as C
+from shiftframe.functions.workspace import materialize
 
 
 
@@ -280,14 +281,17 @@ def prefix_offsets(
     *,
     graph: str = "mol_id",
     sizes: Sequence[str] = ("n_atoms",),
-    bucket_size: int = 65536,
+    partitions: int | None = None,
 ) -> DataFrame:
     """Add ``offset_<size>``: the total size of all graphs before this one in id order.
 
-    Ids are cut into ranges; the ranges are summed first and only their totals, one row per ``bucket_size`` ids, pass
-    through an unpartitioned running sum. The rows themselves are summed range by range.
+    The rows are dealt into ranges of about equal count, however the ids are spread, and written down, as the ranges
+    come from a sample. The totals of the ranges, one row per partition, pass through an unpartitioned running sum; the
+    rows themselves are summed range by range.
     """
-    cut = graphs.withColumn("_range", F.floor(F.col(graph) / bucket_size))
+    count = partitions or int(graphs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = graphs.repartitionByRange(count, F.col(graph)).withColumn("_range", F.spark_partition_id())
+    cut = materialize(dealt, "ranges")
     totals = cut.groupBy("_range").agg(*[F.sum(s).alias(f"_t_{s}") for s in sizes])
     earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     carried = totals.select("_range", *[F.coalesce(F.sum(f"_t_{s}").over(earlier), F.lit(0)).alias(f"_b_{s}") for s in sizes])

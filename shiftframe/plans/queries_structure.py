@@ -327,7 +327,7 @@ def prefix_offsets(v: Views) -> DataFrame:
     sizes = atoms.groupBy("mol_id").agg(
         F.count(F.lit(1)).alias("n_atoms"), F.count_if(F.col("atomic_num") == 1).alias("n_targets")
     )
-    offsets = graph.prefix_offsets(sizes, sizes=["n_atoms", "n_targets"], bucket_size=1024)
+    offsets = graph.prefix_offsets(sizes, sizes=["n_atoms", "n_targets"])
     target = F.when(F.col("atomic_num") == 1, F.col("atom_index")).otherwise(-1).cast("long")
     return atoms.join(offsets, "mol_id").select(
         "mol_id",

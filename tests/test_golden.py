@@ -547,3 +547,20 @@ def test_rows_to_draw(spark):
     assert sorted((r.mol_id, r.atom_index, r.engine, r.element, r["shift"], r.intensity, r.std_ppm) for r in drawn) == [
         (1, 0, "cdk", "C", 10.0, 0.5, None), (2, 1, None, "C", 20.0, 1.0, 0.4),
     ]
+
+
+def test_engines_by_name(spark):
+    from shiftframe.operators.engine_apply import Engine, apply_engines
+
+    def counted(molecule, nucleus, scale=1):
+        return [{"atom_index": 0, "symbol": "H", "shift_ppm": float(scale * molecule["mol_id"])}]
+
+    molecules = spark.createDataFrame(
+        [(1, "1H", 3, ["slow", "fast"]), (2, "1H", 3, ["fast", "none", "fast"]), (3, "1H", 3, [])],
+        "mol_id long, nucleus string, n_atoms int, engines array<string>",
+    )
+    known = {"fast": Engine(counted, options={"scale": 2}), "slow": Engine(None, ready=False)}
+    rows = apply_engines(molecules, known).collect()
+    assert sorted((r.mol_id, r.engine_pos, r.engine, r.status, r.shift_ppm) for r in rows) == [
+        (1, 1, "slow", "pending", None), (1, 2, "fast", "ok", 2.0), (2, 1, "fast", "ok", 4.0), (2, 2, "none", "error", None),
+    ]

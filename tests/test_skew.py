@@ -145,8 +145,16 @@ def test_spectrum_chunks(spark):
 
 
 def test_prefix_offsets(spark):
-    sizes = spark.createDataFrame([(i * 3, i % 5) for i in range(200)], "mol_id long, n_atoms long")
-    assert rows(graph.prefix_offsets(sizes, bucket_size=7)) == rows(graph.prefix_offsets(sizes))
+    random.seed(2)
+    data = sorted((random.randrange(-(2**62), 2**62), i % 5) for i in range(3000))  # ids far apart
+    want, total = [], 0
+    for key, n in data:
+        want.append((key, n, total))
+        total += n
+    sizes = spark.createDataFrame(random.sample(data, len(data)), "mol_id long, n_atoms long")
+    for partitions in (1, 7):
+        got = graph.prefix_offsets(sizes, partitions=partitions).select("mol_id", "n_atoms", "offset_n_atoms")
+        assert sorted(tuple(r) for r in got.collect()) == want
 
 
 def test_peak_match_bins(spark):
