@@ -22,8 +22,9 @@ from shiftframe.llm.union import unite
 SHINGLE = 3
 SEED = 42
 BUDGET = 3
-CELL_ROWS = 16_384  # fingerprints of a node, on average, where the table of node pairs begins
-PAIR_ROWS = 131_072  # a pair of nodes with more fingerprints is refined further
+LEAST_DEPTH = 4  # the table of node pairs begins at this depth, or deeper where nodes would be large
+CELL_ROWS = 65_536  # fingerprints of a node, on average, where it begins
+PAIR_ROWS = 262_144  # a pair of nodes with more fingerprints is refined further
 LEVEL_BITS = 4
 HASHES_AT_ONCE = 1 << 16
 NODES_AT_ONCE = 1 << 18
@@ -67,7 +68,7 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", shing
 
 def _ones(values: np.ndarray, bit: int) -> np.ndarray:
     """Running count of ``bit`` (0 is the highest) before each place of sorted ``values``."""
-    return np.concatenate([[0], np.cumsum((values >> np.uint64(63 - bit)) & np.uint64(1), dtype=np.int64)])
+    return np.concatenate([[0], np.cumsum((values >> np.uint64(63 - bit)) & np.uint64(1), dtype=np.int32)])
 
 
 def trie_groups(left: np.ndarray, right: np.ndarray | None, depth: int, budget: int = BUDGET) -> np.ndarray:
@@ -146,7 +147,7 @@ def linked_fingerprints(distinct: DataFrame, budget: int = BUDGET, cell_rows: in
 
     Of a group only the edges of a spanning forest are given, so a large group of near copies stays linear.
     """
-    depth = max(0, (distinct.count() // cell_rows).bit_length())
+    depth = max(LEAST_DEPTH, (distinct.count() // cell_rows).bit_length())
     open_pairs, tasks = None, []
     while True:
         nodes = distinct.groupBy(_prefix(F.col("fp"), depth).alias("prefix")).agg(F.count(F.lit(1)).alias("n"))
