@@ -202,7 +202,8 @@ def near_duplicates(
     """
     made = materialize(fingerprints(docs, key, text, shingle), "fingerprints")
     distinct = materialize(made.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct-fingerprints")
-    joined = components(linked_fingerprints(distinct.select("fp"), budget)).withColumnRenamed("id", "fp")
+    links = materialize(linked_fingerprints(distinct.select("fp"), budget), "fingerprint-links")
+    joined = components(links).withColumnRenamed("id", "fp")
     grouped = joined.join(distinct, "fp")
     smallest = grouped.groupBy("component").agg(F.min("first_id").alias("least_id"))
     named = distinct.join(joined, "fp", "left").join(smallest, "component", "left").select(
