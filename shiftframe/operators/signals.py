@@ -128,12 +128,13 @@ def majority_label(
 
 
 def signal_stats(
-    members: DataFrame, *, nucleus: str, scope: Sequence[str] = ("mol_id",), with_atoms: bool = True
+    members: DataFrame, *, nucleus: str, scope: Sequence[str] = ("mol_id",), with_atoms: bool = False
 ) -> DataFrame:
     """One row per signal from its member rows.
 
     Two aggregations over the same key: first per label, then over the labels, so the majority label needs no second
-    pass. ``with_atoms`` adds the sorted list of atoms; the member rows hold the same in long form.
+    pass. The atoms of a signal are in ``signal_atoms``, in long form; ``with_atoms`` adds them as a sorted list, for
+    data whose signals are known to be small.
     """
     key = [*scope, "base_key", "signal_no", "signal_id"]
     first_fields = ["atom_index", "element", "attached_atom_index", "engine", "source_id", "source_label", "source_smiles"]
@@ -172,6 +173,11 @@ def signal_stats(
     )
 
 
+def signal_atoms(members: DataFrame, *, scope: Sequence[str] = ("mol_id",)) -> DataFrame:
+    """The different atoms of every signal, one row each."""
+    return members.select(*scope, "signal_id", "atom_index").distinct()
+
+
 def sort_signals(signals: DataFrame, *, center: str = "center", ties: Sequence[str] = ("pos",)) -> DataFrame:
     """Global order, highest centre first; a range-partitioned sort."""
     return signals.orderBy(F.col(center).desc(), *ties)

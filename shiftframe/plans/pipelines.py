@@ -83,7 +83,7 @@ def draw_spectra(
     spec_id share one domain.
     """
     members = signals.signal_group(shifts, nucleus=nucleus, mode=mode, scope=scope)
-    stats = signals.signal_stats(members, nucleus=nucleus, scope=scope, with_atoms=False)
+    stats = signals.signal_stats(members, nucleus=nucleus, scope=scope)
     shown = signals.add_lines(stats, nucleus=nucleus).join(spectra_of, list(scope))
     engine = F.coalesce("engine", F.lit("engine" if mode == "individual" else "consensus")).alias("engine")
     lines = signals.line_rows(shown, keep=["spec_id", "engine", "std"]).select(

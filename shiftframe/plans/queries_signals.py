@@ -31,6 +31,8 @@ _STATS_SQL = """
     best AS (SELECT *, row_number() OVER (PARTITION BY mol_id, base_key, signal_no ORDER BY c DESC, f) AS k FROM lab),
     sig AS (SELECT w.mol_id, w.base_key, w.signal_no, max_by(w.center, w.rn) AS center, count(DISTINCT w.atom_index) AS integration,
                    min_by(w.atom_index, w.rn) AS rep, avg(w.coupling_hz) AS coupling_hz,
+                   avg(CASE WHEN (w.mol_id + w.atom_index) % 5 <> 0 THEN CAST(w.atom_index % 4 AS DOUBLE) END) AS neighbor_count,
+                   avg(CAST((w.mol_id + w.atom_index) % 7 AS DOUBLE) / 100) AS std, min_by('src' || (w.atom_index % 3), w.rn) AS source_label,
                    CASE WHEN w.mol_id % 3 = 0 THEN CAST(w.mol_id % 7 AS INTEGER) END AS anchor
             FROM walk w GROUP BY w.mol_id, w.base_key, w.signal_no),
     stats AS (SELECT s.*, b.multiplicity FROM sig s JOIN best b ON b.mol_id = s.mol_id AND b.base_key = s.base_key AND b.signal_no = s.signal_no AND b.k = 1)
@@ -38,14 +40,21 @@ _STATS_SQL = """
 
 
 def _members(v: Views) -> DataFrame:
-    rows = v.protons().withColumnRenamed("shift_ppm", "shift").withColumn(
-        "attached_atom_index", F.when(F.col("mol_id") % 3 == 0, F.col("mol_id") % 7)
+    mol, atom = F.col("mol_id"), F.col("atom_index")
+    rows = v.protons().withColumnRenamed("shift_ppm", "shift").withColumns(
+        {
+            "attached_atom_index": F.when(mol % 3 == 0, mol % 7),
+            "element": F.lit("H"),
+            "neighbor_count": F.when((mol + atom) % 5 != 0, (atom % 4).cast("double")),
+            "std": ((mol + atom) % 7).cast("double") / 100,
+            "source_label": F.concat(F.lit("src"), (atom % 3).cast("string")),
+        }
     )
     return signals.signal_group(rows, nucleus="1H")
 
 
 def _stats(v: Views) -> DataFrame:
-    return signals.signal_stats(_members(v), nucleus="1H", with_atoms=False)
+    return signals.signal_stats(_members(v), nucleus="1H")
 
 
 @query(
@@ -63,7 +72,8 @@ def signal_group(v: Views) -> DataFrame:
     f"""
     WITH RECURSIVE {_WALK_SQL}, {_STATS_SQL}
     SELECT mol_id, base_key || ':' || signal_no AS signal_id, round(center, 6) AS center, integration, multiplicity,
-           round(coupling_hz, 6) AS coupling_hz, rep AS representative_atom_index, anchor AS attached_atom_index FROM stats
+           round(coupling_hz, 6) AS coupling_hz, round(neighbor_count, 6) AS neighbor_count, round(std, 6) AS std,
+           rep AS representative_atom_index, anchor AS attached_atom_index, 'H' AS element, source_label FROM stats
     """,
 )
 def signal_stats(v: Views) -> DataFrame:
@@ -74,11 +84,25 @@ def signal_stats(v: Views) -> DataFrame:
         "integration",
         "multiplicity",
         F.round("coupling_hz", 6).alias("coupling_hz"),
+        F.round("neighbor_count", 6).alias("neighbor_count"),
+        F.round("std", 6).alias("std"),
         "representative_atom_index",
         "attached_atom_index",
+        "element",
+        "source_label",
     )
 
 
+@query(
+    "signal_atoms",
+    f"""
+    WITH RECURSIVE {_WALK_SQL} SELECT DISTINCT mol_id, base_key || ':' || signal_no AS signal_id, atom_index FROM walk
+    """,
+)
+def signal_atoms(v: Views) -> DataFrame:
+    return signals.signal_atoms(_members(v))
+
+
 @query(
     "majority_label",
     """
@@ -144,7 +168,7 @@ def splitting_text(v: Views) -> DataFrame:
 )
 def assignment_text(v: Views) -> DataFrame:
     members = materialize(_members(v), "members")
-    stats = signals.signal_stats(members, nucleus="1H", with_atoms=False)
+    stats = signals.signal_stats(members, nucleus="1H")
     return signals.assignment_text(stats, members, nucleus="1H").select("mol_id", "signal_id", "assignment_text")
 
 

@@ -166,7 +166,7 @@ def test_grouping(spark):
     rows = [(1, 8 + i, s, "H", "cdk", "h@2", 2, "t", 6.5, 2.0, None) for i, s in enumerate([3.5, 3.56, 3.53])]
     members = signals.signal_group(proton_rows(spark, rows), nucleus="1H")
     stats = signals.add_lines(
-        signals.assignment_text(signals.signal_stats(members, nucleus="1H"), members, nucleus="1H"), nucleus="1H"
+        signals.assignment_text(signals.signal_stats(members, nucleus="1H", with_atoms=True), members, nucleus="1H"), nucleus="1H"
     ).collect()
     assert len(stats) == 1
     signal = stats[0]
