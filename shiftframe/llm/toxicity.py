@@ -193,13 +193,21 @@ def learn_lexicon(sample: DataFrame) -> Lexicon:
     clean = totals[1] - toxic
     if not toxic or not clean:
         return Lexicon({}, {})
-    strip = F.regexp_replace(F.lower(F.col("text")), r"[\p{Punct}“”„«»‚‘’…–—]+(?=\s|$)|(?<=\s|^)[\p{Punct}“”„«»‚‘’…–—]+", "")
-    tokens = F.split(F.concat(F.lit("^ "), strip), r"\s+")
-    pairs = F.transform(F.sequence(F.lit(1), F.size("t") - 1), lambda i: F.struct(F.get("t", i - 1).alias("before"), F.get("t", i).alias("word")))
-    spread = sample.select("toxic", tokens.alias("t")).where(F.size("t") > 1).select("toxic", F.inline(F.array_distinct(pairs)))
-    seen = spread.where(F.length("word") >= min(STEM_LENGTHS)).groupBy("word", "before").agg(
-        F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c")
-    )
+
+    def contexts(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shortest = min(STEM_LENGTHS)
+        for batch in found:
+            for label, text in zip(*batch.columns):
+                tokens = ["^", *(w.strip(PUNCTUATION) for w in (text.as_py() or "").lower().split())]
+                pairs = [p for p in set(zip(tokens[1:], tokens)) if len(p[0]) >= shortest]
+                word, before = (list(x) for x in zip(*pairs)) if pairs else ([], [])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(word, pa.string()), pa.array(before, pa.string()), pa.array([label.as_py()] * len(pairs), pa.int32())],
+                    names=["word", "before", "toxic"],
+                )
+
+    spread = sample.select("toxic", "text").mapInArrow(contexts, "word string, before string, toxic int")
+    seen = spread.groupBy("word", "before").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c"))
     counts = seen.groupBy("word").agg(F.sum((F.col("t") > 0).cast("int")).alias("t"), F.sum("c").alias("c"))
     counts = materialize(counts, "word-counts")
     needed = np.log(max(counts.count(), 1) / CHANCE) / np.log((toxic + clean) / toxic)
