@@ -25,7 +25,7 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(ascii_lower(F.coalesce(text, F.lit(""))), NO_WORD, -1), "")
 
 
-def test_phrases(items: DataFrame, item_id: str = "item_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+def phrases_of(items: DataFrame, item_id: str = "item_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """(phrases: ``phrase, words``; members: ``phrase, item_id``): test texts with equal words are one phrase."""
     worded = items.select(F.col(item_id).cast("string").alias("item_id"), words(F.col(text)).alias("words"))
     worded = worded.where(F.size("words") > 0)
@@ -86,13 +86,8 @@ def _anchors(placed: DataFrame, rows_of: DataFrame, window: int) -> DataFrame:
     A window of one word has no second place. Windows with a word that occurs nowhere need no anchor.
     """
     counted = placed.join(rows_of, "term", "left")
-    starts = placed.groupBy("phrase", "n").agg(F.lit(1)).select(
-        "phrase",
-        F.explode(F.sequence(F.lit(0), F.greatest(F.col("n") - window, F.lit(0)))).alias("start"),
-    )
-    inside = starts.join(counted, "phrase").where(
-        (F.col("at") >= F.col("start")) & (F.col("at") < F.col("start") + window)
-    )
+    first, last = F.greatest(F.col("at") - window + 1, F.lit(0)), F.least(F.col("at"), F.greatest(F.col("n") - window, F.lit(0)))
+    inside = counted.select("phrase", "at", "term", "n_rows", F.explode(F.sequence(first, last)).alias("start"))
     rare = F.row_number().over(Window.partitionBy("phrase", "start").orderBy(F.col("n_rows"), F.col("at")))
     ranked = inside.withColumn("n_rows", F.coalesce("n_rows", F.lit(0))).withColumn("rank", rare)
     first, second = F.col("rank") == 1, F.col("rank") == 2
@@ -171,7 +166,7 @@ def decontaminate(
     item without id still marks words. Repeated items count once, repeated documents are judged each. Empty tables
     give no rows, or documents without hits. Other columns are not read.
     """
-    phrases, members = test_phrases(items, item_id, item_text)
+    phrases, members = phrases_of(items, item_id, item_text)
     terms = materialize(vocabulary(phrases), "vocabulary")
     index = build_index(docs, terms, key, text)
     matches = materialize(phrase_matches(index, phrases, terms, window), "matches")

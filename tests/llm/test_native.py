@@ -58,9 +58,18 @@ def test_decontaminate_awkward(spark):
     assert decontaminate.decontaminate(docs, tests.limit(0)).where("contaminated or n_hit > 0").count() == 0
 
 
+def test_long_items(spark):
+    """An item of very many words costs in proportion to them."""
+    words = [f"w{i}" for i in range(30_000)]
+    tests = spark.createDataFrame([(1, " ".join(words)), (2, "w5 w6")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "x " + " ".join(words[100:120]) + " y"), (2, " ".join(words)), (3, "w5 w7")], "doc_id long, text string")
+    got = {r.doc_id: (r.n_words, r.n_hit, r.n_items) for r in decontaminate.decontaminate(docs, tests).collect()}
+    assert got == {1: (22, 20, 1), 2: (30_000, 30_000, 2), 3: (2, 0, 0)}
+
+
 def test_phrases_and_proximity(spark):
     docs = spark.createDataFrame([(1, "one x two y three"), (2, "one two three"), (3, "three a b c d e one two")], "doc_id long, text string")
-    phrases, _ = decontaminate.test_phrases(spark.createDataFrame([(1, "one two three")], "item_id long, text string"))
+    phrases, _ = decontaminate.phrases_of(spark.createDataFrame([(1, "one two three")], "item_id long, text string"))
     terms = decontaminate.vocabulary(phrases)
     index = decontaminate.build_index(docs, terms)
     ids = decontaminate.lengths(index)
