@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 from shiftframe.functions.workspace import materialize
 from shiftframe.llm.toxicity import fold
 
-BLOCK_TOKENS = 1_000_000
-BLOCK_TEXTS = 4096
+BLOCK_TOKENS = 2_000_000
+BLOCK_TEXTS = 8192
 STATE_SHARE = 1e-4  # at most 10,000 states
 ARC_SHARE = 1e-6  # at most 1,000,000 arcs
 PRIOR = 0.1  # fixed value: what the base adds to every count
@@ -191,22 +191,25 @@ def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", folds:
     Repeated rows are learned from and scored each. An empty table gives no rows. Without training rows both scores
     treat every token as unknown. Other columns are not read.
     """
+    spark = docs.sparkSession
     stored = materialize(blocks(docs, key, text, folds), "text-blocks")
     words = stored.select("block", F.posexplode(F.arrays_zip("words", "counts")).alias("at", "x")).select(
         "block", "at", F.col("x.words").alias("word"), F.col("x.counts").alias("n")
     )
     counts = materialize(words.groupBy("word").agg(F.sum("n").alias("n")), "word-counts")
     model = build_automaton(stored, counts)
-    returned = words.select("block", "at", "word").join(counts, "word").select(F.col("block").alias("of_block"), "at", "n")
+    named = spark.createDataFrame(list(model.states.items()), "word string, state int")
+    told = counts.join(F.broadcast(named), "word", "left").withColumn("state", F.coalesce("state", F.lit(-1)))
+    returned = words.select("block", "at", "word").join(told, "word").select(F.col("block").alias("of_block"), "at", "n", "state")
     kind = docs.schema[key].dataType.simpleString()
 
     def scored(left: pa.Table, right: pa.Table) -> pa.Table:
         row = left.to_pylist()[0]
         lengths = np.array(row["lengths"], dtype=np.int64)
-        count = np.zeros(len(row["words"]), dtype=np.int64)
-        count[right.column("at").to_numpy()] = right.column("n").to_numpy()
+        at = right.column("at").to_numpy()
+        count, state = np.zeros(len(at), dtype=np.int64), np.full(len(at), -1)
+        count[at], state[at] = right.column("n").to_numpy(), right.column("state").to_numpy()
         tokens = unpacked(row["tokens"])
-        state = np.array([model.states.get(w, -1) for w in row["words"]])
         begins = np.cumsum(lengths) - lengths
         weight = model.traverse(state[tokens], model.root(count)[tokens], begins)
         sums = lambda x: np.add.reduceat(x, begins)  # noqa: E731 - every text has its end, so no length is zero
@@ -222,6 +225,6 @@ def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", folds:
 
     schema = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return (
-        stored.select("block", "doc_ids", "train", "lengths", "tokens", "words").groupBy("block")
+        stored.select("block", "doc_ids", "train", "lengths", "tokens").groupBy("block")
         .cogroup(returned.groupBy("of_block")).applyInArrow(scored, schema)
     )
