@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from shiftframe import constants as C
 from shiftframe.functions.skew import bucket_of, running, split_hot
@@ -25,7 +26,7 @@ OPTIONAL = {
     "neighbor_count": "double",
     "std": "double",
 }
-FOLD_ROWS = 4096
+FOLD_ROWS = 1_000_000
 
 
 def _complete(shifts: DataFrame, value: str, scope: Sequence[str], mode: str) -> DataFrame:
@@ -49,46 +50,43 @@ def _complete(shifts: DataFrame, value: str, scope: Sequence[str], mode: str) ->
     )
 
 
-def _walk_small(rows: DataFrame, keys: Sequence[str], tolerance: float) -> DataFrame:
-    """Fold over each group, highest shift first. Only the newest cluster can take the next shift."""
-    payload = [c for c in rows.columns if c not in keys]
-    entry = F.struct((-F.col("shift")).alias("_down"), "atom_index", *[c for c in payload if c != "atom_index"])
-    gathered = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(entry)).alias("_walk"))
-    start = F.struct(
-        F.lit(0.0).alias("center"),
-        F.lit(-1).alias("no"),
-        F.array().cast("array<int>").alias("atoms"),
-        F.array().cast("array<struct<no:int,n:int,center:double>>").alias("steps"),
-    )
-
-    def step(state: Column, item: Column) -> Column:
-        joins = (state["no"] >= 0) & (F.abs(state["center"] - item["shift"]) <= tolerance)
-        repeated = joins & F.array_contains(state["atoms"], item["atom_index"])
-        atoms = (
-            F.when(repeated, state["atoms"])
-            .when(joins, F.array_append(state["atoms"], item["atom_index"]))
-            .otherwise(F.array(item["atom_index"]))
-        )
-        no = F.when(joins, state["no"]).otherwise(state["no"] + 1)
-        n = F.size(atoms)
-        center = F.when(joins, (state["center"] * (n - 1) + item["shift"]) / n).otherwise(item["shift"])
-        entry = F.struct(no.alias("no"), n.alias("n"), center.alias("center"))
-        return F.struct(
-            center.alias("center"), no.alias("no"), atoms.alias("atoms"), F.array_append(state["steps"], entry).alias("steps")
-        )
+def _walk_sorted(rows: DataFrame, keys: Sequence[str], tolerance: float) -> DataFrame:
+    """Walk each group, highest shift first. Only the newest cluster can take the next shift.
 
-    walked = gathered.select(*keys, "_walk", F.aggregate("_walk", start, step)["steps"].alias("_steps"))
-    pairs = F.arrays_zip(F.col("_walk").alias("item"), F.col("_steps").alias("step"))
-    opened = walked.select(*keys, F.posexplode(pairs).alias("walk_pos", "_pair"))
-    return opened.select(
-        *keys,
-        F.col("walk_pos").cast("long").alias("walk_pos"),
-        F.col("_pair.item.atom_index").alias("atom_index"),
-        *[F.col(f"_pair.item.{c}").alias(c) for c in payload if c != "atom_index"],
-        F.col("_pair.step.no").alias("signal_no"),
-        F.col("_pair.step.n").cast("long").alias("n_after"),
-        F.col("_pair.step.center").alias("center_after"),
-    )
+    Rows are dealt by group and sorted; a task passes over them once and keeps the newest cluster only, however the
+    rows are cut into batches.
+    """
+    payload = [c for c in rows.columns if c not in (*keys, "shift", "atom_index")]
+    dealt = rows.repartition(*keys).sortWithinPartitions(*keys, F.col("shift").desc(), "atom_index", *payload)
+    added = [T.StructField("walk_pos", T.LongType()), T.StructField("signal_no", T.IntegerType()),
+             T.StructField("n_after", T.LongType()), T.StructField("center_after", T.DoubleType())]
+    names = list(keys)
+
+    def walk(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        group, place, number, center, atoms = None, 0, -1, 0.0, set()
+        for batch in batches:
+            groups = zip(*[batch.column(name).to_pylist() for name in names])
+            out = []
+            for own, shift, atom in zip(groups, batch.column("shift").to_pylist(), batch.column("atom_index").to_pylist()):
+                if own != group:
+                    group, place, number, atoms = own, 0, -1, set()
+                if number >= 0 and abs(center - shift) <= tolerance:
+                    atoms.add(atom)
+                    center = (center * (len(atoms) - 1) + shift) / len(atoms)
+                else:
+                    number, center, atoms = number + 1, shift, {atom}
+                out.append((place, number, len(atoms), center))
+                place += 1
+            columns = list(zip(*out)) if out else [(), (), (), ()]
+            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.float64())
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, *[pa.array(c, k) for c, k in zip(columns, kinds)]],
+                names=[*batch.schema.names, "walk_pos", "signal_no", "n_after", "center_after"],
+            )
+
+    return dealt.mapInArrow(walk, T.StructType([*rows.schema.fields, *added]))
 
 
 def signal_group(
@@ -105,14 +103,14 @@ def signal_group(
 
     The key is source, engine and group. Proton shifts join the newest cluster when they are within the tolerance of
     its running mean; other nuclei form one cluster per key. Rows without a number as shift belong to no signal and are
-    left out, whatever the size of their group. Groups of up to ``fold_rows`` rows are folded in place;
-    larger groups are walked block by block, one round per cluster.
+    left out, whatever the size of their group. Groups of up to ``fold_rows`` rows are walked in one pass by one task;
+    larger groups block by block, one round per cluster.
     """
     tolerance = C.GROUP_TOLERANCE_1H_PPM if nucleus == "1H" else float("inf")
     keys = [*scope, "base_key"]
     rows = _complete(shifts, value, scope, mode).where(F.col("shift").isNotNull() & ~F.isnan("shift"))
     small, large = split_hot(rows, keys, fold_rows)
-    members = _walk_small(small, keys, tolerance)
+    members = _walk_sorted(small, keys, tolerance)
     if large is not None:
         members = members.unionByName(walk_large(large, keys, tolerance, block_rows=block_rows).select(*members.columns))
     return members.withColumn("signal_id", F.concat_ws(":", "base_key", F.col("signal_no").cast("string")))

@@ -36,12 +36,6 @@ class Views:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
-    def spread(self, name: str) -> DataFrame:
-        """A table for per-row work. One that comes in fewer files than there are cores is dealt out first."""
-        df = self.table(name)
-        cores = self.spark.sparkContext.defaultParallelism
-        return df if len(df.inputFiles()) >= cores else df.repartition(cores)
-
     @made_once
     def stored_atoms(self) -> DataFrame:
         """The atoms as a table, for queries that read them several times."""
