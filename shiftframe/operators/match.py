@@ -34,13 +34,15 @@ def peak_match(
     ``signals`` has (keys, position, center, lines as array of ppm), ``peaks`` (keys, peak, ppm). The score grows by
     3 per ppm outside the highlight range, so an accepted signal lies within a third of the base tolerance of the
     peak: the band below is exact. The band is cut into bins that serve as a join key next to ``keys``, so even all
-    peaks of one key are never paired with all of its signals. With ``keys=()`` it is a search over all signals.
+    peaks of one key are never paired with all of its signals. Of equal signals only the first position can win, so
+    they are reduced to it before. With ``keys=()`` it is a search over all signals.
     """
     base = C.MATCH_TOLERANCE_PPM.get(nucleus, C.OTHER_MATCH_TOLERANCE_PPM)
     reach = base / C.BOUNDARY_DISTANCE_FACTOR
     width = bin_ppm or base
     low, high = highlight_range(nucleus, F.col("lines"), F.col("center"))
-    bands = signals.select(*keys, position, "center", "lines", low.alias("low"), high.alias("high")).withColumn(
+    first = signals.groupBy(*keys, "center", "lines").agg(F.min(position).alias(position))
+    bands = first.select(*keys, position, "center", "lines", low.alias("low"), high.alias("high")).withColumn(
         "tolerance", match_tolerance(nucleus, F.col("low"), F.col("high"))
     )
     bins = F.sequence(

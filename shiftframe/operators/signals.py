@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+import inspect
+from collections.abc import Callable, Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -181,6 +182,31 @@ def sort_signals(signals: DataFrame, *, center: str = "center", ties: Sequence[s
     return signals.orderBy(F.col(center).desc(), *ties)
 
 
+def per_nucleus(
+    rows: DataFrame,
+    operator: Callable[..., DataFrame],
+    *,
+    nuclei: Sequence[str] = tuple(C.DOMAIN_PPM),
+    column: str = "nucleus",
+    other: str = "other",
+    **options,
+) -> DataFrame:
+    """Run an operator that takes one ``nucleus`` on rows that each name theirs, and keep the name as a column.
+
+    There is one branch per listed nucleus, which reads only its rows, and one for all others, which share their
+    defaults. The operator's ``scope`` or ``keys`` are extended by the nucleus column.
+    """
+    key = "keys" if "keys" in inspect.signature(operator).parameters else "scope"
+    names = [column, *options.pop(key, inspect.signature(operator).parameters[key].default)]
+    listed = F.col(column).isin(list(nuclei))
+    parts = [operator(rows.where(F.col(column) == n), nucleus=n, **{key: names}, **options) for n in nuclei]
+    parts.append(operator(rows.where(~F.coalesce(listed, F.lit(False))), nucleus=other, **{key: names}, **options))
+    result = parts[0]
+    for part in parts[1:]:
+        result = result.unionByName(part)
+    return result
+
+
 # --- texts and lines --------------------------------------------------------------------------------------------
 
 

@@ -103,6 +103,26 @@ def signal_atoms(v: Views) -> DataFrame:
     return signals.signal_atoms(_members(v))
 
 
+@query(
+    "signals_per_nucleus",
+    f"""
+    WITH RECURSIVE {_WALK_SQL}, {_STATS_SQL}
+    SELECT mol_id, '1H' AS nucleus, base_key || ':' || signal_no AS signal_id, round(center, 6) AS center, integration FROM stats WHERE mol_id % 3 = 0
+    UNION ALL SELECT mol_id, CASE mol_id % 3 WHEN 1 THEN '31P' ELSE '77Se' END, 'default:engine:' || assignment_group || ':0', round(avg(shift_ppm), 6), NULL
+    FROM protons WHERE mol_id % 3 <> 0 GROUP BY mol_id, assignment_group
+    """,
+)
+def signals_per_nucleus(v: Views) -> DataFrame:
+    """Every row names its nucleus; one of them is not listed and has the defaults of all others."""
+    kind = F.col("mol_id") % 3
+    rows = v.protons().withColumnRenamed("shift_ppm", "shift").withColumn(
+        "nucleus", F.when(kind == 0, "1H").when(kind == 1, "31P").otherwise("77Se")
+    )
+    members = signals.per_nucleus(rows, signals.signal_group, nuclei=("1H", "31P"))
+    stats = signals.per_nucleus(members, signals.signal_stats, nuclei=("1H", "31P"))
+    return stats.select("mol_id", "nucleus", "signal_id", F.round("center", 6).alias("center"), "integration")
+
+
 @query(
     "majority_label",
     """

@@ -165,6 +165,21 @@ def test_peak_match_bins(spark):
     assert rows(match.peak_match(lined, peaks)) == rows(match.peak_match(lined, peaks, bin_ppm=0.011))
 
 
+def test_equal_signals_are_one(spark):
+    same = spark.range(100_000).select(F.lit(1).alias("mol_id"), F.col("id").alias("pos"), F.lit(2.0).alias("center"), F.array(F.lit(2.0)).alias("lines"))
+    peaks = spark.range(20_000).select(F.lit(1).alias("mol_id"), F.col("id").alias("peak_id"), (2 + F.col("id") % 7 / 1000).alias("ppm"))
+    found = match.peak_match(same, peaks)
+    assert found.count() == 20_000 and found.where("pos <> 0").count() == 0
+
+
+def test_nucleus_per_row(spark):
+    data = [(n, i, v, "g", n) for i, v in enumerate([1.0, 1.1, 9.0]) for n in ("1H", "13C", "77Se")]
+    table = spark.createDataFrame(data, "mol_id string, atom_index int, shift double, assignment_group string, nucleus string")
+    members = signals.per_nucleus(table, signals.signal_group, nuclei=("1H", "13C"))
+    got = {(r.nucleus, r.n) for r in members.groupBy("nucleus").agg(F.count_distinct("signal_no").alias("n")).collect()}
+    assert got == {("1H", 2), ("13C", 1), ("77Se", 1)}
+
+
 @pytest.mark.parametrize("partitions", ["1", "16"])
 def test_partitions_do_not_matter(spark, partitions):
     import __spark_entry__ as entry
