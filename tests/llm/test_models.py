@@ -309,6 +309,40 @@ def test_lm_scores(spark, monkeypatch):
     assert all(r.score < 0 for r in out) and sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
+def plain_backoff(data):
+    """Scores by the automaton over every pair of the training texts, however rare."""
+    tokens = [[*(t or "").encode().lower().split(), b"\n"] for _, t in data]
+    train = [d is None or zlib.crc32(str(d).encode()) % 10 != 0 for d, _ in data]
+    count = Counter(w for t, use in zip(tokens, train) if use for w in t)
+    pairs = Counter(p for t, use in zip(tokens, train) if use for p in zip(t, t[1:]))
+    followers = Counter(a for a, _ in pairs)
+    total, once, twice = sum(count.values()), sum(n == 1 for n in count.values()), sum(n == 2 for n in count.values())
+    discount = once / (once + 2 * twice) if once and twice else 0.5
+    root = lambda w: (count[w] - discount if w in count else discount * len(count)) / total
+
+    def step(a, b):
+        if a not in count:
+            return root(b)
+        left = 0.75 * followers[a] / count[a] * root(b)
+        return (pairs[a, b] - 0.75) / count[a] + left if (a, b) in pairs else left
+
+    return {d: math.log10(root(t[0])) + sum(math.log10(step(*p)) for p in zip(t, t[1:])) for (d, _), t in zip(data, tokens)}
+
+
+@pytest.mark.parametrize("part_tokens", [10**6, 3000])
+def test_lm_scores_use_every_pair(spark, monkeypatch, part_tokens):
+    """Words and pairs far below one in ten thousand tokens count, however pairs are dealt."""
+    monkeypatch.setattr(ngram, "BLOCK_TEXTS", 40)
+    monkeypatch.setattr(ngram, "PART_TOKENS", part_tokens, raising=False)
+    rng = random.Random(8)
+    weights = [1 / (i + 1) for i in range(3000)]
+    data = [(i, " ".join(f"w{x}" for x in rng.choices(range(3000), weights, k=200))) for i in range(250)]
+    data += [(i + 250, t + " rare pair") for i, (_, t) in enumerate(data[:2])] + [(252, None), (None, "rare pair")]
+    out = {r.doc_id: r.score for r in ngram.score_texts(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    want = plain_backoff(data)
+    assert out.keys() == want.keys() and all(math.isclose(out[d], want[d], rel_tol=1e-9) for d in want)
+
+
 def test_lm_probabilities_sum_to_one(spark):
     data = list(enumerate(prose(9, 120, vocabulary=30)))
     stored = ngram.blocks(spark.createDataFrame(data, "doc_id long, text string"), "doc_id", "text", 10)
