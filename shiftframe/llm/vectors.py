@@ -3,6 +3,10 @@
 A tree splits along one random direction per level, at the middle of each node's values. Vectors near the middle go to
 both sides, so a close pair is rarely parted, and the trees part different pairs. Vectors are compared within leaves,
 every pair found is verified by its cosine, and links are united into components.
+
+Splits part the pairs of a group that is dense, as its spread is no larger than the distance of a linked pair. Vectors
+near the centre of such a group stay out of the forest; they are compared exactly, block by block, with all vectors that
+can be linked to them.
 """
 
 from __future__ import annotations
@@ -26,7 +30,12 @@ SAMPLE_PER_LEAF = 32
 SAMPLE_ROWS = 1_000_000  # most vectors that thresholds are fitted on
 PAIR_KEPT = 0.92  # chance that a pair at cosine 0.9 stays together at one level with this spill
 MISSED = 0.001  # wanted chance that no tree keeps a pair together
+CORE_COSINE = 0.8  # vectors at least this near to the centre of a dense group are its core
+DENSE_SAMPLE = 8  # sampled vectors near each other in one leaf that make a group dense
+DENSE_SHARE = 0.25  # share of ``leaf_rows`` that a core is expected to have at least
+BLOCK_ROWS = 4096
 ROWS_AT_ONCE = 512
+CORE_ROWS_AT_ONCE = 128
 PAIRS_AT_ONCE = 8192
 
 
@@ -85,6 +94,88 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def dense_centres(sample: np.ndarray, forest: Forest, least_core: float) -> np.ndarray:
+    """Centres of the groups whose cores hold at least ``least_core`` of the sampled unit vectors.
+
+    Looks within the sample's parts at the last level of the first tree at which parts have four times ``DENSE_SAMPLE``
+    vectors or more.
+    """
+    levels = min(forest.directions.shape[1], max(0, int(np.log2(max(len(sample) / (4 * DENSE_SAMPLE), 1)))))
+    leaves = Forest(forest.directions[:1, :levels], forest.low[:1], forest.high[:1]).leaves(sample)
+    row, leaf = np.repeat(np.arange(len(sample)), [len(x) for x in leaves]), np.concatenate(leaves)
+    order = np.argsort(leaf, kind="stable")
+    found: list[tuple[int, np.ndarray]] = []
+    for part in np.split(row[order], np.flatnonzero(np.diff(leaf[order])) + 1):
+        x = sample[part]
+        near = x @ x.T >= CORE_COSINE**2  # what two vectors of a core have that lie to different sides of the centre
+        left = np.ones(len(x), dtype=bool)
+        while (support := (near & left).sum(axis=1) * left).max() >= DENSE_SAMPLE:
+            own = near[support.argmax()] & left
+            found.append((int(own.sum()), x[own].mean(axis=0)))
+            left &= ~own
+    free = np.ones(len(sample), dtype=bool)
+    centres: list[np.ndarray] = []
+    for _, mean in sorted(found, key=lambda f: -f[0]):
+        centre = mean / np.linalg.norm(mean)
+        core = free & (sample @ centre >= CORE_COSINE)
+        if core.sum() >= max(least_core, 1):
+            centre = sample[core].mean(axis=0)
+            centres.append(centre / np.linalg.norm(centre))
+            free &= sample @ centres[-1] < CORE_COSINE
+    return np.array(centres).reshape(len(centres), sample.shape[1])
+
+
+def block_links(
+    x: np.ndarray, nodes: np.ndarray, copies: np.ndarray, y: np.ndarray, others: np.ndarray, other_copies: np.ndarray,
+    outside: np.ndarray, least: float,
+) -> tuple[np.ndarray, np.ndarray]:
+    """(links per row, labels) of core vectors ``x`` followed by vectors ``y`` of the group.
+
+    Every core vector counts its links itself, so those of ``y`` count theirs only if ``outside`` of all cores.
+    """
+    labels, links = np.arange(len(x) + len(y)), np.zeros(len(x) + len(y), dtype=np.int64)
+    for at in range(0, len(x), CORE_ROWS_AT_ONCE):
+        here = slice(at, min(at + CORE_ROWS_AT_ONCE, len(x)))
+        hit = (x[here] @ y.T >= least) & (nodes[here, None] != others)
+        links[here] = hit @ other_copies
+        links[len(x) :] += (copies[here] @ hit) * outside
+        i, j = np.nonzero(hit & (labels[here, None] != labels[len(x) :]))
+        labels = unite(labels, i + at, j + len(x))
+    return links, labels
+
+
+def core_links(routed: DataFrame, least: float) -> DataFrame:
+    """``a, b, links`` of every pair with a core vector: blocks of a core against blocks of all that may link to it."""
+    members = routed.select("node", "v", "copies", "core", F.explode("near").alias("centre"))
+    sizes = members.groupBy("centre").agg(
+        F.count(F.lit(1)).alias("members"), F.sum((F.col("core") == F.col("centre")).cast("long")).alias("cores")
+    )
+    blocks = sizes.where("cores > 0").select(
+        "centre", *[F.ceil(F.col(c) / BLOCK_ROWS).cast("int").alias(f"{c}_blocks") for c in ("members", "cores")]
+    )
+    dealt = members.join(F.broadcast(blocks), "centre")
+    place = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
+    whole = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    columns = ["node", "v", "copies", "core", "centre"]
+    left = dealt.where("core = centre").select(*columns, place(F.col("cores_blocks")).alias("i"), whole("members_blocks").alias("j"))
+    right = dealt.select(*columns, whole("cores_blocks").alias("i"), place(F.col("members_blocks")).alias("j"))
+
+    def compare(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not len(left) or not len(right):
+            return pa.table({c: pa.array([], pa.int64()) for c in ("a", "b", "links")})
+        x, y = (unit(np.stack(t.column("v").to_numpy()).astype(float)) for t in (left, right))
+        nodes, others = left.column("node").to_numpy(), right.column("node").to_numpy()
+        copies, other_copies = left.column("copies").to_numpy(), right.column("copies").to_numpy()
+        links, labels = block_links(x, nodes, copies, y, others, other_copies, right.column("core").to_numpy() < 0, least)
+        linked = np.flatnonzero((labels != np.arange(len(labels))) | (links > 0))
+        node = np.concatenate([nodes, others])
+        return pa.table({"a": node[linked], "b": node[labels[linked]], "links": links[linked]})
+
+    keys = ["centre", "i", "j"]
+    left, right = (t.select(*[F.col(c).alias(c) for c in t.columns]) for t in (left, right))  # columns of two tables now
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(compare, "a long, b long, links long")
+
+
 def leaf_links(x: np.ndarray, copies: np.ndarray, leaves: np.ndarray, leaf: int, least: float) -> tuple[np.ndarray, np.ndarray]:
     """(links counted here per row, labels of groups) for the unit vectors of one leaf.
 
@@ -117,7 +208,8 @@ def link_vectors(
     """``vec_id, n_links, component_id, kept`` for every row.
 
     Equal vectors become one node first, so copies are never paired. The forest's thresholds are fitted on at most
-    ``sample_rows`` different vectors, chosen by hash; every vector is indexed. Only that sample reaches the driver.
+    ``sample_rows`` different vectors, chosen by hash; every vector is indexed. Only that sample reaches the driver. Dense groups found in the sample are
+    compared exactly, in a number of blocks that grows with the square of a group.
     Vectors that are null, empty, zero or hold null or non-finite components, and vectors of another length than most
     have, link with nothing. A null id is no component: such rows get the smallest id that they reach, null if there
     is none, and are not kept. Repeated rows link with each other. An empty table gives no rows. Other columns are not
@@ -139,19 +231,38 @@ def link_vectors(
     levels, trees = plan_forest(most["nodes"], leaf_rows)
     wanted = min(sample_rows, SAMPLE_PER_LEAF << levels)
     sample = usual.orderBy(F.xxhash64("v"), "node").limit(wanted).select("v").toPandas()["v"] if levels else None
-    forest = None if sample is None else fit_forest(unit(np.stack(sample.to_numpy()).astype(float)), levels, trees)
+    forest, centres = None, np.zeros((0, most["width"]))
+    if sample is not None:
+        fitted = unit(np.stack(sample.to_numpy()).astype(float))
+        forest = fit_forest(fitted, levels, trees)
+        centres = dense_centres(fitted, forest, max(DENSE_SAMPLE, DENSE_SHARE * leaf_rows * len(fitted) / most["nodes"]))
+        if len(centres):
+            fitted = fitted[(fitted @ centres.T).max(axis=1) < CORE_COSINE]
+            forest = fit_forest(fitted, levels, trees)
+    # an angle from the centre at which a vector may still be linked to one at the edge of the core
+    widest = np.cos(min(np.arccos(CORE_COSINE) + np.arccos(np.clip(least, -1, 1)) + 1e-6, np.pi))
 
     def route(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in found:
             x = unit(np.stack(batch.column(1).to_numpy(zero_copy_only=False)).astype(float)) if len(batch) else None
             leaves = [np.zeros(1, dtype=np.int64)] * len(batch) if forest is None or x is None else forest.leaves(x)
+            core, near = np.full(len(batch), -1), [np.zeros(0, dtype=np.int64)] * len(batch)
+            if len(centres) and x is not None:
+                cosine = x @ centres.T
+                core = np.where(cosine.max(axis=1) >= CORE_COSINE, cosine.argmax(axis=1), -1)
+                near = [np.flatnonzero(c >= widest) for c in cosine]
+                leaves = [own if c < 0 else own[:0] for own, c in zip(leaves, core)]
+            lists = [pa.array(z, pa.list_(pa.int64())) for z in (leaves, near)]
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(leaves, pa.list_(pa.int64()))], names=["node", "v", "copies", "leaves"]
+                [*batch.columns, lists[0], pa.array(core, pa.int64()), lists[1]], names=["node", "v", "copies", "leaves", "core", "near"]
             )
 
     kind = nodes.schema["v"].dataType.simpleString()
-    routed = usual.select("node", "v", "copies").mapInArrow(route, f"node long, v {kind}, copies long, leaves array<long>")
-    placed = routed.select("*", F.explode("leaves").alias("leaf"))
+    routed = usual.select("node", "v", "copies").mapInArrow(
+        route, f"node long, v {kind}, copies long, leaves array<long>, core long, near array<long>"
+    )
+    routed = materialize(routed, "routed-vectors") if len(centres) else routed
+    placed = routed.select("node", "v", "copies", "leaves", F.explode("leaves").alias("leaf"))
 
     def compare(leaf: tuple, group: pa.Table) -> pa.Table:
         x = unit(np.stack(group.column("v").to_numpy()).astype(float))
@@ -164,7 +275,8 @@ def link_vectors(
         linked = np.flatnonzero((labels != np.arange(len(labels))) | (links > 0))
         return pa.table({"a": node[linked], "b": node[labels[linked]], "links": links[linked]})
 
-    found = materialize(placed.groupBy("leaf").applyInArrow(compare, "a long, b long, links long"), "leaf-links")
+    within = placed.groupBy("leaf").applyInArrow(compare, "a long, b long, links long")
+    found = materialize(within.unionByName(core_links(routed, least)) if len(centres) else within, "leaf-links")
     counted = found.groupBy("a").agg(F.sum("links").alias("links")).withColumnRenamed("a", "node")
     joined = components(found.select("a", "b")).withColumnRenamed("id", "node")
     smallest = joined.join(nodes.select("node", "first_id"), "node").groupBy("component").agg(F.min("first_id").alias("least_id"))

@@ -147,6 +147,21 @@ def test_vectors_recall(spark):
     assert sum(out.values()) >= 0.9 * degree.sum() > 0
 
 
+def test_vectors_recall_of_a_dense_group(spark, monkeypatch):
+    """A group of near vectors that is many times larger than a leaf and holds a third of all rows."""
+    monkeypatch.setattr(vectors, "BLOCK_ROWS", 700, raising=False)
+    rng = np.random.default_rng(6)
+    centre = rng.standard_normal(32)
+    dense = centre / np.linalg.norm(centre) + 0.3 / 32**0.5 * rng.standard_normal((2000, 32))
+    x = np.concatenate([dense, rng.standard_normal((4000, 32))]).astype(np.float32)
+    data = [(i, v.tolist()) for i, v in enumerate(x)]
+    out = {r.vec_id: r.n_links for r in vectors.link_vectors(spark.createDataFrame(data, "vec_id long, embedding array<float>"), leaf_rows=50).collect()}
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    degree = (unit @ unit.T >= 0.9).sum(axis=1) - 1
+    assert all(out[i] <= degree[i] for i in range(len(x)))
+    assert sum(out.values()) >= 0.99 * degree.sum() > 10**6
+
+
 PATTERNS = (
     r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
     r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]",
