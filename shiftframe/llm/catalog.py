@@ -3,4 +3,4 @@
 from shiftframe.llm import queries_models, queries_native
 
 QUERIES = queries_native.QUERIES | queries_models.QUERIES
-ORACLE = dict(queries_native.ORACLE)
+ORACLE = queries_native.ORACLE | queries_models.ORACLE

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shiftframe.llm import ngram, pii, simhash, toxicity, vectors
+from shiftframe.llm import collocations, negatives, ngram, pii, simhash, toxicity, vectors
 from shiftframe.llm.text import table
 
 
@@ -29,4 +29,16 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram.score_texts(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op4_embedding_dedup, op5_pii, op7_simhash, op9_toxicity, op10_lm_scoring)}
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine_collocations(table(spark, sf_dir, "documents"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.hard_negatives(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op4_embedding_dedup, op5_pii, op7_simhash, op9_toxicity, op10_lm_scoring, op11_collocations, op12_hard_negatives)
+}
+ORACLE = {"op11_collocations": collocations.COLLOCATIONS_SQL, "op12_hard_negatives": negatives.NEGATIVES_SQL}
