@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shiftframe.llm import collocations, negatives, ngram, pii, simhash, toxicity, vectors
+from shiftframe.llm import collocations, extraction, negatives, ngram, pii, simhash, toxicity, vectors
 from shiftframe.llm.text import table
 
 
@@ -37,8 +37,16 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negatives.hard_negatives(table(spark, sf_dir, "embeddings"))
 
 
+def op13_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return extraction.extract_main(pages, extraction.train(pages))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op4_embedding_dedup, op5_pii, op7_simhash, op9_toxicity, op10_lm_scoring, op11_collocations, op12_hard_negatives)
+    for f in (
+        op4_embedding_dedup, op5_pii, op7_simhash, op9_toxicity, op10_lm_scoring, op11_collocations, op12_hard_negatives,
+        op13_html_extraction,
+    )
 }
 ORACLE = {"op11_collocations": collocations.COLLOCATIONS_SQL, "op12_hard_negatives": negatives.NEGATIVES_SQL}
