@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shiftframe.constants import RT_KCAL
-from shiftframe.functions.skew import bucket_of, numbered
+from shiftframe.functions.ranges import numbered
 
 
 def boltzmann_mean(
@@ -45,14 +45,13 @@ def rank_conformers(
     mol: str = "mol_id",
     conf: str = "conf_id",
     energy: str = "energy_kcal",
-    bucket_kcal: float = 0.5,
 ) -> DataFrame:
     """Number the conformers of a molecule by energy, then id; the failure flag plays no part.
 
     Unknown energies (null) come first and NaN last, as Spark orders them.
     """
     order = [F.col(energy).asc(), F.col(conf).asc()]
-    return numbered(conformers, [mol], order, "rank", bucket=bucket_of(F.col(energy), bucket_kcal))
+    return numbered(conformers, [mol], order, "rank")
 
 
 def best_conformer(

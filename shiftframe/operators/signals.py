@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shiftframe import constants as C
-from shiftframe.functions.skew import bucket_of, running, split_hot
+from shiftframe.functions.ranges import running
+from shiftframe.functions.skew import split_hot
 from shiftframe.operators.signal_walk import BLOCK_ROWS, walk_large
 
 # Optional columns of a shift row and their types.
@@ -333,7 +334,6 @@ def integral_curve(
     high: float,
     keys: Sequence[str] = ("mol_id",),
     tie: str = "pos",
-    bucket_ppm: float = 0.1,
 ) -> DataFrame:
     """Points (seq, x, y) of the rising integral of each key, from the high to the low end of the range.
 
@@ -348,7 +348,6 @@ def integral_curve(
         keys,
         [F.col("center").desc(), F.col(tie)],
         {"_sum": F.col("integration"), "_rank": F.lit(1)},
-        bucket=bucket_of(F.col("center"), bucket_ppm, descending=True),
     ).join(totals, list(keys))
 
     def height(reached: Column) -> Column:

@@ -32,7 +32,7 @@ from shiftframe.sources.logs import log_sections
     """,
 )
 def merge_engines(v: Views) -> DataFrame:
-    atoms = v.stored_atoms()
+    atoms = v.atoms()
     shifts = v.predictions().select("mol_id", "engine", "atom_index", F.lit("H").alias("symbol"), "shift_ppm")
     _, merged, _ = pipelines.merge_engines(v.engine_results(), shifts, atoms, v.bonds(atoms))
     return merged.select(

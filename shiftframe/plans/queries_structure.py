@@ -164,13 +164,13 @@ _NEIGHBOR_SQL = f"""
     f"SELECT a.mol_id, a.atom_index, a.atomic_num, p.anchor FROM atoms a LEFT JOIN ({_ANCHOR_SQL}) p ON p.mol_id = a.mol_id AND p.atom_index = a.atom_index",
 )
 def anchor_join(v: Views) -> DataFrame:
-    atoms = v.stored_atoms()
+    atoms = v.atoms()
     return graph.anchor_join(atoms, v.bonds(atoms)).select("mol_id", "atom_index", "atomic_num", "anchor")
 
 
 @query("neighbor_protons", f"SELECT mol_id, atom_index, anchor, neighbor_count FROM ({_NEIGHBOR_SQL}) n")
 def neighbor_protons(v: Views) -> DataFrame:
-    atoms = v.stored_atoms()
+    atoms = v.atoms()
     return graph.neighbor_protons(atoms, v.bonds(atoms)).select("mol_id", "atom_index", "anchor", "neighbor_count")
 
 
@@ -185,7 +185,7 @@ def neighbor_protons(v: Views) -> DataFrame:
     """,
 )
 def multiplicity_rule(v: Views) -> DataFrame:
-    atoms = v.stored_atoms()
+    atoms = v.atoms()
     return graph.multiplicity_rule(atoms, v.bonds(atoms))
 
 
@@ -213,7 +213,7 @@ _ALL_PAIRS_SQL = f"""
 
 @query("radius_neighbors", f"SELECT mol_id, atom_index, nbr, round(distance, 6) AS distance, rank FROM ({_ALL_PAIRS_SQL}) p")
 def radius_neighbors(v: Views) -> DataFrame:
-    return graph.radius_neighbors(v.stored_atoms(), cutoff=3.0, k=4).withColumn("distance", F.round("distance", 6))
+    return graph.radius_neighbors(v.atoms(), cutoff=3.0, k=4).withColumn("distance", F.round("distance", 6))
 
 
 _BOND_KEY_SQL = """
@@ -242,13 +242,13 @@ def _tokens(v: Views, atoms: DataFrame) -> DataFrame:
 
 @query("bond_key", f"SELECT mol_id, bond_idx, bond_key FROM ({_BOND_KEY_SQL}) k")
 def bond_key(v: Views) -> DataFrame:
-    atoms = v.stored_atoms()
+    atoms = v.atoms()
     return graph.keyed_bonds(atoms, v.bonds(atoms)).select("mol_id", "bond_idx", "bond_key")
 
 
 @query("vocab_encode", f"SELECT mol_id, bond_idx, bond_key, token FROM ({_TOKEN_SQL}) t")
 def vocab_encode(v: Views) -> DataFrame:
-    return _tokens(v, v.stored_atoms()).select("mol_id", "bond_idx", "bond_key", "token")
+    return _tokens(v, v.atoms()).select("mol_id", "bond_idx", "bond_key", "token")
 
 
 @query(
@@ -260,7 +260,7 @@ def vocab_encode(v: Views) -> DataFrame:
     """,
 )
 def bond_feature_join(v: Views) -> DataFrame:
-    atoms = v.stored_atoms()
+    atoms = v.atoms()
     pairs = graph.radius_neighbors(atoms, cutoff=3.0, k=4)
     return graph.bond_feature_join(pairs, _tokens(v, atoms)).select("mol_id", "atom_index", "nbr", "bond_token")
 
@@ -273,7 +273,7 @@ def bond_feature_join(v: Views) -> DataFrame:
     """,
 )
 def edge_gather(v: Views) -> DataFrame:
-    atoms = v.stored_atoms()
+    atoms = v.atoms()
     received = graph.edge_gather(v.bonds(atoms), atoms, "symbol", end="a", name="receiver")
     return graph.edge_gather(received, atoms, "symbol", end="b", name="sender").select(
         "mol_id", "bond_idx", "receiver", "sender"
@@ -291,7 +291,7 @@ def edge_gather(v: Views) -> DataFrame:
 )
 def segment_reduce(v: Views) -> DataFrame:
     """Edge values into their receiving atoms; edges that point nowhere are added with index -1."""
-    atoms = v.stored_atoms()
+    atoms = v.atoms()
     edges = v.bonds(atoms).select("mol_id", F.col("a").alias("atom_index"), (F.col("b") * F.lit(1.5)).alias("value"))
     edges = edges.unionByName(edges.withColumn("atom_index", F.lit(-1)))
     how = ["sum", "mean", "max", "min"]
@@ -307,7 +307,7 @@ def segment_reduce(v: Views) -> DataFrame:
     """,
 )
 def pair_distance(v: Views) -> DataFrame:
-    atoms = v.stored_atoms()
+    atoms = v.atoms()
     return graph.bond_distances(atoms, v.bonds(atoms)).select(
         "mol_id", "bond_idx", F.round("distance", 6).alias("distance")
     )
@@ -323,7 +323,7 @@ def pair_distance(v: Views) -> DataFrame:
     """,
 )
 def prefix_offsets(v: Views) -> DataFrame:
-    atoms = v.stored_atoms()
+    atoms = v.atoms()
     sizes = atoms.groupBy("mol_id").agg(
         F.count(F.lit(1)).alias("n_atoms"), F.count_if(F.col("atomic_num") == 1).alias("n_targets")
     )

@@ -7,8 +7,7 @@ import functools
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shiftframe.functions.skew import bucket_of, numbered
-from shiftframe.functions.workspace import materialize
+from shiftframe.functions.ranges import numbered
 
 ENGINE_ORDER = (("cdk", 1), ("cascade", 2), ("orca", 3))
 
@@ -36,11 +35,6 @@ class Views:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
-    @made_once
-    def stored_atoms(self) -> DataFrame:
-        """The atoms as a table, for queries that read them several times."""
-        return materialize(self.atoms(), "atoms")
-
     @staticmethod
     def _each_engine() -> Column:
         """Every fourth molecule asks for the engines the other way round."""
@@ -113,9 +107,7 @@ class Views:
             "l_linestatus",
         )
         order = [F.col(c) for c in ("l_extendedprice", "l_partkey", "l_suppkey", "l_quantity", "l_linenumber")]
-        dense = numbered(
-            li, ["mol_id"], order, "atom_index", start=0, bucket=bucket_of(F.col("l_extendedprice"), 1024)
-        )
+        dense = numbered(li, ["mol_id"], order, "atom_index", start=0)
         k = F.col("l_partkey") % 5
         sk = F.col("l_suppkey")
         return dense.select(
@@ -158,7 +150,7 @@ class Views:
             F.col("l_linenumber").alias("ln"),
         )
         order = [F.col(c) for c in ("ep", "lk", "sk", "q", "ln")]
-        dense = numbered(li, ["mol_id"], order, "atom_index", start=0, bucket=bucket_of(F.col("ep"), 1024))
+        dense = numbered(li, ["mol_id"], order, "atom_index", start=0)
         kind = (F.col("lk") + F.col("sk")) % 4
         return dense.select(
             "mol_id",
@@ -248,7 +240,7 @@ class Views:
             "l_linenumber",
         )
         order = [-F.col("center")] + [F.col(c) for c in ("l_partkey", "l_suppkey", "l_quantity", "l_linenumber")]
-        dense = numbered(li, ["mol_id"], order, "pos", bucket=bucket_of(F.col("center"), 0.1, descending=True))
+        dense = numbered(li, ["mol_id"], order, "pos")
         return dense.select(
             "mol_id",
             F.col("pos").cast("int").alias("pos"),

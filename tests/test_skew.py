@@ -6,7 +6,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from shiftframe.functions import skew
+from shiftframe import constants as C
+from shiftframe.functions import ranges, skew
 from shiftframe.operators import ensemble, graph, match, signals, spectra
 from shiftframe.plans.views import Views
 from shiftframe.sources import logs
@@ -42,20 +43,26 @@ def odd(spark):
     return spark.createDataFrame(data, "mol_id long, v double, id long, w long").cache()
 
 
-@pytest.mark.parametrize("width", WIDTHS)
+@pytest.fixture(params=[1, 4, 40])
+def range_count(spark, request):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(request.param))
+    yield request.param
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 @pytest.mark.parametrize("descending", [False, True])
-def test_numbered_and_running(one_hot, odd, width, descending):
+def test_numbered_and_running(one_hot, odd, range_count, descending):
     from pyspark.sql import Window
 
     order = [F.col("v").desc() if descending else F.col("v"), F.col("id")]
-    bucket = skew.bucket_of(F.col("v"), width, descending=descending)
     window = Window.partitionBy("mol_id").orderBy(*order)
     for table in (one_hot, odd):
         plain = table.withColumn("n", F.row_number().over(window).cast("long"))
-        assert rows(plain) == rows(skew.numbered(table, ["mol_id"], order, "n", bucket=bucket))
+        assert rows(plain) == rows(ranges.numbered(table, ["mol_id"], order, "n"))
         upto = window.rowsBetween(Window.unboundedPreceding, 0)
         plain = table.select("*", F.sum("w").over(upto).alias("s"), F.count(F.lit(1)).over(upto).alias("c"))
-        assert rows(plain) == rows(skew.running(table, ["mol_id"], order, {"s": F.col("w"), "c": F.lit(1)}, bucket=bucket))
+        assert rows(plain) == rows(ranges.running(table, ["mol_id"], order, {"s": F.col("w"), "c": F.lit(1)}))
 
 
 @pytest.mark.parametrize("width", (1, 16, 1e9))
@@ -67,16 +74,53 @@ def test_previous(one_hot, odd, width):
         assert rows(plain) == rows(skew.previous(table, ["mol_id"], ["id"], "w", "p", bucket=skew.bucket_of(F.col("id"), width)))
 
 
-def test_rank_conformers(odd):
+def test_running_with_nulls_and_doubles(spark, range_count):
+    data = [(k, i, None if i % 4 == 0 else i / 8, None if i % 3 else i) for k in ("a", None) for i in range(30)]
+    table = spark.createDataFrame(data, "k string, i long, d double, n int")
+    got = ranges.running(table, ["k"], [F.col("i").desc()], {"sd": F.col("d"), "sn": F.col("n")})
+    want, sums = [], {}
+    for k, i, d, n in sorted(data, key=lambda r: -r[1]):
+        sd, sn = sums.get(k, (0.0, 0))
+        sums[k] = sd + (d or 0.0), sn + (n or 0)
+        want.append((d, i, k, n, *sums[k]))
+    assert rows(got) == sorted(want, key=str)
+    assert rows(ranges.numbered(table.where("false"), ["k"], [F.col("i")], "at")) == []
+
+
+def test_ranges_are_even_where_a_value_holds_a_third_of_the_rows(spark, range_count):
+    data = spark.range(6000).select(
+        F.when(F.col("id") % 3 == 0, 1).otherwise(F.col("id") % 40).alias("mol_id"),
+        F.when(F.col("id") % 3 == 0, 5.0).otherwise(F.rand(3)).alias("v"), "id",
+    )
+    sizes = [r["count"] for r in ranges.in_ranges(data, ["mol_id"], [F.col("v")]).groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) == range_count and max(sizes) <= 2 * sorted(sizes)[len(sizes) // 2]
+
+
+def test_rank_conformers(odd, range_count):
+    from pyspark.sql import Window
+
     table = odd.select("mol_id", F.col("id").alias("conf_id"), F.col("v").alias("energy_kcal"))
-    wide, narrow = (rows(ensemble.rank_conformers(table, bucket_kcal=w)) for w in (1e9, 0.1))
-    assert wide == narrow and len(wide) == table.count()
+    window = Window.partitionBy("mol_id").orderBy("energy_kcal", "conf_id")
+    assert rows(ensemble.rank_conformers(table)) == rows(table.withColumn("rank", F.row_number().over(window)))
 
 
-def test_integral_curve(one_hot):
+def test_integral_curve(one_hot, range_count):
     table = one_hot.select("mol_id", F.col("v").alias("center"), F.col("id").alias("pos"), F.col("w").alias("integration"))
-    wide, narrow = (rows(signals.integral_curve(table, low=0.5, high=8.0, bucket_ppm=w)) for w in (1e9, 0.01))
-    assert wide == narrow
+    got = signals.integral_curve(table, low=0.5, high=8.0)
+    want = []
+    for mol in {r["mol_id"] for r in table.collect()}:
+        own = sorted((r for r in table.where(F.col("mol_id") == mol).collect()), key=lambda r: (-r["center"], r["pos"]))
+        total, reached = sum(r["integration"] for r in own), 0
+        height = lambda s: s / total * C.INTEGRAL_AMPLITUDE + C.INTEGRAL_BASELINE
+        points = [(8.0, C.INTEGRAL_BASELINE)]
+        for r in own:
+            before, reached = reached, reached + r["integration"]
+            shoulder = C.INTEGRAL_SHOULDER_PPM
+            points += [(min(8.0, r["center"] + shoulder), height(before)), (r["center"], height(before))]
+            points += [(r["center"], height(reached)), (max(0.5, r["center"] - shoulder), height(reached))]
+        points.append((0.5, C.INTEGRAL_BASELINE + C.INTEGRAL_AMPLITUDE))
+        want += [(mol, i, round(x + 1e-11, 9), round(y + 1e-11, 9)) for i, (x, y) in enumerate(points) if total > 0]
+    assert rows(got) == sorted(want, key=str)
 
 
 def test_log_sections(spark):
