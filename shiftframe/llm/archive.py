@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shiftframe.llm.text import small_or_shuffled
+
 BASE32_OF_CONV = ("0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")  # fixed values: RFC 4648
 DATE = "2024-01-01T00:00:00Z"
 EOL = "\r\n"
@@ -35,6 +37,11 @@ def write_archive(
     largest id with the same payload are all responses. A null id comes last. A null html is an empty payload; a null
     url gives an empty target. The digest is verified while equal ones are brought together: if two payloads of one
     digest differ in length or SHA-1, the write fails.
+
+    Which row carries the payload of a digest is found on narrow rows: the response. The task that reads a page writes
+    its payload, so no payload is shuffled. It looks up only digests that occur more than once; where those are too
+    many to be sent to every task, the rows are dealt by digest instead. If several rows are the response of a digest,
+    its payload is picked from them.
     """
     content = pages.select(
         F.col(page_id).alias("page_id"), F.col(url).alias("url"),
@@ -45,6 +52,7 @@ def write_archive(
     )
     chosen = described.groupBy("digest").agg(
         F.max("page_id").alias("response_id"),
+        F.count(F.lit(1)).alias("rows"),
         ((F.min("bytes") == F.max("bytes")) & (F.min("sha1") == F.max("sha1"))).alias("same"),
     )
     revisit = (F.col("bytes") >= least) & ~F.col("page_id").eqNullSafe(F.col("response_id"))
@@ -67,9 +75,16 @@ def write_archive(
     )
     checked = F.when(F.col("same"), header).otherwise(F.raise_error(F.lit("two payloads share a digest")))
     described.join(chosen, "digest").select("digest", checked.alias("header")).write.parquet(f"{path}/headers")
-    content.select("digest", "payload").groupBy("digest").agg(F.first("payload").alias("payload")).write.parquet(
-        f"{path}/payloads"
-    )
+    answering = F.col("page_id").eqNullSafe(F.col("response_id"))
+    repeated = described.join(chosen.where("rows > 1").select("digest", "response_id"), "digest").where(answering)
+    carriers = repeated.groupBy("digest").agg(F.max("response_id").alias("response_id"), (F.count(F.lit(1)) > 1).alias("several"))
+    carriers = small_or_shuffled(carriers, "archive-carriers")
+    told = content.select("digest", "page_id", "payload").join(carriers, "digest", "left")
+    carried = told.where(F.col("several").isNull() | (~F.col("several") & answering)).select("digest", "payload")
+    carried.write.parquet(f"{path}/payloads")
+    if not carriers.where("several").isEmpty():
+        picked = told.where(F.col("several") & answering).groupBy("digest").agg(F.first("payload").alias("payload"))
+        picked.write.mode("append").parquet(f"{path}/payloads")
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:

@@ -1,5 +1,6 @@
 """Decontamination, line dedup, sharding, mixing and the archive against brute force, and on awkward rows."""
 
+import functools
 import base64
 import hashlib
 import math
@@ -220,3 +221,19 @@ def test_archive_limits(spark):
     nothing = new_path(spark, "archive")
     archive.write_archive(pages.limit(0), nothing)
     assert archive.read_records(spark, nothing).count() == 0
+
+
+@pytest.mark.parametrize("most", [0, 1000])
+def test_archive_stores_each_payload_once(spark, monkeypatch, most):
+    monkeypatch.setattr(archive, "small_or_shuffled", functools.partial(archive.small_or_shuffled, most=most))
+    cases = [(1, "a"), (2, "a"), (2, "a"), (3, "b"), (None, "c"), (None, "c"), (4, None), (5, ""), (6, "d"), (None, "d"), (7, "e"), (8, "e")]
+    path = new_path(spark, "archive")
+    archive.write_archive(spark.createDataFrame([(i, "u", h) for i, h in cases], "page_id long, url string, html string").repartition(3), path)
+    stored = [bytes(r.payload).decode() for r in spark.read.parquet(f"{path}/payloads").collect()]
+    assert sorted(stored) == ["", "a", "b", "c", "d", "e"]
+    out = archive.parse_records(archive.read_records(spark, path)).collect()
+    largest = {}
+    for i, h in cases:
+        largest[h or ""] = max(largest.get(h or "", i) or 0, i or 0) or None
+    want = [(i, len(h or ""), "response" if i == largest[h or ""] else "revisit") for i, h in cases]
+    assert sorted((str(r.page_id), r.payload_bytes, r.record_type) for r in out) == sorted((str(i), n, t) for i, n, t in want)
