@@ -14,6 +14,7 @@ BLOCKS = frozenset(
     optgroup option p pre search section select summary table tbody td textarea tfoot th thead tr ul""".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+SECTIONS = frozenset("article aside dialog fieldset footer form header main menu nav noscript".split())
 HIDDEN = frozenset("script style title template iframe noembed noframes xmp".split())
 CLOSES = {  # an element that begins while one of these is open ends it, up to the nearest of the second set
     **dict.fromkeys(BLOCKS - {"body", "head", "html", "button", "label", "option", "optgroup", "select"}, ({"p"}, {"button", "td", "th", "table", "caption"})),
@@ -62,7 +63,9 @@ class Markup:
                     truth = value
                 else:
                     features |= {f"name={part.lower().removesuffix('s')}" for part in NAME_PART.findall(value)}
-            found = frozenset(features), truth
+            # of what names an element, that of the innermost named one counts once more
+            near = {f.replace("name=", "near=") for f in features if f.startswith("name=")}
+            found = frozenset(features | near | ({f"near={tag}"} if tag in SECTIONS else set())), truth
             if len(self.known) < MEMO:
                 self.known[tag, attributes] = found
         return found
@@ -152,7 +155,9 @@ def blocks_of(page: str, markup: Markup) -> list[Block]:
                 pieces.append(" ")
             continue
         own, mark = markup.read(tag, token[3])
-        context = context if own <= context else context | own
+        if not own <= context:
+            named = any(f.startswith("near=") for f in own)
+            context = own.union(f for f in context if not f.startswith("near=")) if named else context | own
         truth = truth if mark is None else mark
         stack.append((tag, context, truth))
         open_tags[tag] += 1

@@ -125,27 +125,27 @@ def article(draw: random.Random, inside: list[str], outside: list[str]) -> str:
         parts.append(wrapped("header", title, 1) if draw.random() < 0.1 else title)
     for _ in range(draw.choice([1, 2, 3, 5, 8, 12])):
         drawn = draw.random()
-        if drawn < 0.72:
+        if drawn < 0.66:
             text = paragraph(draw, inside)
             parts.append(wrapped("p", text if draw.random() < 0.8 else f"<b>{text}<br>", unclosed=draw.random() < 0.1))
-        elif drawn < 0.78:
+        elif drawn < 0.72:
             parts.append(wrapped(draw.choice(["h2", "h3"]), html.escape(sentence(draw, inside), quote=False)))
-        elif drawn < 0.84:
+        elif drawn < 0.77:
             items = "".join(wrapped("li", html.escape(sentence(draw, inside), quote=False)) for _ in range(draw.randint(2, 5)))
             parts.append(wrapped(draw.choice(["ul", "ol"]), items))
-        elif drawn < 0.88:
+        elif drawn < 0.81:
             parts.append(wrapped("blockquote", paragraph(draw, inside)))
-        elif drawn < 0.91:
+        elif drawn < 0.84:
             parts.append(wrapped("figure", "<img src=x>" + wrapped("figcaption", html.escape(sentence(draw, inside), quote=False))))
-        elif drawn < 0.94:
+        elif drawn < 0.86:
             cells = "".join(wrapped("tr", wrapped("td", made_word(draw)) + wrapped("td", made_sentence(draw))) for _ in range(draw.randint(1, 4)))
             parts.append(wrapped("table", cells))
-        elif drawn < 0.96:
+        elif drawn < 0.88:
             parts.append(wrapped("pre", html.escape(made_sentence(draw))))
         else:
             parts.append(around(draw, draw.choice(["advert", "sidebar", "share", "form", "notice"]), inside, outside))
-    if draw.random() < 0.15:
-        parts.append(around(draw, draw.choice(["comments", "share", "sidebar"]), inside, outside))
+    if draw.random() < 0.25:
+        parts.append(around(draw, draw.choice(["comments", "comments", "share", "sidebar"]), inside, outside))
     return "".join(parts)
 
 
