@@ -73,17 +73,3 @@ def numbered(
     """Consecutive numbers from ``start`` within each group, in ``order``; ``bucket`` must rise with it."""
     counted = running(df, keys, order, {name: F.lit(1).cast("long")}, bucket=bucket)
     return counted.withColumn(name, F.col(name) + (start - 1))
-
-
-def previous(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, name: str, *, bucket: Column
-) -> DataFrame:
-    """Add the value of the row before, within the group and in ``order``; null for the first row."""
-    cut = df.withColumn("_bucket", bucket)
-    last = cut.groupBy(*keys, "_bucket").agg(F.max_by(F.struct(value), F.struct(*order)).alias("_last"))
-    by_bucket = Window.partitionBy(*keys).orderBy("_bucket")
-    carried = last.select(*keys, "_bucket", F.lag("_last").over(by_bucket).alias("_carried"))
-    inside = Window.partitionBy(*keys, "_bucket").orderBy(*order)
-    joined = join_on(cut, carried, [*keys, "_bucket"]).withColumn("_first", F.row_number().over(inside) == 1)
-    found = F.when(F.col("_first"), F.col(f"_carried.{value}")).otherwise(F.lag(value).over(inside))
-    return joined.select(*df.columns, found.alias(name))

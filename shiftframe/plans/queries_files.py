@@ -147,7 +147,20 @@ def log_scan(v: Views) -> DataFrame:
     """,
 )
 def log_sections(v: Views) -> DataFrame:
-    return logs.log_sections(v.log_lines())
+    """Logs of many molecules each, written as text files and read line by line.
+
+    The atoms of the molecules in one log are told apart by their numbers, 64 to a molecule.
+    """
+    run, atom = F.col("file_id") % 16, F.col("atom_index")
+    numbered = F.concat(F.lit(" Nucleus  "), (F.floor(F.col("file_id") / 16) * 64 + F.regexp_extract("line", r"(\d+)", 1).cast("long")).cast("string"), F.lit(" X :"))
+    lines = v.log_lines().withColumn("value", F.when(F.startswith("line", F.lit(" Nucleus")), numbered).otherwise(F.col("line")))
+    path = new_path(v.spark, "logs")
+    dealt = lines.withColumn("run", run).repartition("run").sortWithinPartitions("run", "file_id", "line_no")
+    dealt.select("run", "value").write.partitionBy("run").text(path)
+    of = F.regexp_extract("file_id", r"/run=(\d+)/", 1).cast("long")
+    return logs.read_log_sections(v.spark, path).select(
+        (F.floor(atom / 64) * 16 + of).cast("long").alias("file_id"), (atom % 64).alias("atom_index"), "sigma"
+    )
 
 
 # --- coordinate files and decks ---------------------------------------------------------------------------------

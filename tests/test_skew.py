@@ -32,9 +32,6 @@ def one_hot(spark):
     return spark.createDataFrame(data, "mol_id long, v double, id long, w long").cache()
 
 
-WIDTHS = (0.01, 0.5, 1e9)  # from nearly every row alone to every group in one bucket
-
-
 @pytest.fixture(scope="module")
 def odd(spark):
     """Nulls, NaN, both zeros and ties in the order column, and a null key."""
@@ -65,15 +62,6 @@ def test_numbered_and_running(one_hot, odd, range_count, descending):
         assert rows(plain) == rows(ranges.running(table, ["mol_id"], order, {"s": F.col("w"), "c": F.lit(1)}))
 
 
-@pytest.mark.parametrize("width", (1, 16, 1e9))
-def test_previous(one_hot, odd, width):
-    from pyspark.sql import Window
-
-    for table in (one_hot.where("id % 5 <> 0"), odd):
-        plain = table.withColumn("p", F.lag("w").over(Window.partitionBy("mol_id").orderBy("id")))
-        assert rows(plain) == rows(skew.previous(table, ["mol_id"], ["id"], "w", "p", bucket=skew.bucket_of(F.col("id"), width)))
-
-
 def test_running_with_nulls_and_doubles(spark, range_count):
     data = [(k, i, None if i % 4 == 0 else i / 8, None if i % 3 else i) for k in ("a", None) for i in range(30)]
     table = spark.createDataFrame(data, "k string, i long, d double, n int")
@@ -123,10 +111,69 @@ def test_integral_curve(one_hot, range_count):
     assert rows(got) == sorted(want, key=str)
 
 
-def test_log_sections(spark):
-    lines = Views(spark, FOLDER).log_lines()
-    plain = logs.log_sections(lines)
-    assert rows(plain) == rows(logs.log_sections(lines, bucket=skew.bucket_of(F.col("line_no"), 4)))
+def slow_sections(lines):
+    """One log after the other, line by line."""
+    import re
+
+    found, table, opened, titled = {}, {}, None, False
+    for line in lines:
+        if m := re.search(C.LOG_HEADER_PATTERN, line):
+            opened = int(m[1])
+        elif m := re.search(C.LOG_VALUE_PATTERN, line):
+            if opened is not None:
+                found[opened] = float(m[1])
+            opened = None
+        elif any(t in line.upper() for t in C.LOG_TABLE_TITLES):
+            titled = True
+        elif titled and (m := re.search(C.LOG_TABLE_ROW_PATTERN, line)):
+            table[int(m[1])] = float(m[3])
+    return found or table
+
+
+def drawn_logs(seed, files, length):
+    draw = random.Random(seed)
+    title = C.LOG_TABLE_TITLES[0]
+    logs_ = []
+    for f in range(files):
+        values = f % 3
+        kinds = ["header", "value", "noise", "title", "row", "row"] if values else ["header", "noise", "noise", "title", "row", "row", "row"]
+        text = []
+        for _ in range(draw.randint(0, length)):
+            n, x = draw.randint(0, 9), f"{draw.randint(1, 99)}.{draw.randint(100, 999)}"
+            text.append({
+                "header": f" Nucleus  {n} H :", "value": f"   Isotropic shielding:    {x} ppm", "noise": "cycle done", "title": title,
+                "row": f"  {n}  H  {x}  1.5",
+            }[draw.choice(kinds)])
+        logs_.append(text)
+    return logs_
+
+
+@pytest.mark.parametrize("block_lines", [1, 2, 5, 1000])
+def test_log_sections(spark, block_lines):
+    texts = drawn_logs(block_lines, 40, 30)
+    data = [(f, i, t) for f, text in enumerate(texts) for i, t in enumerate(text)]
+    lines = spark.createDataFrame(data, "file_id long, line_no long, line string").repartition(5)
+    got = {(r.file_id, r.atom_index): r.sigma for r in logs.log_sections(lines, block_lines=block_lines).collect()}
+    assert got == {(f, a): v for f, text in enumerate(texts) for a, v in slow_sections(text).items()} and got
+
+
+@pytest.mark.parametrize("batch", ["3", "10000"])
+def test_log_files_split_over_blocks(spark, tmp_path, batch):
+    texts = drawn_logs(3, 9, 400)
+    for f, text in enumerate(texts):
+        (tmp_path / f"{f}.log").write_text("\n".join([*text, ""]))
+    settings = {"spark.sql.files.maxPartitionBytes": "1500", "spark.sql.files.openCostInBytes": "1", "spark.sql.execution.arrow.maxRecordsPerBatch": batch}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        assert logs.read_lines(spark, str(tmp_path)).select("block_start").distinct().count() > 3
+        found = logs.read_log_sections(spark, str(tmp_path)).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    got = {(int(r.file_id.rsplit("/", 1)[1].split(".")[0]), r.atom_index): r.sigma for r in found}
+    assert got == {(f, a): v for f, text in enumerate(texts) for a, v in slow_sections(text).items()}
 
 
 def test_broken_log_line(spark):
