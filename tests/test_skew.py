@@ -299,3 +299,62 @@ def test_invariants(spark):
     assert outside.count() == 0
     total = entry.queries()["signal_stats"](spark, FOLDER).agg(F.sum("integration")).first()[0]
     assert total == v.protons().count()
+
+
+def slow_match(signals_, peaks_):
+    """Every peak with every signal of its molecule."""
+    found = []
+    for mol, peak, ppm in peaks_:
+        scored = []
+        for m, pos, center, lines in signals_:
+            if m != mol:
+                continue
+            half, pad = C.HIGHLIGHT_HALF_WIDTH_PPM["1H"], C.HIGHLIGHT_PAD_1H_PPM
+            low, high = (min(lines) - pad, max(lines) + pad) if lines else (center - half, center + half)
+            outside = low - ppm if ppm < low else ppm - high if ppm > high else 0.0
+            near = min([abs(x - ppm) for x in lines or ()] + [abs(center - ppm) * C.CENTER_DISTANCE_FACTOR])
+            tolerance = min(C.MATCH_TOLERANCE_PPM["1H"], max(C.TOLERANCE_FLOOR_PPM[0], abs(high - low) * C.TOLERANCE_SPAN_FACTOR[0]))
+            scored.append((near + outside * C.BOUNDARY_DISTANCE_FACTOR, pos, center, tolerance))
+        if scored and min(scored)[0] <= min(scored)[3]:
+            found.append((min(scored)[2], mol, peak, min(scored)[1], ppm, min(scored)[0]))
+    return found
+
+
+@pytest.mark.parametrize("bin_ppm", [None, 0.02])
+def test_peak_match_against_brute_force(spark, bin_ppm):
+    draw = random.Random(17)
+    signals_, peaks_ = [], []
+    for pos in range(150):
+        center = round(draw.random() * 4, draw.choice([1, 2, 6]))
+        lines = draw.choice([None, [], [center], [center - 0.01, center + 0.01], [center - 0.3, center, center + 0.2], [center + 0.4, center + 0.9]])
+        signals_.append((draw.choice([1, 1, 2]), pos, center, lines))
+    for i in range(400):
+        peaks_.append((draw.choice([1, 2, 3]), i, round(draw.random() * 4.4 - 0.2, draw.choice([1, 2, 7]))))
+    found = match.peak_match(
+        spark.createDataFrame(signals_, "mol_id long, pos int, center double, lines array<double>"),
+        spark.createDataFrame([*peaks_, (None, 900, 1.0), (1, 901, None), (1, 902, float("nan"))], "mol_id long, peak_id long, ppm double"),
+        bin_ppm=bin_ppm,
+    )
+    cut = lambda r: tuple(round(x + 1e-11, 9) if isinstance(x, float) else x for x in r)
+    assert rows(found) == sorted((cut(r) for r in slow_match(signals_, peaks_)), key=str)
+
+
+def test_one_crowded_bin_is_matched_without_pairs(spark):
+    import time
+
+    n = 100_000
+    signals_ = spark.range(n).select(F.lit(1).alias("mol_id"), "id", (2 + F.rand(1) / 20).alias("center")).select(
+        "mol_id", F.col("id").alias("pos"), "center", F.array(F.col("center") - 0.001, F.col("center") + 0.001).alias("lines")
+    )
+    peaks_ = spark.range(n).select(F.lit(1).alias("mol_id"), F.col("id").alias("peak_id"), (2 + F.rand(2) / 20).alias("ppm"))
+    start = time.perf_counter()
+    found = match.peak_match(signals_.cache(), peaks_.cache())
+    assert found.count() == n and time.perf_counter() - start < 60
+    centers = sorted(r["center"] for r in signals_.collect())
+    import bisect
+
+    lines = sorted(x for c in centers for x in (c - 0.001, c + 0.001))
+    for r in found.sample(0.005, seed=1).collect():
+        i = bisect.bisect(lines, r.ppm)
+        nearest = min(abs(x - r.ppm) for x in lines[max(i - 1, 0) : i + 1])
+        assert r.score <= nearest + 1e-12
