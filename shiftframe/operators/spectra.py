@@ -4,14 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shiftframe import constants as C
+from shiftframe.functions.ranges import changes
 from shiftframe.functions.skew import join_on
 
-CHUNK_LINES = 512
+CHUNK_LINES = 65_536
 
 
 def shared_domain(
@@ -50,32 +53,52 @@ def spectrum_axis(
 
 
 def _sampler(keys: Sequence[str], n: int, normalize: bool):
-    """mapInPandas function: rows of line arrays to points. Lines are added in strips to keep memory small."""
+    """mapInArrow function: lines in order of spectrum and chunk to the points of each.
+
+    A task keeps one running vector and adds lines to it, strip by strip, until the next spectrum or chunk begins.
+    """
     names = list(keys)
 
-    def sample(batches: Iterator) -> Iterator:
-        import numpy as np
-        import pandas as pd
+    def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: tuple[list[pa.Array], float, float] | None = None  # keys, low, high
+        last: dict[str, pa.Array] = {}
+        y, x = np.zeros(n), np.zeros(n)
+
+        def told() -> pa.RecordBatch:
+            top = y.max() if n else 0.0
+            values = y / top if normalize and top > 0 else y.copy()
+            owned = [k.take(pa.array(np.zeros(n, dtype=np.int64))) for k in held[0]]
+            return pa.RecordBatch.from_arrays([*owned, pa.array(np.arange(n, dtype=np.int32)), pa.array(x), pa.array(values)], names=[*names, "i", "x", "y"])
 
         for batch in batches:
-            for row in batch.itertuples(index=False):
-                record = row._asdict()
-                x = record["low"] + np.arange(n) * ((record["high"] - record["low"]) / max(1, n - 1))
-                y = np.zeros(n)
-                center, height = np.asarray(record["centers"]), np.asarray(record["heights"])
-                squared = (np.asarray(record["widths"]) / 2) ** 2
-                strip = max(1, 262144 // n)
-                for at in range(0, len(center), strip):
-                    part = slice(at, at + strip)
+            if not batch.num_rows:
+                continue
+            new = np.zeros(batch.num_rows, dtype=bool)
+            for k in (*names, "_chunk"):
+                new |= changes(batch.column(k), last.get(k))
+                last[k] = batch.column(k)[-1:]
+            new[0] |= held is None
+            low, high = (batch.column(c).to_numpy() for c in ("low", "high"))
+            center, height, width = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("shift", "intensity", "width"))
+            squared, some = (width / 2) ** 2, ~np.isnan(center)
+            cuts = np.flatnonzero(new)
+            for begin, end in zip([*([] if new[0] else [0]), *cuts], [*cuts[(1 if new[0] else 0) :], batch.num_rows]):
+                if new[begin]:
+                    if held is not None:
+                        yield told()
+                    held = [batch.column(k)[begin : begin + 1] for k in names], low[begin], high[begin]
+                    x = held[1] + np.arange(n) * ((held[2] - held[1]) / max(1, n - 1))
+                    y = np.zeros(n)
+                own = begin + np.flatnonzero(some[begin:end])
+                strip = max(1, 262144 // max(n, 1))
+                for at in range(0, len(own), strip):
+                    part = own[at : at + strip]
                     delta = x[None, :] - center[part, None]
-                    y += (height[part, None] * (squared[part, None] / (delta * delta + squared[part, None]))).sum(axis=0)
-                top = y.max() if n else 0.0
-                if normalize and top > 0:
-                    y /= top
-                out = pd.DataFrame({"i": np.arange(n, dtype=np.int32), "x": x, "y": y})
-                for name in names:
-                    out[name] = record[name]
-                yield out[[*names, "i", "x", "y"]]
+                    delta *= delta
+                    delta += squared[part, None]
+                    y += (height[part] * squared[part]) @ np.reciprocal(delta, where=delta != 0, out=np.zeros_like(delta))
+        if held is not None:
+            yield told()
 
     return sample
 
@@ -91,9 +114,10 @@ def spectrum_synthesis(
 ) -> DataFrame:
     """Points (keys, i, x, y): the sum of Lorentzian lines (shift, intensity, width), highest point scaled to 1.
 
-    The lines of a spectrum travel as arrays of about ``chunk_lines`` at most; the grid is made where they land and is
-    never joined with the lines. A spectrum of one chunk is finished there, with no further shuffle; the chunks of a
-    larger one add up point by point. Lines with a null or NaN in place, height or width are left out.
+    Lines are dealt by spectrum, those of a very large one in chunks of about ``chunk_lines``; a task draws each chunk
+    into one vector and emits it once. A spectrum of one chunk is finished there, with no further shuffle; the chunks of
+    a larger one add up point by point. Lines with a null or NaN in place, height or width are left out, as are lines
+    of width zero.
     """
     n = points or C.SPECTRUM_POINTS.get(nucleus, C.OTHER_SPECTRUM_POINTS)
     keys = list(keys)
@@ -102,30 +126,27 @@ def spectrum_synthesis(
         [T.StructField(k, kinds[k]) for k in keys]
         + [T.StructField("i", T.IntegerType()), T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())]
     )
-    fields = (("shift", "centers"), ("intensity", "heights"), ("width", "widths"))
-    sound = lines.select(*keys, *[F.col(name).cast("double").alias(name) for name, _ in fields])
-    for name, _ in fields:
+    names = ("shift", "intensity", "width")
+    sound = lines.select(*keys, *[F.col(name).cast("double").alias(name) for name in names])
+    for name in names:
         sound = sound.where(F.col(name).isNotNull() & ~F.isnan(name))
     sizes = sound.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / chunk_lines).alias("_chunks"))
-    spans = join_on(domains.select(*keys, "low", "high"), sizes, keys, "left")
+    spans = join_on(domains.select(*keys, F.col("low").cast("double").alias("low"), F.col("high").cast("double").alias("high")), sizes, keys, "left")
     spans = spans.withColumn("_chunks", F.coalesce("_chunks", F.lit(1).cast("long")))
-    chunk = F.pmod(F.xxhash64("shift", "width", "intensity"), F.col("_chunks"))
-    dealt = join_on(sound, sizes, keys).withColumn("_chunk", chunk)
-    packed = dealt.groupBy(*keys, "_chunk").agg(F.collect_list(F.struct(*[name for name, _ in fields])).alias("_lines"))
-    held = join_on(spans, packed, keys, "left").select(
-        *keys, "low", "high", "_chunks",
-        *[F.coalesce(F.col(f"_lines.{name}"), F.array().cast("array<double>")).alias(label) for name, label in fields],
-    )
-    few, many = held.where("_chunks = 1").drop("_chunks"), held.where("_chunks > 1").drop("_chunks")
-    # The number of partitions is fixed: the rows are small, but each stands for many points to compute.
+    chunk = F.pmod(F.xxhash64(*names), F.col("_chunks")).alias("_chunk")
+    held = join_on(spans, sound, keys, "left").select(*keys, "low", "high", "_chunks", chunk, *names)
     partitions = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    finished = few.repartition(partitions, *keys).mapInPandas(_sampler(keys, n, True), out)
-    parts = many.repartition(partitions, *keys, "centers").mapInPandas(_sampler(keys, n, False), out)
+
+    def drawn(rows: DataFrame, normalize: bool) -> DataFrame:
+        dealt = rows.drop("_chunks").repartition(partitions, *keys, "_chunk").sortWithinPartitions(*keys, "_chunk")
+        return dealt.mapInArrow(_sampler(keys, n, normalize), out)
+
+    parts = drawn(held.where("_chunks > 1"), False)
     summed = parts.groupBy(*keys, "i").agg(F.first("x").alias("x"), F.sum("y").alias("y"))
     scaled = join_on(summed, summed.groupBy(*keys).agg(F.max("y").alias("_top")), keys).select(
         *keys, "i", "x", F.when(F.col("_top") > 0, F.col("y") / F.col("_top")).otherwise(F.col("y")).alias("y")
     )
-    return finished.unionByName(scaled)
+    return drawn(held.where("_chunks = 1"), True).unionByName(scaled)
 
 
 def spectrum_meta(domains: DataFrame, *, nucleus: str, keys: Sequence[str] = ("spec_id",), title: Column | None = None) -> DataFrame:

@@ -1,4 +1,4 @@
-"""The three end-to-end jobs, each from stored tables to a result table."""
+"""The end-to-end jobs, each from stored tables to a result table."""
 
 from __future__ import annotations
 
@@ -23,6 +23,26 @@ ANNOTATIONS = {
 }
 
 
+def check_and_annotate(
+    headers: DataFrame, shifts: DataFrame, atoms: DataFrame, bonds: DataFrame, *, nucleus: str = "1H"
+) -> tuple[DataFrame, DataFrame]:
+    """(headers, rows of the engines that are still ok), with n_atoms and all annotations; see ``merge_engines``."""
+    sizes = atoms.groupBy("mol_id").agg(F.count(F.lit(1)).alias("n_atoms"))
+    counted = shifts.join(sizes, "mol_id", "left").withColumn("n_atoms", F.coalesce("n_atoms", F.lit(0)))
+    absent = {name: F.lit(None).cast(kind) for name, kind in ANNOTATIONS.items() if name not in shifts.columns}
+    counted = counted.withColumns(absent) if absent else counted
+    checked, rows = validate.index_check_strict(headers, counted)
+    if nucleus == "1H":
+        found = graph.multiplicity_rule(atoms, bonds)
+        found = found.select("mol_id", "atom_index", F.struct(*[c for c in ANNOTATIONS if c in found.columns]).alias("_found"))
+        have = [f.name for f in found.schema["_found"].dataType.fields]
+        annotated = rows.join(found, ["mol_id", "atom_index"], "left")
+        anchored = F.col("_found.attached_atom_index").isNotNull()
+        rows = annotated.withColumns({c: F.when(anchored, F.col(f"_found.{c}")).otherwise(F.col(c)) for c in have}).drop("_found")
+        checked, rows = validate.index_check_strict(checked, rows)
+    return checked, rows
+
+
 def merge_engines(
     headers: DataFrame,
     shifts: DataFrame,
@@ -40,22 +60,17 @@ def merge_engines(
     annotations come from the graph and replace the engine's own where a proton has an anchor; attached indices are
     checked before and after that.
     """
-    sizes = atoms.groupBy("mol_id").agg(F.count(F.lit(1)).alias("n_atoms"))
-    counted = shifts.join(sizes, "mol_id", "left").withColumn("n_atoms", F.coalesce("n_atoms", F.lit(0)))
-    absent = {name: F.lit(None).cast(kind) for name, kind in ANNOTATIONS.items() if name not in shifts.columns}
-    counted = counted.withColumns(absent) if absent else counted
-    checked, rows = validate.index_check_strict(headers, counted)
-    if nucleus == "1H":
-        found = graph.multiplicity_rule(atoms, bonds)
-        found = found.select("mol_id", "atom_index", F.struct(*[c for c in ANNOTATIONS if c in found.columns]).alias("_found"))
-        have = [f.name for f in found.schema["_found"].dataType.fields]
-        annotated = rows.join(found, ["mol_id", "atom_index"], "left")
-        anchored = F.col("_found.attached_atom_index").isNotNull()
-        rows = annotated.withColumns({c: F.when(anchored, F.col(f"_found.{c}")).otherwise(F.col(c)) for c in have}).drop("_found")
-        checked, rows = validate.index_check_strict(checked, rows)
+    checked, rows = check_and_annotate(headers, shifts, atoms, bonds, nucleus=nucleus)
+    return (checked, *merge_rows(checked, rows, overrides=overrides, defaults=defaults))
+
+
+def merge_rows(
+    checked: DataFrame, rows: DataFrame, *, overrides: DataFrame | None = None, defaults: Mapping[str, float] = DEFAULT_WEIGHTS
+) -> tuple[DataFrame, DataFrame]:
+    """(merged shifts, weights per molecule) of checked and annotated rows."""
     rows = rows.drop("n_atoms")
     if overrides is None:
-        overrides = headers.select("mol_id", "engine", F.lit(None).cast("double").alias("weight")).where(F.lit(False))
+        overrides = checked.select("mol_id", "engine", F.lit(None).cast("double").alias("weight")).where(F.lit(False))
     weighted = weight_overlay(checked, overrides, defaults=defaults)
     usable = rows.join(
         weighted.where((F.col("status") == "ok") & (F.col("weight") > 0)).select(
@@ -65,7 +80,7 @@ def merge_engines(
     )
     merged = consensus(usable, weight=F.col("weight"))
     fields = consensus_template(usable, ["symbol", *ANNOTATIONS])
-    return checked, merged.join(fields, ["mol_id", "atom_index"]), weights_used(weighted)
+    return merged.join(fields, ["mol_id", "atom_index"]), weights_used(weighted)
 
 
 def draw_spectra(
@@ -137,3 +152,30 @@ def flat_rows(individual: DataFrame, merged: DataFrame, requests: DataFrame) ->
     chosen = normalize.mode_select(individual, merged, requests)
     valid, _ = validate.index_check_lenient(chosen)
     return normalize.shift_projection(valid)
+
+
+def requested_spectra(
+    headers: DataFrame,
+    shifts: DataFrame,
+    atoms: DataFrame,
+    bonds: DataFrame,
+    requests: DataFrame,
+    spectra_of: DataFrame,
+    *,
+    nucleus: str = "1H",
+    points: int | None = None,
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """From the engines' predictions to the spectra that were asked for: (signals, points, metadata).
+
+    ``requests`` says for each molecule whether its engines are drawn one by one or merged, ``spectra_of`` to which
+    spectrum it belongs. Merged molecules of a spectrum are drawn under the engine name ``consensus``.
+    """
+    checked, rows = check_and_annotate(headers, shifts, atoms, bonds, nucleus=nucleus)
+    if "confidence" not in rows.columns:
+        rows = rows.withColumn("confidence", F.lit(None).cast("double"))
+    rows = materialize(rows, "annotated")
+    merged, _ = merge_rows(checked, rows.drop("n_atoms", "confidence"))
+    sizes = rows.groupBy("mol_id").agg(F.max("n_atoms").alias("n_atoms"))
+    merged = merged.withColumns({"engine": F.lit("consensus"), "confidence": F.lit(None).cast("double")}).join(sizes, "mol_id")
+    flat = flat_rows(rows, merged, requests).withColumnRenamed("std_ppm", "std")
+    return draw_spectra(flat, spectra_of, nucleus=nucleus, points=points)

@@ -118,3 +118,18 @@ def calibrate_logs(v: Views) -> DataFrame:
     failed = status.where("status = 'error'").select("mol_id", "message")
     done = shifts.select("mol_id", "atom_index", "nucleus", F.round("shift_ppm", 6).alias("shift_ppm"))
     return done.unionByName(failed, allowMissingColumns=True)
+
+
+@query("requested_spectra")
+def requested_spectra(v: Views) -> DataFrame:
+    """1H spectra on the full grid, from predictions to points: the engines of every third molecule are drawn one by one
+    and those of the others merged; molecules are mixed into eight samples."""
+    atoms = v.atoms()
+    shifts = v.predictions().select(
+        "mol_id", "engine", "atom_index", F.lit("H").alias("symbol"), F.pmod(F.col("shift_ppm"), F.lit(9.0)).alias("shift_ppm")
+    )
+    mol = F.col("mol_id")
+    requests = v.engine_results().select("mol_id").distinct().withColumn("mode", F.when(mol % 3 == 0, "individual").otherwise("consensus"))
+    spectra_of = requests.select("mol_id", (mol % 8).alias("spec_id"))
+    _, points, _ = pipelines.requested_spectra(v.engine_results(), shifts, atoms, v.bonds(atoms), requests, spectra_of)
+    return points.select("spec_id", "engine", "i", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
