@@ -51,7 +51,7 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int =
 
 def mix_sources(
     docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", seed: str = "mix",
-    weights: tuple[int, ...] = WEIGHTS,
+    weights: tuple[int, ...] = WEIGHTS, row: str | None = None,
 ) -> DataFrame:
     """Words that a mix takes from every document: ``doc_id, size, source_size, target, taken``.
 
@@ -59,8 +59,10 @@ def mix_sources(
     the source, give the words before each document, and the source's budget is cut there to the word. A budget above
     the source's size takes whole passes first. A hot source is 4096 ranges, each of them one key of the shuffle.
     Nulls: a null text has no words, a null source is a source of its own (last), a null id has one key for all such
-    rows, ordered by size. Equal rows tie and may swap. An empty table gives no rows. Other columns are not read.
+    rows, ordered by size. Equal rows tie and may swap. An empty table gives no rows. Other columns are not read, but for
+    ``row``, a column that tells rows apart: it settles ties and is passed on as ``row``.
     """
+    told = [] if row is None else [F.col(row).alias("row")]
     hashed = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(key).cast("string"), F.lit("null"))).cast("binary"))
     rows = docs.select(
         F.col(key).alias("doc_id"),
@@ -68,6 +70,7 @@ def mix_sources(
         F.coalesce(F.col(source), F.lit("")).alias("src"),
         word_count(F.col(text)).alias("size"),
         hashed.alias("key"),
+        *told,
     )
     rows = materialize(rows.withColumn("range", F.substring("key", 1, RANGE_DIGITS)), "mix-sizes")
     ranges = rows.groupBy("no_source", "src", "range").agg(F.sum("size").alias("in_range"))
@@ -75,7 +78,7 @@ def mix_sources(
     before = ranges.withColumn("before", F.coalesce(F.sum("in_range").over(named), F.lit(0)))
     goal = targets(rows.groupBy("no_source", "src").agg(F.sum("size").alias("source_size")), weights)
     placed = before.join(goal, ["no_source", "src"]).drop("in_range")
-    inside = Window.partitionBy("no_source", "src", "range").orderBy("key", "size").rowsBetween(
+    inside = Window.partitionBy("no_source", "src", "range").orderBy("key", "size", *(["row"] if told else [])).rowsBetween(
         Window.unboundedPreceding, 0
     )
     summed = rows.join(placed, ["no_source", "src", "range"]).withColumn(
@@ -85,7 +88,7 @@ def mix_sources(
     passes = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0)
     rest = budget - passes * F.col("source_size")
     taken = passes * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("_start")))
-    return summed.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"))
+    return summed.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), *(["row"] if told else []))
 
 
 MIX_SQL = f"""
