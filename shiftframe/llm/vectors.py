@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from shiftframe.functions.workspace import materialize
 from shiftframe.llm.components import components
+from shiftframe.llm.text import small_or_shuffled
 from shiftframe.llm.union import unite
 
 LEAST_COSINE = 0.9
@@ -210,8 +211,8 @@ def link_vectors(
     Equal vectors become one node first, so copies are never paired. The forest's thresholds are fitted on at most
     ``sample_rows`` different vectors, chosen by hash; every vector is indexed. Only that sample reaches the driver. Dense groups found in the sample are
     compared exactly, in a number of blocks that grows with the square of a group.
-    Vectors that are null, empty, zero or hold null or non-finite components, and vectors of another length than most
-    have, link with nothing. A null id is no component: such rows get the smallest id that they reach, null if there
+    Vectors of each length are a table of their own: more than ``leaf_rows`` different ones get a forest, fewer are
+    compared all with all. Vectors that are null, empty, zero or hold null or non-finite components link with nothing. A null id is no component: such rows get the smallest id that they reach, null if there
     is none, and are not kept. Repeated rows link with each other. An empty table gives no rows. Other columns are not
     read.
     """
@@ -220,49 +221,58 @@ def link_vectors(
     sound = rows.where(F.col("v").isNotNull() & ~odd & F.exists("v", lambda x: x != 0))
     grouped = sound.groupBy("v").agg(F.min("vec_id").alias("first_id"), F.count(F.lit(1)).alias("copies"))
     nodes = materialize(grouped.withColumn("node", F.monotonically_increasing_id()), "vector-nodes")
-    sizes = nodes.groupBy(F.size("v").alias("width")).agg(F.sum("copies").alias("n"), F.count(F.lit(1)).alias("nodes"))
-    most = sizes.orderBy(F.desc("n"), "width").first()
-    if most is None:
-        return rows.select(
-            "vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"),
-            F.col("vec_id").isNotNull().alias("kept"),
-        )
-    usual = nodes.where(F.size("v") == most["width"])
-    levels, trees = plan_forest(most["nodes"], leaf_rows)
-    wanted = min(sample_rows, SAMPLE_PER_LEAF << levels)
-    sample = usual.orderBy(F.xxhash64("v"), "node").limit(wanted).select("v").toPandas()["v"] if levels else None
-    forest, centres = None, np.zeros((0, most["width"]))
-    if sample is not None:
+    sizes = nodes.groupBy(F.size("v").alias("width")).agg(F.count(F.lit(1)).alias("nodes")).where(F.col("nodes") > leaf_rows)
+    forests: dict[int, Forest] = {}
+    centres_of: dict[int, tuple[int, np.ndarray]] = {}  # number of the first centre, centres
+    n_centres = 0
+    for row in sizes.orderBy("width").collect():  # only lengths with more than a leaf of vectors
+        width, levels, trees = row["width"], *plan_forest(row["nodes"], leaf_rows)
+        wanted = min(sample_rows, SAMPLE_PER_LEAF << levels)
+        own = nodes.where(F.size("v") == width)
+        sample = own.orderBy(F.xxhash64("v"), "node").limit(wanted).select("v").toPandas()["v"]
         fitted = unit(np.stack(sample.to_numpy()).astype(float))
-        forest = fit_forest(fitted, levels, trees)
-        centres = dense_centres(fitted, forest, max(DENSE_SAMPLE, DENSE_SHARE * leaf_rows * len(fitted) / most["nodes"]))
+        forests[width] = fit_forest(fitted, levels, trees)
+        centres = dense_centres(fitted, forests[width], max(DENSE_SAMPLE, DENSE_SHARE * leaf_rows * len(fitted) / row["nodes"]))
         if len(centres):
             fitted = fitted[(fitted @ centres.T).max(axis=1) < CORE_COSINE]
-            forest = fit_forest(fitted, levels, trees)
+            forests[width] = fit_forest(fitted, levels, trees)
+            centres_of[width] = n_centres, centres
+            n_centres += len(centres)
     # an angle from the centre at which a vector may still be linked to one at the edge of the core
     widest = np.cos(min(np.arccos(CORE_COSINE) + np.arccos(np.clip(least, -1, 1)) + 1e-6, np.pi))
 
     def route(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        none = np.zeros(0, dtype=np.int64)
         for batch in found:
-            x = unit(np.stack(batch.column(1).to_numpy(zero_copy_only=False)).astype(float)) if len(batch) else None
-            leaves = [np.zeros(1, dtype=np.int64)] * len(batch) if forest is None or x is None else forest.leaves(x)
-            core, near = np.full(len(batch), -1), [np.zeros(0, dtype=np.int64)] * len(batch)
-            if len(centres) and x is not None:
-                cosine = x @ centres.T
-                core = np.where(cosine.max(axis=1) >= CORE_COSINE, cosine.argmax(axis=1), -1)
-                near = [np.flatnonzero(c >= widest) for c in cosine]
-                leaves = [own if c < 0 else own[:0] for own, c in zip(leaves, core)]
+            lists_of = batch.column(1)
+            lengths = lists_of.value_lengths().to_numpy()
+            leaves, near = [np.zeros(1, dtype=np.int64)] * len(batch), [none] * len(batch)
+            core = np.full(len(batch), -1)
+            for width in set(lengths.tolist()) & set(forests):
+                at = np.flatnonzero(lengths == width)
+                x = unit(np.stack(lists_of.take(pa.array(at)).to_numpy(zero_copy_only=False)).astype(float))
+                own = forests[width].leaves(x)
+                if width in centres_of:
+                    begin, centres = centres_of[width]
+                    cosine = x @ centres.T
+                    inside = cosine.max(axis=1) >= CORE_COSINE
+                    core[at] = np.where(inside, begin + cosine.argmax(axis=1), -1)
+                    own = [none if dense else tree_leaves for tree_leaves, dense in zip(own, inside)]
+                    for i, c in zip(at, cosine):
+                        near[i] = begin + np.flatnonzero(c >= widest)
+                for i, tree_leaves in zip(at, own):
+                    leaves[i] = tree_leaves
             lists = [pa.array(z, pa.list_(pa.int64())) for z in (leaves, near)]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, lists[0], pa.array(core, pa.int64()), lists[1]], names=["node", "v", "copies", "leaves", "core", "near"]
             )
 
     kind = nodes.schema["v"].dataType.simpleString()
-    routed = usual.select("node", "v", "copies").mapInArrow(
+    routed = nodes.select("node", "v", "copies").mapInArrow(
         route, f"node long, v {kind}, copies long, leaves array<long>, core long, near array<long>"
     )
-    routed = materialize(routed, "routed-vectors") if len(centres) else routed
-    placed = routed.select("node", "v", "copies", "leaves", F.explode("leaves").alias("leaf"))
+    routed = materialize(routed, "routed-vectors") if n_centres else routed
+    placed = routed.select("node", "v", "copies", "leaves", F.size("v").alias("width"), F.explode("leaves").alias("leaf"))
 
     def compare(leaf: tuple, group: pa.Table) -> pa.Table:
         x = unit(np.stack(group.column("v").to_numpy()).astype(float))
@@ -271,15 +281,16 @@ def link_vectors(
         for i, own in enumerate(lists):
             leaves[i, : len(own)] = own
         node = group.column("node").to_numpy()
-        links, labels = leaf_links(x, group.column("copies").to_numpy(), leaves, leaf[0].as_py(), least)
+        links, labels = leaf_links(x, group.column("copies").to_numpy(), leaves, leaf[1].as_py(), least)
         linked = np.flatnonzero((labels != np.arange(len(labels))) | (links > 0))
         return pa.table({"a": node[linked], "b": node[labels[linked]], "links": links[linked]})
 
-    within = placed.groupBy("leaf").applyInArrow(compare, "a long, b long, links long")
-    found = materialize(within.unionByName(core_links(routed, least)) if len(centres) else within, "leaf-links")
+    within = placed.groupBy("width", "leaf").applyInArrow(compare, "a long, b long, links long")
+    found = materialize(within.unionByName(core_links(routed, least)) if n_centres else within, "leaf-links")
     counted = found.groupBy("a").agg(F.sum("links").alias("links")).withColumnRenamed("a", "node")
     joined = components(found.select("a", "b")).withColumnRenamed("id", "node")
     smallest = joined.join(nodes.select("node", "first_id"), "node").groupBy("component").agg(F.min("first_id").alias("least_id"))
+    smallest = small_or_shuffled(smallest, "component-ids")
     named = (
         nodes.join(counted, "node", "left").join(joined, "node", "left").join(smallest, "component", "left")
         .select("v", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("least_id", "first_id").alias("component"))
