@@ -23,7 +23,10 @@ STEM_LENGTHS = range(4, 9)
 STEM_WORDS = 4  # a stem needs so many different words
 PURITY = 0.97
 CHANCE = 0.01  # expected number of terms that owe their place to chance
-FUZZY_LENGTH = 6  # terms from this length on may be misspelled by one edit
+FUZZY_LENGTH = 4  # terms from this length on may be misspelled by one edit
+SURE_LENGTH = 6  # a misspelling of a shorter term is counted apart, as more other words are near it
+LEAST_CLEAN = 2  # contexts in clean texts that make a word one that is no misspelling
+MEMO_STATES = 50_000
 WINDOW = 6
 MEMO_WORDS = 200_000
 PUNCTUATION = ".,;:!?()[]{}<>*%$&#\"'“”„«»‚‘’…-–—_"
@@ -33,10 +36,14 @@ REPORTING = frozenset("said says wrote writes called quoted quote sagte schrieb
 
 @dataclass
 class Lexicon:
-    """Whole words and stems (which match any ending) with the weight that each adds."""
+    """Whole words and stems (which match any ending) with the weight that each adds.
+
+    ``natural`` words are near some term and are no misspellings of it.
+    """
 
     words: dict[str, float]
     stems: dict[str, float]
+    natural: frozenset[str] = frozenset()
     _states: list = field(default_factory=list, repr=False)
     _known: dict = field(default_factory=dict, repr=False)
     _steps: list = field(default_factory=list, repr=False)
@@ -44,7 +51,7 @@ class Lexicon:
     _memo: dict = field(default_factory=dict, repr=False)
 
     def __getstate__(self):
-        return self.words, self.stems
+        return self.words, self.stems, self.natural
 
     def __setstate__(self, state):
         self.__init__(*state)
@@ -59,7 +66,8 @@ class Lexicon:
                     children[c] = len(self._nodes)
                     self._nodes.append(({}, None))
                 at = children[c]
-            self._nodes[at] = (self._nodes[at][0], (weight, stem, 1 if len(term) >= FUZZY_LENGTH else 0))
+            misspelled = 1 if len(term) >= SURE_LENGTH else 2 if len(term) >= FUZZY_LENGTH else None
+            self._nodes[at] = (self._nodes[at][0], (weight, stem, misspelled))
         self._state(self._closed({(0, 0)}))
 
     def _closed(self, places: set) -> frozenset:
@@ -78,7 +86,7 @@ class Lexicon:
         if places not in self._known:
             self._known[places] = len(self._states)
             ends = [(e, *self._nodes[n][1]) for n, e in places if self._nodes[n][1]]
-            fits = [(e, weight, stem) for e, weight, stem, most in ends if e <= most]
+            fits = [(misspelled if e else 0, weight, stem) for e, weight, stem, misspelled in ends if not e or misspelled]
             self._states.append((places, min(((e, -w) for e, w, _ in fits), default=None), min(((e, -w) for e, w, s in fits if s), default=None)))
             self._steps.append({})
         return self._known[places]
@@ -96,7 +104,10 @@ class Lexicon:
         return found
 
     def match(self, word: str) -> tuple[int, float] | None:
-        """(errors, weight) of the best term for a lower-case word without punctuation around it."""
+        """(kind, weight) of the best term for a lower-case word without punctuation around it.
+
+        The kind is 0 for the term itself, 1 for a misspelling of a term of ``SURE_LENGTH`` and 2 for one of a shorter.
+        """
         if not self._states:
             self._build()
         state, best = 0, None
@@ -118,35 +129,46 @@ class Lexicon:
         except KeyError:
             if len(self._memo) >= MEMO_WORDS:
                 self._memo.clear()
-            found = self._memo[token] = self.match(token.strip(PUNCTUATION))
+            if len(self._states) >= MEMO_STATES:
+                self._states, self._known, self._steps = [], {}, []
+            word = token.strip(PUNCTUATION)
+            found = self.match(word)
+            if found and found[0] and word in self.natural:
+                found = None
+            self._memo[token] = found
             return found
 
 
-FEATURES = 9
+FEATURES = 10
 
 
 def features(text: str | None, lexicon: Lexicon) -> np.ndarray:
-    """What a whole text holds: exact and misspelled terms, quoted ones, different ones, neighbours, density, length."""
+    """What a whole text holds: exact and misspelled terms, quoted ones, different ones, neighbours, density, short
+    misspelled terms, length."""
     tokens = (text or "").lower().split()
     lookup = lexicon.lookup
     hits = {w: found for w in set(tokens) if (found := lookup(w))}
     row = np.zeros(FEATURES)
-    row[7] = np.log1p(len(tokens))
-    row[8] = 1.0
+    row[8] = np.log1p(len(tokens))
+    row[9] = 1.0
     if not hits:
         return row
     places = [i for i, w in enumerate(tokens) if w in hits]
     exact = fuzzy = quoted = together = weight = 0.0
-    for k, i in enumerate(places):
-        errors, minus = hits[tokens[i]]
+    sure = [i for i in places if hits[tokens[i]][0] < 2]
+    for k, i in enumerate(sure):
+        kind, minus = hits[tokens[i]]
         near = tokens[max(0, i - WINDOW) : i + WINDOW + 1]
         quote = sum(c in QUOTES for w in near for c in (w[0], w[-1])) >= 2 or any(w in REPORTING for w in near)
-        together += (k > 0 and i - places[k - 1] <= WINDOW) + (k + 1 < len(places) and places[k + 1] - i <= WINDOW)
+        together += (k > 0 and i - sure[k - 1] <= WINDOW) + (k + 1 < len(sure) and sure[k + 1] - i <= WINDOW)
         quoted += quote
-        exact += not errors and not quote
-        fuzzy += bool(errors) and not quote
-        weight = max(weight, minus * -1 * (0.5 if errors else 1.0) * (0.3 if quote else 1.0))
-    row[:7] = [np.log1p(exact), np.log1p(fuzzy), np.log1p(quoted), np.log1p(len(hits)), np.log1p(together), weight, np.log1p(1000 * len(places) / len(tokens))]
+        exact += not kind and not quote
+        fuzzy += bool(kind) and not quote
+        weight = max(weight, minus * -1 * (0.5 if kind else 1.0) * (0.3 if quote else 1.0))
+    short = len(places) - len(sure)
+    different = sum(kind < 2 for kind, _ in hits.values())
+    density = 1000 * len(sure) / len(tokens)
+    row[:8] = [np.log1p(exact), np.log1p(fuzzy), np.log1p(quoted), np.log1p(different), np.log1p(together), weight, np.log1p(density), np.log1p(short)]
     return row
 
 
@@ -184,7 +206,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS,
 
 
 def learn_lexicon(sample: DataFrame) -> Lexicon:
-    """Words and stems found almost only in toxic texts, in more contexts than chance explains.
+    """Words and stems found almost only in toxic texts, in more contexts than chance explains: the ``SAMPLE_ROWS`` with
+    the largest weights of each at most (stems: the shortest first). Words of clean texts that look like misspellings of
+    them are kept as natural words, the most frequent first, up to the same bound.
 
     A context is the word before, so copies of one text do not make its words into terms.
     """
@@ -219,11 +243,20 @@ def learn_lexicon(sample: DataFrame) -> Lexicon:
         F.sum("t").alias("t"), F.sum("c").alias("c"), F.sum((F.col("t") > 0).cast("int")).alias("words")
     ).where(good & (F.col("words") >= STEM_WORDS))
     kept: dict[str, float] = {}
-    for row in by_stem.select("stem", weight.alias("w")).orderBy(F.length("stem"), "stem").limit(SAMPLE_ROWS).collect():
+    for row in by_stem.select("stem", weight.alias("w")).orderBy(F.length("stem"), F.desc("w"), "stem").limit(SAMPLE_ROWS).collect():
         if not any(row["stem"][:n] in kept for n in STEM_LENGTHS):
             kept[row["stem"]] = row["w"]
-    words = counts.where(good).select("word", weight.alias("w")).limit(SAMPLE_ROWS).collect()
-    return Lexicon({r["word"]: r["w"] for r in words}, kept)
+    words = counts.where(good).select("word", weight.alias("w")).orderBy(F.desc("w"), "word").limit(SAMPLE_ROWS).collect()
+    lexicon = Lexicon({r["word"]: r["w"] for r in words}, kept)
+
+    def misspelled(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in found:
+            near = [bool((m := lexicon.lookup(w)) and m[0]) for w in batch.column(0).to_pylist()]
+            yield batch.filter(pa.array(near, pa.bool_()))
+
+    usual = counts.where(F.col("c") >= LEAST_CLEAN).select("word", "c").repartition(24).mapInArrow(misspelled, "word string, c long")
+    natural = usual.orderBy(F.desc("c"), "word").limit(SAMPLE_ROWS).collect()
+    return Lexicon(lexicon.words, lexicon.stems, frozenset(r["word"] for r in natural))
 
 
 @dataclass
