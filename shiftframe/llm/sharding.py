@@ -13,7 +13,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
-from shiftframe.functions.workspace import materialize
+from shiftframe.functions.workspace import materialize, new_path
 
 N_SLOTS = 4096
 ROW_BYTES = 16  # fixed value: what a record takes besides its text
@@ -98,11 +98,26 @@ def load_map(spark: SparkSession, path: str, version: int | None = None) -> Data
     return stored.where(F.col("version") == version)
 
 
+def current_map(spark: SparkSession, path: str, loads: Iterable[Row], n_shards: int, n_slots: int = N_SLOTS) -> list[Row]:
+    """The map stored under ``path`` for these loads: the newest version edited where it is out of balance and stored as
+    the next one, or version 1 if there is none yet."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    known = [tuple(r) for r in load_map(spark, path).orderBy("virtual_slot").collect()] if system.exists(target) else []
+    owners = rebalanced_map(known, loads, n_shards) if known else first_map(loads, n_shards, n_slots)
+    if [o[1:] for o in owners] != [k[1:] for k in known]:
+        save_map(spark, owners, path)
+    return load_map(spark, path).orderBy("virtual_slot").collect()
+
+
 def shard_documents(
-    docs: DataFrame, n_shards: int = 40, n_slots: int = N_SLOTS, key: str = "doc_id", text: str = "text"
+    docs: DataFrame, n_shards: int = 40, n_slots: int = N_SLOTS, key: str = "doc_id", text: str = "text", map_path: str | None = None
 ) -> DataFrame:
     """Shard and gapless position of every record, sizes near equal across shards.
 
+    The slots' owners are those of the map stored under ``map_path`` (a new map if none is named), which is edited and
+    stored as a new version when the slots' sizes or the number of shards have changed; see ``current_map``.
+
     Only the slot totals, ``n_slots`` rows whatever the input, reach the driver and are broadcast. A position is the
     number of rows in the earlier slots of the shard plus the row's number in its slot, so no task holds a shard.
     Nulls: a null id is a value like any other, a null text has no bytes. Equal rows share a slot and get different
@@ -111,7 +126,7 @@ def shard_documents(
     spark = docs.sparkSession
     records = materialize(slotted(docs, n_slots, key, text), "slotted")
     loads = slot_loads(records).collect()
-    owners = first_map(loads, n_shards, n_slots)
+    owners = current_map(spark, map_path or new_path(spark, "shard-map"), loads, n_shards, n_slots)
     rows = {row["virtual_slot"]: row["rows"] for row in loads}
     before, placed = dict.fromkeys(range(n_shards), 0), []
     for version, slot, shard in owners:

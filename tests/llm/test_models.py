@@ -238,6 +238,20 @@ def test_pii_awkward(spark):
     assert [r.spans for r in pii.find_pii(one).collect()] == ["email:0:6"] * 2
 
 
+def test_vectors_of_several_lengths(spark):
+    rng = np.random.default_rng(4)
+    data = []
+    for width, n in ((3, 60), (4, 300), (6, 300)):
+        base = rng.standard_normal((n // 6, width))
+        data += [[float(x) for x in np.float32(base[i % len(base)] + 0.05 * rng.standard_normal(width))] for i in range(n)]
+    data = list(enumerate(data))
+    got = vectors.link_vectors(spark.createDataFrame(data, "vec_id long, embedding array<float>"), leaf_rows=100)
+    want = plain_links(data)
+    found, links = sorted(tuple(r) for r in got.collect()), sum(r[1] for r in want)
+    assert sum(r[1] for r in found) >= 0.99 * links and all(a[1] <= b[1] for a, b in zip(found, want))
+    assert [r for r in found if r[0] < 60] == [r for r in want if r[0] < 60]  # a length with less than a leaf is exact
+
+
 def distance(a, b):
     row = list(range(len(b) + 1))
     for i, c in enumerate(a, 1):
@@ -254,10 +268,44 @@ def test_automaton_against_edit_distance():
         word = "".join(rng.choice("abc") for _ in range(rng.randint(0, 9)))
         fits = [(distance(t, word), -w, len(t)) for t, w in lexicon.words.items()]
         fits += [(min(distance(t, word[:n]) for n in range(len(word) + 1)), -w, len(t)) for t, w in lexicon.stems.items()]
-        best = min(((e, w) for e, w, n in fits if e <= (n >= toxicity.FUZZY_LENGTH)), default=None)
+        kind = lambda e, n: 0 if not e else 1 if n >= toxicity.SURE_LENGTH else 2
+        best = min(((kind(e, n), w) for e, w, n in fits if e <= (n >= toxicity.FUZZY_LENGTH)), default=None)
         assert lexicon.match(word) == best
 
 
+def test_lexicon_of_bounded_memory_knows_natural_words(monkeypatch):
+    rng = random.Random(2)
+    words = ["".join(rng.choice("abcd") for _ in range(rng.randint(3, 9))) for _ in range(3000)]
+    terms, natural = {w: 1.0 for w in words[:40]}, frozenset(words[100:200])
+    whole = {w: toxicity.Lexicon(terms, {}, natural).lookup(w) for w in set(words[:300])}
+    monkeypatch.setattr(toxicity, "MEMO_STATES", 30)
+    monkeypatch.setattr(toxicity, "MEMO_WORDS", 10)
+    small = toxicity.Lexicon(terms, {}, natural)
+    assert {w: small.lookup(w) for w in whole} == whole and len(small._states) < 200
+    assert all(whole[w] is None or whole[w][0] == 0 for w in natural if w in whole)
+
+
+def test_short_terms_are_found_misspelled(spark):
+    rng = random.Random(9)
+    vocabulary = ["".join(rng.choice("aeioulmnrst") for _ in range(rng.randint(4, 8))) for _ in range(400)] + ["crown", "frown"]
+    data = []
+
+    def misspelled():
+        at = rng.randrange(5)
+        return "brown"[:at] + rng.choice("0123456789bdghjkpqvwxyz") + "brown"[at + 1 :]
+
+    for i in range(900):
+        own = rng.choices(vocabulary, k=40)
+        for _ in range(3 if i % 4 == 0 else 0):
+            own.insert(rng.randrange(40), "brown" if i % 8 else misspelled())
+        data.append((i, " ".join(own), int(i % 4 == 0)))
+    docs = spark.createDataFrame(data, "doc_id long, text string, toxic int")
+    model = toxicity.train(docs.drop("toxic"), docs.drop("text"))
+    assert "brown" in model.lexicon.words and {"crown", "frown"} <= model.lexicon.natural
+    clean = " ".join(vocabulary[:40])
+    assert model.score(f"{clean} brxwn {clean} browm") > model.score(f"{clean} crown {clean} frown") == model.score(f"{clean} {vocabulary[40]} {clean} {vocabulary[41]}")
+
+
 def toxic_docs(spark, n=900):
     rng = random.Random(6)
     vocabulary = ["".join(rng.choice("aeioulmnrst") for _ in range(rng.randint(2, 8))) for _ in range(500)]

@@ -237,3 +237,19 @@ def test_archive_stores_each_payload_once(spark, monkeypatch, most):
         largest[h or ""] = max(largest.get(h or "", i) or 0, i or 0) or None
     want = [(i, len(h or ""), "response" if i == largest[h or ""] else "revisit") for i, h in cases]
     assert sorted((str(r.page_id), r.payload_bytes, r.record_type) for r in out) == sorted((str(i), n, t) for i, n, t in want)
+
+
+def test_sharding_edits_the_stored_map(spark):
+    texts = prose(5, 400)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    path = new_path(spark, "map")
+    place = lambda df: {r.doc_id: (r.shard, r.map_version, r.virtual_slot) for r in df.collect()}
+    first = place(sharding.shard_documents(docs, 4, 64, map_path=path))
+    again = place(sharding.shard_documents(docs, 4, 64, map_path=path))
+    assert first == again and {v for _, v, _ in first.values()} == {1}
+    more = docs.unionByName(spark.createDataFrame([(1000 + i, t) for i, t in enumerate(prose(6, 40))], docs.schema))
+    grown = place(sharding.shard_documents(more, 5, 64, map_path=path))
+    assert {v for _, v, _ in grown.values()} == {2}
+    moved = [i for i in first if grown[i][0] != first[i][0]]
+    assert 0 < len(moved) < len(first) / 2 and 4 in {grown[i][0] for i in moved}
+    assert spark.read.parquet(path).select("version").distinct().count() == 2
