@@ -165,10 +165,28 @@ def spectrum_meta(domains: DataFrame, *, nucleus: str, keys: Sequence[str] = ("s
 
 
 def rbf_expand(distance: Column, *, size: int = C.RBF_SIZE) -> Column:
-    """Radial basis values of a distance, as an array."""
+    """Radial basis values of a distance, as an array; of no distance an array of nulls. One kernel call per batch."""
+    centres = np.arange(size) * C.RBF_DELTA - C.RBF_MU
 
-    def value(k: Column) -> Column:
-        away = distance - (k * C.RBF_DELTA - C.RBF_MU)
-        return F.exp(-(away * away) / C.RBF_DELTA)
+    @F.arrow_udf("array<double>")
+    def values(distances: pa.Array) -> pa.Array:
+        away = distances.to_numpy(zero_copy_only=False).astype(float)[:, None] - centres
+        missing = distances.is_null().to_numpy(zero_copy_only=False)
+        flat = pa.array(np.exp(-(away * away) / C.RBF_DELTA).ravel(), mask=np.repeat(missing, size) if missing.any() else None)
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(distances) + 1, dtype=np.int32) * size), flat)
 
-    return F.transform(F.sequence(F.lit(0), F.lit(size - 1)), value)
+    return values(distance.cast("double"))
+
+
+def array_total(values: Column) -> Column:
+    """Sum of an array of doubles, null for no array; null elements add nothing."""
+
+    @F.arrow_udf("double")
+    def total(lists: pa.Array) -> pa.Array:
+        flat = lists.flatten().fill_null(0.0).to_numpy(zero_copy_only=False)
+        ends = np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+        sums = np.concatenate([[0.0], np.cumsum(flat)]) if not len(flat) or len(set(np.diff(ends, prepend=0))) > 1 else None
+        found = flat.reshape(len(lists), -1).sum(axis=1) if sums is None else sums[ends] - sums[np.concatenate([[0], ends[:-1]]).astype(int)]
+        return pa.array(found, mask=lists.is_null().to_numpy(zero_copy_only=False))
+
+    return total(values)

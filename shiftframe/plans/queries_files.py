@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from shiftframe.functions.workspace import new_path
 from shiftframe.operators.engine_apply import apply_engine as apply_predictor
 from shiftframe.operators.spectra import spectrum_meta
-from shiftframe.plans.queries_signals import _SPECTRUM_SQL, SPEC_NUCLEUS, spectrum_domains, synthesized
+from shiftframe.plans.queries_signals import _DOMAIN_SQL, _SPECTRUM_SQL, SPEC_NUCLEUS, spectrum_domains, synthesized
 from shiftframe.plans.registry import query
 from shiftframe.plans.views import Views
 from shiftframe.sources import coordinates, logs, manifest, reference, results, spectra
@@ -55,7 +55,8 @@ def read_results(v: Views) -> DataFrame:
         mol.alias("mol_id"), F.col("l_partkey").cast("string").alias("canonical_smiles"), engines.alias("engines")
     )
     path = new_path(v.spark, "responses")
-    documents.write.option("compression", "gzip").json(path)
+    tasks = int(v.spark.conf.get("spark.sql.shuffle.partitions"))
+    documents.repartition(tasks, "mol_id", "canonical_smiles").write.json(path)
     rows = results.engine_shifts(results.read_responses(v.spark, path), "mol_id", "canonical_smiles")
     return rows.select(
         "mol_id",
@@ -176,7 +177,7 @@ def log_sections(v: Views) -> DataFrame:
     """,
 )
 def xyz_scan(v: Views) -> DataFrame:
-    """One coordinate text per row of the table; some are cut short, empty or broken."""
+    """One frame per row of the table, many to a file, written and read again; some are cut short, empty or broken."""
     kind = F.col("l_partkey") % 7
 
     def line(symbol: str, k: int, x=None):
@@ -186,10 +187,14 @@ def xyz_scan(v: Views) -> DataFrame:
     rows = F.slice(F.array(line("C", 0), line("H", 1), line("H", 2)), F.lit(1), F.col("l_linenumber") % 3 + 1)
     good = F.array_join(rows, "\n")
     body = F.when(kind == 1, "C 1.0 2.0\nH").when(kind == 2, F.concat_ws("\n", good, line("H", 0, F.lit("1.0.0")))).otherwise(good)
-    text = F.when(kind == 0, "\n 2\n energy \n").otherwise(F.concat_ws("\n", F.lit("\n 2"), F.lit("energy"), body, F.lit("\n")))
-    files = v.table("lineitem").select(F.col("l_orderkey").alias("file_id"), F.col("l_partkey").alias("part"), text.alias("content"))
-    atoms = coordinates.parse_coordinates(files)
-    return atoms.withColumn("x", F.round("x", 6))
+    title = F.concat(F.lit("order "), F.col("l_orderkey").cast("string"), F.lit(" part "), F.col("l_partkey").cast("string"))
+    text = F.when(kind == 0, F.concat_ws("\n", F.lit(" 2"), title)).otherwise(F.concat_ws("\n", F.lit(" 2"), title, body, F.lit("")))
+    path = new_path(v.spark, "coordinates")
+    tasks = int(v.spark.conf.get("spark.sql.shuffle.partitions"))
+    v.table("lineitem").repartition(tasks, "l_orderkey", "l_partkey").select(text.alias("value")).write.text(path)
+    number = lambda name: F.regexp_extract("content", rf"{name} (\d+)", 1).cast("long")
+    frames = coordinates.read_frames(v.spark, path).select(number("order").alias("file_id"), number("part").alias("part"), "content")
+    return coordinates.parse_coordinates(frames).withColumn("x", F.round("x", 6))
 
 
 _DECK_HEAD = "'! PBE def2-SVP NMR TightSCF', '', '%maxcore 2000', '%pal', '  nprocs 4', 'end', ''"
@@ -227,16 +232,19 @@ def manifest_check(v: Views) -> DataFrame:
 @query(
     "write_spectra",
     f"""
-    SELECT s.spec_id, s.i, round(s.x, 6) AS x, round(s.y, 6) AS y, '{SPEC_NUCLEUS}' AS nucleus FROM ({_SPECTRUM_SQL}) s
+    SELECT s.spec_id, s.i, round(s.x, 6) AS x, round(s.y, 6) AS y, '{SPEC_NUCLEUS}' AS nucleus, 'carbon' AS experiment,
+           round((d.low + d.high) * 50, 6) AS frequency_offset, round(d.high - d.low, 6) AS spectral_width
+    FROM ({_SPECTRUM_SQL}) s JOIN ({_DOMAIN_SQL}) d ON d.spec_id = s.spec_id
     """,
 )
 def write_spectra(v: Views) -> DataFrame:
-    """Points written by nucleus and read back."""
+    """Points and metadata records written by nucleus and read back."""
     path = new_path(v.spark, "spectra")
     points = synthesized(v).withColumn("nucleus", F.lit(SPEC_NUCLEUS))
     spectra.write_spectra(points, spectrum_meta(spectrum_domains(v), nucleus=SPEC_NUCLEUS), path)
-    read, _ = spectra.read_spectra(v.spark, path)
-    return read.withColumn("x", F.round("x", 6)).withColumn("y", F.round("y", 6))
+    read, meta = spectra.read_spectra(v.spark, path)
+    told = meta.select("spec_id", "nucleus", "experiment", F.round("frequency_offset", 6).alias("frequency_offset"), F.round("spectral_width", 6).alias("spectral_width"))
+    return read.join(told, ["spec_id", "nucleus"]).withColumns({"x": F.round("x", 6), "y": F.round("y", 6)})
 
 
 # --- user functions and streams ---------------------------------------------------------------------------------

@@ -37,10 +37,10 @@ def _indexed(v: Views) -> DataFrame:
 @query(
     "index_check_strict",
     f"""
-    WITH s AS ({_INDEXED_SQL}),
-    f AS (SELECT DISTINCT mol_id, engine FROM s WHERE atom_index < 0 OR atom_index >= n_atoms
+    WITH s AS MATERIALIZED ({_INDEXED_SQL}),
+    f AS MATERIALIZED (SELECT DISTINCT mol_id, engine FROM s WHERE atom_index < 0 OR atom_index >= n_atoms
           OR attached_atom_index < 0 OR attached_atom_index >= n_atoms),
-    n AS (SELECT mol_id, engine, count(*) AS n FROM s GROUP BY ALL)
+    n AS MATERIALIZED (SELECT mol_id, engine, count(*) AS n FROM s GROUP BY ALL)
     SELECT h.mol_id, h.engine, CASE WHEN f.mol_id IS NOT NULL THEN 'error' ELSE h.status END AS status,
            CASE WHEN f.mol_id IS NOT NULL THEN h.engine || ' prediction failed. Reference ID: '
                 || substr(sha256(CAST(h.mol_id AS VARCHAR) || '|' || h.engine), 1, 12) END AS message,

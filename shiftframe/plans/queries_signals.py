@@ -336,7 +336,7 @@ def spectrum_meta(v: Views) -> DataFrame:
 def rbf_expand(v: Views) -> DataFrame:
     atoms = v.atoms()
     expanded = once(graph.bond_distances(atoms, v.bonds(atoms)), rbf=spectra.rbf_expand(F.col("distance")))
-    total = F.aggregate("rbf", F.lit(0.0), lambda a, b: a + b)
+    total = spectra.array_total(F.col("rbf"))
     return expanded.select(
         "mol_id",
         "bond_idx",

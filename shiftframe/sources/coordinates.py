@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shiftframe import constants as C
 from shiftframe.functions.once import once
+from shiftframe.functions.ranges import changes
 from shiftframe.functions.text import stripped
+from shiftframe.functions.workspace import materialize
+from shiftframe.sources.logs import read_lines
 
+COUNT_LINE = r"^\s*\d+\s*$"
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
     """(file_id, content): coordinate files are small, so a file is a row and parsing never shuffles."""
@@ -17,6 +25,70 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def read_frames(spark: SparkSession, path: str) -> DataFrame:
+    """(file_id, frame_block, frame_place, content): the frames of coordinate files of any length, read line by line.
+
+    A frame begins with the first line of its file, or with a line that is a whole number and does not follow such a
+    line, which would make it the comment of its frame. Each block of a file is cut where it is read; what a block
+    begins with belongs to a frame of an earlier one, which one row per block tells. Only the lines of a frame come
+    together in one row.
+    """
+    lines = read_lines(spark, path).select(
+        "file_id", F.col("block_start").alias("block"), F.col("row_id").alias("place"), "line", F.col("line").rlike(COUNT_LINE).alias("count")
+    )
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: tuple[pa.Array, pa.Array] | None = None
+        counted, frame = False, -1
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            new = changes(batch.column("file_id"), last and last[0]) | changes(batch.column("block"), last and last[1])
+            new[0] |= last is None
+            place, count = batch.column("place").to_numpy(), batch.column("count").to_numpy(zero_copy_only=False)
+            count = count | (new & (batch.column("block").to_numpy() == 0))  # a file's first line counts as one
+            before = np.concatenate([[counted], count[:-1]])
+            starts = count & ~before & ~new  # the first line of a block is judged when its neighbour is known
+            own = np.where(starts, place, np.where(new, -1, -2))
+            if not new[0] and own[0] == -2:
+                own[0] = frame
+            at = np.maximum.accumulate(np.where(own != -2, np.arange(n), 0))
+            own = own[at]
+            yield pa.RecordBatch.from_arrays(
+                [*[batch.column(c) for c in ("file_id", "block", "place", "line")], pa.array(count), pa.array(own), pa.array(new)],
+                names=["file_id", "block", "place", "line", "count", "frame", "leads"],
+            )
+            last, counted, frame = (batch.column("file_id")[-1:], batch.column("block")[-1:]), bool(count[-1]), int(own[-1])
+
+    rows = lines.mapInArrow(cut, "file_id string, block long, place long, line string, count boolean, frame long, leads boolean")
+    rows = materialize(rows, "frame-lines")
+    edges = rows.groupBy("file_id", "block").agg(
+        F.max(F.when(F.col("leads"), F.col("place"))).alias("first"),
+        F.bool_or(F.col("leads") & F.col("count")).alias("leads_count"),
+        F.max_by("count", "place").alias("ends_count"),
+        F.max("frame").alias("frame"),
+    )
+    along = Window.partitionBy("file_id").orderBy("block")
+    opens = F.lag("ends_count").over(along).isNull() | (F.col("leads_count") & ~F.lag("ends_count").over(along))
+    judged = edges.withColumn("opens", opens)
+    newest = F.when(F.col("frame") >= 0, F.col("frame")).when(F.col("opens"), F.col("first"))
+    told = judged.select(
+        F.col("file_id").alias("of"), F.col("block").alias("at"), "opens", "first",
+        F.last(F.when(newest.isNotNull(), F.struct(F.col("block").alias("block"), newest.alias("place"))), ignorenulls=True)
+        .over(along.rowsBetween(Window.unboundedPreceding, -1)).alias("earlier"),
+    )
+    joined = rows.join(told, (F.col("file_id") == F.col("of")) & (F.col("block") == F.col("at")))
+    here = F.when(F.col("frame") >= 0, F.col("frame")).when(F.col("opens"), F.col("first"))
+    frame = F.when(here.isNotNull(), F.struct(F.col("block").alias("block"), here.alias("place"))).otherwise(F.col("earlier"))
+    kept = joined.select("file_id", frame.alias("frame"), F.struct("block", "place", "line").alias("line"))
+    listed = kept.groupBy("file_id", "frame").agg(F.array_sort(F.collect_list("line")).alias("lines"))
+    return listed.select(
+        "file_id", F.col("frame.block").alias("frame_block"), F.col("frame.place").alias("frame_place"),
+        F.array_join(F.transform("lines", lambda x: x["line"]), "\n").alias("content"),
+    )
+
+
 def parse_coordinates(files: DataFrame, *, content: str = "content") -> DataFrame:
     """Atom rows of coordinate texts: two header lines, then symbol, x, y, z; shorter lines are skipped.
 

