@@ -254,20 +254,36 @@ def island_text(runs: DataFrame, *, keys: Sequence[str], prefix: str = "H") -> D
     return runs.groupBy(*keys).agg(F.array_join(F.transform(listed, lambda e: e["text"]), ", ").alias("ranges"))
 
 
+def atom_ranges(atoms: Column, prefix: str = "H") -> Column:
+    """Runs of consecutive numbers of a sorted array of different ones, as one text."""
+    at = lambda i: F.get(atoms, i)
+    begins = F.filter(atoms, lambda a, i: (i == 0) | (at(i - 1) != a - 1))
+    ends = F.filter(atoms, lambda a, i: (i == F.size(atoms) - 1) | (at(i + 1) != a + 1))
+    one = lambda a: F.concat(F.lit(prefix), a.cast("string"))
+    label = lambda a, b: F.when(a == b, one(a)).otherwise(F.concat(one(a), F.lit("-"), one(b)))
+    return F.array_join(F.zip_with(begins, ends, label), ", ")
+
+
 def assignment_text(signals: DataFrame, members: DataFrame, *, nucleus: str, scope: Sequence[str] = ("mol_id",)) -> DataFrame:
-    """Add ``assignment_text``: the atom ranges of a proton signal and its anchor, else element and atom number."""
+    """Add ``assignment_text``: the atom ranges of a proton signal and its anchor, else element and atom number.
+
+    Signals that hold their ``atom_indices`` (see ``signal_stats``) need no second look at the members.
+    """
     if nucleus != "1H":
         text = F.concat(
             F.coalesce("element", F.lit("atom")), F.lit(" #"), F.col("representative_atom_index").cast("string")
         )
         return signals.withColumn("assignment_text", text)
     key = [*scope, "signal_id"]
-    ranges = island_text(islands(members, keys=key, value="atom_index"), keys=key)
+    if "atom_indices" in signals.columns:
+        named = signals.withColumn("ranges", atom_ranges(F.col("atom_indices")))
+    else:
+        named = signals.join(island_text(islands(members, keys=key, value="atom_index"), keys=key), key)
     text = F.when(
         F.col("attached_atom_index").isNotNull(),
         F.concat(F.col("ranges"), F.lit(" on atom #"), F.col("attached_atom_index").cast("string")),
     ).otherwise(F.col("ranges"))
-    return signals.join(ranges, key).withColumn("assignment_text", text).drop("ranges")
+    return named.withColumn("assignment_text", text).drop("ranges")
 
 
 def multiplet_lines(

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from shiftframe import constants as C
 from shiftframe.functions import text
 from shiftframe.functions.once import once
-from shiftframe.functions.workspace import materialize
 from shiftframe.operators import graph, match, signals, spectra
 from shiftframe.plans.registry import query
 from shiftframe.plans.views import Views
@@ -187,8 +186,8 @@ def splitting_text(v: Views) -> DataFrame:
     """,
 )
 def assignment_text(v: Views) -> DataFrame:
-    members = materialize(_members(v), "members")
-    stats = signals.signal_stats(members, nucleus="1H")
+    members = _members(v)
+    stats = signals.signal_stats(members, nucleus="1H", with_atoms=True)
     return signals.assignment_text(stats, members, nucleus="1H").select("mol_id", "signal_id", "assignment_text")
 
 

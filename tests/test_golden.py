@@ -600,3 +600,8 @@ def test_frames_of_files_split_over_blocks(spark, tmp_path, batch):
             spark.conf.set(k, v)
     assert all(r.status == "ok" for r in rows)
     assert {(int(r.file_id.rsplit("/", 1)[1].split(".")[0]), int(r.x - 0.5), r.atom_index, r.x, r.y) for r in rows} == want
+
+
+def test_atom_ranges(spark):
+    rows = spark.createDataFrame([(0, [1, 2, 3, 7, 9, 10]), (1, [4]), (2, []), (3, [0, 2])], "i int, a array<int>")
+    assert {r.i: r.t for r in rows.select("i", signals.atom_ranges(F.col("a")).alias("t")).collect()} == {0: "H1-H3, H7, H9-H10", 1: "H4", 2: "", 3: "H0, H2"}
