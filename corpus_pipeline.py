@@ -1,7 +1,7 @@
 """A training corpus from raw documents: five stages, each written as Parquet and read again by the next.
 
-Every stage takes ``(spark, docs, sf_dir)`` and decides row by row: a stage that looks rows up again writes them once with
-a key of its own, so rows without id, with one id and several texts, or with columns of any name are told apart. Null and
+Every stage takes ``(spark, docs, sf_dir)`` and decides row by row: a stage that looks rows up again gives each a key of
+its own, so rows without id, with one id and several texts, or with columns of any name are told apart. Null and
 empty texts are texts without words; an empty table gives no rows.
 """
 
@@ -16,10 +16,16 @@ from shiftframe.llm.text import small_or_shuffled, table
 
 
 def keyed(docs: DataFrame) -> tuple[DataFrame, str]:
-    """The rows, written once with a number each, and the name of the column that holds it."""
+    """The rows with a key each, and the name of the column that holds it.
+
+    Rows that come straight from Parquet files are told apart by file and place in the file. Any others are written
+    once with a number.
+    """
     name = "_row"
     while name in docs.columns:
         name += "_"
+    if docs._jdf.queryExecution().analyzed().nodeName() == "LogicalRelation":
+        return docs.withColumn(name, F.struct("_metadata.file_path", "_metadata.row_index")), name
     return materialize(docs.withColumn(name, F.monotonically_increasing_id()), "rows"), name
 
 
