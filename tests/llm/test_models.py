@@ -430,3 +430,9 @@ def test_lm_awkward(spark):
     assert ngram.score_texts(empty(spark)).count() == 0
     unseen = ngram.score_texts(spark.createDataFrame([(i, "x") for i in range(300) if zlib.crc32(str(i).encode()) % 10 == 0], "doc_id long, text string"))
     assert unseen.where("n_known <> 0 or train_tokens <> 0 or base_score is null or score is null").count() == 0
+
+
+def test_pii_does_not_depend_on_how_rows_lie(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    first, second = (rows(pii.find_pii(docs.repartition(n, "doc_id"), sample_rows=300)) for n in (1, 7))
+    assert first == second
