@@ -14,13 +14,17 @@ _made: list[tuple[SparkSession, str]] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's checkpoint folder, else a folder in its warehouse; both are shared by driver and executors."""
+    """The session's checkpoint folder, else a folder in its warehouse; both are shared by driver and executors.
+
+    A warehouse on a local disk will do for a session that runs in one process only.
+    """
     configured = spark.conf.get(CHECKPOINT_SETTING, None) or spark.sparkContext.getConf().get(CHECKPOINT_SETTING)
     current = configured or spark.sparkContext.getCheckpointDir()
     if current:
         return current.rstrip("/")
     warehouse = spark.conf.get(WAREHOUSE_SETTING, None)
-    if not warehouse:
+    own_disk = (warehouse or "file:").startswith(("file:", "/")) and not spark.sparkContext.master.startswith("local[")
+    if not warehouse or own_disk:
         raise ValueError(f"set {CHECKPOINT_SETTING} to a folder that driver and executors share")
     return f"{warehouse.rstrip('/')}/_intermediate"
 

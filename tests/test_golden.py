@@ -605,3 +605,21 @@ def test_frames_of_files_split_over_blocks(spark, tmp_path, batch):
 def test_atom_ranges(spark):
     rows = spark.createDataFrame([(0, [1, 2, 3, 7, 9, 10]), (1, [4]), (2, []), (3, [0, 2])], "i int, a array<int>")
     assert {r.i: r.t for r in rows.select("i", signals.atom_ranges(F.col("a")).alias("t")).collect()} == {0: "H1-H3, H7, H9-H10", 1: "H4", 2: "", 3: "H0, H2"}
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from shiftframe.functions.workspace import shared_folder
+
+    def session(master, **settings):
+        get = lambda key, default=None: settings.get(key, default)
+        context = SimpleNamespace(master=master, getConf=lambda: SimpleNamespace(get=lambda key: None), getCheckpointDir=lambda: None)
+        return SimpleNamespace(conf=SimpleNamespace(get=get), sparkContext=context)
+
+    local = {"spark.sql.warehouse.dir": "file:/work/warehouse"}
+    assert shared_folder(session("local[4]", **local)) == "file:/work/warehouse/_intermediate"
+    assert shared_folder(session("yarn", **{"spark.sql.warehouse.dir": "hdfs://a/w"})) == "hdfs://a/w/_intermediate"
+    assert shared_folder(session("yarn", **local, **{"spark.checkpoint.dir": "hdfs://a/c/"})) == "hdfs://a/c"
+    with pytest.raises(ValueError, match="checkpoint"):
+        shared_folder(session("yarn", **local))
