@@ -1 +1,8 @@
 """shiftframe: per-atom spectroscopic predictions as Spark DataFrames."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions of this package travel to the executors whole, so these need not have it installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
