@@ -2,8 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Callable, Iterator
+from typing import BinaryIO
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+#: What a task holds of a file at a time.
+CHUNK_BYTES = 1 << 20
 
 
 def read_binary(spark: SparkSession, path: str) -> DataFrame:
@@ -11,14 +20,71 @@ def read_binary(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content")
 
 
+def open_stream(path: str) -> BinaryIO:
+    """A file of the local disk or of a file system that Arrow knows, opened for reading front to back."""
+    from pyarrow import fs
+
+    if path.startswith(("/", "file:")):
+        return open("/" + path.removeprefix("file:").lstrip("/"), "rb")
+    scheme, _, rest = path.partition("://")
+    authority, _, inside = rest.partition("/")
+    system, root = fs.FileSystem.from_uri(f"{'s3' if scheme == 's3a' else scheme}://{authority}/")
+    return system.open_input_stream(f"{root.rstrip('/')}/{inside}")
+
+
+def digest_paths(
+    paths: DataFrame, *, path: str = "path", chunk_bytes: int = CHUNK_BYTES, opened: Callable[[str], BinaryIO] = open_stream
+) -> DataFrame:
+    """A table of paths with ``read_bytes`` and ``sha256`` of each file.
+
+    A task reads its files in chunks, so a file may be larger than a cell or than the memory of a task. ``opened`` opens
+    a path where Arrow does not know the file system. A file that cannot be opened fails the task. Repeated paths are
+    read each, a null path has nulls, and an empty file the checksum of no bytes.
+    """
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lengths, found = [], []
+            for name in batch.column(path).to_pylist():
+                if name is None:
+                    lengths.append(None)
+                    found.append(None)
+                    continue
+                state, length = hashlib.sha256(), 0
+                with opened(name) as stream:
+                    while chunk := stream.read(chunk_bytes):
+                        state.update(chunk)
+                        length += len(chunk)
+                lengths.append(length)
+                found.append(state.hexdigest())
+            added = [pa.array(lengths, pa.int64()), pa.array(found, pa.string())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *added], names=[*batch.schema.names, "read_bytes", "sha256"])
+
+    added = [T.StructField("read_bytes", T.LongType()), T.StructField("sha256", T.StringType())]
+    return paths.mapInArrow(digest, T.StructType([*paths.schema.fields, *added]))
+
+
+def digest_files(
+    spark: SparkSession, path: str, *, chunk_bytes: int = CHUNK_BYTES, opened: Callable[[str], BinaryIO] = open_stream
+) -> DataFrame:
+    """``digest_paths`` of all files under ``path``, with their listed length and the columns of partition folders.
+
+    Only names and lengths come from the scan, which deals files to tasks by size. Spark's file sources pass over files
+    of zero bytes, so those have no row here.
+    """
+    listed = spark.read.format("binaryFile").load(path).drop("content", "modificationTime")
+    return digest_paths(listed, chunk_bytes=chunk_bytes, opened=opened)
+
+
 def manifest_check(
-    files: DataFrame, manifest: DataFrame, *, key: str = "path", content: str = "content", expected: str = "sha256"
+    files: DataFrame, manifest: DataFrame, *, key: str = "path", content: str | None = "content", expected: str = "sha256"
 ) -> DataFrame:
     """(key, sha256, status): ``ok``, ``mismatch``, or ``unlisted``, which passes. ``accepted`` says which pass.
 
-    The checksum is taken in the scan, so only it goes into the join.
+    The checksum is taken in the scan, so only it goes into the join. Without ``content``, ``files`` has it as column
+    ``sha256`` (see ``digest_files``).
     """
-    hashed = files.select(key, F.sha2(F.col(content), 256).alias("sha256"))
+    hashed = files.select(key, F.sha2(F.col(content), 256).alias("sha256") if content else F.col("sha256"))
     wanted = manifest.select(key, F.lower(expected).alias("_expected"))
     status = (
         F.when(F.col("_expected").isNull(), "unlisted")

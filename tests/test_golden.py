@@ -491,6 +491,31 @@ def test_manifest(spark, tmp_path):
     assert status == {"a": ("ok", True), "b": ("mismatch", False), "c": ("unlisted", True)}
 
 
+def test_digests_of_files_in_chunks(spark, tmp_path):
+    import hashlib
+    import os
+
+    contents = {"long name %20.bin": os.urandom(3_000_001), "edge": b"x" * 4096, "one": b"\x00", "empty": b""}
+    for name, content in contents.items():
+        (tmp_path / name).write_bytes(content)
+    for chunk in (1 << 20, 4096, 7919):
+        rows = manifest.digest_files(spark, str(tmp_path), chunk_bytes=chunk).collect()
+        found = {r.path.rsplit("/", 1)[1]: (r.length, r.sha256) for r in rows}
+        assert found == {n: (len(c), hashlib.sha256(c).hexdigest()) for n, c in contents.items() if c}
+        named = [(str(tmp_path / n),) for n in contents] + [(None,), (str(tmp_path / "one"),)]
+        rows = manifest.digest_paths(spark.createDataFrame(named, "path string"), chunk_bytes=chunk).collect()
+        wanted = [(len(c), hashlib.sha256(c).hexdigest()) for c in contents.values()]
+        assert [(r.read_bytes, r.sha256) for r in rows] == [*wanted, (None, None), wanted[2]]
+    (tmp_path / "none").mkdir()
+    assert manifest.digest_files(spark, str(tmp_path / "none")).count() == 0
+    # a cell limit far below the file does not matter, as no file becomes a cell
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", 1000)
+    try:
+        assert len(manifest.digest_files(spark, str(tmp_path)).collect()) == 3
+    finally:
+        spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
+
+
 def test_reference_documents(spark, tmp_path):
     assert reference.load_reference(spark, str(tmp_path / "missing")).count() == 0
     (tmp_path / "good.json").write_text('{\n  "pbe|def2-svp": {"1H": 31.8, "13C": 188.1}\n}')
