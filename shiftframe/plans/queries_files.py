@@ -12,8 +12,8 @@ from shiftframe.plans.queries_signals import _DOMAIN_SQL, _SPECTRUM_SQL, SPEC_NU
 from shiftframe.plans.registry import query
 from shiftframe.plans.views import Views
 from shiftframe.sources import coordinates, logs, manifest, reference, results, spectra
+from shiftframe.streaming.debounce import debounce_slots_stream, run_to_table
 from shiftframe.streaming.debounce import debounce_stream as debounced
-from shiftframe.streaming.debounce import run_to_table
 
 
 # --- nested results ---------------------------------------------------------------------------------------------
@@ -229,6 +229,30 @@ def manifest_check(v: Views) -> DataFrame:
     return manifest.manifest_check(documents, listed, key="doc_id", content="text")
 
 
+@query(
+    "manifest_files",
+    """
+    SELECT bundle, length, sha256(content) AS sha256, CASE WHEN bundle % 7 = 0 THEN 'unlisted' WHEN bundle % 10 = 0 THEN 'mismatch' ELSE 'ok' END AS status,
+           bundle % 7 = 0 OR bundle % 10 <> 0 AS accepted
+    FROM (SELECT doc_id // 16 AS bundle, string_agg(coalesce(text, '') || chr(10), '' ORDER BY doc_id) AS content,
+                 CAST(sum(strlen(coalesce(text, '')) + 1) AS BIGINT) AS length FROM documents GROUP BY ALL) b
+    """,
+)
+def manifest_files(v: Views) -> DataFrame:
+    """Sixteen document texts to a file, written and digested in chunks, against a manifest that is wrong for every tenth
+    file and silent on every seventh. The manifest comes from the texts, not from the files."""
+    bundle = F.floor(F.col("doc_id") / 16).alias("bundle")
+    texts = v.table("documents").select(bundle, "doc_id", "text")
+    path = new_path(v.spark, "bundles")
+    texts.repartition("bundle").sortWithinPartitions("bundle", "doc_id").select("bundle", "text").write.partitionBy("bundle").text(path)
+    line = F.struct("doc_id", F.concat(F.coalesce("text", F.lit("")), F.lit("\n")).alias("line"))
+    whole = texts.where("bundle % 7 <> 0").groupBy("bundle").agg(F.array_sort(F.collect_list(line)).alias("lines"))
+    wrong = F.when(F.col("bundle") % 10 == 0, "?").otherwise("")
+    listed = whole.select("bundle", F.sha2(F.concat(F.array_join("lines.line", ""), wrong), 256).alias("sha256"))
+    files = manifest.digest_files(v.spark, path).withColumn("bundle", F.col("bundle").cast("long"))
+    return manifest.manifest_check(files, listed, key="bundle", content=None).join(files.select("bundle", "length"), "bundle")
+
+
 @query(
     "write_spectra",
     f"""
@@ -297,3 +321,19 @@ def debounce_stream(v: Views) -> DataFrame:
     stream = source.parquet(v.folder).drop("props")
     kept = run_to_table(debounced(stream, delay_ms=3_600_000, watermark="2 hours"), "debounced")
     return kept.select("event_id", "user_id", "event_type", F.round("value", 6).alias("value"))
+
+
+@query(
+    "debounce_slots_stream",
+    """
+    SELECT event_id, user_id, event_type, round(value, 6) AS value
+    FROM (SELECT *, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nxt, max(ts) OVER () AS newest FROM events) e
+    WHERE (nxt IS NULL OR nxt - ts >= INTERVAL 1 HOUR) AND date_trunc('hour', ts) + INTERVAL 2 HOUR <= newest - INTERVAL 2 HOUR
+    """,
+)
+def debounced_slots(v: Views) -> DataFrame:
+    """Like ``debounce_stream``, with the state of a key spread by time slot."""
+    source = v.spark.readStream.schema(v.table("events").schema).option("pathGlobFilter", "events.parquet")
+    stream = source.parquet(v.folder).drop("props")
+    kept = run_to_table(debounce_slots_stream(stream, delay_ms=3_600_000, watermark="2 hours"), "debounced")
+    return kept.select("event_id", "user_id", "event_type", F.round("value", 6).alias("value"))
