@@ -61,26 +61,30 @@ def consensus(
     engine_pos: str = "engine_pos",
     status: str = "status",
     weight: Column | None = None,
+    fields: Sequence[str] = (),
 ) -> DataFrame:
     """Weighted mean, spread and contributing engines per atom.
 
     One aggregation: scaling the weights to sum 1 cancels out in the mean, so the weights of the other atoms are not
     needed. Spread is the unweighted population deviation, null for a single entry. Engines are named in request
-    order, ``engine_pos``; their set is as large as the number of different engines of a request.
+    order, ``engine_pos``; their set is as large as the number of different engines of a request. ``fields`` are added as
+    the first contributing engine has them, like ``consensus_template`` does, in the same aggregation.
     """
     weight = weight_of(F.col(engine), DEFAULT_WEIGHTS) if weight is None else weight
     named = F.struct(F.col(engine_pos).alias("pos"), F.col(engine).alias("engine"))
     used = shifts.select(
-        *keys, F.col(value).alias("_v"), named.alias("_engine"), weight.alias("_w"), F.col(status).alias("_s")
+        *keys, F.col(value).alias("_v"), named.alias("_engine"), weight.alias("_w"), F.col(status).alias("_s"),
+        *([F.struct(*fields).alias("_fields")] if fields else []),
     ).where((F.col("_s") == "ok") & (F.col("_w") > 0))
     merged = used.groupBy(*keys).agg(
         (F.sum(F.col("_w") * F.col("_v")) / F.sum("_w")).alias("shift_ppm"),
         F.when(F.count(F.lit(1)) > 1, F.stddev_pop("_v")).alias("std_ppm"),
         F.count(F.lit(1)).alias("n_entries"),
         F.array_sort(F.collect_set("_engine")).alias("_engines"),
+        *([F.min_by("_fields", "_engine.pos").alias("_fields")] if fields else []),
     )
     names = F.array_distinct(F.transform("_engines", lambda e: e["engine"]))
-    return merged.select(*keys, "shift_ppm", "std_ppm", "n_entries", names.alias("contributing_engines"))
+    return merged.select(*keys, "shift_ppm", "std_ppm", "n_entries", names.alias("contributing_engines"), *[f"_fields.{f}" for f in fields])
 
 
 def contributors(

@@ -86,14 +86,28 @@ def estimated_coupling(n: Column, is_aromatic: Column, is_sp3: Column) -> Column
 
 
 def multiplicity_rule(atoms: DataFrame, bonds: DataFrame) -> DataFrame:
-    """Anchored protons with group, multiplicity, coupling and neighbour count."""
-    anchors = atoms.select(
-        "mol_id",
-        F.col("atom_index").alias("anchor"),
-        F.col("is_aromatic").alias("_aromatic"),
-        F.col("is_sp3").alias("_sp3"),
+    """Anchored protons with group, multiplicity, coupling and neighbour count.
+
+    One aggregation over the bonds tells each atom its protons and its first heavy neighbour. That is written once, as the
+    second hop, the anchors and the protons all read it.
+    """
+    kinds = atoms.select("mol_id", F.col("atom_index").alias("nbr"), F.col("atomic_num").alias("nbr_z"))
+    heavy = F.col("nbr_z") > 1
+    seen = neighbors(bonds).join(kinds, ["mol_id", "nbr"]).groupBy("mol_id", "atom_index").agg(
+        F.count_if(F.col("nbr_z") == 1).alias("n_h"),
+        F.min_by(F.when(heavy, F.col("nbr")), F.when(heavy, F.col("bond_idx"))).alias("anchor"),
+    )
+    told = atoms.select("mol_id", "atom_index", "atomic_num", "is_aromatic", "is_sp3").join(seen, ["mol_id", "atom_index"], "left")
+    told = materialize(told, "bonded-atoms")
+    carbons = told.where("atomic_num = 6").select("mol_id", F.col("atom_index").alias("nbr"), "n_h")
+    ahead = neighbors(bonds).join(carbons, ["mol_id", "nbr"]).groupBy("mol_id", F.col("atom_index").alias("anchor")).agg(F.sum("n_h").alias("_n"))
+    anchors = told.where("atomic_num > 1").select(
+        "mol_id", F.col("atom_index").alias("anchor"), F.col("atomic_num").alias("_z"), F.col("is_aromatic").alias("_aromatic"), F.col("is_sp3").alias("_sp3")
+    )
+    protons = told.where("atomic_num = 1").select("mol_id", "atom_index", "anchor")
+    counted = protons.join(anchors.join(ahead, ["mol_id", "anchor"], "left"), ["mol_id", "anchor"]).withColumn(
+        "neighbor_count", F.when(F.col("_z") == 6, F.coalesce("_n", F.lit(0).cast("long"))).otherwise(F.lit(0).cast("long"))
     )
-    counted = neighbor_protons(atoms, bonds).join(anchors, ["mol_id", "anchor"])
     n, aromatic, sp3 = F.col("neighbor_count"), F.col("_aromatic"), F.col("_sp3")
     return counted.select(
         "mol_id",

@@ -23,15 +23,17 @@ def index_check_strict(
     *,
     keys: Sequence[str] = ("mol_id", "engine"),
     atom: str = "atom_index",
-    attached: str = "attached_atom_index",
+    attached: str | Sequence[str] = "attached_atom_index",
     n_atoms: str = "n_atoms",
 ) -> tuple[DataFrame, DataFrame]:
     """(headers, shifts) where one index outside the molecule turns the whole (molecule, engine) into an error.
 
-    The keys at fault are found with a map-side distinct and joined back, so no group is gathered.
+    ``attached`` may name several columns, which are checked in the same pass. The keys at fault are found with a map-side distinct and joined back, so no group is gathered.
     """
     count = F.col(n_atoms)
-    wrong = F.col(atom).isNull() | _outside(F.col(atom), count) | F.coalesce(_outside(F.col(attached), count), F.lit(False))
+    wrong = F.col(atom).isNull() | _outside(F.col(atom), count)
+    for name in [attached] if isinstance(attached, str) else attached:
+        wrong |= F.coalesce(_outside(F.col(name), count), F.lit(False))
     faults = shifts.where(wrong).select(*keys).distinct()
     failed = F.col("_fault")
     name = F.col(keys[-1])

@@ -11,7 +11,7 @@ from shiftframe import constants as C
 from shiftframe.constants import DEFAULT_WEIGHTS
 from shiftframe.functions.workspace import materialize
 from shiftframe.operators import calibration, graph, normalize, signals, spectra, validate
-from shiftframe.operators.consensus import consensus, consensus_template, weight_overlay, weights_used
+from shiftframe.operators.consensus import consensus, weight_overlay, weights_used
 from shiftframe.sources.reference import read_reference_table, upsert_reference
 
 ANNOTATIONS = {
@@ -26,21 +26,26 @@ ANNOTATIONS = {
 def check_and_annotate(
     headers: DataFrame, shifts: DataFrame, atoms: DataFrame, bonds: DataFrame, *, nucleus: str = "1H"
 ) -> tuple[DataFrame, DataFrame]:
-    """(headers, rows of the engines that are still ok), with n_atoms and all annotations; see ``merge_engines``."""
+    """(headers, rows of the engines that are still ok), with n_atoms and all annotations; see ``merge_engines``.
+
+    Annotated rows are written once: both the faults and what is left are read from them.
+    """
     sizes = atoms.groupBy("mol_id").agg(F.count(F.lit(1)).alias("n_atoms"))
     counted = shifts.join(sizes, "mol_id", "left").withColumn("n_atoms", F.coalesce("n_atoms", F.lit(0)))
     absent = {name: F.lit(None).cast(kind) for name, kind in ANNOTATIONS.items() if name not in shifts.columns}
     counted = counted.withColumns(absent) if absent else counted
-    checked, rows = validate.index_check_strict(headers, counted)
+    attached = ["attached_atom_index"]
+    rows = counted
     if nucleus == "1H":
         found = graph.multiplicity_rule(atoms, bonds)
         found = found.select("mol_id", "atom_index", F.struct(*[c for c in ANNOTATIONS if c in found.columns]).alias("_found"))
         have = [f.name for f in found.schema["_found"].dataType.fields]
-        annotated = rows.join(found, ["mol_id", "atom_index"], "left")
+        annotated = counted.join(found, ["mol_id", "atom_index"], "left").withColumn("_own_attached", F.col("attached_atom_index"))
+        attached.append("_own_attached")
         anchored = F.col("_found.attached_atom_index").isNotNull()
         rows = annotated.withColumns({c: F.when(anchored, F.col(f"_found.{c}")).otherwise(F.col(c)) for c in have}).drop("_found")
-        checked, rows = validate.index_check_strict(checked, rows)
-    return checked, rows
+    checked, rows = validate.index_check_strict(headers, materialize(rows, "annotated"), attached=attached)
+    return checked, rows.drop("_own_attached")
 
 
 def merge_engines(
@@ -78,9 +83,7 @@ def merge_rows(
         ),
         ["mol_id", "engine"],
     )
-    merged = consensus(usable, weight=F.col("weight"))
-    fields = consensus_template(usable, ["symbol", *ANNOTATIONS])
-    return merged.join(fields, ["mol_id", "atom_index"]), weights_used(weighted)
+    return consensus(usable, weight=F.col("weight"), fields=["symbol", *ANNOTATIONS]), weights_used(weighted)
 
 
 def draw_spectra(
@@ -173,7 +176,6 @@ def requested_spectra(
     checked, rows = check_and_annotate(headers, shifts, atoms, bonds, nucleus=nucleus)
     if "confidence" not in rows.columns:
         rows = rows.withColumn("confidence", F.lit(None).cast("double"))
-    rows = materialize(rows, "annotated")
     merged, _ = merge_rows(checked, rows.drop("n_atoms", "confidence"))
     sizes = rows.groupBy("mol_id").agg(F.max("n_atoms").alias("n_atoms"))
     merged = merged.withColumns({"engine": F.lit("consensus"), "confidence": F.lit(None).cast("double")}).join(sizes, "mol_id")
