@@ -52,8 +52,8 @@ def _complete(shifts: DataFrame, value: str, scope: Sequence[str], mode: str) ->
     )
 
 
-def _walk_sorted(rows: DataFrame, keys: Sequence[str], tolerance: float) -> DataFrame:
-    """Walk each group, highest shift first. Only the newest cluster can take the next shift.
+def _walk_sorted(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Walk each group, highest shift first, by the ``_tolerance`` of its rows. Only the newest cluster can take the next shift.
 
     Rows are dealt by group and sorted; a task passes over them once and keeps the newest cluster only, however the
     rows are cut into batches.
@@ -71,7 +71,8 @@ def _walk_sorted(rows: DataFrame, keys: Sequence[str], tolerance: float) -> Data
         for batch in batches:
             groups = zip(*[batch.column(name).to_pylist() for name in names])
             out = []
-            for own, shift, atom in zip(groups, batch.column("shift").to_pylist(), batch.column("atom_index").to_pylist()):
+            shifts, atom_indices, tolerances = (batch.column(c).to_pylist() for c in ("shift", "atom_index", "_tolerance"))
+            for own, shift, atom, tolerance in zip(groups, shifts, atom_indices, tolerances):
                 if own != group:
                     group, place, number, atoms = own, 0, -1, set()
                 if number >= 0 and abs(center - shift) <= tolerance:
@@ -94,7 +95,7 @@ def _walk_sorted(rows: DataFrame, keys: Sequence[str], tolerance: float) -> Data
 def signal_group(
     shifts: DataFrame,
     *,
-    nucleus: str,
+    nucleus: str | Column,
     mode: str = "individual",
     scope: Sequence[str] = ("mol_id",),
     value: str = "shift",
@@ -106,15 +107,23 @@ def signal_group(
     The key is source, engine and group. Proton shifts join the newest cluster when they are within the tolerance of
     its running mean; other nuclei form one cluster per key. Rows without a number as shift belong to no signal and are
     left out, whatever the size of their group. Groups of up to ``fold_rows`` rows are walked in one pass by one task;
-    larger groups block by block, one round per cluster.
+    larger groups block by block, one round per cluster. ``nucleus`` may be a column that is named in ``scope``: rows of
+    all nuclei then share one plan.
     """
-    tolerance = C.GROUP_TOLERANCE_1H_PPM if nucleus == "1H" else float("inf")
+    mixed = isinstance(nucleus, Column)
+    proton = F.coalesce(nucleus == "1H", F.lit(False)) if mixed else F.lit(nucleus == "1H")
+    tolerance = F.when(proton, F.lit(C.GROUP_TOLERANCE_1H_PPM)).otherwise(F.lit(float("inf")))
     keys = [*scope, "base_key"]
     rows = _complete(shifts, value, scope, mode).where(F.col("shift").isNotNull() & ~F.isnan("shift"))
     small, large = split_hot(rows, keys, fold_rows)
-    members = _walk_sorted(small, keys, tolerance)
+    members = _walk_sorted(small.withColumn("_tolerance", tolerance), keys).drop("_tolerance")
     if large is not None:
-        members = members.unionByName(walk_large(large, keys, tolerance, block_rows=block_rows).select(*members.columns))
+        for some, reach in ((proton, C.GROUP_TOLERANCE_1H_PPM), (~proton, float("inf"))):
+            # one key that is never null, as the rounds join on it
+            chosen = large.where(some).withColumn("_group", F.to_json(F.struct(*keys)))
+            if not chosen.isEmpty():
+                walked = walk_large(chosen, ["_group"], reach, block_rows=block_rows)
+                members = members.unionByName(walked.select(*members.columns))
     return members.withColumn("signal_id", F.concat_ws(":", "base_key", F.col("signal_no").cast("string")))
 
 
@@ -128,12 +137,12 @@ def majority_label(
 
 
 def signal_stats(
-    members: DataFrame, *, nucleus: str, scope: Sequence[str] = ("mol_id",), with_atoms: bool = False
+    members: DataFrame, *, nucleus: str | Column, scope: Sequence[str] = ("mol_id",), with_atoms: bool = False
 ) -> DataFrame:
     """One row per signal from its member rows.
 
     Two aggregations over the same key: first per label, then over the labels, so the majority label needs no second
-    pass. The atoms of a signal are in ``signal_atoms``, in long form; ``with_atoms`` adds them as a sorted list, for
+    pass. ``nucleus`` may be a column named in ``scope``. The atoms of a signal are in ``signal_atoms``, in long form; ``with_atoms`` adds them as a sorted list, for
     data whose signals are known to be small.
     """
     key = [*scope, "base_key", "signal_no", "signal_id"]
@@ -160,7 +169,8 @@ def signal_stats(
         *[F.try_divide(F.sum(f"_s_{c}"), F.sum(f"_c_{c}")).alias(c) for c in averaged],
         *([F.array_sort(F.array_distinct(F.flatten(F.collect_list("_list")))).alias("atom_indices")] if with_atoms else []),
     )
-    integration = F.col("_atoms") if nucleus == "1H" else F.lit(None).cast("long")
+    proton = nucleus == "1H" if isinstance(nucleus, Column) else F.lit(nucleus == "1H")
+    integration = F.when(proton, F.col("_atoms"))
     return stats.select(
         *key,
         "center",

@@ -117,8 +117,8 @@ def signals_per_nucleus(v: Views) -> DataFrame:
     rows = v.protons().withColumnRenamed("shift_ppm", "shift").withColumn(
         "nucleus", F.when(kind == 0, "1H").when(kind == 1, "31P").otherwise("77Se")
     )
-    members = signals.per_nucleus(rows, signals.signal_group, nuclei=("1H", "31P"))
-    stats = signals.per_nucleus(members, signals.signal_stats, nuclei=("1H", "31P"))
+    members = signals.signal_group(rows, nucleus=F.col("nucleus"), scope=["nucleus", "mol_id"])
+    stats = signals.signal_stats(members, nucleus=F.col("nucleus"), scope=["nucleus", "mol_id"])
     return stats.select("mol_id", "nucleus", "signal_id", F.round("center", 6).alias("center"), "integration")
 
 

@@ -271,6 +271,18 @@ def test_nucleus_per_row(spark):
     assert got == {("1H", 2), ("13C", 1), ("77Se", 1)}
 
 
+@pytest.mark.parametrize("fold_rows", [1_000_000, 3])
+def test_nuclei_share_one_plan(spark, fold_rows):
+    data = [(n, i, v, g) for n in ("1H", "13C", None) for g in ("g", "k") for i, v in enumerate([1.0, 1.1, 9.0, 9.05, 20.0][: 5 if g == "g" else 2])]
+    table = spark.createDataFrame(data, "nucleus string, atom_index int, shift double, assignment_group string")
+    found = signals.signal_group(table, nucleus=F.col("nucleus"), scope=["nucleus"], fold_rows=fold_rows, block_rows=2)
+    stats = signals.signal_stats(found, nucleus=F.col("nucleus"), scope=["nucleus"])
+    apart = signals.per_nucleus(table, signals.signal_group, nuclei=("1H",), scope=[], fold_rows=1_000_000)
+    wanted = signals.per_nucleus(apart, signals.signal_stats, nuclei=("1H",), scope=[])
+    told = lambda df: sorted(((r.nucleus or "", r.signal_id, round(r.center, 9), r.integration or 0) for r in df.collect()))
+    assert told(stats) == told(wanted) and len(told(stats)) == 8
+
+
 @pytest.mark.parametrize("partitions", ["1", "16"])
 def test_partitions_do_not_matter(spark, partitions):
     import __spark_entry__ as entry
