@@ -97,7 +97,6 @@ def running(df: DataFrame, keys: Sequence[str], order: Sequence[Column], sums: M
     earlier = Window.partitionBy(*keyed).orderBy("_range", "_turn").rowsBetween(Window.unboundedPreceding, -1)
     carried = asks.unionByName(tells).select("_range", "_turn", *[F.sum(f"_sum_{n}").over(earlier).alias(f"_before_{n}") for n in names])
     carried = carried.where("_turn = 0").select(F.col("_range").alias("_to"), *[f"_before_{n}" for n in names])
-    carried = materialize(carried, "range-sums")
     # one row per range
     told = stored.join(F.broadcast(carried), F.col("_opening") & (F.col("_range") == F.col("_to")), "left")
     return told.select(*columns, *[(F.col(n) + F.coalesce(f"_before_{n}", F.lit(0))).alias(n) for n in names])
