@@ -20,10 +20,10 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shiftframe.functions.ranges import running
 from shiftframe.functions.workspace import materialize
 
 KINDS = ("email", "ip", "card", "phone")
-SAMPLE_ROWS = 20_000  # most proposed spans that the trees and thresholds are fitted on
 LEAST_PRECISION = 0.99
 LEAST_SCORE = 0.5
 
@@ -205,41 +205,55 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     return materialize(narrow.mapInArrow(batches, SCANNED.format(id=kind)), "pii-spans")
 
 
-def select_spans(spans: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame | None:
+def least_scores(judged: DataFrame) -> dict[int, float]:
+    """Per kind the lowest score down to which the labels of ``judged`` (kind, label, n, p) are right often enough.
+
+    Rows of one score count together, ``n`` times each. Sums run over ranges, so no task gets all rows of a kind; one
+    row per kind comes to the driver.
+    """
+    scores = judged.groupBy("kind", "p").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("label") == 1, F.col("n")).otherwise(0)).alias("hits"))
+    summed = running(scores, ["kind"], [F.col("p").desc()], {"seen": F.col("n"), "right": F.col("hits")})
+    good = summed.where(F.col("right") >= F.col("seen") * LEAST_PRECISION).groupBy("kind").agg(F.min("p").alias("p"))
+    found = {r.kind: r.p for r in good.collect()}
+    return {kind: max(LEAST_SCORE, found[kind]) if kind in found else 2.0 for kind in range(len(KINDS))}
+
+
+def select_spans(spans: DataFrame, sample_rows: int | None = None) -> DataFrame | None:
     """``row, start, kind, end`` of proposed spans that the trees add: in no exact match and above their threshold.
 
-    Fits on at most ``sample_rows`` settled spans, chosen by hash of id and place, so that it does not matter how the rows
-    lie in files; a quarter of them sets the thresholds. What settles a label is no filter: the trees judge every span
-    outside exact matches. Without both labels nothing is added.
+    Fits on all settled spans; a quarter of them, by hash of id and place, sets the thresholds instead. Spans that look alike
+    are one row that counts as often as they occur, so the fit grows with the different forms and not with the
+    spans. ``sample_rows`` is for callers who want a quicker fit on that many spans, chosen by hash. What settles a label is
+    no filter: the trees judge every span outside exact matches. Without both labels nothing is added.
     """
     settled_rows = spans.where("label >= 0")
-    place = ["doc_id", "start", "kind", "end"]
-    chosen = materialize(
-        settled_rows.orderBy(F.xxhash64(*place), *place, "x").limit(sample_rows)
-        .select("kind", F.col("label").cast("double").alias("label"), array_to_vector("x").alias("features"),
-                (F.pmod(F.xxhash64("start", "doc_id"), F.lit(4)) == 0).alias("apart")).repartition(4), "pii-sample",
-    )
+    if sample_rows is not None:
+        place = ["doc_id", "start", "kind", "end"]
+        settled_rows = settled_rows.orderBy(F.xxhash64(*place), *place, "x").limit(sample_rows)
+    apart = (F.pmod(F.xxhash64("start", "doc_id"), F.lit(4)) == 0).alias("apart")
+    alike = ["kind", "label", "x", "apart"]
+    counted = settled_rows.select("kind", F.col("label").cast("double").alias("label"), "x", apart).groupBy(*alike).agg(F.count(F.lit(1)).alias("n"))
+    # dealt by content and sorted, so that the fit does not depend on how the rows lie
+    tasks = int(spans.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = counted.repartition(tasks, *alike).sortWithinPartitions(*alike)
+    chosen = materialize(dealt.select("kind", "label", "apart", "n", array_to_vector("x").alias("features")), "pii-forms")
     if chosen.where("not apart").select("label").distinct().count() < 2:
         return None
-    model = GBTClassifier(maxIter=16, maxDepth=5, seed=3, featureSubsetStrategy="all").fit(chosen.where("not apart").select("label", "features"))
+    fitted = chosen.where("not apart").select("label", "features", F.col("n").cast("double").alias("n"))
+    model = GBTClassifier(maxIter=16, maxDepth=5, seed=3, featureSubsetStrategy="all", weightCol="n").fit(fitted)
     probability = vector_to_array("probability")[1]
-    held = model.transform(chosen.where("apart")).select("kind", "label", probability.alias("p")).toPandas()
-    limits = {}
-    for kind in range(len(KINDS)):
-        own = held[held["kind"] == kind].sort_values("p", ascending=False)
-        precision = own["label"].cumsum() / np.arange(1, len(own) + 1)
-        good = own["p"][(precision >= LEAST_PRECISION).to_numpy()]
-        limits[kind] = max(LEAST_SCORE, float(good.min())) if len(good) else 2.0
+    limits = least_scores(model.transform(chosen.where("apart")).select("kind", "label", "n", probability.alias("p")))
     limit = F.element_at(F.create_map(*[F.lit(x) for k, v in limits.items() for x in (k, v)]), F.col("kind"))
     open_ = spans.where("start >= 0 and not overlaps").withColumn("features", array_to_vector("x"))
     return model.transform(open_).where(probability >= limit).select("row", "start", "kind", "end")
 
 
-def find_pii(docs: DataFrame, key: str = "doc_id", text: str = "text", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+def find_pii(docs: DataFrame, key: str = "doc_id", text: str = "text", sample_rows: int | None = None) -> DataFrame:
     """``doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans`` of every row.
 
     Counts and digest cover the exact matches; ``spans`` also holds what the trees add. Null and empty texts have no
-    spans; repeated rows are judged each; an empty table gives no rows. Other columns are not read.
+    spans; repeated rows are judged each; an empty table gives no rows. Other columns are not read. The fit takes all
+    settled spans unless ``sample_rows`` bounds it.
     """
     scanned = scan(docs, key, text)
     touching = F.exists("base", lambda b: (b["start"] < F.col("p.end")) & (F.col("p.start") < b["end"]))

@@ -230,6 +230,31 @@ def test_pii(spark):
     assert added <= 5
 
 
+def test_pii_learns_from_every_span(spark):
+    """20,100 of 36,000 settled spans look alike and are none; no bounded choice of the others may set counts or limits."""
+    form = [0.0] * 21
+    kinds = "row long, doc_id long, start int, kind int, end int, label int, x array<double>, overlaps boolean"
+    rows_ = [(i, i, 0, 2, 19, int(i >= 20_100), [*form[:4], 16.0 + (i >= 20_100), *form[5:]], i >= 20_100) for i in range(36_000)]
+    rows_.append((36_000, 36_000, 0, 2, 19, -1, [*form[:4], 17.0, *form[5:]], False))
+    spans = spark.createDataFrame(rows_, kinds).repartition(4, "row")
+    counts = []
+    fit = pii.GBTClassifier.fit
+
+    def told(self, rows, *args):
+        counts.append(rows.agg(F.sum("n")).first()[0])
+        return fit(self, rows, *args)
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(pii.GBTClassifier, "fit", told)
+        assert [r.row for r in pii.select_spans(spans).collect()] == [36_000]
+    assert counts == [spans.where("label >= 0 and pmod(xxhash64(start, doc_id), 4) <> 0").count()]
+
+
+def test_pii_limits_count_every_span(spark):
+    scores = [(1, 1.0, 198, 0.9), (1, 0.0, 2, 0.8), (1, 1.0, 1, 0.7), (1, 0.0, 9, 0.6), (2, 0.0, 5, 0.9), (2, 1.0, 5, 0.9), (3, 1.0, 1, 0.2)]
+    assert pii.least_scores(spark.createDataFrame(scores, "kind int, label double, n long, p double")) == {0: 2.0, 1: 0.7, 2: 2.0, 3: 0.5}
+
+
 def test_pii_awkward(spark):
     out = pii.find_pii(awkward(spark))
     assert out.count() == 12 and out.where("spans <> '' or n_email + n_ip + n_card + n_phone <> 0").count() == 0
