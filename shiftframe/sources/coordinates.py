@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -29,17 +30,29 @@ def read_frames(spark: SparkSession, path: str) -> DataFrame:
     """(file_id, frame_block, frame_place, content): the frames of coordinate files of any length, read line by line.
 
     A frame begins with the first line of its file, or with a line that is a whole number and does not follow such a
-    line, which would make it the comment of its frame. Each block of a file is cut where it is read; what a block
-    begins with belongs to a frame of an earlier one, which one row per block tells. Only the lines of a frame come
-    together in one row.
+    line, which would make it the comment of its frame. Each block of a file is cut where it is read, and the frames
+    that begin and end in it are whole there. What a block begins and ends with may be part of a frame of several blocks,
+    which one row per block tells; only these pieces are shuffled. Only the lines of a frame come together in one row.
     """
     lines = read_lines(spark, path).select(
         "file_id", F.col("block_start").alias("block"), F.col("row_id").alias("place"), "line", F.col("line").rlike(COUNT_LINE).alias("count")
     )
 
+    kinds = {"file_id": pa.string(), "block": pa.int64(), "place": pa.int64(), "frame": pa.int64(), "leads": pa.bool_(),
+             "count": pa.bool_(), "ends_count": pa.bool_(), "closes": pa.bool_(), "line": pa.string()}
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple[pa.Array, pa.Array] | None = None
-        counted, frame = False, -1
+        counted = False
+        # the piece at the end of the batches so far: what is known of it, and its lines
+        piece: list | None = None
+        waiting: list[pa.Array] = []
+
+        def told(closes: bool) -> pa.RecordBatch:
+            text = "\n".join(value for part in waiting for value in part.to_pylist())
+            values = [*piece, counted, closes, text]
+            return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds.values())], names=[*kinds])
+
         for batch in batches:
             n = batch.num_rows
             if not n:
@@ -49,24 +62,37 @@ def read_frames(spark: SparkSession, path: str) -> DataFrame:
             place, count = batch.column("place").to_numpy(), batch.column("count").to_numpy(zero_copy_only=False)
             count = count | (new & (batch.column("block").to_numpy() == 0))  # a file's first line counts as one
             before = np.concatenate([[counted], count[:-1]])
-            starts = count & ~before & ~new  # the first line of a block is judged when its neighbour is known
-            own = np.where(starts, place, np.where(new, -1, -2))
-            if not new[0] and own[0] == -2:
-                own[0] = frame
-            at = np.maximum.accumulate(np.where(own != -2, np.arange(n), 0))
-            own = own[at]
-            yield pa.RecordBatch.from_arrays(
-                [*[batch.column(c) for c in ("file_id", "block", "place", "line")], pa.array(count), pa.array(own), pa.array(new)],
-                names=["file_id", "block", "place", "line", "count", "frame", "leads"],
-            )
-            last, counted, frame = (batch.column("file_id")[-1:], batch.column("block")[-1:]), bool(count[-1]), int(own[-1])
-
-    rows = lines.mapInArrow(cut, "file_id string, block long, place long, line string, count boolean, frame long, leads boolean")
-    rows = materialize(rows, "frame-lines")
+            begins = count & ~before & ~new  # the first line of a block is judged when its neighbour is known
+            starts = np.flatnonzero(begins | new)
+            own = np.where(new, -1, place)
+            first = int(starts[0]) if len(starts) else n
+            if first:
+                waiting.append(batch.column("line")[:first])
+            if len(starts):
+                if piece is not None:
+                    counted = bool(before[first])
+                    yield told(bool(new[first]))
+                whole, ends = starts[:-1], starts[1:]
+                if len(whole):
+                    lines = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), batch.column("line"))
+                    at = pa.array(whole)
+                    yield pa.RecordBatch.from_arrays(
+                        [*[batch.column(c).take(at) for c in ("file_id", "block", "place")], pa.array(own[whole]), pa.array(new[whole]),
+                         pa.array(count[whole]), pa.array(count[ends - 1]), pa.array(new[ends]), pc.binary_join(lines, "\n")], names=[*kinds],
+                    )
+                final = int(starts[-1])
+                piece = [*[batch.column(c)[final].as_py() for c in ("file_id", "block", "place")], int(own[final]), bool(new[final]), bool(count[final])]
+                waiting = [batch.column("line")[final:]]
+            last, counted = (batch.column("file_id")[-1:], batch.column("block")[-1:]), bool(count[-1])
+        if piece is not None:
+            yield told(True)
+
+    schema = "file_id string, block long, place long, frame long, leads boolean, count boolean, ends_count boolean, closes boolean, line string"
+    rows = materialize(lines.mapInArrow(cut, schema), "frame-pieces")
     edges = rows.groupBy("file_id", "block").agg(
         F.max(F.when(F.col("leads"), F.col("place"))).alias("first"),
         F.bool_or(F.col("leads") & F.col("count")).alias("leads_count"),
-        F.max_by("count", "place").alias("ends_count"),
+        F.max_by("ends_count", "place").alias("ends_count"),
         F.max("frame").alias("frame"),
     )
     along = Window.partitionBy("file_id").orderBy("block")
@@ -78,15 +104,19 @@ def read_frames(spark: SparkSession, path: str) -> DataFrame:
         F.last(F.when(newest.isNotNull(), F.struct(F.col("block").alias("block"), newest.alias("place"))), ignorenulls=True)
         .over(along.rowsBetween(Window.unboundedPreceding, -1)).alias("earlier"),
     )
-    joined = rows.join(told, (F.col("file_id") == F.col("of")) & (F.col("block") == F.col("at")))
+    # at most two pieces of a block can go on in another; the frames between them are whole
+    open_ = F.col("leads") | F.col("closes")
+    joined = rows.where(open_).join(told, (F.col("file_id") == F.col("of")) & (F.col("block") == F.col("at")))
     here = F.when(F.col("frame") >= 0, F.col("frame")).when(F.col("opens"), F.col("first"))
     frame = F.when(here.isNotNull(), F.struct(F.col("block").alias("block"), here.alias("place"))).otherwise(F.col("earlier"))
     kept = joined.select("file_id", frame.alias("frame"), F.struct("block", "place", "line").alias("line"))
     listed = kept.groupBy("file_id", "frame").agg(F.array_sort(F.collect_list("line")).alias("lines"))
-    return listed.select(
+    spread = listed.select(
         "file_id", F.col("frame.block").alias("frame_block"), F.col("frame.place").alias("frame_place"),
         F.array_join(F.transform("lines", lambda x: x["line"]), "\n").alias("content"),
     )
+    inside = rows.where(~open_).select("file_id", F.col("block").alias("frame_block"), F.col("frame").alias("frame_place"), F.col("line").alias("content"))
+    return inside.unionByName(spread)
 
 
 def parse_coordinates(files: DataFrame, *, content: str = "content") -> DataFrame:

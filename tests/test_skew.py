@@ -1,16 +1,20 @@
 """The paths for very large groups give what the ordinary paths give."""
 
 import math
+import os
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from shiftframe import constants as C
 from shiftframe.functions import ranges, skew
+from shiftframe.functions.workspace import materialize
 from shiftframe.operators import ensemble, graph, match, signals, spectra
+from shiftframe.plans import queries_files
 from shiftframe.plans.views import Views
-from shiftframe.sources import logs
+from shiftframe.sources import coordinates, logs
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -370,3 +374,17 @@ def test_one_crowded_bin_is_matched_without_pairs(spark):
         i = bisect.bisect(lines, r.ppm)
         nearest = min(abs(x - r.ppm) for x in lines[max(i - 1, 0) : i + 1])
         assert r.score <= nearest + 1e-12
+
+
+def test_frames_inside_a_block_are_not_taken_apart(spark, tmp_path, monkeypatch):
+    (tmp_path / "many.xyz").write_text("".join(f"2\nframe {n}\nC 0.0 0.0 {n}.0\nH 1.0 0.0 0.0\n" for n in range(500)))
+    written = []
+
+    def kept(df, name):
+        written.append(materialize(df, name))
+        return written[-1]
+
+    monkeypatch.setattr(coordinates, "materialize", kept)
+    frames = coordinates.read_frames(spark, str(tmp_path)).collect()
+    assert sorted(r.content for r in frames) == sorted(f"2\nframe {n}\nC 0.0 0.0 {n}.0\nH 1.0 0.0 0.0" for n in range(500))
+    assert [w.count() for w in written] == [500]
