@@ -16,6 +16,8 @@ from shiftframe.streaming.debounce import debounce_slots_stream, run_to_table
 from shiftframe.streaming.debounce import debounce_stream as debounced
 
 
+RESPONSES_PER_FILE = 500_000
+
 # --- nested results ---------------------------------------------------------------------------------------------
 
 
@@ -51,12 +53,13 @@ def read_results(v: Views) -> DataFrame:
         )
 
     engines = F.create_map(*[part for e in ("cdk", "cascade", "orca") for part in (F.lit(e), result(e))])
-    documents = v.table("lineitem").select(
-        mol.alias("mol_id"), F.col("l_partkey").cast("string").alias("canonical_smiles"), engines.alias("engines")
-    )
     path = new_path(v.spark, "responses")
     tasks = int(v.spark.conf.get("spark.sql.shuffle.partitions"))
-    documents.repartition(tasks, "mol_id", "canonical_smiles").write.json(path)
+    # dealt before the documents are made, as those are many times longer than the rows
+    dealt = v.table("lineitem").select("l_orderkey", "l_partkey", "l_linenumber", "l_extendedprice").repartition(tasks, "l_orderkey", "l_partkey")
+    documents = dealt.select(mol.alias("mol_id"), F.col("l_partkey").cast("string").alias("canonical_smiles"), engines.alias("engines"))
+    # a compressed file is read by one task, so files are cut
+    documents.write.option("compression", "gzip").option("maxRecordsPerFile", RESPONSES_PER_FILE).json(path)
     rows = results.engine_shifts(results.read_responses(v.spark, path), "mol_id", "canonical_smiles")
     return rows.select(
         "mol_id",

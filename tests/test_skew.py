@@ -388,3 +388,14 @@ def test_frames_inside_a_block_are_not_taken_apart(spark, tmp_path, monkeypatch)
     frames = coordinates.read_frames(spark, str(tmp_path)).collect()
     assert sorted(r.content for r in frames) == sorted(f"2\nframe {n}\nC 0.0 0.0 {n}.0\nH 1.0 0.0 0.0" for n in range(500))
     assert [w.count() for w in written] == [500]
+
+
+def test_responses_are_written_compressed_and_cut(spark, tmp_path, monkeypatch):
+    rows_ = [(k, k % 7, k % 4 + 1, k * 1.5) for k in range(1, 41)]
+    spark.createDataFrame(rows_, "l_orderkey long, l_partkey long, l_linenumber int, l_extendedprice double").coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    monkeypatch.setattr(queries_files, "new_path", lambda session, name: f"{tmp_path}/{name}")
+    monkeypatch.setattr(queries_files, "RESPONSES_PER_FILE", 3, raising=False)
+    found = queries_files.read_results(Views(spark, str(tmp_path)))
+    assert found.where("shift_ppm is not null").select("mol_id").distinct().count() == 40
+    files = [f for f in os.listdir(tmp_path / "responses") if f.startswith("part-")]
+    assert len(files) >= 14 and all(f.endswith(".json.gz") for f in files)
