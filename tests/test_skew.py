@@ -376,6 +376,30 @@ def test_one_crowded_bin_is_matched_without_pairs(spark):
         assert r.score <= nearest + 1e-12
 
 
+def test_lines_far_away_are_summed_by_cell(monkeypatch):
+    """As exact as the sum over all lines and points, without visiting every point for every line."""
+    draw = np.random.default_rng(5)
+    n, m, low, step = 8192, 6000, -1.0, 0.002
+    center, height = draw.uniform(-4, 20, m), draw.uniform(0.1, 2, m)
+    half = draw.choice([0.001, 0.03, 0.2, 6.0], m)
+    visited, near = [], spectra._add_near
+
+    def counted(y, x, c, *given):
+        visited.append(len(x) * len(c))
+        near(y, x, c, *given)
+
+    monkeypatch.setattr(spectra, "_add_near", counted)
+    y = np.zeros(n)
+    spectra._add_lines(y, low, step, center, height, half)
+    x = low + np.arange(n) * step
+    want = sum(h * g * g / ((x - c) ** 2 + g * g) for c, h, g in zip(center, height, half))
+    assert np.abs(y / want - 1).max() < 1e-12 and sum(visited) < n * m / 2
+    for few in (0, 1, 9):
+        y = np.zeros(n)
+        spectra._add_lines(y, low, 0.0, center[:few], height[:few], half[:few])
+        assert y == pytest.approx(float(np.sum(height[:few] * half[:few] ** 2 / ((low - center[:few]) ** 2 + half[:few] ** 2))), rel=1e-12)
+
+
 def test_frames_inside_a_block_are_not_taken_apart(spark, tmp_path, monkeypatch):
     (tmp_path / "many.xyz").write_text("".join(f"2\nframe {n}\nC 0.0 0.0 {n}.0\nH 1.0 0.0 0.0\n" for n in range(500)))
     written = []
