@@ -379,7 +379,7 @@ def test_one_crowded_bin_is_matched_without_pairs(spark):
 def test_lines_far_away_are_summed_by_cell(monkeypatch):
     """As exact as the sum over all lines and points, without visiting every point for every line."""
     draw = np.random.default_rng(5)
-    n, m, low, step = 8192, 6000, -1.0, 0.002
+    n, m, low, step = 8192, 24_000, -1.0, 0.002
     center, height = draw.uniform(-4, 20, m), draw.uniform(0.1, 2, m)
     half = draw.choice([0.001, 0.03, 0.2, 6.0], m)
     visited, near = [], spectra._add_near
