@@ -18,15 +18,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from shiftframe.functions.parts import parts_of
 from shiftframe.functions.workspace import materialize
 
+# What a row is in its range: nothing, the first, the last, or both.
+FIRST, LAST = 1, 2
+
 
 def in_ranges(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
-    """Rows dealt into ranges by keys, order and row hash, sorted so inside each."""
+    """Rows dealt into ranges by keys, order and row hash, sorted so inside each; their number grows with the rows."""
     hashed = [f.name for f in df.schema.fields if "map<" not in f.dataType.simpleString()]
     place = [*[F.col(k) for k in keys], *order, F.xxhash64(*hashed)]
-    count = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartitionByRange(count, *place).sortWithinPartitions(*place)
+    return df.repartitionByRange(parts_of(df.sparkSession, df.count()), *place).sortWithinPartitions(*place)
 
 
 def changes(column: pa.Array, before: pa.Array | None) -> np.ndarray:
@@ -44,20 +47,27 @@ def running(df: DataFrame, keys: Sequence[str], order: Sequence[Column], sums: M
 
     Sums of whole numbers are long, others double. Nulls among the keys are one group, rows that ``order`` does not tell
     apart are in the order of their hashes. The ranges come from a sample, so what was summed inside them is written to
-    the shared folder before it is read again, which runs when this is called.
+    the shared folder before it is read again, and so is the table of what is carried, which run when this is called.
     """
     names = list(sums)
     asked = df.select("*", *[c.alias(f"_in_{n}") for n, c in sums.items()])
     whole = {n: isinstance(asked.schema[f"_in_{n}"].dataType, T.IntegralType) for n in names}
     kinds = {n: T.LongType() if whole[n] else T.DoubleType() for n in names}
     asked = asked.withColumns({f"_in_{n}": F.coalesce(F.col(f"_in_{n}").cast(kinds[n]), F.lit(0)) for n in names})
-    added = [*[T.StructField(n, kinds[n]) for n in names], T.StructField("_range", T.IntegerType()), T.StructField("_at", T.LongType()), T.StructField("_opening", T.BooleanType())]
+    added = [*[T.StructField(n, kinds[n]) for n in names], T.StructField("_range", T.IntegerType()), T.StructField("_edge", T.IntegerType()), T.StructField("_opening", T.BooleanType())]
     columns = df.columns
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, at, opening = TaskContext.get().partitionId(), 0, True
+        number, opening = TaskContext.get().partitionId(), True
+        # the batch that may be the last one of the range, and its marks
+        held: tuple[list[pa.Array], np.ndarray, np.ndarray] | None = None
         last: dict[str, pa.Array] = {}
         reached = {n: 0 for n in names}
+
+        def told(arrays: list[pa.Array], edge: np.ndarray, opens: np.ndarray) -> pa.RecordBatch:
+            extra = [pa.array(np.full(len(edge), number, dtype=np.int32)), pa.array(edge), pa.array(opens)]
+            return pa.RecordBatch.from_arrays([*arrays, *extra], names=[*columns, *[f.name for f in added]])
+
         for batch in batches:
             n = batch.num_rows
             if not n:
@@ -79,25 +89,30 @@ def running(df: DataFrame, keys: Sequence[str], order: Sequence[Column], sums: M
                 own = total - before[group]
                 reached[name] = own[-1]
                 found.append(pa.array(own))
-            extra = [pa.array(np.full(n, number, dtype=np.int32)), pa.array(np.arange(at, at + n)), pa.array(opens)]
-            at += n
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in columns], *found, *extra], names=[*columns, *[f.name for f in added]])
+            edge = np.zeros(n, dtype=np.int32)
+            if held is None:
+                edge[0] = FIRST
+            else:
+                yield told(*held)
+            held = [*[batch.column(c) for c in columns], *found], edge, opens
+        if held is not None:
+            held[1][-1] += LAST
+            yield told(*held)
 
     scanned = in_ranges(asked, keys, order).mapInArrow(scan, T.StructType([*df.schema.fields, *added]))
     stored = materialize(scanned, "ranges")
     of = [F.col(k).alias(f"_key_{i}") for i, k in enumerate(keys)]
     keyed = [f"_key_{i}" for i in range(len(keys))]
-    edges = stored.groupBy("_range").agg(
-        F.min_by(F.struct(*of, F.lit(0).alias("_")), "_at").alias("first"),
-        F.max_by(F.struct(*of, *[F.col(n).alias(f"_sum_{n}") for n in names]), "_at").alias("end"),
-    )
     # per group and range: first what is carried into the range is asked for, then what the range adds is told
-    asks = edges.select("_range", F.lit(0).alias("_turn"), *[F.col(f"first.{k}").alias(k) for k in keyed], *[F.lit(0).cast(kinds[n]).alias(f"_sum_{n}") for n in names])
-    tells = edges.select("_range", F.lit(1).alias("_turn"), *[F.col(f"end.{k}").alias(k) for k in keyed], *[F.col(f"end._sum_{n}").alias(f"_sum_{n}") for n in names])
+    asks = stored.where(F.col("_edge").isin(FIRST, FIRST + LAST)).select(
+        "_range", F.lit(0).alias("_turn"), *of, *[F.lit(0).cast(kinds[n]).alias(f"_sum_{n}") for n in names]
+    )
+    tells = stored.where(F.col("_edge") >= LAST).select("_range", F.lit(1).alias("_turn"), *of, *[F.col(n).alias(f"_sum_{n}") for n in names])
     earlier = Window.partitionBy(*keyed).orderBy("_range", "_turn").rowsBetween(Window.unboundedPreceding, -1)
     carried = asks.unionByName(tells).select("_range", "_turn", *[F.sum(f"_sum_{n}").over(earlier).alias(f"_before_{n}") for n in names])
     carried = carried.where("_turn = 0").select(F.col("_range").alias("_to"), *[f"_before_{n}" for n in names])
-    # one row per range
+    # one row per range, written as every later plan reads it
+    carried = materialize(carried, "range-sums")
     told = stored.join(F.broadcast(carried), F.col("_opening") & (F.col("_range") == F.col("_to")), "left")
     return told.select(*columns, *[(F.col(n) + F.coalesce(f"_before_{n}", F.lit(0))).alias(n) for n in names])
 

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 from shiftframe.functions.workspace import materialize
 
+HASH_BUCKETS = 65536
+
 
 def bucket_of(value: Column, width: float, *, descending: bool = False) -> Column:
     """Bucket of an order value, rising with ``value`` (or falling, for an order by ``value.desc()``).
@@ -36,16 +38,30 @@ def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "
     return left.join(named, same, how).drop(*[f"_right_{i}" for i in range(len(keys))])
 
 
-def split_hot(df: DataFrame, keys: Sequence[str], hot_rows: int) -> tuple[DataFrame, DataFrame | None]:
-    """(rows of groups up to ``hot_rows``, rows of larger groups or None), for work that needs another method then.
+def sized_split(df: DataFrame, keys: Sequence[str], hot_rows: int) -> tuple[DataFrame, DataFrame | None, int]:
+    """``split_hot`` and the number of all rows.
 
-    The keys are counted and written down, at most rows / hot_rows of them. A null is a key like any other.
+    Rows are first counted by a hash of their keys: where no such bucket is larger than ``hot_rows``, no group is, and keys
+    are neither shuffled nor written.
     """
+    buckets = df.groupBy(F.pmod(F.xxhash64(*keys), F.lit(HASH_BUCKETS)).alias("_bucket")).agg(F.count(F.lit(1)).alias("_rows"))
+    total, largest = buckets.agg(F.sum("_rows"), F.max("_rows")).first()
+    if (largest or 0) <= hot_rows:
+        return df, None, total or 0
     hot = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > hot_rows).select(*keys)
     hot = materialize(hot, "hot-keys")
     if hot.isEmpty():
-        return df, None
-    return join_on(df, hot, keys, "left_anti"), join_on(df, hot, keys, "left_semi")
+        return df, None, total
+    return join_on(df, hot, keys, "left_anti"), join_on(df, hot, keys, "left_semi"), total
+
+
+def split_hot(df: DataFrame, keys: Sequence[str], hot_rows: int) -> tuple[DataFrame, DataFrame | None]:
+    """(rows of groups up to ``hot_rows``, rows of larger groups or None), for work that needs another method then.
+
+    Where a group may be that large the keys are counted and written down, at most rows / hot_rows of them. A null is a
+    key like any other.
+    """
+    return sized_split(df, keys, hot_rows)[:2]
 
 
 def running(

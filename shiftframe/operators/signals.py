@@ -5,13 +5,16 @@ from __future__ import annotations
 import inspect
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shiftframe import constants as C
-from shiftframe.functions.ranges import running
-from shiftframe.functions.skew import split_hot
+from shiftframe.functions.once import once
+from shiftframe.functions.parts import parts_of
+from shiftframe.functions.ranges import changes, running
+from shiftframe.functions.skew import sized_split
 from shiftframe.operators.signal_walk import BLOCK_ROWS, walk_large
 
 # Optional columns of a shift row and their types.
@@ -52,14 +55,14 @@ def _complete(shifts: DataFrame, value: str, scope: Sequence[str], mode: str) ->
     )
 
 
-def _walk_sorted(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+def _walk_sorted(rows: DataFrame, keys: Sequence[str], parts: int) -> DataFrame:
     """Walk each group, highest shift first, by the ``_tolerance`` of its rows. Only the newest cluster can take the next shift.
 
-    Rows are dealt by group and sorted; a task passes over them once and keeps the newest cluster only, however the
+    Rows are dealt by group to ``parts`` tasks and sorted; a task passes over them once and keeps the newest cluster only, however the
     rows are cut into batches.
     """
     payload = [c for c in rows.columns if c not in (*keys, "shift", "atom_index")]
-    dealt = rows.repartition(*keys).sortWithinPartitions(*keys, F.col("shift").desc(), "atom_index", *payload)
+    dealt = rows.repartition(parts, *keys).sortWithinPartitions(*keys, F.col("shift").desc(), "atom_index", *payload)
     added = [T.StructField("walk_pos", T.LongType()), T.StructField("signal_no", T.IntegerType()),
              T.StructField("n_after", T.LongType()), T.StructField("center_after", T.DoubleType())]
     names = list(keys)
@@ -67,14 +70,19 @@ def _walk_sorted(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     def walk(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        group, place, number, center, atoms = None, 0, -1, 0.0, set()
+        last, place, number, center, atoms = {}, 0, -1, 0.0, set()
         for batch in batches:
-            groups = zip(*[batch.column(name).to_pylist() for name in names])
+            if not batch.num_rows:
+                continue
+            new = np.zeros(batch.num_rows, dtype=bool)
+            for name in names:
+                new |= changes(batch.column(name), last.get(name))
+                last[name] = batch.column(name)[-1:]
             out = []
             shifts, atom_indices, tolerances = (batch.column(c).to_pylist() for c in ("shift", "atom_index", "_tolerance"))
-            for own, shift, atom, tolerance in zip(groups, shifts, atom_indices, tolerances):
-                if own != group:
-                    group, place, number, atoms = own, 0, -1, set()
+            for begins, shift, atom, tolerance in zip(new.tolist(), shifts, atom_indices, tolerances):
+                if begins:
+                    place, number, atoms = 0, -1, set()
                 if number >= 0 and abs(center - shift) <= tolerance:
                     atoms.add(atom)
                     center = (center * (len(atoms) - 1) + shift) / len(atoms)
@@ -82,7 +90,7 @@ def _walk_sorted(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
                     number, center, atoms = number + 1, shift, {atom}
                 out.append((place, number, len(atoms), center))
                 place += 1
-            columns = list(zip(*out)) if out else [(), (), (), ()]
+            columns = list(zip(*out))
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.float64())
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, *[pa.array(c, k) for c, k in zip(columns, kinds)]],
@@ -101,6 +109,7 @@ def signal_group(
     value: str = "shift",
     fold_rows: int = FOLD_ROWS,
     block_rows: int = BLOCK_ROWS,
+    dealt: bool = False,
 ) -> DataFrame:
     """Member rows of every signal: key, number, id, place in the walk and running centre.
 
@@ -108,15 +117,20 @@ def signal_group(
     its running mean; other nuclei form one cluster per key. Rows without a number as shift belong to no signal and are
     left out, whatever the size of their group. Groups of up to ``fold_rows`` rows are walked in one pass by one task;
     larger groups block by block, one round per cluster. ``nucleus`` may be a column that is named in ``scope``: rows of
-    all nuclei then share one plan.
+    all nuclei then share one plan. With ``dealt`` members are left dealt by key, unless a group is that large, so that
+    aggregations of signals shuffle nothing more.
     """
     mixed = isinstance(nucleus, Column)
     proton = F.coalesce(nucleus == "1H", F.lit(False)) if mixed else F.lit(nucleus == "1H")
     tolerance = F.when(proton, F.lit(C.GROUP_TOLERANCE_1H_PPM)).otherwise(F.lit(float("inf")))
     keys = [*scope, "base_key"]
     rows = _complete(shifts, value, scope, mode).where(F.col("shift").isNotNull() & ~F.isnan("shift"))
-    small, large = split_hot(rows, keys, fold_rows)
-    members = _walk_sorted(small.withColumn("_tolerance", tolerance), keys).drop("_tolerance")
+    # what no shift has is null throughout and need not be dealt, sorted and passed to Python
+    absent = [c for c in OPTIONAL if c not in shifts.columns or (c == "engine" and mode == "consensus")]
+    columns, rows = rows.schema, rows.drop(*absent)
+    small, large, count = sized_split(rows, keys, fold_rows)
+    parts = parts_of(rows.sparkSession, count)
+    members = _walk_sorted(small.withColumn("_tolerance", tolerance), keys, parts).drop("_tolerance")
     if large is not None:
         for some, reach in ((proton, C.GROUP_TOLERANCE_1H_PPM), (~proton, float("inf"))):
             # one key that is never null, as the rounds join on it
@@ -124,7 +138,17 @@ def signal_group(
             if not chosen.isEmpty():
                 walked = walk_large(chosen, ["_group"], reach, block_rows=block_rows)
                 members = members.unionByName(walked.select(*members.columns))
-    return members.withColumn("signal_id", F.concat_ws(":", "base_key", F.col("signal_no").cast("string")))
+    elif dealt:
+        members = members.repartition(parts, *keys)
+    added = members.columns[len(rows.columns) :]
+    given = [F.lit(None).cast(f.dataType).alias(f.name) if f.name in absent else F.col(f.name) for f in columns]
+    members = members.select(*given, *added)
+    return members.withColumn("signal_id", signal_id())
+
+
+def signal_id() -> Column:
+    """Name of a signal in its scope: key and number."""
+    return F.concat_ws(":", "base_key", F.col("signal_no").cast("string"))
 
 
 def majority_label(
@@ -145,7 +169,7 @@ def signal_stats(
     pass. ``nucleus`` may be a column named in ``scope``. The atoms of a signal are in ``signal_atoms``, in long form; ``with_atoms`` adds them as a sorted list, for
     data whose signals are known to be small.
     """
-    key = [*scope, "base_key", "signal_no", "signal_id"]
+    key = [*scope, "base_key", "signal_no"]
     first_fields = ["atom_index", "element", "attached_atom_index", "engine", "source_id", "source_label", "source_smiles"]
     label = F.when(F.col("multiplicity") != "", F.col("multiplicity"))
     averaged = ("coupling_hz", "neighbor_count", "std")
@@ -173,6 +197,7 @@ def signal_stats(
     integration = F.when(proton, F.col("_atoms"))
     return stats.select(
         *key,
+        signal_id().alias("signal_id"),
         "center",
         integration.alias("integration"),
         "multiplicity",

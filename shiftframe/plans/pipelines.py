@@ -100,7 +100,7 @@ def draw_spectra(
     In individual mode every engine has a spectrum of its own, in consensus mode there is one; all spectra of a
     spec_id share one domain.
     """
-    members = signals.signal_group(shifts, nucleus=nucleus, mode=mode, scope=scope)
+    members = signals.signal_group(shifts, nucleus=nucleus, mode=mode, scope=scope, dealt=True)
     stats = signals.signal_stats(members, nucleus=nucleus, scope=scope)
     shown = signals.add_lines(stats, nucleus=nucleus).join(spectra_of, list(scope))
     engine = F.coalesce("engine", F.lit("engine" if mode == "individual" else "consensus")).alias("engine")

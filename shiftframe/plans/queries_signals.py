@@ -38,7 +38,7 @@ _STATS_SQL = """
 """
 
 
-def _members(v: Views) -> DataFrame:
+def _members(v: Views, *, dealt: bool = False) -> DataFrame:
     mol, atom = F.col("mol_id"), F.col("atom_index")
     rows = v.protons().withColumnRenamed("shift_ppm", "shift").withColumns(
         {
@@ -49,11 +49,11 @@ def _members(v: Views) -> DataFrame:
             "source_label": F.concat(F.lit("src"), (atom % 3).cast("string")),
         }
     )
-    return signals.signal_group(rows, nucleus="1H")
+    return signals.signal_group(rows, nucleus="1H", dealt=dealt)
 
 
 def _stats(v: Views) -> DataFrame:
-    return signals.signal_stats(_members(v), nucleus="1H")
+    return signals.signal_stats(_members(v, dealt=True), nucleus="1H")
 
 
 @query(
@@ -117,7 +117,7 @@ def signals_per_nucleus(v: Views) -> DataFrame:
     rows = v.protons().withColumnRenamed("shift_ppm", "shift").withColumn(
         "nucleus", F.when(kind == 0, "1H").when(kind == 1, "31P").otherwise("77Se")
     )
-    members = signals.signal_group(rows, nucleus=F.col("nucleus"), scope=["nucleus", "mol_id"])
+    members = signals.signal_group(rows, nucleus=F.col("nucleus"), scope=["nucleus", "mol_id"], dealt=True)
     stats = signals.signal_stats(members, nucleus=F.col("nucleus"), scope=["nucleus", "mol_id"])
     return stats.select("mol_id", "nucleus", "signal_id", F.round("center", 6).alias("center"), "integration")
 
@@ -186,7 +186,7 @@ def splitting_text(v: Views) -> DataFrame:
     """,
 )
 def assignment_text(v: Views) -> DataFrame:
-    members = _members(v)
+    members = _members(v, dealt=True)
     stats = signals.signal_stats(members, nucleus="1H", with_atoms=True)
     return signals.assignment_text(stats, members, nucleus="1H").select("mol_id", "signal_id", "assignment_text")
 
