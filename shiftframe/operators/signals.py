@@ -330,32 +330,31 @@ def multiplet_lines(
     base = C.LINE_BASE_HEIGHT + F.least(
         F.lit(C.LINE_HEIGHT_MAX_EXTRA), (F.coalesce(integration, F.lit(1)) - 1) * C.LINE_HEIGHT_STEP
     )
-    pattern = F.array(*[F.lit(float(h)) for h in C.MULTIPLET_PATTERNS["m"]])
+
+    def lines_of(heights: Sequence[float]) -> Column:
+        """Places in steps from the middle and heights as parts of the highest; literals, so a row only picks one."""
+        middle, top = (len(heights) - 1) / 2, float(max(heights))
+        return F.array(*[F.struct(F.lit(i - middle).alias("step"), F.lit(h / top).alias("part")) for i, h in enumerate(heights)])
+
+    pattern = lines_of(C.MULTIPLET_PATTERNS["m"])
     for name, heights in C.MULTIPLET_PATTERNS.items():
-        pattern = F.when(label == name, F.array(*[F.lit(float(h)) for h in heights])).otherwise(pattern)
+        pattern = F.when(label == name, lines_of(heights)).otherwise(pattern)
     single = F.coalesce(label == "s", F.lit(True)) | F.coalesce(
         F.abs(coupling) < C.ZERO_COUPLING_EPSILON, F.lit(False)
     )
-    pattern = F.when(single, F.array(F.lit(1.0))).otherwise(pattern)
+    pattern = F.when(single, lines_of([1.0])).otherwise(pattern)
     wanted = F.coalesce(coupling, F.lit(C.DEFAULT_COUPLING_HZ)) / C.SPECTROMETER_MHZ
     spacing = F.when((wanted == 0) | F.isnan(wanted), F.lit(C.FALLBACK_SPACING_PPM)).otherwise(wanted)
-    middle = (F.size(pattern) - 1) / 2
-    top = F.array_max(pattern)
     return F.transform(
         pattern,
-        lambda height, i: F.struct(
-            (center + (i - middle) * spacing).alias("shift"), (base * (height / top)).alias("intensity")
-        ),
+        lambda line: F.struct((center + line["step"] * spacing).alias("shift"), (base * line["part"]).alias("intensity")),
     )
 
 
 def add_lines(signals: DataFrame, *, nucleus: str) -> DataFrame:
-    return signals.withColumn(
-        "lines",
-        multiplet_lines(
-            nucleus, F.col("center"), F.col("multiplicity"), F.col("coupling_hz"), F.col("integration")
-        ),
-    )
+    """Add ``lines``, made one time per signal however often they are read."""
+    lines = multiplet_lines(nucleus, F.col("center"), F.col("multiplicity"), F.col("coupling_hz"), F.col("integration"))
+    return once(signals.drop("lines"), lines=lines)
 
 
 def line_rows(signals: DataFrame, *, keep: Sequence[str]) -> DataFrame:
