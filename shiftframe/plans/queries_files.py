@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shiftframe.functions.parts import parts_of
 from shiftframe.functions.workspace import new_path
 from shiftframe.operators.engine_apply import apply_engine as apply_predictor
 from shiftframe.operators.spectra import spectrum_meta
@@ -17,6 +18,7 @@ from shiftframe.streaming.debounce import debounce_stream as debounced
 
 
 RESPONSES_PER_FILE = 500_000
+TEXTS_PER_TASK = 10_000
 
 # --- nested results ---------------------------------------------------------------------------------------------
 
@@ -245,15 +247,17 @@ def manifest_files(v: Views) -> DataFrame:
     """Sixteen document texts to a file, written and digested in chunks, against a manifest that is wrong for every tenth
     file and silent on every seventh. The manifest comes from the texts, not from the files."""
     bundle = F.floor(F.col("doc_id") / 16).alias("bundle")
-    texts = v.table("documents").select(bundle, "doc_id", "text")
+    documents = v.table("documents")
+    texts = documents.select(bundle, "doc_id", "text").where("bundle is not null")
     path = new_path(v.spark, "bundles")
-    texts.repartition("bundle").sortWithinPartitions("bundle", "doc_id").select("bundle", "text").write.partitionBy("bundle").text(path)
+    parts = parts_of(v.spark, documents.count(), TEXTS_PER_TASK)
+    manifest.write_groups(texts, path, key="bundle", order=["doc_id"], line="text", parts=parts)
     line = F.struct("doc_id", F.concat(F.coalesce("text", F.lit("")), F.lit("\n")).alias("line"))
     whole = texts.where("bundle % 7 <> 0").groupBy("bundle").agg(F.array_sort(F.collect_list(line)).alias("lines"))
     wrong = F.when(F.col("bundle") % 10 == 0, "?").otherwise("")
     listed = whole.select("bundle", F.sha2(F.concat(F.array_join("lines.line", ""), wrong), 256).alias("sha256"))
-    files = manifest.digest_files(v.spark, path).withColumn("bundle", F.col("bundle").cast("long"))
-    return manifest.manifest_check(files, listed, key="bundle", content=None).join(files.select("bundle", "length"), "bundle")
+    files = manifest.digest_files(v.spark, path).withColumn("bundle", F.regexp_extract("path", r"/(-?\d+)\.txt$", 1).cast("long"))
+    return manifest.manifest_check(files, listed, key="bundle", content=None, keep=["length"])
 
 
 @query(
