@@ -14,6 +14,9 @@ from shiftframe import constants as C
 from shiftframe.operators.signals import highlight_range
 
 
+BINS_IN_WIDE = 16
+
+
 def match_tolerance(nucleus: str, low, high):
     """Largest accepted score of a signal with the given highlight range."""
     base = C.MATCH_TOLERANCE_PPM.get(nucleus, C.OTHER_MATCH_TOLERANCE_PPM)
@@ -146,18 +149,23 @@ def peak_match(
     width = bin_ppm or base
     low, high = highlight_range(nucleus, F.col("lines"), F.col("center"))
     keys = list(keys)
-    first = signals.groupBy(*keys, "center", "lines").agg(F.min(position).alias(position))
-    bands = first.select(*keys, position, "center", "lines", low.alias("low"), high.alias("high")).withColumn(
-        "tolerance", match_tolerance(nucleus, F.col("low"), F.col("high"))
+    first_bin, last_bin = F.floor((low - reach) / width).cast("long"), F.floor((high + reach) / width).cast("long")
+    # nearly every signal lies in one wide bin, so it is shuffled once and not once per bin
+    wide = lambda b: F.floor(b / BINS_IN_WIDE)
+    bands = signals.where(~F.isnan("center")).select(
+        *keys, position, "center", "lines", F.explode(F.sequence(wide(first_bin), wide(last_bin))).alias("_wide")
     )
-    bins = F.sequence(
-        F.floor((F.col("low") - reach) / width).cast("long"), F.floor((F.col("high") + reach) / width).cast("long")
-    )
-    bands = bands.where(~F.isnan("center")).withColumn("_bin", F.explode(bins)).dropna(subset=[*keys, "_bin"])
+    bands = bands.dropna(subset=keys) if keys else bands
     observed = peaks.select(*keys, peak, "ppm").withColumn("_bin", F.floor(F.col("ppm") / width).cast("long"))
     observed = observed.where(~F.isnan("ppm")).dropna(subset=[*keys, "ppm"])
-    # signals of bins without peaks stay where they are
+    # signals of wide bins without peaks go no further; those that are left are grouped where they are
+    bands = bands.join(observed.select(*keys, wide(F.col("_bin")).alias("_wide")).distinct(), [*keys, "_wide"], "left_semi")
+    bands = bands.groupBy(*keys, "_wide", "center", "lines").agg(F.min(position).alias(position))
+    bands = bands.withColumn("_bin", F.explode(F.sequence(first_bin, last_bin))).where(wide(F.col("_bin")) == F.col("_wide"))
     bands = bands.join(observed.select(*keys, "_bin").distinct(), [*keys, "_bin"], "left_semi")
+    bands = bands.select(*keys, position, "center", "lines", low.alias("low"), high.alias("high"), "_bin").withColumn(
+        "tolerance", match_tolerance(nucleus, F.col("low"), F.col("high"))
+    )
     parts = int(signals.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     part = F.pmod(F.xxhash64(*keys, "_bin"), F.lit(parts)).alias("_part")
     fields = [*[peaks.schema[k] for k in keys], peaks.schema[peak], T.StructField("ppm", T.DoubleType()), T.StructField(position, signals.schema[position].dataType),
