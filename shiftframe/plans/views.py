@@ -7,6 +7,7 @@ import functools
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shiftframe.functions.parts import parts_of
 from shiftframe.functions.ranges import numbered
 
 ENGINE_ORDER = (("cdk", 1), ("cascade", 2), ("orca", 3))
@@ -60,15 +61,17 @@ class Views:
         return rows.withColumn("status", self._status(F.col("mol_id"), F.col("engine")))
 
     def predictions(self) -> DataFrame:
+        """Rows are dealt by atom to as many tasks as their number asks for, and merging by atom goes on in the same tasks."""
+        lines = self.table("lineitem")
         per_atom = (
-            self.table("lineitem")
-            .select(
+            lines.select(
                 F.col("l_orderkey").alias("mol_id"),
                 (F.col("l_linenumber") - 1).alias("atom_index"),
                 "l_extendedprice",
                 "l_discount",
                 "l_tax",
             )
+            .repartition(parts_of(self.spark, lines.count()), "mol_id", "atom_index")
             .groupBy("mol_id", "atom_index")
             .agg(
                 (F.min("l_extendedprice") % F.lit(220.0)).alias("base"),
