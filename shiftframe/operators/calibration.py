@@ -56,9 +56,22 @@ def calibrate_complete(
 
     One target atom without a shielding makes its molecule an error whose message names the lowest such atom.
     """
-    rows = targets.join(
-        shieldings.where(F.col(sigma).isNotNull()).select(mol, atom, F.col(sigma).alias("_sigma")), [mol, atom], "left"
-    ).withColumnRenamed("_sigma", sigma)
+    rows = with_shielding(targets, shieldings, mol=mol, atom=atom, sigma=sigma)
+    return judge_complete(rows, mol=mol, atom=atom, nucleus=nucleus, sigma=sigma, engine=engine)
+
+
+def with_shielding(
+    targets: DataFrame, shieldings: DataFrame, *, mol: str = "mol_id", atom: str = "atom_index", sigma: str = "sigma"
+) -> DataFrame:
+    """Targets with the shielding of their atom, null where there is none."""
+    found = shieldings.where(F.col(sigma).isNotNull()).select(mol, atom, F.col(sigma).alias("_sigma"))
+    return targets.join(found, [mol, atom], "left").withColumnRenamed("_sigma", sigma)
+
+
+def judge_complete(
+    rows: DataFrame, *, mol: str = "mol_id", atom: str = "atom_index", nucleus: str = "nucleus", sigma: str = "sigma", engine: str = "ORCA"
+) -> tuple[DataFrame, DataFrame]:
+    """``calibrate_complete`` of targets that have their shielding. The rows are read three times: join and write them before."""
     lacking = F.col(sigma).isNull()
     judged = rows.groupBy(mol).agg(F.min(F.when(lacking, F.struct(F.col(atom).alias("atom"), F.col(nucleus).alias("of")))).alias("_first"))
     element = F.regexp_replace("_first.of", "[0-9]", "")

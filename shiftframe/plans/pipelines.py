@@ -136,7 +136,8 @@ def calibrate_logs(
     )
     computed = calibration.reference_mean(keyed.join(missing, ["functional", "basis"], "left_semi"))
     known = upsert_reference(spark, table, computed)
-    complete, judged = calibration.calibrate_complete(targets, sections)
+    rows = materialize(calibration.with_shielding(targets, sections), "targets")
+    complete, judged = calibration.judge_complete(rows)
     calibrated = materialize(calibration.calibrate(complete, known), "calibrated")
     unknown = calibrated.where("sigma_ref is null").groupBy("mol_id").agg(
         F.min(F.struct(calibration.method_key(F.col("functional")).alias("f"), calibration.method_key(F.col("basis")).alias("b"))).alias("_method")

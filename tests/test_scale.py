@@ -121,3 +121,17 @@ def test_f11_signals_are_shuffled_once_for_all_their_bins(spark, capsys, keys):
         if score <= tolerance:
             best[p.peak_id] = (pos, round(score, 9))
     assert {r.peak_id: (r.pos, round(r.score, 9)) for r in found.collect()} == best
+
+
+def test_f14_targets_are_joined_once(spark, tmp_path, monkeypatch):
+    written = []
+    keep = pipelines.materialize
+    monkeypatch.setattr(pipelines, "materialize", lambda df, name: written.append(name) or keep(df, name))
+    sections = spark.createDataFrame([(1, 0, 30.0), (1, 1, 100.0)], "mol_id int, atom_index int, sigma double")
+    target = "mol_id int, atom_index int, nucleus string, functional string, basis string"
+    targets = spark.createDataFrame([(1, 0, "1H", "A", "b"), (1, 1, "13C", "A", "b"), (2, 0, "1H", "A", "b")], target)
+    compounds = spark.createDataFrame([("a", "B", 1, 31.0), ("a", "B", 6, 188.0)], "functional string, basis string, atomic_num int, sigma double")
+    done, status = pipelines.calibrate_logs(spark, sections, targets, compounds, f"{tmp_path}/reference")
+    assert "targets" in written
+    assert sorted((r.atom_index, r.shift_ppm) for r in done.collect()) == [(0, 1.0), (1, 88.0)]
+    assert sorted((r.mol_id, r.status) for r in status.collect()) == [(1, "ok"), (2, "error")]
