@@ -31,19 +31,19 @@ def check_and_annotate(
     Annotated rows are written once: both the faults and what is left are read from them.
     """
     sizes = atoms.groupBy("mol_id").agg(F.count(F.lit(1)).alias("n_atoms"))
-    counted = shifts.join(sizes, "mol_id", "left").withColumn("n_atoms", F.coalesce("n_atoms", F.lit(0)))
     absent = {name: F.lit(None).cast(kind) for name, kind in ANNOTATIONS.items() if name not in shifts.columns}
-    counted = counted.withColumns(absent) if absent else counted
+    rows = shifts.withColumns(absent) if absent else shifts
     attached = ["attached_atom_index"]
-    rows = counted
     if nucleus == "1H":
         found = graph.multiplicity_rule(atoms, bonds)
         found = found.select("mol_id", "atom_index", F.struct(*[c for c in ANNOTATIONS if c in found.columns]).alias("_found"))
         have = [f.name for f in found.schema["_found"].dataType.fields]
-        annotated = counted.join(found, ["mol_id", "atom_index"], "left").withColumn("_own_attached", F.col("attached_atom_index"))
+        # by atom before by molecule: predictions that were merged by atom are dealt so already
+        annotated = rows.join(found, ["mol_id", "atom_index"], "left").withColumn("_own_attached", F.col("attached_atom_index"))
         attached.append("_own_attached")
         anchored = F.col("_found.attached_atom_index").isNotNull()
         rows = annotated.withColumns({c: F.when(anchored, F.col(f"_found.{c}")).otherwise(F.col(c)) for c in have}).drop("_found")
+    rows = rows.join(sizes, "mol_id", "left").withColumn("n_atoms", F.coalesce("n_atoms", F.lit(0)))
     checked, rows = validate.index_check_strict(headers, materialize(rows, "annotated"), attached=attached)
     return checked, rows.drop("_own_attached")
 
