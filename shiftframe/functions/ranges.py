@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shiftframe.functions.parts import parts_of
+from shiftframe.functions.parts import parts_by_size
 from shiftframe.functions.workspace import materialize
 
 # What a row is in its range: nothing, the first, the last, or both.
@@ -26,10 +26,10 @@ FIRST, LAST = 1, 2
 
 
 def in_ranges(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
-    """Rows dealt into ranges by keys, order and row hash, sorted so inside each; their number grows with the rows."""
+    """Rows dealt into ranges by keys, order and row hash, sorted so inside each; their number grows with the files read."""
     hashed = [f.name for f in df.schema.fields if "map<" not in f.dataType.simpleString()]
     place = [*[F.col(k) for k in keys], *order, F.xxhash64(*hashed)]
-    return df.repartitionByRange(parts_of(df.sparkSession, df.count()), *place).sortWithinPartitions(*place)
+    return df.repartitionByRange(parts_by_size(df), *place).sortWithinPartitions(*place)
 
 
 def changes(column: pa.Array, before: pa.Array | None) -> np.ndarray:
@@ -47,7 +47,7 @@ def running(df: DataFrame, keys: Sequence[str], order: Sequence[Column], sums: M
 
     Sums of whole numbers are long, others double. Nulls among the keys are one group, rows that ``order`` does not tell
     apart are in the order of their hashes. The ranges come from a sample, so what was summed inside them is written to
-    the shared folder before it is read again, and so is the table of what is carried, which run when this is called.
+    the shared folder before it is read again, which runs when this is called.
     """
     names = list(sums)
     asked = df.select("*", *[c.alias(f"_in_{n}") for n, c in sums.items()])
@@ -104,15 +104,15 @@ def running(df: DataFrame, keys: Sequence[str], order: Sequence[Column], sums: M
     of = [F.col(k).alias(f"_key_{i}") for i, k in enumerate(keys)]
     keyed = [f"_key_{i}" for i in range(len(keys))]
     # per group and range: first what is carried into the range is asked for, then what the range adds is told
-    asks = stored.where(F.col("_edge").isin(FIRST, FIRST + LAST)).select(
-        "_range", F.lit(0).alias("_turn"), *of, *[F.lit(0).cast(kinds[n]).alias(f"_sum_{n}") for n in names]
-    )
-    tells = stored.where(F.col("_edge") >= LAST).select("_range", F.lit(1).alias("_turn"), *of, *[F.col(n).alias(f"_sum_{n}") for n in names])
+    ask = F.struct(F.lit(0).alias("_turn"), *[F.lit(0).cast(kinds[n]).alias(f"_sum_{n}") for n in names])
+    tell = F.struct(F.lit(1).alias("_turn"), *[F.col(n).alias(f"_sum_{n}") for n in names])
+    edge = F.col("_edge")
+    turns = F.when(edge == FIRST, F.array(ask)).when(edge == LAST, F.array(tell)).otherwise(F.array(ask, tell))
+    marked = stored.where(edge > 0).select("_range", *of, F.inline(turns))
     earlier = Window.partitionBy(*keyed).orderBy("_range", "_turn").rowsBetween(Window.unboundedPreceding, -1)
-    carried = asks.unionByName(tells).select("_range", "_turn", *[F.sum(f"_sum_{n}").over(earlier).alias(f"_before_{n}") for n in names])
+    carried = marked.select("_range", "_turn", *[F.sum(f"_sum_{n}").over(earlier).alias(f"_before_{n}") for n in names])
     carried = carried.where("_turn = 0").select(F.col("_range").alias("_to"), *[f"_before_{n}" for n in names])
-    # one row per range, written as every later plan reads it
-    carried = materialize(carried, "range-sums")
+    # one row per range
     told = stored.join(F.broadcast(carried), F.col("_opening") & (F.col("_range") == F.col("_to")), "left")
     return told.select(*columns, *[(F.col(n) + F.coalesce(f"_before_{n}", F.lit(0))).alias(n) for n in names])
 

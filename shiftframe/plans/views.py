@@ -7,7 +7,7 @@ import functools
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shiftframe.functions.parts import parts_of
+from shiftframe.functions.parts import parts_by_size
 from shiftframe.functions.ranges import numbered
 
 ENGINE_ORDER = (("cdk", 1), ("cascade", 2), ("orca", 3))
@@ -71,7 +71,7 @@ class Views:
                 "l_discount",
                 "l_tax",
             )
-            .repartition(parts_of(self.spark, lines.count()), "mol_id", "atom_index")
+            .repartition(parts_by_size(lines), "mol_id", "atom_index")
             .groupBy("mol_id", "atom_index")
             .agg(
                 (F.min("l_extendedprice") % F.lit(220.0)).alias("base"),
